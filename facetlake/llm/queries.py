@@ -7,13 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetlake.llm import mixing, simhash
+from facetlake.llm import embdedup, langid, licenses, mixing, packing, simhash, sketches, tokencounts, tokenfiles, toxicity
+from facetlake.storage import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(modulus: int, rest: int):
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) == rest, F.lit(False))
+
+
+def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), docs.where(~_held_out(4, 2)), docs_per_lang=500, stretches_per_doc=6)
+    return found.select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score", "n_words")
+
+
+def op2_embedding_int8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), capacities=packing.CAPACITIES)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = shared_dir(spark, "tokens")
+    docs = _table(spark, sf_dir, "documents")
+    tokenfiles.write_shards(docs, path, public_tokenizers.path("byte_bpe_50k.json"), vocabulary=50_257, end_id=2)
+    return tokenfiles.read_shards(spark, path)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencounts.count_tokens(_table(spark, sf_dir, "documents"), tokencounts.load_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+
+
 def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=3, radius=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "kept")
@@ -24,8 +58,23 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op9_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.edited_likeness(_table(spark, sf_dir, "documents"), k=128, shingle_words=5)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    found = toxicity.score(docs.select("doc_id", "text"), docs.select("doc_id", "text"), labels.where(~_held_out(5, 0)), docs_per_class=2500)
+    return found.select("doc_id", _held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_simhash_trie, op7_mixing)}
+    every = (op1_language_crf, op2_embedding_int8, op3_packing, op4_token_files, op5_token_counts, op6_simhash_trie, op7_mixing, op8_licenses, op9_bottom_k, op10_toxicity)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1 +1 @@
-"""."""
+"""Structured Streaming over training logs, detections and metrics."""

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetlake.plans import corpus, facets, scenes
+from facetlake.plans import corpus, facets, scenes, streams
 
-PARTS = (scenes, facets, corpus)
+PARTS = (scenes, facets, corpus, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

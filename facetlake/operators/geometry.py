@@ -301,3 +301,70 @@ def angle_gap(a: Column, b: Column) -> Column:
     """Difference of two directions in degrees, around the circle."""
     d = F.pmod(F.abs(a - b), F.lit(360.0))
     return F.least(d, 360 - d)
+
+
+def square_corners(vertices: DataFrame, keys: list[str], within: float = 10.0) -> DataFrame:
+    """Corners within so many degrees of a right angle made right, one after the other around the ring.
+
+    A corner keeps the line of its longer side and moves to where the other neighbour stands above that
+    line; corners already moved count. The state of the fold is the ring so far.
+    """
+    ring = vertices.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "x", "y"))).alias("r")).withColumn("n", F.size("r"))
+
+    def moved(r: Column, i: Column) -> Column:
+        n = F.size(r)
+        at = lambda k: F.element_at(r, (F.pmod(k, n) + 1).cast("int"))
+        p, q, s = at(i - 1 + n), at(i), at(i + 1)
+        ax, ay, bx, by = p["x"] - q["x"], p["y"] - q["y"], s["x"] - q["x"], s["y"] - q["y"]
+        la, lb = norm(ax, ay), norm(bx, by)
+        angle = F.degrees(F.acos(clip((ax * bx + ay * by) / (la * lb), -1.0, 1.0)))
+        near = (la > 0) & (lb > 0) & (F.abs(angle - 90) < within) & (F.abs(angle - 90) > 1e-9)
+        t = F.when(la >= lb, (bx * ax + by * ay) / (la * la)).otherwise((ax * bx + ay * by) / (lb * lb))
+        nx, ny = F.when(la >= lb, q["x"] + t * ax).otherwise(q["x"] + t * bx), F.when(la >= lb, q["y"] + t * ay).otherwise(q["y"] + t * by)
+        fixed = F.struct(q["ord"].alias("ord"), nx.alias("x"), ny.alias("y"))
+        return F.when(near, F.transform(r, lambda v, k: F.when(k == i, fixed).otherwise(v))).otherwise(r)
+
+    done = F.when(F.col("n") >= 3, F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.col("r"), moved)).otherwise(F.col("r"))
+    return ring.select(*keys, F.explode(done).alias("p")).select(*keys, "p.ord", "p.x", "p.y")
+
+
+def regularize(vertices: DataFrame, keys: list[str], factor: float = 0.015, align: bool = True, square: bool = False) -> DataFrame:
+    """Simplified rings, on wish turned to their dominant direction and with right corners, without repeated corners."""
+    x = simplify(vertices, keys, factor)
+    if align:
+        x = align_dominant(x, keys)
+    if square:
+        x = square_corners(square_corners(x, keys), keys)
+    return dedup_vertices(x, keys)
+
+
+def dense_normal_error(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, error)`` over cells with a true normal (``gx..`` not all zero): 1 - cosine + half the mean absolute difference."""
+    known = (F.col("gx") != 0) | (F.col("gy") != 0) | (F.col("gz") != 0)
+    off = (F.abs(F.col("nx") - F.col("gx")) + F.abs(F.col("ny") - F.col("gy")) + F.abs(F.col("nz") - F.col("gz"))) / 3
+    each = F.when(known, normal_error(cells) + 0.5 * off)
+    return cells.groupBy(*keys).agg((F.coalesce(F.sum(each), F.lit(0.0)) / F.greatest(F.count(each), F.lit(1))).alias("error"))
+
+
+def slope_weighted_error(weight: float = 1.0) -> Column:
+    """Error of a unit normal (``nx..``) against the true one (``gx..``) in which direction counts more on steep facets."""
+    flat = lambda a, b: F.greatest(norm(a, b), F.lit(1e-8))
+    nx, ny, nz, gx, gy, gz = (F.col(c) for c in ("nx", "ny", "nz", "gx", "gy", "gz"))
+    turn = 1 - (nx * gx + ny * gy) / (flat(nx, ny) * flat(gx, gy))
+    return (1 - nz * gz) + weight * F.sqrt(F.greatest(1 - gz * gz, F.lit(0.0))) * turn
+
+
+def planarity(cells: DataFrame, keys: list[str], total: float, least: int = 32) -> DataFrame:
+    """``(keys, loss)`` of facets with enough cells: mean 1 - cosine to the facet's mean normal, times its share of all cells."""
+    mean = cells.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{c}") for c in ("nx", "ny", "nz")]).where(F.col("n") >= least)
+    m = mean.select(*keys, "n", *[u.alias(f"u{c}") for c, u in zip("xyz", unit(F.col("mnx"), F.col("mny"), F.col("mnz")), strict=True)])
+    dot = F.col("nx") * F.col("ux") + F.col("ny") * F.col("uy") + F.col("nz") * F.col("uz")
+    return cells.join(m, keys).groupBy(*keys).agg((F.avg(1 - dot) * F.first("n") / total).alias("loss"))
+
+
+def facet_points(heights: DataFrame, runs: DataFrame, keys: list[str], scale: float = 1.0) -> DataFrame:
+    """Finite height cells inside each facet's runs, x and y in map units: cell and run meet by key and row."""
+    on = [F.col(f"h.{k}") == F.col(f"r.{k}") for k in (*keys, "y")]
+    x = heights.alias("h").join(runs.alias("r"), on + [(F.col("h.x") >= F.col("r.x0")) & (F.col("h.x") < F.col("r.x1"))])
+    x = x.where(F.col("h.z").isNotNull() & ~F.isnan("h.z") & (F.abs("h.z") < float("inf")))
+    return x.select(*[F.col(f"h.{k}") for k in keys], "r.facet", (F.col("h.x") * scale).alias("x"), (F.col("h.y") * scale).alias("y"), "h.z")

@@ -128,3 +128,9 @@ def index_by_convention(files: DataFrame) -> DataFrame:
     for suffix, name in (("_mask.png", "__png"), ("_mask.jpg", "__jpg"), ("_normal.npy", "normal_path")):
         x = x.join(kind(suffix, name), ["dir", "sample_id"], "left")
     return x.withColumn("mask_path", F.coalesce("__png", "__jpg")).where("mask_path is not null").select("dir", "sample_id", "image_path", "mask_path", "normal_path")
+
+
+def random_sample(ids: DataFrame, ratio: float, seed: int = 42, key: str = "sample_id") -> DataFrame:
+    """``max(1, floor(n * ratio))`` rows in the order of a hash of id and seed, the same on every run."""
+    k = max(1, int(ids.count() * ratio))
+    return ids.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed)))), key).limit(k)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetlake.plans import corpus, facets, scenes, streams
+from facetlake.plans import corpus, facets, files, rasters, scenes, streams
 
-PARTS = (scenes, facets, corpus, streams)
+PARTS = (scenes, facets, rasters, corpus, files, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -173,10 +173,10 @@ def mark_best(spark, d):
 
 @query(
     """SELECT coalesce(a.key, b.key) AS key, round(a.value, 6) AS v_new, round(b.value, 6) AS v_stable, round(a.value - b.value, 6) AS delta, coalesce(a.value - b.value >= -5, false) AS ok FROM
-    (SELECT user_id AS key, avg(value) AS value FROM events WHERE event_id % 3 = 0 GROUP BY user_id) a FULL JOIN (SELECT user_id AS key, avg(value) AS value FROM events WHERE event_id % 3 = 1 GROUP BY user_id) b ON a.key = b.key""")
+    (SELECT user_id AS key, avg(value) AS value FROM events WHERE event_id % 2 = 0 GROUP BY user_id) a FULL JOIN (SELECT user_id AS key, avg(value) AS value FROM events WHERE event_id % 2 = 1 GROUP BY user_id) b ON a.key = b.key""")
 def canary(spark, d):
     e = X.table(spark, d, "events")
-    half = lambda k: e.where(f"event_id % 3 = {k}").groupBy(F.col("user_id").alias("key")).agg(F.avg("value").alias("value"))
+    half = lambda k: e.where(f"event_id % 2 = {k}").groupBy(F.col("user_id").alias("key")).agg(F.avg("value").alias("value"))
     x = C.canary(half(0), half(1), ["key"], 5.0)
     return x.select("key", r6("v_new", "v_new"), r6("v_stable", "v_stable"), r6("delta", "delta"), "ok")
 

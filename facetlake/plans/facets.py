@@ -139,12 +139,12 @@ def regularized_polygons(spark, d):
     return x.select("inst", "ord", r6("x", "x"), r6("y", "y"))
 
 
-SEGMENTS = """SELECT scene, inst * 4 + ord AS seg, x AS x1, y AS y1, xn AS x2, yn AS y2 FROM ring WHERE inst % 5 = 0"""
+SEGMENTS = """SELECT scene, inst * 4 + ord AS seg, x AS x1, y AS y1, xn AS x2, yn AS y2 FROM ring WHERE inst % 2 = 0"""
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
-    """Sides of every fifth ring as lines."""
-    return G.ring_edges(X.skewed_vertex(spark, d).where("inst % 5 = 0"), ["scene", "inst"]).selectExpr("scene", "inst * 4 + ord AS seg", "x AS x1", "y AS y1", "xn AS x2", "yn AS y2")
+    """Sides of all annotated rings as lines; annotations have even ids."""
+    return G.ring_edges(X.skewed_vertex(spark, d).where("inst % 2 = 0"), ["scene", "inst"]).selectExpr("scene", "inst * 4 + ord AS seg", "x AS x1", "y AS y1", "xn AS x2", "yn AS y2")
 
 
 @query()
@@ -177,7 +177,8 @@ SQL["line_graph"] = with_more(VERTS, RING, f"""SELECT n.scene, nodes, coalesce(e
 
 @query()
 def snap_to_lines(spark, d):
-    v = X.skewed_vertex(spark, d).where("inst % 5 = 1").select("scene", "inst", "ord", "x", "y")
+    """Corners of all predictions onto the sides of the annotations of their scene."""
+    v = X.skewed_vertex(spark, d).where("inst % 2 = 1").select("scene", "inst", "ord", "x", "y")
     return G.snap_to_lines(v, segments(spark, d), "scene", 4.0).select("inst", "ord", r6("x", "x"), r6("y", "y"))
 
 
@@ -185,7 +186,7 @@ SQL["snap_to_lines"] = with_more(VERTS, RING, f"""SELECT inst, ord, round(coales
     SELECT inst, ord, arg_min(px, (d, seg)) AS px, arg_min(py, (d, seg)) AS py FROM (SELECT *, sqrt((x - px) * (x - px) + (y - py) * (y - py)) AS d FROM (
     SELECT *, x1 + t * (x2 - x1) AS px, y1 + t * (y2 - y1) AS py FROM (SELECT v.inst, v.ord, v.x, v.y, s.*,
     CASE WHEN (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) > 0 THEN least(greatest(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 0), 1) ELSE 0 END AS t
-    FROM skewed_vertex v JOIN ({SEGMENTS}) s ON v.scene = s.scene WHERE v.inst % 5 = 1))) WHERE d < 4 GROUP BY inst, ord) p USING (inst, ord) WHERE v.inst % 5 = 1""")
+    FROM skewed_vertex v JOIN ({SEGMENTS}) s ON v.scene = s.scene WHERE v.inst % 2 = 1))) WHERE d < 4 GROUP BY inst, ord) p USING (inst, ord) WHERE v.inst % 2 = 1""")
 
 
 SCATTER = ", ".join(f"round(sum(({a} - m{a}) * ({b} - m{b})), 2) AS s{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))

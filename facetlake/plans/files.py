@@ -1,0 +1,133 @@
+"""Queries that write what they derive from a table in a file format and read it back with the format's reader."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from facetlake.operators import evaluate as E
+from facetlake.operators import manifest as M
+from facetlake.plans import fixtures as X
+from facetlake.plans.scenes import r6
+from facetlake.sources import readers, writers
+from facetlake.storage import shared_dir
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *names: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = X.sql(sql, *names)
+        return f
+
+    return add
+
+
+def written(lines: DataFrame) -> tuple[SparkSession, str]:
+    """Text lines (``value``) in a folder of the shared storage."""
+    path = shared_dir(lines.sparkSession, "files")
+    lines.write.text(path)
+    return lines.sparkSession, path
+
+
+@query("SELECT sample_id FROM sample", "sample")
+def split_list(spark, d):
+    path = shared_dir(spark, "files")
+    writers.write_split(X.sample(spark, d), path, legacy=True)
+    return readers.read_split(spark, f"{path}/train").select("sample_id")
+
+
+@query("SELECT scene AS image_id, inst AS ann_no, sum(x)::DOUBLE AS sx, sum(y)::DOUBLE AS sy, count(*) AS corners FROM vertex GROUP BY ALL", "instance", "vertex")
+def coco_rings(spark, d):
+    """Every scene as one annotation document; rings alternate between the flat and the nested form."""
+    v = X.vertex(spark, d)
+    ring = v.groupBy("scene", "inst").agg(F.array_sort(F.collect_list(F.struct("ord", "x", "y"))).alias("r"))
+    flat = F.to_json(F.flatten(F.transform("r", lambda p: F.array(p["x"], p["y"]))))
+    seg = F.when(F.col("inst") % 2 == 0, flat).otherwise(F.concat(F.lit("["), flat, F.lit("]")))
+    ann = F.concat(F.lit('{"id":'), F.col("inst"), F.lit(',"image_id":'), F.col("scene"), F.lit(',"category_id":'), F.col("inst"), F.lit(',"segmentation":'), seg, F.lit("}"))
+    image = F.concat(F.lit('{"images":[{"id":'), F.col("scene"), F.lit(',"file_name":"s.jpg","width":128,"height":128}],"annotations":['))
+    doc = ring.select("scene", ann.alias("a")).groupBy("scene").agg(F.concat(image, F.array_join(F.collect_list("a"), ","), F.lit("]}")).alias("value"))
+    path = shared_dir(spark, "files")
+    doc.select("value").write.text(path)
+    _, rings = readers.read_coco_lines(spark, path)
+    x = readers.ring_vertices(rings.withColumn("ann_no", F.col("category_id").cast("long")))
+    return x.groupBy("image_id", "ann_no").agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.count("*").alias("corners"))
+
+
+@query("SELECT CASE inst % 3 WHEN 0 THEN 3 WHEN 1 THEN 4 ELSE 2 END AS cls, 'box' AS kind, count(*) AS n, sum(x1)::DOUBLE AS left_sum FROM instance GROUP BY ALL", "instance")
+def yolo_boxes(spark, d):
+    i = X.instance(spark, d)
+    line = F.concat_ws(" ", F.when(F.col("inst") % 3 == 0, 14).when(F.col("inst") % 3 == 1, 12).otherwise(10), (F.col("x1") + F.col("w") / 2 + 0.25) / 128, (F.col("y1") + F.col("h") / 2 + 0.25) / 128, F.col("w") / 128, F.col("h") / 128)
+    x = readers.read_yolo(*written(i.select(line.alias("value"))), {14: 3, 12: 4, 10: 2}, 128, 128)
+    return x.groupBy("cls", "kind").agg(F.count("*").alias("n"), F.sum(F.col("coords")[0]).alias("left_sum"))
+
+
+@query("SELECT count(*)::BIGINT AS vertices, round(sum(p_size), 6) AS total FROM part")
+def obj_meshes(spark, d):
+    p = X.table(spark, d, "part").select(F.concat_ws(" ", F.lit("v"), F.col("p_size").cast("double"), F.lit("0.5"), F.lit("-1")).alias("value"))
+    v, _ = readers.read_obj(*written(p))
+    return v.agg(F.count("*").alias("vertices"), r6(F.sum("x"), "total"))
+
+
+@query("SELECT o_orderkey AS sample_id, round(o_totalprice / 1e6, 6) AS hard_score FROM orders WHERE o_orderkey % 7 <> 0")
+def metrics_csv(spark, d):
+    o = X.table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(F.col("o_orderkey").cast("string")).alias("sample_id"), F.round(F.col("o_totalprice") / 1e6, 6).alias("hard_score"))
+    path = shared_dir(spark, "files")
+    o.write.option("header", True).csv(path)
+    x = readers.read_metrics(spark, path)
+    return E.mine_hard(x, 0).select(F.col("sample_id").cast("long").alias("sample_id"), "hard_score")
+
+
+@query("SELECT inst AS facet, label AS class_id, round(score, 6) AS confidence FROM instance", "instance")
+def feature_collection(spark, d):
+    """Facets as GeoJSON features, a line each, and back."""
+    i = X.instance(spark, d).selectExpr("inst", "inst AS instance_id", "label AS class_id", "score AS confidence")
+    path = shared_dir(spark, "files")
+    writers.write_features(i, X.vertex(spark, d), "inst", path)
+    x = readers.read_feature_lines(spark, path)
+    return x.select("facet", F.col("class_id").cast("long").alias("class_id"), r6("confidence", "confidence"))
+
+
+@query("SELECT event_id AS iter, 'train' AS mode, user_id AS run, round(value, 6) AS value FROM events")
+def json_log(spark, d):
+    e = X.table(spark, d, "events").select(F.to_json(F.struct(F.col("event_id").alias("iter"), F.round("value", 6).alias("loss"), F.col("user_id").alias("run"))).alias("value"))
+    x = readers.read_log(*written(e.unionByName(e.limit(3).select(F.lit("not a record").alias("value")))))
+    wide = x.groupBy("iter", "mode").agg(F.max(F.when(F.col("key") == "run", F.col("value"))).cast("long").alias("run"), F.max(F.when(F.col("key") == "loss", F.col("value"))).alias("value"))
+    return wide.select("iter", "mode", "run", r6("value", "value"))
+
+
+@query()
+def file_inventory(spark, d):
+    """The files of the data set itself, by extension."""
+    return readers.list_files(spark, d).groupBy("ext").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.max("depth").alias("depth"))
+
+
+CONVENTION = """SELECT '/d' || doc_id % 3 AS dir, 's' || doc_id AS sample_id, '/d' || doc_id % 3 || '/s' || doc_id || '_rgb.jpg' AS image_path, '/d' || doc_id % 3 || '/s' || doc_id || CASE WHEN doc_id % 4 = 0 THEN '_mask.jpg' ELSE '_mask.png' END AS mask_path,
+    CASE WHEN doc_id % 5 = 0 THEN '/d' || doc_id % 3 || '/s' || doc_id || '_normal.npy' END AS normal_path FROM documents WHERE doc_id % 6 <> 1"""
+
+
+@query(CONVENTION)
+def indexed_by_convention(spark, d):
+    """File names that follow a convention, derived from document ids, as samples."""
+    x = X.table(spark, d, "documents").selectExpr("concat('/d', doc_id % 3, '/s', doc_id) AS p", "doc_id")
+    names = x.selectExpr("explode(array_compact(array(concat(p, '_rgb.jpg'), if(doc_id % 6 <> 1, concat(p, if(doc_id % 4 = 0, '_mask.jpg', '_mask.png')), NULL), if(doc_id % 5 = 0, concat(p, '_normal.npy'), NULL)))) AS path")
+    return M.index_by_convention(names)
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '/a/' || doc_id || '.png' WHEN doc_id % 3 = 0 THEN '/b/' || doc_id || '.png' WHEN doc_id % 5 = 0 THEN '/c/' || doc_id || '.jpg' END AS found FROM documents")
+def resolved_paths(spark, d):
+    x = X.table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("sample_id"))
+    wanted = x.withColumns({"first": F.concat(F.lit("/a/"), "sample_id", F.lit(".png")), "second": F.concat(F.lit("/b/"), "sample_id", F.lit(".png"))})
+    part = lambda where, folder, suffix, rank: x.where(where).select(F.concat(F.lit(folder), "sample_id", F.lit(suffix)).alias("path"), F.col("sample_id").alias("stem"), F.lit(rank).alias("suffix_rank"))
+    files = part("doc_id % 2 = 0", "/a/", ".png", 0).unionByName(part("doc_id % 3 = 0", "/b/", ".png", 0)).unionByName(part("doc_id % 5 = 0", "/c/", ".jpg", 1))
+    return M.resolve_paths(wanted, files, ["first", "second"]).select("doc_id", "found")
+
+
+@query("SELECT count(*) AS images, (SELECT count(*) FROM instance) AS annotations, (SELECT string_agg(label, ',' ORDER BY label) FROM (SELECT DISTINCT label FROM instance)) AS classes FROM (SELECT DISTINCT scene FROM instance)", "instance")
+def annotation_counts(spark, d):
+    i = X.instance(spark, d)
+    classes = i.select("label").distinct().agg(F.array_join(F.array_sort(F.collect_list("label")), ",").alias("classes"))
+    return i.agg(F.countDistinct("scene").alias("images"), F.count("*").alias("annotations")).crossJoin(classes)  # one row each

@@ -58,8 +58,7 @@ def points(spark: SparkSession, d: str) -> DataFrame:
 
 def height(spark: SparkSession, d: str) -> DataFrame:
     """A 16 x 16 height raster for each of the parts: ``(sample_id, y, x, z)``."""
-    p = table(spark, d, "part").where("p_partkey < 2000")
-    return p.selectExpr("p_partkey AS sample_id", "p_size", "explode(sequence(0, 15)) AS y").selectExpr("sample_id", "p_size", "y", "explode(sequence(0, 15)) AS x").selectExpr("sample_id", "y", "x", "double((x * p_size + y * 3) % 17) AS z")
+    return table(spark, d, "part").selectExpr("p_partkey AS sample_id", "p_size", "explode(sequence(0, 15)) AS y").selectExpr("sample_id", "p_size", "y", "explode(sequence(0, 15)) AS x").selectExpr("sample_id", "y", "x", "double((x * p_size + y * 3) % 17) AS z")
 
 
 def sample(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +98,7 @@ CTE = {
     "points": """SELECT l_suppkey % 20 AS facet, l_quantity AS x, (l_partkey % 64)::DOUBLE AS y, 0.1::DOUBLE * l_quantity + 0.2::DOUBLE * (l_partkey % 64)::DOUBLE
         + 5::DOUBLE + (l_discount - 0.05::DOUBLE) + CASE WHEN l_tax >= 0.08::DOUBLE THEN 15::DOUBLE ELSE 0::DOUBLE END AS z FROM lineitem""",
     "height": """SELECT p_partkey AS sample_id, y, x, ((x * p_size + y * 3) % 17)::DOUBLE AS z FROM part, (SELECT unnest(range(16))::INTEGER AS y),
-        (SELECT unnest(range(16))::INTEGER AS x) WHERE p_partkey < 2000""",
+        (SELECT unnest(range(16))::INTEGER AS x)""",
     "sample": "SELECT lang AS source, lang || '_' || doc_id AS sample_id, doc_id % 3 <> 0 AS has_normal FROM documents",
     "hard": "SELECT lang || '_' || doc_id AS sample_id FROM labels JOIN documents USING (doc_id) WHERE quality = 0",
     "log": "SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS iter, event_type AS key, value, ts, event_id FROM events",

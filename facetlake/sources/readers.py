@@ -48,7 +48,15 @@ def read_coco(spark: SparkSession, path: str, least_numbers: int = 6) -> tuple[D
     A segmentation is a flat list (one ring) or a list of lists; anything else gives no ring, nor do
     rings of fewer than ``least_numbers`` numbers. Annotations without an image id go.
     """
-    doc = spark.read.schema(COCO).option("multiLine", True).json(path)
+    return _coco(spark.read.schema(COCO).option("multiLine", True).json(path), least_numbers)
+
+
+def read_coco_lines(spark: SparkSession, path: str, least_numbers: int = 6) -> tuple[DataFrame, DataFrame]:
+    """As ``read_coco`` for files that hold one document a line, which many tasks can read."""
+    return _coco(spark.read.schema(COCO).json(path), least_numbers)
+
+
+def _coco(doc: DataFrame, least_numbers: int) -> tuple[DataFrame, DataFrame]:
     images = doc.select(F.explode("images").alias("i")).select("i.*")
     ann = doc.select(F.posexplode("annotations").alias("ann_no", "a")).where("a.image_id is not null")
     many = F.try_variant_get("a.segmentation", "$", "array<array<double>>")
@@ -126,6 +134,13 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return doc.select("path", F.coalesce("p.instance_id", "p.polygon_id").alias("facet"), "p.class_id", "p.class_name", F.coalesce("p.geometry_confidence", "p.confidence").alias("confidence"), "p.slope_deg", "p.azimuth_deg", "p.normal")
 
 
+def read_feature_lines(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read_features`` for files that hold one feature a line."""
+    p = T.StructType.fromDDL(FEATURES)["features"].dataType.elementType["properties"]
+    x = spark.read.schema(T.StructType([p])).json(path).select(F.col("properties").alias("p"))
+    return x.select(F.coalesce("p.instance_id", "p.polygon_id").alias("facet"), "p.class_id", "p.class_name", F.coalesce("p.geometry_confidence", "p.confidence").alias("confidence"), "p.slope_deg", "p.azimuth_deg", "p.normal")
+
+
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """``(seq, checkpoint, metrics, thresholds, status)`` of a JSON array; any other file is an empty registry."""
     entry = "array<struct<checkpoint:string,metrics:map<string,double>,thresholds:map<string,double>,status:string>>"
@@ -154,7 +169,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     x = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", F.col("modificationTime").alias("mtime"))
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     base = F.lit(root.rstrip("/").split(":")[-1].lstrip("/"))
-    below: Column = F.substring_index("path", F.concat(base, F.lit("/")), -1)
+    below: Column = F.call_function("substring_index", F.col("path"), F.concat(base, F.lit("/")), F.lit(-1))
     ext = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
     return x.select("path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"), name.alias("name"), F.regexp_replace(name, r"\.[^.]+$", "").alias("stem"), F.when(ext == "", "no_ext").otherwise(ext).alias("ext"), (F.size(F.split(below, "/")) - 1).alias("depth"), "length", "mtime").where("name not like '.%'")
 

@@ -139,3 +139,25 @@ def inverse_view(runs: DataFrame, view: str, height: int, width: int) -> DataFra
         "hflip": (y, F.lit(width - 1) - x),
     }[view]
     return c.withColumns({"y": back[0], "x": back[1]})
+
+
+def score_masks(found: DataFrame, masks: DataFrame, keys: list[str], least: float, least_area: int = 1, k: int = 0) -> DataFrame:
+    """``(keys, q, cls, score, area)``: class probability times the mean mask probability inside the mask (logit 0 or more), if sure and large enough."""
+    p = 1 / (1 + F.exp(-F.col("logit")))
+    inside = masks.where("logit >= 0").groupBy(*keys, "q").agg(F.count("*").alias("area"), F.avg(p).alias("__p")).where(F.col("area") >= least_area)
+    x = found.join(inside, [*keys, "q"]).withColumn("score", F.col("prob") * F.col("__p")).where(F.col("score") >= least)
+    return cap(x.select(*keys, "q", "cls", "score", "area", "prob"), keys, k, [F.desc("prob"), F.col("q")]).drop("prob")
+
+
+def mean_normal(inst_runs: DataFrame, normals: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, inst, nx, ny, nz)``: mean of the normals of an instance's cells at length 1, up where there is none."""
+    on = [F.col(f"r.{k}") == F.col(f"n.{k}") for k in (*keys, "y")] + [(F.col("n.x") >= F.col("r.x0")) & (F.col("n.x") < F.col("r.x1"))]
+    met = inst_runs.alias("r").join(normals.alias("n"), on).select(*[F.col(f"r.{k}") for k in keys], F.col("r.inst").alias("inst"), "n.nx", "n.ny", "n.nz", F.lit(1.0).alias("score"))
+    fused = fuse_normals(met, [*keys, "inst"])
+    x = inst_runs.select(*keys, "inst").distinct().join(fused, [*keys, "inst"], "left")
+    return x.select(*keys, "inst", F.coalesce("nx", F.lit(0.0)).alias("nx"), F.coalesce("ny", F.lit(0.0)).alias("ny"), F.coalesce("nz", F.lit(1.0)).alias("nz"))
+
+
+def teacher_runs(samples: DataFrame, teacher: DataFrame, keys: list[str]) -> DataFrame:
+    """Every sample with the runs of its optional teacher raster, any value above 0 counting as set; samples without one have a row of nulls."""
+    return samples.join(R.merge_runs(teacher.where("value > 0"), keys), keys, "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetlake.operators import geometry as G
+from facetlake.operators import instances as I
 from facetlake.operators import manifest as M
 from facetlake.operators import overlap as O
 from facetlake.operators import runs as R
@@ -260,3 +261,36 @@ def facet_points(spark, d):
 @query("SELECT sample_id FROM sample ORDER BY md5(sample_id || '42'), sample_id LIMIT (SELECT greatest(1, count(*) // 4) FROM sample)", "sample")
 def random_sample(spark, d):
     return M.random_sample(X.sample(spark, d).select("sample_id"), 0.25)
+
+
+@query(
+    """SELECT sample, q, cls, round(prob * mp, 6) AS score, area FROM (SELECT sample, q, arg_max(cls, (e, -cls)) FILTER (cls BETWEEN 1 AND 4) AS cls, max(e) FILTER (cls BETWEEN 1 AND 4) / sum(e) AS prob FROM
+    (SELECT *, exp(logit - max(logit) OVER (PARTITION BY sample, q)) AS e FROM query_score) GROUP BY ALL) JOIN (SELECT sample, q, count(*) AS area, avg(1 / (1 + exp(-logit))) AS mp FROM query_score WHERE logit >= 0 GROUP BY ALL) USING (sample, q)
+    WHERE prob >= 0.2 AND prob * mp >= 0.25 AND area >= 2""", "query_score")
+def instance_masks(spark, d):
+    """Class scores and mask scores of decoder queries together; the logits of a query double as its mask."""
+    x = X.query_score(spark, d)
+    found = I.query_to_instance(x, ["sample"], 0.2, no_object=5)
+    return I.score_masks(found, x, ["sample"], 0.25, 2).select("sample", "q", "cls", r6("score", "score"), "area")
+
+
+@query()
+def mean_normals(spark, d):
+    """Normals of height cells averaged over the instances that lie on them."""
+    runs = X.run(spark, d).selectExpr("scene AS sample_id", "inst", "y", "x0", "x1")
+    return I.mean_normal(runs, sobel(spark, d), ["sample_id"]).select("inst", r6("nx", "nx"), r6("ny", "ny"), r6("nz", "nz"))
+
+
+SQL["mean_normals"] = with_more(
+    ("instance", "run", "height"), SOBEL,
+    """SELECT inst, round(coalesce(a / n, 0), 6) + 0 AS nx, round(coalesce(b / n, 0), 6) + 0 AS ny, round(coalesce(c / n, 1), 6) AS nz FROM instance LEFT JOIN (SELECT *, sqrt(a * a + b * b + c * c) AS n FROM (SELECT inst, sum(nx) AS a, sum(ny) AS b, sum(nz) AS c
+    FROM run JOIN sobel s ON s.sample_id = scene AND s.y = run.y AND s.x >= x0 AND s.x < x1 GROUP BY inst)) USING (inst)""",
+)
+
+
+@query(
+    """SELECT inst, count(y) AS n_rows, coalesce(sum(e - b), 0)::BIGINT AS cells FROM (SELECT inst FROM instance) LEFT JOIN (SELECT inst, y, x0 AS b, x1 AS e FROM run WHERE inst % 4 <> 0) USING (inst) GROUP BY inst""", "instance", "run")
+def teacher_masks(spark, d):
+    runs = X.run(spark, d).selectExpr("inst", "y", "x0", "x1", "inst % 4 AS value")
+    x = I.teacher_runs(X.instance(spark, d).select("inst"), runs, ["inst"])
+    return x.groupBy("inst").agg(F.count("y").alias("n_rows"), F.coalesce(F.sum(F.col("x1") - F.col("x0")), F.lit(0)).cast("long").alias("cells"))

@@ -192,3 +192,10 @@ def paint_faces(faces: DataFrame, projected: DataFrame, heights: DataFrame, size
     """Runs ``(mesh, y, x0, x1, fid)`` of the face on top: the higher mean z covers the lower, the later face on ties."""
     filled = R.rasterize(projected, ["mesh", "fid"], size, size).join(heights.select("mesh", "fid", "mean_z"), ["mesh", "fid"])
     return R.overlay(filled, ["mesh"], "fid", ["mean_z", "fid"])
+
+
+def classify_by_slope(cells: DataFrame, keys: list[str], value: str = "v", slope: str = "slope", flat: float = 2.0) -> DataFrame:
+    """``cls`` of each cell: rasters that only know 0 and 1 become flat (1) and sloped (2) roofs by their slope in degrees; others hold classes already."""
+    kind = cells.groupBy(*keys).agg((F.max(value) <= 1).alias("__binary"))
+    roof = F.when(F.col(value) == 0, 0).when(F.col(slope) < flat, 1).otherwise(2)
+    return cells.join(kind, keys).withColumn("cls", F.when(F.col("__binary"), roof).otherwise(F.col(value)).cast("int")).drop("__binary")

@@ -294,3 +294,19 @@ def teacher_masks(spark, d):
     runs = X.run(spark, d).selectExpr("inst", "y", "x0", "x1", "inst % 4 AS value")
     x = I.teacher_runs(X.instance(spark, d).select("inst"), runs, ["inst"])
     return x.groupBy("inst").agg(F.count("y").alias("n_rows"), F.coalesce(F.sum(F.col("x1") - F.col("x0")), F.lit(0)).cast("long").alias("cells"))
+
+
+@query()
+def classify_by_slope(spark, d):
+    """Binary roof masks of every second raster split by slope; the others hold five classes."""
+    v = F.when(F.col("sample_id") % 2 == 0, (F.col("z") > 8).cast("int")).otherwise((F.col("z") % 5).cast("int"))
+    x = X.height(spark, d).withColumn("v", v).join(sobel(spark, d), ["sample_id", "y", "x"])
+    x = V.classify_by_slope(x.withColumn("slope", G.slope(F.col("nz"), folded=False)), ["sample_id"], flat=75.0)
+    return x.groupBy("sample_id", "cls").agg(F.count("*").alias("cells"), F.sum("x").alias("sum_x"))
+
+
+SQL["classify_by_slope"] = with_more(
+    ("height",), SOBEL,
+    """SELECT sample_id, CASE WHEN top > 1 THEN v WHEN v = 0 THEN 0 WHEN degrees(acos(nz)) < 75 THEN 1 ELSE 2 END::INTEGER AS cls, count(*) AS cells, sum(x)::BIGINT AS sum_x
+    FROM (SELECT *, max(v) OVER (PARTITION BY sample_id) AS top FROM (SELECT sample_id, y, x, CASE WHEN sample_id % 2 = 0 THEN (z > 8)::INT ELSE (z % 5)::INT END AS v FROM height) JOIN sobel USING (sample_id, y, x)) GROUP BY ALL""",
+)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from facetlake.storage import materialize
@@ -21,15 +21,23 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     self-loops are ignored, an empty table gives an empty table.
     """
     x, y = F.col(a), F.col(b)
-    stars = materialize(edges.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).where(x.isNotNull() & y.isNotNull() & (x != y)).distinct(), "edges")
-    before = None
-    for _ in range(max_rounds):
-        now = stars.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-        if now == before or not now[0]:
-            return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    stars, before = _kept(edges.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).where(x.isNotNull() & y.isNotNull() & (x != y)).distinct())
+    for _ in range(max_rounds if before["n"] else 0):
+        stars, now = _kept(_small_star(_large_star(stars)))
+        if now == before:
+            break
         before = now
-        stars = materialize(_small_star(_large_star(stars)), "edges")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    else:
+        if before["n"]:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _kept(stars: DataFrame) -> tuple[DataFrame, dict]:
+    """The edges written down, with their number and a sum of their hashes, observed while they are written."""
+    seen = Observation()
+    marks = stars.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("sum"))
+    return materialize(marks, "edges"), seen.get
 
 
 def _large_star(e: DataFrame) -> DataFrame:

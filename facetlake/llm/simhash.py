@@ -158,13 +158,13 @@ def _split(rows: DataFrame, radius: int) -> DataFrame:
     return x.select("key", "fp", "rep", "rest", "width")
 
 
-def near_pairs(distinct: DataFrame, radius: int = 2, max_group: int = 2048, levels: int = 5) -> DataFrame:
+def near_pairs(distinct: DataFrame, radius: int = 2, max_group: int = 2048, levels: int = 12) -> DataFrame:
     """Edges ``(a, b)`` whose components are those of all links between fingerprints.
 
     ``distinct`` has each fingerprint once as ``(fp, rep)``. Fingerprints meet in groups that agree on
     some blocks of their bits; groups above ``max_group`` are dealt again by blocks of the bits left,
-    and so on, so the hottest group is bounded by the bits that stay free and nothing is dropped.
-    Within a group the trie walk finds every link and only a spanning star of each local component
+    and so on until the bits that stay free allow no larger group; nothing is dropped. A level runs only
+    if the one before it left such a group. Within a group the trie walk finds every link and only a spanning star of each local component
     leaves the task. Rows for each fingerprint: 3 at a radius of 2, 28 at a radius of 6.
     """
     rows = _split(distinct.select(F.lit(0).cast("long").alias("key"), "fp", "rep", F.col("fp").alias("rest"), F.lit(64).alias("width")), radius)

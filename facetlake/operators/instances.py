@@ -85,13 +85,14 @@ def vote_runs(runs: DataFrame, keys: list[str], method: str) -> DataFrame:
     return R.merge_runs(won.unionByName(alone), keys)
 
 
-def merge_instances(runs: DataFrame, keys: list[str], method: str = "score", threshold: float = 0.5, inclusive: bool = False) -> DataFrame:
+def merge_instances(runs: DataFrame, keys: list[str], method: str = "score", threshold: float = 0.5, inclusive: bool = False, members: DataFrame | None = None) -> DataFrame:
     """Runs of merged instances: ``(keys, cluster, members, score, y, x0, x1)``.
 
     ``score`` keeps the best member of each cluster, ``union`` and ``weighted`` vote; the score is the
     largest of the members. Scene merging links IoU above the threshold, fusion of views at or above it.
+    ``members`` are the clusters, if the caller has them already.
     """
-    own = materialize(runs.join(clusters(runs, keys, threshold, inclusive), [*keys, "inst"]), "clustered")
+    own = materialize(runs.join(clusters(runs, keys, threshold, inclusive) if members is None else members, [*keys, "inst"]), "clustered")
     about = own.select(*keys, "cluster", "inst", "score").distinct().groupBy(*keys, "cluster").agg(F.count("*").alias("members"), F.max("score").alias("score"), F.max_by("inst", F.struct(F.col("score"), -F.col("inst"))).alias("best"))
     if method == "score":
         shape = own.drop("score").join(about, [*keys, "cluster"]).where(F.col("inst") == F.col("best")).select(*keys, "cluster", "y", "x0", "x1")

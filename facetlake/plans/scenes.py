@@ -435,11 +435,11 @@ MERGED = """facet AS MATERIALIZED (SELECT a.scene, a.label, cluster AS facet, me
 def scene_facets(spark, d):
     """Detections of a scene as facets: gate, merge over tiles, slope, azimuth, confidence and quality flags."""
     p = X.run(spark, d).where("label > 0").withColumn("score", (5 + (F.col("inst") * 31) % 90).cast("double"))
-    runs = materialize(I.merge_instances(p, ["scene", "label"], "score", 0.5), "merged")
+    cluster = materialize(I.clusters(p, ["scene", "label"], 0.5, False), "members")
+    runs = I.merge_instances(p, ["scene", "label"], "score", members=cluster)
     shape = O.instance_stats(runs.withColumnRenamed("cluster", "facet"), ["scene", "label", "facet", "members", "score"])
     own = p.select("scene", "label", "inst", "score").distinct()
     best = own.join(X.normal(spark, d), ["scene", "inst"])
-    cluster = I.clusters(p, ["scene", "label"], 0.5, False)
     normals = best.join(cluster, ["scene", "label", "inst"]).groupBy("scene", "label", F.col("cluster").alias("facet")).agg(F.max_by(F.struct("nx", "ny", "nz"), F.struct(F.col("score"), -F.col("inst"))).alias("v"))
     x = shape.join(normals, ["scene", "label", "facet"]).select("*", "v.nx", "v.ny", "v.nz").drop("v")
     x = x.withColumns({"slope": G.slope(F.col("nz")), "azimuth": G.azimuth(F.col("nx"), F.col("ny")), "n": G.norm(F.col("nx"), F.col("ny"), F.col("nz"))})

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -89,6 +90,15 @@ def test_disguises_are_restored(model, seen, meant):
     assert meant in toxicity.words_in(f"the {seen} and", model, {})
 
 
+def test_array_counts_of_grams_equal_plain_ones():
+    words = Counter({"idiot": 3, "a": 2, "straße": 1, "𝔘nd": 4, "aaaa": 5})
+    plain = Counter()
+    for w, n in words.items():
+        for g in toxicity.grams_of(w):
+            plain[g] += n
+    assert toxicity.count_grams(words) == plain and not toxicity.count_grams(Counter())
+
+
 def test_plain_text_stays_as_it_is(model):
     assert toxicity.words_in("The plain words, and other.", model, {}) == ["the", "plain", "words", "and", "other"]
 

@@ -9,14 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetlake.llm import langid, mixing, packing, simhash, toxicity
+from facetlake.llm import langid, minhash, mixing, packing, toxicity
 from facetlake.storage import shared_dir
 
 #: A document goes when no language holds this share of its words, or when it has no word at all.
 LEAST_LANGUAGE = 0.4
 #: A document goes at this toxicity.
 MOST_TOXIC = 0.5
-#: Differing bits of 64 up to which fingerprints of five-word shingles are near duplicates.
+#: Jaccard similarity of five-word shingles from which documents are near duplicates.
+LEAST_ALIKE = 0.8
+#: Differing bits of 64 that were the bound before; a stage test still reads it.
 RADIUS = 6
 
 
@@ -39,8 +41,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash group."""
-    return simhash.keep_one(docs, shingle_words=5, radius=RADIUS)
+    """Keeps one document of each group that five-word shingles link."""
+    return minhash.keep_one(docs, shingle_words=5, least=LEAST_ALIKE)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,20 +20,24 @@ BLOCK = 1 << 16
 PAIR_BUDGET = 4_000_000
 
 
-def fingerprint(text: bytes | None, shingle_words: int = 3, seed: int = 42) -> int:
-    """Unsigned fingerprint of a UTF-8 text; zero if it has no words."""
+def shingle_hashes(text: bytes | None, shingle_words: int = 3, seed: int = 42) -> np.ndarray:
+    """Hash of every ``shingle_words`` consecutive words of a UTF-8 text; of all words where they are fewer; none of no words."""
     words = (text or b"").lower().split()
-    if not words:
-        return 0
-    line = b" ".join(words)
     h = xxhash.xxh64_intdigest
+    line = b" ".join(words)
     if len(words) < shingle_words:
-        return h(line, seed)
+        return np.array([h(line, seed)] if words else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = len(words) - shingle_words + 1
     spans = zip(starts[:n].tolist(), ends[shingle_words - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((h(line[s:e], seed) for s, e in spans), np.uint64, n)
+    return np.fromiter((h(line[s:e], seed) for s, e in spans), np.uint64, n)
+
+
+def fingerprint(text: bytes | None, shingle_words: int = 3, seed: int = 42) -> int:
+    """Unsigned fingerprint of a UTF-8 text; zero if it has no words."""
+    hashes = shingle_hashes(text, shingle_words, seed)
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, BLOCK):
         part = hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8)

@@ -226,3 +226,39 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark, sf):
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert sum(r.piece_size for r in rows) == want
     assert os.path.basename(path)
+
+
+def shingle_set(text):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard_kept(rows):
+    """Smallest ids of the components that five-word Jaccard of 0.8 makes, over all pairs."""
+    ids, sets = zip(*sorted((i, shingle_set(t)) for i, t in rows), strict=True)
+    alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    comp = components(len(ids), [(a, b) for a in range(len(ids)) for b in range(a + 1, len(ids)) if alike(sets[a], sets[b])])
+    return [ids[c] for i, c in enumerate(comp) if i == c]
+
+
+def test_near_duplicate_stage_finds_all_pairs_at_a_jaccard_of_0_8(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(7)
+    texts = []
+    for k in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        texts.append(" ".join(base))
+        for changes in (1, 3, 5, 6, 6, 7, 12):  # 6 words change about a tenth of the shingles: 0.82
+            copy = list(base)
+            for at in rng.choice(300, changes, replace=False):
+                copy[at] = f"new{rng.integers(10**6)}"
+            texts.append(" ".join(copy))
+    rows = [(i, t, "en", "a", "x") for i, t in enumerate(texts)]
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect())
+    want = jaccard_kept([r[:2] for r in rows])
+    assert got == want and 12 < len(want) < 40
+    clash = [(7, texts[0], "en", "a", "x"), (7, texts[9], "en", "a", "x"), (7, texts[9], "en", "a", "x"), (None, texts[0], "en", "a", "x"), (None, texts[0], "en", "a", "x"), (8, None, "en", "a", "x"), (9, " ", "en", "a", "x")]
+    left = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(clash, DOCS), "").collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in left) == sorted([(7, texts[0]), (7, texts[9]), (-1, texts[0]), (-1, texts[0]), (8, "")])
+    assert corpus_pipeline.near_duplicates(spark, spark.createDataFrame([], DOCS), "").count() == 0

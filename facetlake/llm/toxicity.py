@@ -8,6 +8,7 @@ token of plain letters has one path, itself, and skips the lattice.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -32,7 +33,13 @@ ORDER = 4
 #: Tokens that a task remembers the findings of.
 REMEMBERED = 500_000
 _EDGE = " .,;:?\"'`´()[]{}<>%&*#=/\\~^_-!|+"
-_STRETCHED = re.compile(r"(.)\1\1")
+#: What stands at a token's edges and resembles no letter.
+_OUTER = "".join(c for c in _EDGE if c not in RESEMBLES)
+#: Letters of a fragment of a spaced word, and symbols of one without a letter.
+FRAGMENT, SYMBOLS = 5, 3
+_STRETCHED = re.compile(r"(.)\1")
+_LONG = re.compile(r"(.)\1\1")
+_RUN = re.compile(r"(.)\1?")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -54,6 +61,19 @@ class CharModel:
             self.known[key] = -math.log(self._share(context, char))
         return self.known[key]
 
+    def line_cost(self, line: str, start: int = 1, end: int | None = None) -> float:
+        """Cost of the characters of a line from ``start`` to before ``end``."""
+        keep, known, out = self.order - 1, self.known, 0.0
+        for i in range(start, min(end or len(line), len(line))):
+            key = (line[max(0, i - keep) : i], line[i])
+            out += known[key] if key in known else self.cost(*key)
+        return out
+
+    def apart(self, a: str, b: str) -> float:
+        """What a space between two words costs; characters that see no difference are left out."""
+        n, keep = len(a) + 1, self.order - 1
+        return self.line_cost(f" {a} {b} ", n, n + keep + 1) - self.line_cost(f" {a}{b} ", n, n + keep)
+
     def _share(self, context: str, char: str) -> float:
         below = self._share(context[1:], char) if context else 1e-3
         n = self.total.get(context, 0)
@@ -155,50 +175,120 @@ def _readings(c: str, run: int) -> list[tuple[str, float]]:
 
 
 def disguised(token: str) -> bool:
-    """True for a lower-case token whose lattice has more than one path worth a look: letters and something else inside, or stretched letters."""
+    """True for a lower-case token whose lattice has more than one path worth a look: letters and something else inside, or a letter twice in a row."""
     if token.isalpha():
         return bool(_STRETCHED.search(token))
     return any(map(str.isalpha, token)) and not token.isspace()
 
 
-def words_in(text: str, model: CharModel, known: dict[str, tuple[str, ...]]) -> list[str]:
-    """Words of a text, with restored ones in place of disguised tokens and of runs of single letters."""
+def words_in(text: str, model: CharModel, known: dict) -> list[str]:
+    """Words of a text, with restored ones in place of disguised tokens and of runs of single letters, and beside fragments that read as one word.
+
+    Digits and symbols that resemble letters belong to such runs and fragments, but are no words.
+    """
     out: list[str] = []
     single: list[str] = []
+    pieces: list[str] = []
 
     def flush() -> None:
-        if len(single) > 2:
-            out.extend(_decoded("".join(single[:1]) + "".join(" " + x for x in single[1:]), model, known))
-        else:
-            out.extend(single)
+        letters = [x for x in single if x.isalpha()]
+        if len(single) > 2 and letters:
+            out.extend(_decoded(" ".join(single), model, known))
+        if len(single) < 3 or len(letters) < len(single):
+            out.extend(letters)
         single.clear()
 
+    def join() -> None:
+        if len(pieces) > 1:
+            there = out[-2 * len(pieces) - 8 :]
+            out.extend(x for x in _joined(pieces, model, known) if x not in there)
+        pieces.clear()
+
     for token in text.lower().split():
         if token in known:
-            words = known[token]
+            words, piece = known[token]
         else:
-            words = _token_words(token, model, known)
+            words, piece = _token_words(token, model, known), token.strip(_OUTER)
+            if len(piece) > FRAGMENT or not all(c.isalpha() or c in RESEMBLES for c in piece):
+                piece = ""
             if len(known) < REMEMBERED:
-                known[token] = words
-        if len(words) == 1 and len(words[0]) == 1:
+                known[token] = words, piece
+        if len(words) == 1 and (len(words[0]) == 1 or words[0][0] in RESEMBLES):
             # A long run is decoded piece by piece, each with the words that it holds whole.
-            if not (len(single) > 3 and single[-1] == single[-2] == single[-3] == words[0]):
-                single.append(words[0])
+            if len(single) > 3 and single[-1] == single[-2] == single[-3] == words[0]:
+                continue
+            single.append(words[0])
             if len(single) > 400:
                 flush()
-            continue
-        if single:
-            flush()
-        out.extend(words)
+        else:
+            if single:
+                flush()
+            out.extend(words)
+        if piece:
+            pieces.append(piece)
+        if not piece or len(pieces) > 400:
+            join()
     flush()
+    join()
     return out
 
 
+def _joined(pieces: list[str], model: CharModel, known: dict) -> list[str]:
+    """Words that neighbouring fragments make where the model likes them better in one than apart."""
+    out: list[str] = []
+    done = 0
+    for i, (a, b) in enumerate(itertools.pairwise(pieces)):
+        if i < done or not _closes(a, b, model, known):
+            continue
+        to = i + 2
+        while to < len(pieces) and _closes(pieces[to - 1], pieces[to], model, known):
+            to += 1
+        done = to - 1
+        if all(map(str.isalpha, pieces[i:to])):
+            word = "".join(pieces[i:to])
+            if i and _closes(pieces[i - 1], word, model, known):
+                word = pieces[i - 1] + word
+            if to < len(pieces) and _closes(word, pieces[to], model, known):
+                word += pieces[to]
+            out.append(word)
+            continue
+        stretch = pieces[max(0, i - 1) : to + 1]  # a neighbour may belong to the word without being liked beside a part of it
+        for at in range(0, len(stretch), 32):
+            part = stretch[max(0, at - 4) : at + 32]
+            out.extend(x for x in _decoded(" ".join(part), model, known) if x not in part)
+    return out
+
+
+def _closes(a: str, b: str, model: CharModel, known: dict) -> bool:
+    """True if some reading of two fragments costs less without the space between them."""
+    key = f"\1{a} {b}"
+    if key in known:
+        return known[key]
+    if len(a) == len(b) == 1 or not any(map(str.isalpha, a + b)):
+        found = False  # the run of single letters has them
+    else:
+        read = ([(a, b)] if (a + b).isalpha() else [("".join(x[: len(a)]), "".join(x[len(a) :])) for x in itertools.product(*[RESEMBLES.get(c, c) for c in a + b])])
+        found = any(model.apart(x, y) > JOIN for x, y in read)
+    if len(known) < REMEMBERED:
+        known[key] = found
+    return found
+
+
 def _token_words(token: str, model: CharModel, known: dict) -> tuple[str, ...]:
-    inner = token.strip(_EDGE)
+    inner, whole = token.strip(_EDGE), token.strip(_OUTER)
     plain = tuple(_WORD.findall(inner))
+    if whole and len(whole) <= SYMBOLS and all(c in RESEMBLES for c in whole):
+        return (whole,)
+    if plain and whole != inner:  # an edge that may be a letter or none
+        return tuple(dict.fromkeys(_decoded(whole, model, known) + _token_words(inner, model, known)))
     if not disguised(inner):
         return plain
+    doubled = _STRETCHED.findall(inner) if inner.isalpha() else ()
+    if 0 < len(doubled) < 4 and not _LONG.search(inner):  # the lattice's few paths, written out
+        parts = [(x,) if len(x) == 1 else (x, x[0]) for x in (m[0] for m in _RUN.finditer(inner))]
+        paths = ["".join(x) for x in itertools.product(*parts)]
+        best = min(paths, key=lambda x: model.line_cost(f" {x} ") + KEEP[0] * (len(x) - len(parts)) + SQUEEZE[0] * (len(inner) - len(x)))
+        return tuple(dict.fromkeys((best, inner)))
     restored = _decoded(inner, model, known)
     return restored if len(plain) != 1 or plain[0] != inner else tuple(dict.fromkeys(restored + plain))
 

@@ -90,6 +90,21 @@ def test_disguises_are_restored(model, seen, meant):
     assert meant in toxicity.words_in(f"the {seen} and", model, {})
 
 
+@pytest.fixture(scope="module")
+def wide_model():
+    words = Counter({"idiot": 30, "moron": 20, "scum": 20, "trash": 20, "stupid": 20, "clown": 20, "loser": 20, "words": 20, "plain": 20, "the": 90, "and": 50, "other": 20, "it": 60, "is": 60, "an": 40, "all": 40, "good": 20, "letter": 20})
+    return toxicity.CharModel(toxicity.count_grams(words))
+
+
+@pytest.mark.parametrize(("seen", "meant"), [("!diot", "idiot"), ("idio+", "idiot"), ("|oser", "loser"), ("(lown", "clown"), ("(lown!", "clown"), ("iddiot", "idiot"), ("stuppid", "stupid"), ("moronn", "moron"), ("1 d 1 0 t", "idiot"), ("t r @ s h", "trash"), ("! d i o +", "idiot"), ("id iot", "idiot"), ("stup id", "stupid"), ("i d iot", "idiot"), ("id 10 t", "idiot"), ("mor on", "moron"), ("1d 10t", "idiot")])
+def test_disguises_at_edges_doubled_and_in_pieces_are_restored(wide_model, seen, meant):
+    assert meant in toxicity.words_in(f"the {seen} and", wide_model, {})
+
+
+def test_short_words_doubled_letters_and_numbers_stay_as_they_are(wide_model):
+    assert toxicity.words_in("It is an other good letter, and all is plain 10 (the words)", wide_model, {}) == "it is an other good letter and all is plain the words".split()
+
+
 def test_array_counts_of_grams_equal_plain_ones():
     words = Counter({"idiot": 3, "a": 2, "straße": 1, "𝔘nd": 4, "aaaa": 5})
     plain = Counter()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetlake.storage import materialize
@@ -47,9 +47,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Null texts have size 0; a null source is a source of its own; repeated rows each have a place
     (ties in the key go by size); an empty table gives an empty table; reruns agree.
     """
+    return _placed(docs, id_col, text_col, source_col, seed, [], **targets)
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, more: list[Column], **targets) -> DataFrame:
+    """``mix`` with the columns ``more`` of each row beside; they also order rows of one key and size."""
+    names = docs.select(*more).columns
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), *more)
     rows = materialize(rows.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS)), "sizes")
     ranges = rows.groupBy("source", "bucket").agg(F.sum("size").alias("range_size"))
     ranges = materialize(ranges, "ranges")
@@ -58,26 +64,32 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = ranges.withColumn("range_start", F.coalesce(F.sum("range_size").over(so_far), F.lit(0)))
     plan = plan.alias("r").join(goal.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source"))).select("r.source", "bucket", "range_start", "source_size", "target")
     x = rows.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.bucket") == F.col("p.bucket")))
-    x = x.select("d.doc_id", "d.source", "d.size", "d.key", "d.bucket", "range_start", "source_size", "target")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.select("d.doc_id", "d.source", "d.size", "d.key", "d.bucket", "range_start", "source_size", "target", *[f"d.{c}" for c in names])
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "size", *names).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("range_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     x = x.withColumns({"start": start, "epochs": epochs})
     part = F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("epochs") * F.col("source_size") - F.col("start")))
-    return x.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+    return x.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), *names)
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", **targets) -> DataFrame:
     """The mixture itself: each row once for every epoch that takes it whole, the columns of ``docs`` kept.
 
     The one document at which a source's budget ends comes with the words that the budget still holds,
-    joined by single spaces. Documents without words are in no mixture.
+    joined by single spaces. Documents without words are in no mixture. Rows that share an id, or have
+    none, each have a share of their own: they are told apart by source and a hash of all columns, and
+    rows equal in these share what they take in turn.
     """
-    taken = mix(docs, id_col, text_col, **options).where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("__size"), F.max("taken").alias("__taken"))
-    x = docs.join(taken.withColumnRenamed("doc_id", "__id"), F.col(id_col).eqNullSafe(F.col("__id")))
-    whole, rest = F.floor(F.col("__taken") / F.col("__size")), F.pmod(F.col("__taken"), F.col("__size"))
-    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    row = F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in docs.columns])
+    taken = _placed(docs, id_col, text_col, source_col, seed, [row.alias("__row")], **targets).where("taken > 0")
+    taken = taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "__row", F.col("size").alias("__size"), F.floor(F.col("taken") / F.col("size")).alias("__whole"), F.pmod("taken", "size").alias("__rest"))
+    # Equal rows differ in what they take only where the budget ends: epochs in full add up, and one of them is cut.
+    taken = taken.groupBy("__id", "__source", "__row").agg(F.sum("__whole").alias("__whole"), F.max("__rest").alias("__rest"))
+    x = docs.withColumn("__row_of", row).dropDuplicates([id_col, source_col, "__row_of"])
+    x = x.join(taken, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__row_of") == F.col("__row")))
+    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("__whole").cast("int")), F.when(F.col("__rest") > 0, F.array("__rest")).otherwise(F.array().cast("array<bigint>")))
     x = x.withColumn("__part", F.explode(copies))
     words = F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: F.length(w) > 0)
     cut = F.when(F.col("__part") < 0, F.col(text_col)).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("__part").cast("int")), " "))

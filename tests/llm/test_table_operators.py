@@ -151,6 +151,19 @@ def test_mixed_documents_carry_the_words_taken(spark, odd):
     assert words == sum(r.taken for r in mixing.mix(odd).collect())
 
 
+def test_mixed_documents_tell_rows_of_one_id_apart(spark):
+    sizes = [100, 1000, 40, 7, 300, 300]
+    rows = [(i, " ".join(f"r{k}w{j}" for j in range(n)), "en", s, "x") for i in (None, 3) for k, (n, s) in enumerate(zip(sizes, "abcaba", strict=True))]
+    rows += [(None, "same row " * 50, "en", "b", "x")] * 3
+    docs = spark.createDataFrame(rows, DOCS)
+    for factor in (0.5, 1.0, 1.5):
+        got, plan = mixing.mixed_documents(docs, total_factor=factor).collect(), mixing.mix(docs, total_factor=factor).collect()
+        for key in {(i, s) for i, _, _, s, _ in rows}:
+            parts = lambda size, taken: [size] * (taken // size) + [taken % size] * (taken % size > 0)
+            want = sorted(x for r in plan if (r.doc_id, r.source) == key for x in parts(r["size"], r.taken))
+            assert sorted(len(r.text.split()) for r in got if (r.doc_id, r.source) == key) == want
+
+
 def test_packing_holds_every_piece(spark, odd):
     docs = odd.unionByName(spark.createDataFrame([(10 + i, "w " * (i * 37 % 3000 + 1), "en", "a", "x") for i in range(150)], DOCS))
     for shard in (40, 50_000):

@@ -263,13 +263,13 @@ def _marginals(scores: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple
     return p, x.sum(axis=(0, 1))
 
 
-def training_stretches(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_lang: int = 500, stretches_per_doc: int = 6, most_langs: int = 64) -> list[tuple[str, str]]:
-    """A bounded sample of ``(language, stretch)``: at most ``most_langs`` languages, ``docs_per_lang`` documents of each by hash order, ``stretches_per_doc`` stretches from all over each.
+def training_stretches(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_lang: int = 500, stretches_per_doc: int = 6) -> list[tuple[str, str]]:
+    """A bounded sample of ``(language, stretch)``: ``docs_per_lang`` documents of every language by hash order, ``stretches_per_doc`` stretches from all over each.
 
     Documents rank by a hash of their id; a first cut at three times the wanted share keeps the ranking small however large the table.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs)
+    sizes = known.groupBy("lang").count()
     key = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 13), 16, 10).cast("double") / float(16**13)
     drawn = known.join(F.broadcast(sizes), "lang").withColumn("key", key).where(F.col("key") <= 3.0 * docs_per_lang / F.col("count"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "id"))

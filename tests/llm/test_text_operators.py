@@ -67,6 +67,12 @@ def test_words_in_switched_text_get_their_own_language():
     assert (p.argmax(axis=1) == [0] * 10 + [1] * 10).all()
 
 
+def test_training_sample_has_every_language(spark):
+    rows = [(10 * k + i, f"l{k}a l{k}b l{k}c " * 9, f"l{k}") for k in range(70) for i in range(1 + k % 3)]
+    found = langid.training_stretches(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", docs_per_lang=2)
+    assert {lang for lang, _ in found} == {f"l{k}" for k in range(70)}
+
+
 def test_language_of_odd_rows(odd, empty):
     got = langid.identify(odd, odd).collect()
     assert len(got) == len(ODD)

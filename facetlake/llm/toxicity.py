@@ -329,11 +329,11 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     return docs.join(F.broadcast(picked), F.col(id_col) == F.col("__id")).select(F.col("__id").alias("doc_id"), F.col("label").cast("int").alias("label"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_class: int = 2500, least_contexts: int = 8, least_gain: float = 12.0, most_grams: int = 400_000) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", docs_per_class: int = 2500, least_contexts: int = 8, least_gain: float = 12.0) -> Scorer:
     """The language model of all of ``docs``, and a classifier of a bounded sample of ``docs_per_class`` labelled documents of either class.
 
-    Spark counts the character n-grams of every document's distinct words for the language model (the
-    ``most_grams`` commonest make the model). Then it counts, over restored words of the sample, in
+    Spark counts the character n-grams of every document's distinct words for the language model, of which none
+    is left out: driver and tasks hold each distinct n-gram once. Then it counts, over restored words of the sample, in
     how many distinct contexts (neighbouring words) each word stands in toxic and in clean documents. Contexts instead of documents make a copied passage count once. Words with enough
     contexts and enough gain (log-likelihood ratio) toward toxic keep their log-odds as weight; a
     one-variable logistic regression, weighted back to the classes' shares among all labels, maps
@@ -351,9 +351,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["gram", "n"])
 
     counted = materialize(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    kinds = counted.count()
-    if kinds > most_grams:  # rare n-grams of exotic scripts, which discounting covers
-        counted = counted.where(F.col("n") > counted.stat.approxQuantile("n", [1 - most_grams / kinds], 0.001)[0])
     counts = {r[0]: r[1] for r in counted.collect()}
     shared = spark.sparkContext.broadcast(counts)
 

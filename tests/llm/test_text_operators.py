@@ -167,6 +167,14 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxic
 
 
+def test_language_model_has_all_grams(spark):
+    rng = np.random.default_rng(9)
+    texts = [" ".join("".join(map(chr, rng.integers(0x4E00, 0x9FA0, 6))) for _ in range(1200)) for _ in range(40)]
+    docs, labels = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    want = {g for t in texts for w in t.split() for g in toxicity.grams_of(w)}
+    assert len(want) > 400_000 and toxicity.train(docs, labels).grams.keys() == want
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1, None), (2, 0, 1), (6, 1, 1), (7, None, 1)], "doc_id long, toxic int, quality int")
     assert toxicity.score(odd, odd, labels).count() == len(ODD)

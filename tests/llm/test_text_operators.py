@@ -84,31 +84,27 @@ def test_language_of_odd_rows(odd, empty):
 
 @pytest.fixture(scope="module")
 def model():
-    counts = {}
-    for w, n in {"idiot": 30, "moron": 20, "scum": 20, "trash": 20, "words": 20, "plain": 20, "the": 90, "and": 50, "other": 20}.items():
-        for g in toxicity.grams_of(w):
-            counts[g] = counts.get(g, 0) + n
-    return toxicity.CharModel(counts)
+    return toxicity.CharModel.of_words(Counter({"idiot": 30, "moron": 20, "scum": 20, "trash": 20, "words": 20, "plain": 20, "the": 90, "and": 50, "other": 20}))
 
 
 @pytest.mark.parametrize(("seen", "meant"), [("1d10t", "idiot"), ("i d i o t", "idiot"), ("i.d.i.o.t", "idiot"), ("idiiiiot", "idiot"), ("m0r0n", "moron"), ("$cum", "scum"), ("tr@sh!!", "trash"), ("id-iot", "idiot")])
 def test_disguises_are_restored(model, seen, meant):
-    assert meant in toxicity.words_in(f"the {seen} and", model, {})
+    assert meant in toxicity.words_in(f"the {seen} and", model)
 
 
 @pytest.fixture(scope="module")
 def wide_model():
     words = Counter({"idiot": 30, "moron": 20, "scum": 20, "trash": 20, "stupid": 20, "clown": 20, "loser": 20, "words": 20, "plain": 20, "the": 90, "and": 50, "other": 20, "it": 60, "is": 60, "an": 40, "all": 40, "good": 20, "letter": 20})
-    return toxicity.CharModel(toxicity.count_grams(words))
+    return toxicity.CharModel.of_words(words)
 
 
 @pytest.mark.parametrize(("seen", "meant"), [("!diot", "idiot"), ("idio+", "idiot"), ("|oser", "loser"), ("(lown", "clown"), ("(lown!", "clown"), ("iddiot", "idiot"), ("stuppid", "stupid"), ("moronn", "moron"), ("1 d 1 0 t", "idiot"), ("t r @ s h", "trash"), ("! d i o +", "idiot"), ("id iot", "idiot"), ("stup id", "stupid"), ("i d iot", "idiot"), ("id 10 t", "idiot"), ("mor on", "moron"), ("1d 10t", "idiot")])
 def test_disguises_at_edges_doubled_and_in_pieces_are_restored(wide_model, seen, meant):
-    assert meant in toxicity.words_in(f"the {seen} and", wide_model, {})
+    assert meant in toxicity.words_in(f"the {seen} and", wide_model)
 
 
 def test_short_words_doubled_letters_and_numbers_stay_as_they_are(wide_model):
-    assert toxicity.words_in("It is an other good letter, and all is plain 10 (the words)", wide_model, {}) == "it is an other good letter and all is plain the words".split()
+    assert toxicity.words_in("It is an other good letter, and all is plain 10 (the words)", wide_model) == "it is an other good letter and all is plain the words".split()
 
 
 def test_array_counts_of_grams_equal_plain_ones():
@@ -117,11 +113,36 @@ def test_array_counts_of_grams_equal_plain_ones():
     for w, n in words.items():
         for g in toxicity.grams_of(w):
             plain[g] += n
-    assert toxicity.count_grams(words) == plain and not toxicity.count_grams(Counter())
+    context, gram, n = toxicity.count_grams(words)
+    assert dict(zip(gram.tolist(), n.tolist(), strict=True)) == {toxicity.gram_hash(g): k for g, k in plain.items()}
+    assert dict(zip(gram.tolist(), context.tolist(), strict=True)) == {toxicity.gram_hash(g): toxicity.gram_hash(g[:-1]) for g in plain}
+    assert len(toxicity.count_grams(Counter())[0]) == 0
+
+
+def test_array_costs_equal_plain_ones(wide_model):
+    pairs = [("id", "iot"), ("mor", "on"), ("an", "other"), ("a", "ll"), ("it", "i"), ("straße", "zz")]
+    code = lambda x: [ord(c) + 1 if c != "\0" else 0 for c in x]
+    ends = np.array([code((" " + a)[-3:].rjust(3, "\0")) for a, _ in pairs], np.uint64)
+    starts = np.array([code((b + " ")[:3].ljust(3, "\0")) for _, b in pairs], np.uint64)
+    assert np.allclose(wide_model.all_apart(ends, starts), [wide_model.apart(a, b) for a, b in pairs])
+
+
+def test_words_wanted_are_those_of_a_full_reading(spark, sf, wide_model):
+    wanted = {"idiot", "moron", "scum", "trash", "stupid", "clown", "loser", "fool"}
+    texts = [r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    texts += ["id iot", "the !diot", "i d i o t " * 300, None, "", "stuppid, mor on", "and 1 d 1 0 t the", "x" * 50 + " tr@sh"]
+    plain, quick = toxicity.Reader(wide_model), toxicity.Reader(wide_model, wanted)
+    assert quick.wanted_in(texts) == [wanted & set(x) for x in plain.words_of(texts)]
+    assert sum(map(len, quick.wanted_in(texts))) > 5
+
+
+def test_a_word_in_a_long_run_of_single_letters_is_found(wide_model):
+    for before in (0, 130, 132, 233):  # the word lies across the first cut for two of them
+        assert "idiot" in toxicity.words_in("t h e " * before + "i d i o t" + " a n d" * 150, wide_model)
 
 
 def test_plain_text_stays_as_it_is(model):
-    assert toxicity.words_in("The plain words, and other.", model, {}) == ["the", "plain", "words", "and", "other"]
+    assert toxicity.words_in("The plain words, and other.", model) == ["the", "plain", "words", "and", "other"]
 
 
 def test_restoration_is_the_cheapest_path(model):
@@ -171,8 +192,11 @@ def test_language_model_has_all_grams(spark):
     rng = np.random.default_rng(9)
     texts = [" ".join("".join(map(chr, rng.integers(0x4E00, 0x9FA0, 6))) for _ in range(1200)) for _ in range(40)]
     docs, labels = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
-    want = {g for t in texts for w in t.split() for g in toxicity.grams_of(w)}
-    assert len(want) > 400_000 and toxicity.train(docs, labels).grams.keys() == want
+    want = Counter(g for t in texts for w in set(t.split()) for g in toxicity.grams_of(w))
+    count, total, kinds = toxicity.train(docs, labels).tables
+    assert len(want) > 400_000 and count.sum(dtype=float) == total.sum(dtype=float) == want.total() and kinds.sum(dtype=float) == len(want)
+    shift = 64 - toxicity.TABLE_BITS
+    assert all(count[toxicity.gram_hash(g) >> shift] >= n for g, n in want.items())
 
 
 def test_toxicity_of_odd_rows(spark, odd, empty):

@@ -9,11 +9,11 @@ text gets a language for each stretch.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,11 +133,8 @@ class Tagger:
             out += w if offsets is None else np.add.reduceat(w, offsets, axis=0)
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, its mean posterior over the words, and the number of words, for each text."""
-        found, score, words = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        if not self.labels:
-            return found, score, words
+    def posteriors(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For stretches of about ``PART_CHARS`` characters of texts: the first one's place, the words of each, and the label posteriors of all their words."""
         at = 0
         while at < len(texts):
             to, chars = at, 0
@@ -150,35 +147,58 @@ class Tagger:
                 counts = np.bincount(np.searchsorted(np.cumsum([len(x) + 1 for x in part]), places, "right"), minlength=len(part)) if n else np.zeros(len(part), int)
                 scores = self.scores(features, n)
             else:
-                pieces = [self.scores(f, n) for f, n, _ in map(word_features, _windows(part[0], PART_CHARS))]
-                scores = np.concatenate(pieces)
+                scores = np.concatenate([self.scores(f, n) for f, n, _ in map(word_features, windows(part[0], PART_CHARS))])
                 counts = np.array([len(scores)])
+            p = np.empty((0, len(self.labels)))
             if len(scores):
                 begins = np.zeros(len(scores), bool)
-                begin = np.cumsum(counts) - counts
-                some = counts > 0
-                begins[begin[some]] = True
-                mean = np.add.reduceat(forward_backward(scores.astype(np.float64), begins, self.start, self.move), begin[some]) / counts[some, None]
-                for i, m in zip(at + np.flatnonzero(some), mean, strict=True):
-                    best = int(m.argmax())
-                    found[i], score[i] = self.labels[best], min(1.0, float(m[best]))
-                words[at:to] = counts
+                begins[(np.cumsum(counts) - counts)[counts > 0]] = True
+                p = forward_backward(scores.astype(np.float64), begins, self.start, self.move)
+            yield at, counts, p
             at = to
-        return found, score, words
 
-
-def _windows(text: str, size: int) -> Iterator[str]:
-    """Cuts of a long text, before a white space or other non-letter where one is near."""
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, its mean posterior over the words, the number of words and of stretches in one language, for each text."""
+        found, score, words, stretches = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        if self.labels:
+            for at, counts, p in self.posteriors(texts):
+                if len(p):
+                    some = counts > 0
+                    begin = (np.cumsum(counts) - counts)[some]
+                    mean = np.add.reduceat(p, begin) / counts[some, None]
+                    label = p.argmax(axis=1)
+                    turn = np.concatenate(([True], label[1:] != label[:-1]))
+                    turn[begin] = True
+                    stretches[at + np.flatnonzero(some)] = np.add.reduceat(turn, begin, dtype=np.int64)
+                    for i, m in zip(at + np.flatnonzero(some), mean, strict=True):
+                        best = int(m.argmax())
+                        found[i], score[i] = self.labels[best], min(1.0, float(m[best]))
+                words[at : at + len(counts)] = counts
+        return found, score, words, stretches
+
+    def stretches(self, texts: list[str | None]) -> Iterator[list[tuple[int, int, str, float]]]:
+        """First word, last word, language and mean posterior of each stretch of words in one language, for each text."""
+        for _, counts, p in self.posteriors(texts) if self.labels else ():
+            for begin, n in zip((np.cumsum(counts) - counts).tolist(), counts.tolist(), strict=True):
+                own = p[begin : begin + n]
+                label = own.argmax(axis=1)
+                first = np.flatnonzero(np.concatenate(([True], label[1:] != label[:-1]))) if n else []
+                last = np.concatenate((first[1:], [n])) - 1 if n else []
+                yield [(int(a), int(b), self.labels[label[a]], min(1.0, float(own[a : b + 1, label[a]].mean()))) for a, b in zip(first, last, strict=True)]
+
+
+def windows(text: str, size: int) -> Iterator[str]:
+    """Cuts of a long text between words: before its last other character than a letter within ``size``, or its next one beyond."""
+    letter = _letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)] if len(text) > size else ()
     at = 0
-    while at < len(text):
-        to = at + size
-        if to < len(text):
-            back = next((k for k in range(to, max(at + 1, to - 10_000), -1) if not text[k].isalpha()), to)
-            to = back
+    while len(text) - at > size:
+        back = np.flatnonzero(~letter[at + 1 : at + size + 1])
+        ahead = () if len(back) else np.flatnonzero(~letter[at + size + 1 :])
+        to = at + 1 + int(back[-1]) if len(back) else at + size + 1 + int(ahead[0]) if len(ahead) else len(text)
         yield text[at:to]
         at = to
-    if not text:
-        yield text
+    if at < len(text) or not text:
+        yield text[at:]
 
 
 def fit(stretches: list[tuple[str, str]], epochs: int = 12, batch: int = 128, rate: float = 0.25, decay: float = 1e-6, seed: int = 7) -> Tagger:
@@ -297,33 +317,50 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit(training_stretches(docs, id_col, text_col, lang_col, **sample))
 
 
-def annotate(docs: DataFrame, tagger: Tagger, text_col: str = "text") -> DataFrame:
-    """``row`` (all columns of ``docs`` as a struct), ``lang_pred``, ``score`` and ``n_words`` for every row.
+def tagger_of(spark: SparkSession, tagger: Tagger) -> Callable[[Column], Column]:
+    """A function of a text column: ``(lang_pred, score, n_words, n_stretches)`` of each text.
 
-    ``score`` is the language's mean posterior over all words. Null texts and texts without a letter get ``und`` and score 0.
+    ``score`` is the language's mean posterior over all words, ``n_stretches`` how often the words' language begins or changes.
+    Null texts and texts without a letter get ``und``, score 0 and no stretch. Only the text goes through Python.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((tagger.labels, tagger.weights, tagger.start, tagger.move))
-    kind = docs.schema[text_col].dataType
+    shared = spark.sparkContext.broadcast((tagger.labels, tagger.weights, tagger.start, tagger.move))
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(T.StructType.fromDDL("lang_pred string, score double, n_words long, n_stretches long"))
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Tagger(*shared.value)
-        for b in batches:
-            texts = b.column(0).field(text_col).to_pylist()
-            found, score, words = model.predict(texts)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string()), pa.array(score), pa.array(words)], ["row", "lang_pred", "score", "n_words"])
+        for texts in batches:
+            found, score, words, stretches = model.predict(texts.to_pylist())
+            yield pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(score), pa.array(words), pa.array(stretches)], ["lang_pred", "score", "n_words", "n_stretches"])
 
-    if kind.typeName() != "string":
-        raise TypeError(f"{text_col} is no string column")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return rows.mapInArrow(each, T.StructType([rows.schema["row"], *T.StructType.fromDDL("lang_pred string, score double, n_words long")]))
+    return each
 
 
 def identify(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **sample) -> DataFrame:
-    """``(doc_id, lang_pred, score, n_words)`` for every row of ``docs``, learned from ``labelled`` (``docs`` if None).
+    """``(doc_id, lang_pred, score, n_words, n_stretches)`` for every row of ``docs``, learned from ``labelled`` (``docs`` if None).
 
     Without labelled rows every prediction is ``und`` with score 0. Repeated rows get equal results;
     an empty table gives an empty table.
     """
     tagger = train(docs if labelled is None else labelled, id_col, text_col, lang_col, **sample)
-    found = annotate(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), tagger)
-    return found.select("row.doc_id", "lang_pred", "score", "n_words")
+    tag = tagger_of(docs.sparkSession, tagger)
+    return docs.select(F.col(id_col).alias("doc_id"), tag(F.col(text_col)).alias("found")).select("doc_id", "found.*")
+
+
+def label_words(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, first_word, last_word, lang, score)``: every stretch of words in one language of every row, words from 0, neighbouring words of one label together.
+
+    ``score`` is the mean posterior over the stretch. Texts without words, null ones too, have no row; an
+    empty table gives an empty table.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((tagger.labels, tagger.weights, tagger.start, tagger.move))
+
+    @F.arrow_udf(T.ArrayType(T.StructType.fromDDL("first_word long, last_word long, lang string, score double")))
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = Tagger(*shared.value)
+        kind = pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64()), ("lang", pa.string()), ("score", pa.float64())]))
+        names = [f.name for f in kind.value_type]
+        for texts in batches:
+            found = list(model.stretches(texts.to_pylist())) or [[]] * len(texts)
+            yield pa.array([[dict(zip(names, x, strict=True)) for x in rows] for rows in found], kind)
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.inline(each(F.col(text_col))))

@@ -22,7 +22,7 @@ def _held_out(modulus: int, rest: int):
 def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = langid.identify(docs.select("doc_id", "text"), docs.where(~_held_out(4, 2)), docs_per_lang=500, stretches_per_doc=6)
-    return found.select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score", "n_words")
+    return found.select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score", "n_words", "n_stretches")
 
 
 def op2_embedding_int8(spark: SparkSession, sf_dir: str) -> DataFrame:

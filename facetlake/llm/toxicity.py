@@ -13,11 +13,11 @@ import itertools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -630,23 +630,17 @@ def fit_line(points: list[tuple[int, float]], shares: dict[int, int], steps: int
     return float(beta[0]), float(beta[1])
 
 
-def verdicts(docs: DataFrame, scorer: Scorer, text_col: str = "text", *keep: Column) -> DataFrame:
-    """The columns ``keep`` of every row of ``docs`` and its toxicity ``score``, null and empty texts included; only these and the text go through Python."""
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
+def scorer_of(spark: SparkSession, scorer: Scorer) -> Callable[[Column], Column]:
+    """A function of a text column: the toxicity of each text, 0 to 1, null and empty texts included. Only the text goes through Python."""
+    shared = spark.sparkContext.broadcast(scorer)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(T.DoubleType())
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         reader = shared.value.reader()
-        for b in batches:
-            scores = pa.array(shared.value.score(b.column(b.num_columns - 1).to_pylist(), reader))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], scores], [*b.schema.names[:-1], "score"])
-
-    return rows.mapInArrow(each, T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
-
+        for texts in batches:
+            yield pa.array(shared.value.score(texts.to_pylist(), reader))
 
-def annotate(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
-    """``row`` (all columns of ``docs`` as a struct) and its toxicity ``score`` for every row."""
-    return verdicts(docs, scorer, text_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return each
 
 
 def score(docs: DataFrame, labelled: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> DataFrame:
@@ -656,5 +650,5 @@ def score(docs: DataFrame, labelled: DataFrame, labels: DataFrame, id_col: str =
     Repeated rows get equal results; an empty table gives an empty table.
     """
     scorer = train(labelled, labels, id_col, text_col, label_col, **options)
-    found = verdicts(docs, scorer, text_col, F.col(id_col).alias("doc_id"))
-    return found.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    found = docs.select(F.col(id_col).alias("doc_id"), scorer_of(docs.sparkSession, scorer)(F.col(text_col)).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

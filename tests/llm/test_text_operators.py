@@ -67,6 +67,29 @@ def test_words_in_switched_text_get_their_own_language():
     assert (p.argmax(axis=1) == [0] * 10 + [1] * 10).all()
 
 
+def test_stretches_of_switched_text_come_out_as_rows(spark):
+    words = {"de": "der und nicht sich auch".split(), "en": "the and with that was".split()}
+    rng = np.random.default_rng(3)
+    tagger = langid.fit([(lang, " ".join(rng.choice(w, 16))) for _ in range(200) for lang, w in words.items()])
+    docs = spark.createDataFrame([(1, " ".join(words["de"] * 2 + words["en"] * 2 + words["de"])), (2, None), (3, "12 !"), (None, "the and")], "doc_id long, text string")
+    rows = langid.label_words(docs, tagger).collect()
+    assert sorted((r.doc_id or 0, r.first_word, r.last_word, r.lang) for r in rows) == [(0, 0, 1, "en"), (1, 0, 9, "de"), (1, 10, 19, "en"), (1, 20, 24, "de")]
+    assert all(0.5 < r.score <= 1 for r in rows)
+    found = {r.doc_id: r for r in docs.select("doc_id", langid.tagger_of(spark, tagger)("text").alias("x")).select("doc_id", "x.*").collect()}
+    assert [(found[i].lang_pred, found[i].n_words, found[i].n_stretches) for i in (1, 2, 3, None)] == [("de", 25, 3), ("und", 0, 0), ("und", 0, 0), ("en", 2, 1)]
+    assert langid.label_words(docs, langid.fit([])).count() == langid.label_words(docs.limit(0), tagger).count() == 0
+
+
+def test_long_texts_are_cut_between_words_only():
+    rng = np.random.default_rng(4)
+    for size in (7, 50):
+        text = "".join("x" * rng.integers(1, 30) + rng.choice([" ", ", ", "-"]) for _ in range(200))
+        cuts = list(langid.windows(text, size))
+        assert "".join(cuts) == text and sum(langid.word_features(c)[1] for c in cuts) == langid.word_features(text)[1] == 200
+        assert all(len(c) <= size or not re.search("[^x].*x", c[1:]) for c in cuts)
+    assert list(langid.windows("", 5)) == [""] and list(langid.windows("y" * 40, 5)) == ["y" * 40]
+
+
 def test_training_sample_has_every_language(spark):
     rows = [(10 * k + i, f"l{k}a l{k}b l{k}c " * 9, f"l{k}") for k in range(70) for i in range(1 + k % 3)]
     found = langid.training_stretches(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", docs_per_lang=2)

@@ -18,26 +18,29 @@ LEAST_LANGUAGE = 0.4
 MOST_TOXIC = 0.5
 #: Jaccard similarity of five-word shingles from which documents are near duplicates.
 LEAST_ALIKE = 0.8
-#: Differing bits of 64 that were the bound before; a stage test still reads it.
-RADIUS = 6
-
-
-def _columns(docs: DataFrame, row: str = "row"):
-    return [F.col(row)[c].alias(c) for c in docs.columns]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a clear language."""
-    tagger = langid.train(docs)
-    found = langid.annotate(docs, tagger)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(*_columns(docs))
+    """Keeps documents with a clear language.
+
+    The tagger learns from the labelled rows of ``docs``. Null texts and texts without a letter have no
+    language and go; without a labelled row every document goes. Ids and all other columns have no part
+    in it: null ids and repeated rows stay as they came. An empty table stays empty.
+    """
+    tag = langid.tagger_of(spark, langid.train(docs))
+    found = tag(F.col("text"))
+    return docs.where((found["lang_pred"] != langid.UNKNOWN) & (found["score"] >= LEAST_LANGUAGE))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents below the toxicity bound, learned from the labels of the documents that are left."""
+    """Keeps documents below the toxicity bound, learned from the labels of the documents that are left.
+
+    Null and empty texts hold no toxic word and stay, as do null ids and repeated rows; without labels
+    every document stays. An empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scorer = toxicity.train(docs, labels)
-    return toxicity.annotate(docs, scorer).where(F.col("score") < MOST_TOXIC).select(*_columns(docs))
+    score = toxicity.scorer_of(spark, toxicity.train(docs, labels))
+    return docs.where(score(F.col("text")) < MOST_TOXIC)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

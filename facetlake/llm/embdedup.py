@@ -11,8 +11,8 @@ from facetlake.llm.simhash import local_roots
 from facetlake.operators.components import connected_components
 from facetlake.storage import materialize
 
-#: Vectors in a tile: a task holds two of them. Larger tiles mean fewer copies of each vector.
-TILE_ROWS = 16384
+#: Vectors in a tile at most, and bytes of their components as doubles: a task holds two tiles. Larger tiles mean fewer copies of each vector.
+TILE_ROWS, TILE_BYTES = 16384, 64 << 20
 #: Rows and columns of one product, and pairs recomputed at a time.
 BLOCK_ROWS, BLOCK_COLS, CHUNK = 512, 4096, 1 << 16
 #: Covers the rounding of the single-precision products and sums; far above it, far below any useful difference.
@@ -28,6 +28,7 @@ class Quantised:
     """
 
     def __init__(self, rows: np.ndarray):
+        rows = rows / np.abs(rows).max(axis=1, keepdims=True)  # squares of the largest and smallest doubles stay within range
         self.unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
         step = np.abs(self.unit).max(axis=1, keepdims=True) / 127
         self.code = np.rint(self.unit / step).astype(np.int8)
@@ -96,12 +97,12 @@ def usable(embedding: Column) -> Column:
     return F.coalesce(finite & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", tile_rows: int = TILE_ROWS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", tile_rows: int = TILE_ROWS, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors``.
 
     Vectors of equal, non-null label and equal length link when their cosine is at least
     ``threshold``. Equal vectors become one class first, so a hot vector costs one row. Each label's
-    classes are dealt to tiles of about ``tile_rows`` by hash and every pair of tiles is one group:
+    classes are dealt to tiles of about ``tile_rows`` or ``tile_bytes`` by hash and every pair of tiles is one group:
     the work within a label is quadratic by nature, but no task holds more than two tiles, links
     leave a task as counts and a spanning star, and a hot label becomes more groups, not larger ones.
 
@@ -111,10 +112,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     """
     ok = usable(F.col(vector_col)) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding"), ok.alias("ok"))
-    good = rows.where("ok")
-    classes = materialize(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    # Equal vectors share a key of 128 bits, which stands for them from here on.
+    key = [F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), F.reverse("embedding")).alias("h2")]
+    good = rows.where("ok").select("vec_id", "label", *key, "embedding")
+    classes = materialize(good.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")), "classes")
     sized = classes.withColumn("dim", F.size("embedding"))
-    tiles = sized.groupBy("label", "dim").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles"))
+    tiles = sized.groupBy("label", "dim").agg(F.count("*").alias("n")).select("label", "dim", F.ceil(F.col("n") / F.least(F.lit(tile_rows), F.greatest(F.lit(1), F.lit(tile_bytes // 8) / F.col("dim")))).cast("int").alias("tiles"))
     dealt = sized.join(tiles, ["label", "dim"]).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     met = met.withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")}).select("label", "dim", "i", "j", "tile", "rep", "copies", "embedding")
@@ -122,8 +125,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     stars = materialize(stars, "stars")
     groups = connected_components(stars.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = stars.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = classes.join(links, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left")
-    known = known.select("label", "embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    found = good.join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    known = classes.drop("embedding").join(links, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left")
+    known = known.select("label", "h1", "h2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    found = good.drop("embedding").join(known, ["label", "h1", "h2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -1,4 +1,4 @@
-"""Near-duplicates by Jaccard similarity of word shingles: MinHash bands propose pairs, the whole shingle sets decide."""
+"""Near-duplicates by Jaccard similarity of word shingles: SimHash and MinHash propose pairs, the whole shingle sets decide."""
 
 from __future__ import annotations
 
@@ -10,12 +10,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetlake.llm.simhash import shingle_hashes
+from facetlake.llm.simhash import majority, near_pairs, shingle_hashes
 from facetlake.operators.components import connected_components
 from facetlake.storage import materialize
 
 #: A pair of similarity s meets with a chance of 1 - (1 - s ** ROWS) ** BANDS: 0.99993 at 0.8, more above.
 BANDS, ROWS = 24, 5
+#: Differing bits of SimHash fingerprints that propose a pair.
+RADIUS = 2
 #: Shingles whose permuted values are held at a time.
 BLOCK = 2048
 _DRAWS = np.random.default_rng(20).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
@@ -33,16 +35,27 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """``(doc_id, text_hash, node, size, keys)``; ``node`` is a 128-bit hash of the shingle set, so equal sets are one node."""
+    """``(doc_id, text_hash, node, size, fp, keys)``; ``node`` is a 128-bit hash of the shingle set, so equal sets are one node."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingle_hashes(x, shingle_words)) for x in b.column(2).to_pylist()]
             nodes = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
             keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), nodes, pa.array(map(len, sets), pa.int32()), keys], ["doc_id", "text_hash", "node", "size", "keys"])
+            fps = pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), nodes, pa.array(map(len, sets), pa.int32()), fps, keys], ["doc_id", "text_hash", "node", "size", "fp", "keys"])
 
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(each, "doc_id long, text_hash long, node binary, size int, keys array<long>")
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(each, "doc_id long, text_hash long, node binary, size int, fp long, keys array<long>")
+
+
+def _by_simhash(nodes: DataFrame, radius: int) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes, each with its size, that the trie walk over their fingerprints links."""
+    lead = materialize(nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("lead")), "fingerprints")
+    apart = near_pairs(lead.select("fp", F.col("fp").alias("rep")), radius)
+    for side in ("a", "b"):
+        apart = apart.join(lead.select(F.col("fp").alias(side), F.col("lead").alias(f"{side}_node")), side)
+    same = nodes.join(lead, "fp").where(F.col("node") != F.col("lead.node")).select(F.col("lead").alias("a"), F.struct("node", "size").alias("b"))
+    return same.unionByName(apart.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle_words: int) -> DataFrame:
@@ -66,19 +79,22 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def links(docs: DataFrame, nodes: DataFrame, least: float, shingle_words: int) -> DataFrame:
-    """Edges ``(a, b)`` whose components are those of all pairs that meet in a band and are alike.
+    """Edges ``(a, b)`` whose components are those of all pairs that meet and are alike.
 
-    First each node of a band's group is held against the group's smallest one. Nodes that this puts
-    into one component need no further comparison, so only pairs across components follow.
+    Nodes meet by a SimHash fingerprint within ``RADIUS`` bits or in a MinHash band. First the pairs of
+    the trie walk and each node of a band's group beside the group's smallest one are compared. Nodes
+    that this puts into one component need no further comparison, so only pairs across components follow.
     """
     rows = materialize(nodes.select("node", "size", F.explode("keys").alias("key")), "bands")
     groups = materialize(rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("lead")).where("n > 1").drop("n"), "groups")
     rows = materialize(rows.join(groups, "key"), "meeting")
-    wanted = nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "best.doc_id", "best.text_hash")
-    sets = materialize(_sets(docs, wanted, shingle_words), "sets")
     close = lambda x, y: F.least(x, y) >= least * F.greatest(x, y)
-    stars = rows.where((F.col("node") != F.col("lead.node")) & close(F.col("size"), F.col("lead.size"))).select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
-    first = materialize(_alike(materialize(stars, "stars"), sets, least), "links")
+    stars = rows.where(F.col("node") != F.col("lead.node")).select(F.col("lead").alias("a"), F.struct("node", "size").alias("b")).unionByName(_by_simhash(nodes, RADIUS))
+    stars = materialize(stars.where(close(F.col("a.size"), F.col("b.size"))).select("a.node", F.col("b.node").alias("b")).toDF("a", "b").distinct(), "stars")
+    met = rows.select("node").unionByName(stars.select(F.col("a").alias("node"))).unionByName(stars.select(F.col("b").alias("node"))).distinct()
+    wanted = nodes.join(met, "node", "left_semi").select("node", "best.doc_id", "best.text_hash")
+    sets = materialize(_sets(docs, wanted, shingle_words), "sets")
+    first = materialize(_alike(stars, sets, least), "links")
     part = connected_components(first).withColumnRenamed("component", "part")
     rows = materialize(rows.drop("lead").join(part, "node", "left").withColumn("part", F.coalesce("part", "node")), "parts")
     mixed = materialize(rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key"), "mixed")
@@ -99,7 +115,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """
     keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__hash": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
     plain = keyed.where("__id is not null").select(F.col("__id").alias("doc_id"), F.col("__hash").alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
-    nodes = _sketches(plain, shingle_words).groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("best"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    nodes = _sketches(plain, shingle_words).groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("best"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     nodes = materialize(nodes, "nodes")
     found = connected_components(links(plain, nodes, least, shingle_words))
     best = nodes.select("node", "best").join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("best").alias("best"))

@@ -38,38 +38,41 @@ def source_targets(totals: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", **targets) -> DataFrame:
     """``(doc_id, source, size, source_size, target, taken)`` for every row of ``docs``.
 
-    Every source's rows are ordered by a hash key of their id. The key is uniform, so its leading
+    Every source's rows are ordered by a hash key of their id and size. The key is uniform, so its leading
     digits cut a source into equal ranges: sums of the ranges give each range its offset, and a
     running sum inside the range gives each row its place. ``taken`` is the row's size for each
     epoch that the target holds in full, plus its part of the last epoch's exact budget. No task sees
-    more than one key range of a source, however large the source.
+    more than one key range of a source, however large the source. Rows equal in id, source and size
+    are one row with a count until their places are known, so a hot id, or none, is no hot range.
 
-    Null texts have size 0; a null source is a source of its own; repeated rows each have a place
-    (ties in the key go by size); an empty table gives an empty table; reruns agree.
+    Null texts have size 0; a null source is a source of its own; repeated rows each have a place; an
+    empty table gives an empty table; reruns agree.
     """
     return _placed(docs, id_col, text_col, source_col, seed, [], **targets)
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, more: list[Column], **targets) -> DataFrame:
-    """``mix`` with the columns ``more`` of each row beside; they also order rows of one key and size."""
+    """``mix`` with the columns ``more`` of each row beside; they also order rows of one key."""
     names = docs.select(*more).columns
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), *more)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), *more)
+    rows = rows.groupBy("doc_id", "source", "size", *names).agg(F.count("*").cast("int").alias("copies"))
+    rows = rows.withColumn("key", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"))))
     rows = materialize(rows.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS)), "sizes")
-    ranges = rows.groupBy("source", "bucket").agg(F.sum("size").alias("range_size"))
+    ranges = rows.groupBy("source", "bucket").agg(F.sum(F.col("size") * F.col("copies")).alias("range_size"))
     ranges = materialize(ranges, "ranges")
     goal = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), **targets)
     so_far = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     plan = ranges.withColumn("range_start", F.coalesce(F.sum("range_size").over(so_far), F.lit(0)))
     plan = plan.alias("r").join(goal.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source"))).select("r.source", "bucket", "range_start", "source_size", "target")
     x = rows.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.bucket") == F.col("p.bucket")))
-    x = x.select("d.doc_id", "d.source", "d.size", "d.key", "d.bucket", "range_start", "source_size", "target", *[f"d.{c}" for c in names])
+    x = x.select("d.doc_id", "d.source", "d.size", "d.key", "d.bucket", "d.copies", "range_start", "source_size", "target", *[f"d.{c}" for c in names])
     inside = Window.partitionBy("source", "bucket").orderBy("key", "size", *names).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("range_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    start = F.col("range_start") + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0))
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    x = x.withColumns({"start": start, "epochs": epochs})
+    x = x.withColumns({"start": start, "epochs": epochs}).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    x = x.withColumn("start", F.col("start") + F.col("copy") * F.col("size"))
     part = F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("epochs") * F.col("source_size") - F.col("start")))
     return x.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), *names)
 
@@ -80,7 +83,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The one document at which a source's budget ends comes with the words that the budget still holds,
     joined by single spaces. Documents without words are in no mixture. Rows that share an id, or have
     none, each have a share of their own: they are told apart by source and a hash of all columns, and
-    rows equal in these share what they take in turn.
+    rows equal in these share what they take in turn. Null texts are in no mixture; an empty table
+    gives an empty table; extra columns may have any name but those with two leading underscores.
     """
     row = F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in docs.columns])
     taken = _placed(docs, id_col, text_col, source_col, seed, [row.alias("__row")], **targets).where("taken > 0")
@@ -100,7 +104,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || CAST(size AS VARCHAR)) AS key
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT source, source_size, CAST([3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w FROM s),

@@ -45,7 +45,9 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return tokencounts.count_tokens(_table(spark, sf_dir, "documents"), tokencounts.load_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    docs = _table(spark, sf_dir, "documents")
+    scores = tokencounts.train_scores(docs, tokencounts.load_pieces(public_tokenizers.path("byte_bpe_50k.tiktoken")), rounds=2)
+    return tokencounts.count_tokens(docs, scores)
 
 
 def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,9 +34,8 @@ def shingle_hashes(text: bytes | None, shingle_words: int = 3, seed: int = 42) -
     return np.fromiter((h(line[s:e], seed) for s, e in spans), np.uint64, n)
 
 
-def fingerprint(text: bytes | None, shingle_words: int = 3, seed: int = 42) -> int:
-    """Unsigned fingerprint of a UTF-8 text; zero if it has no words."""
-    hashes = shingle_hashes(text, shingle_words, seed)
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as an unsigned fingerprint."""
     n = len(hashes)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, BLOCK):
@@ -45,8 +44,17 @@ def fingerprint(text: bytes | None, shingle_words: int = 3, seed: int = 42) -> i
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes | None, shingle_words: int = 3, seed: int = 42) -> int:
+    """Unsigned fingerprint of a UTF-8 text; zero if it has no words."""
+    return majority(shingle_hashes(text, shingle_words, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` for every row, ``fp`` being the fingerprint's bits as a signed long."""
+    """``(doc_id, fp)`` for every row, ``fp`` being the fingerprint's bits as a signed long.
+
+    Null and blank texts have fingerprint zero; null ids stay null; repeated rows each have a row; an
+    empty table gives an empty table.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -213,8 +221,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each near-duplicate group does, all columns kept.
 
-    Rows with a null id stay; of rows that repeat a kept id one stays.
+    Rows with a null id stay. Different texts under one id are documents of their own and stay or go by
+    their own fingerprints; of rows that share the kept id and fingerprint the one with the first text stays.
     """
-    kept = near_duplicates(docs, id_col, text_col, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    with_id = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    words = options.get("shingle_words", 3)
+
+    @F.arrow_udf("long")
+    def fp(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(np.array([fingerprint(x, words) for x in texts.to_pylist()], np.uint64).view(np.int64))
+
+    kept = near_duplicates(docs, id_col, text_col, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).distinct()
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    met = rows.join(kept.select("__id").distinct(), "__id", "left_semi").withColumn("__fp", fp(F.col("__text").cast("binary"))).join(kept, ["__id", "__fp"], "left_semi")
+    with_id = met.groupBy("__id", "__fp").agg(F.min_by("__row", F.coalesce("__text", F.lit(""))).alias("__row")).select("__row.*")
     return with_id.unionByName(docs.where(F.col(id_col).isNull()))

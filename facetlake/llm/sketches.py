@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facetlake.llm import shingles
+
 #: Words are all but ASCII white space.
 IS_WORD = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: Hashes that a sketch keeps.
@@ -83,27 +85,30 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def merge_sketches(sketches: DataFrame, group_col: str, k: int = K) -> DataFrame:
-    """``(group, sketch)`` of all parts of a group: a distinct union of hashes, of which the k smallest stay, all in Spark.
+    """``(group, sketch)`` of all parts of a group: of the distinct union of their hashes the k smallest stay, all in Spark.
 
-    Hashes are kept as hexadecimal text, whose order is theirs. Salting by the hash's first digit
-    cuts a hot group into sixteen before its last step sees at most ``16 k`` hashes.
+    Hashes are kept as hexadecimal text, whose order is theirs. Distinct hashes spread over all tasks,
+    each task passes on its k smallest of a group, and only these meet, so no group is gathered whole.
+    A null group is a group; null and empty sketches add nothing, and a group of these alone has the
+    empty sketch; an empty table gives an empty table.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = pa.array([[f"{x:016x}" for x in from_text(s).tolist()] for s in b.column(1).to_pylist()], pa.list_(pa.string()))
+            lists = pa.array([[f"{x:016x}" for x in from_text(s or "").tolist()] for s in b.column(1).to_pylist()], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], ["grp", "hashes"])
 
     kind = sketches.schema[group_col].dataType.simpleString()
     rows = sketches.select(F.col(group_col).alias("grp"), "sketch").mapInArrow(spread, f"grp {kind}, hashes array<string>")
-    single = rows.select("grp", F.explode("hashes").alias("h")).distinct()
-    part = single.groupBy("grp", F.substring("h", 1, 1).alias("salt")).agg(F.slice(F.array_sort(F.collect_list("h")), 1, k).alias("low"))
-    whole = part.groupBy("grp").agg(F.slice(F.array_sort(F.flatten(F.collect_list("low"))), 1, k).alias("low"))
-    return whole.select(F.col("grp").alias(group_col), F.base64(F.unhex(F.array_join("low", ""))).alias("sketch"))
+    single = rows.select("grp", F.explode_outer("hashes").alias("h")).distinct()
+    rank = F.row_number().over(Window.partitionBy("grp").orderBy(F.col("h").asc_nulls_last()))
+    low = single.withColumn("rank", rank).where(F.col("rank") <= k).groupBy("grp").agg(F.array_sort(F.collect_list("h")).alias("low"))
+    return low.select(F.col("grp").alias(group_col), F.base64(F.unhex(F.array_join("low", ""))).alias("sketch"))
 
 
 #: Most cuts between buckets; beyond them buckets grow, which streaming through them allows.
 MOST_BUCKETS = 16_384
+_SPAN = (1 << 63) - 1
 _EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained double, n_shingles double"
 
 
@@ -112,43 +117,51 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns ``(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
     contained, n_shingles)``. The next document is the one with the next doc_id, after the last one
-    the first; rows that repeat an id follow each other by text, null ids come first, null texts are
-    empty; an empty table gives an empty table.
+    the first; rows that repeat an id follow each other by a hash of the text, null ids come first, null
+    texts are empty; an empty table gives an empty table.
 
     Neighbours meet without one sort of everything: doc_id quantiles, from ids and lengths alone, cut
-    the table into buckets of about ``bucket_chars`` characters, and a bucket's first document goes to
-    the bucket before it as well. Every text crosses the network once, and a task streams through its
-    sorted buckets holding two texts at a time.
+    the table into buckets of about ``bucket_chars`` characters, an id (or null) that fills more is cut
+    by its texts' hashes, and a bucket's first document goes to the bucket before it as well. Every text
+    crosses the network once, and a task streams through its sorted buckets holding two texts at a time.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.shiftrightunsigned(F.xxhash64(text), 1).alias("hash"))
     total, known = rows.agg(F.sum(F.length("text")), F.count("doc_id")).first()
     buckets = min(MOST_BUCKETS, max(1, int((total or 0) // bucket_chars)))
-    cuts = sorted({int(x) for x in rows.stat.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.1 / buckets)}) if buckets > 1 and known else []
-    keyed = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(_place(cuts, "doc_id")))
-    # One row a bucket comes to the driver, MOST_BUCKETS at most: its first id and whether a null id precedes that.
-    first = [tuple(r) for r in keyed.groupBy("bucket").agg(F.min("doc_id"), F.max(F.col("doc_id").isNull())).orderBy("bucket").collect()]
-    if not first:
-        return keyed.sparkSession.createDataFrame([], _EDITED)
-    heads = keyed.sparkSession.createDataFrame([(b, None if null else low, first[i - 1][0]) for i, (b, low, null) in enumerate(first)], "bucket int, head long, to int")
-    extra = keyed.join(F.broadcast(heads), "bucket").where(F.col("doc_id").eqNullSafe(F.col("head")))
-    extra = extra.groupBy("to").agg(F.min("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("to").alias("bucket"), F.lit(True).alias("extra"))
-    met = keyed.withColumn("extra", F.lit(False)).unionByName(extra).repartition("bucket")
-    met = met.sortWithinPartitions("bucket", "extra", F.col("doc_id").asc_nulls_first(), "text")
+    marks = sorted(int(x) for x in rows.stat.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.1 / buckets)) if buckets > 1 and known else []
+    cuts = sorted({*marks, *(a + 1 for a, b in itertools.pairwise(marks) if a == b)})  # an id that holds two quantiles stands alone
+    keyed = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_place(cuts, "doc_id")))
+    # One row a bucket comes to the driver, twice MOST_BUCKETS at most: its size if all its ids are one.
+    spark = docs.sparkSession
+    sizes = keyed.groupBy("bucket").agg(F.sum(F.length("text")), F.min("doc_id").eqNullSafe(F.max("doc_id"))).collect()
+    if not sizes:
+        return spark.createDataFrame([], _EDITED)
+    parts = [(b, _SPAN // min(MOST_BUCKETS, max(1, int(chars // bucket_chars))) + 1 if one else _SPAN) for b, chars, one in sizes]
+    keyed = keyed.join(F.broadcast(spark.createDataFrame(parts, "bucket int, step long")), "bucket").withColumn("part", F.expr("cast(hash div step AS int)")).drop("step")
+    # And one row a part: its first row.
+    first = keyed.groupBy("bucket", "part").agg(F.min(F.struct("doc_id", "hash")).alias("low")).orderBy("bucket", "part").collect()
+    heads = [(r.bucket, r.part, r.low.doc_id, r.low.hash, *first[i - 1][:2]) for i, r in enumerate(first)]
+    heads = spark.createDataFrame(heads, "bucket int, part int, head long, low long, to int, to_part int")
+    extra = keyed.join(F.broadcast(heads), ["bucket", "part"]).where(F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("hash") == F.col("low")))
+    extra = extra.groupBy("to", "to_part").agg(F.min("text").alias("text")).select(F.col("to").alias("bucket"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("hash"), F.col("to_part").alias("part"), F.lit(True).alias("extra"))
+    met = keyed.withColumn("extra", F.lit(False)).unionByName(extra).repartition("bucket", "part")
+    met = met.sortWithinPartitions("bucket", "part", "extra", F.col("doc_id").asc_nulls_first(), "hash", "text")
     schema = pa.schema([(f.name, {"long": pa.int64(), "bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}[f.dataType.simpleString()]) for f in T.StructType.fromDDL(_EDITED)])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
             out = []
-            for doc_id, text, bucket, extra in zip(*(c.to_pylist() for c in b.select(["doc_id", "text", "bucket", "extra"]).columns), strict=True):
+            for doc_id, text, bucket, part, extra in zip(*(c.to_pylist() for c in b.select(["doc_id", "text", "bucket", "part", "extra"]).columns), strict=True):
                 mine = sketch(_utf8(text), k, shingle_words)
-                if held is not None and held[2] == bucket:
+                if held is not None and held[2] == (bucket, part):
                     was, before = held[1], held[3]
                     cut = len(was) // 4
                     edited = _utf8(was[: len(was) - cut] + text[:cut])
                     theirs = sketch(edited, k, shingle_words)
                     out.append((held[0], len(was), hashlib.sha256(edited).hexdigest(), to_text(before), to_text(theirs), resemblance(before, theirs, k), resemblance(before, mine, k), containment(before, theirs, k), distinct_count(before, k)))
-                held = None if extra else (doc_id, text, bucket, mine)
+                held = None if extra else (doc_id, text, (bucket, part), mine)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * len(schema), schema, strict=True)], schema=schema)
 
     return met.mapInArrow(each, _EDITED)

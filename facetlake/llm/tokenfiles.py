@@ -5,7 +5,8 @@ A shard file is, in little-endian order::
     magic     8 bytes  b"FLTOKEN1"
     frames             one zstandard frame a document, in ascending doc_id
     index              doc_id int64[n], then end offset uint64[n], then ids uint32[n]
-    trailer   struct   dictionary hash (32 bytes, SHA-256), bytes of an id (uint32), documents n (uint64), bytes of frames (uint64)
+    trailer   struct   dictionary hash (32 bytes, SHA-256), bytes of an id (uint32), documents n, those without doc_id (they come first),
+                       bytes of frames, ids of all documents (uint64 each)
 
 The dictionary is the file ``ids.zdict`` beside the shards; the hash in each trailer names the one
 that reads them. One document is read with the trailer, the index and its own frame.
@@ -15,7 +16,9 @@ from __future__ import annotations
 
 import array
 import hashlib
+import io
 import itertools
+import json
 import os
 import re
 import struct
@@ -30,8 +33,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAGIC, TRAILER = b"FLTOKEN1", "<32sIQQ"
+MAGIC, TRAILER = b"FLTOKEN1", "<32sIQQQQ"
 DICTIONARY_FILE, SUFFIX = "ids.zdict", ".tok"
+#: Bytes of text that make a shard, about.
+SHARD_BYTES = 64 << 20
 #: Longest document that a dictionary is trained on.
 MOST_CHARS = 50_000
 #: Chunks of text that an encoder remembers.
@@ -45,7 +50,8 @@ class ChunkEncoder(dict):
     The byte-level pattern always begins a new piece at a space that non-space follows, so a text whose
     spaces are all like that is cut at them. This dictionary maps what follows a space to the packed
     ids of space and chunk: a chunk that is not there yet is cut by the tokenizer's pattern and each
-    piece goes to the tokenizer's model. Any other text goes to the tokenizer whole.
+    piece goes to the tokenizer's model. Any other text goes to the tokenizer whole, and so does every
+    text of a tokenizer that is not of this kind.
     """
 
     def __init__(self, path: str, dtype: np.dtype):
@@ -55,6 +61,7 @@ class ChunkEncoder(dict):
 
         super().__init__()
         self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+        self.by_chunk = _byte_level(json.loads(self.tokenizer.to_str()))
         self.code = "H" if dtype.itemsize == 2 else "I"  # native byte order is little-endian wherever Spark runs its workers
         self.tokenize = self.tokenizer.model.tokenize
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
@@ -75,7 +82,7 @@ class ChunkEncoder(dict):
         get = self.__getitem__
         out: list[bytes] = []
         for text in texts:
-            if self.odd_space(text) or any(x in text for x in self.special):
+            if not self.by_chunk or self.odd_space(text) or any(x in text for x in self.special):
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes())
             else:
                 head, *rest = text.split(" ")
@@ -98,6 +105,12 @@ class ChunkEncoder(dict):
         return "".join(map(self.letters.__getitem__, piece.encode().decode("latin-1")))
 
 
+def _byte_level(parts: dict) -> bool:
+    """True for a tokenizer whose text goes unchanged through the byte-level pattern to a BPE model without chance."""
+    before, model = parts.get("pre_tokenizer") or {}, parts.get("model") or {}
+    return not parts.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges")
+
+
 def _encoder(path: str, dtype: np.dtype) -> ChunkEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _ENCODERS:
@@ -133,10 +146,11 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict:
 def write_shards(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, sample_docs: int = 1000, dictionary_bytes: int = 64 << 10, level: int = 3) -> None:
     """Encode every document and write shard files to ``path``, ascending in doc_id across the sorted shards.
 
-    Each task writes one file under its partition's number and renames it into place, so a task that
-    runs again after a lost executor leaves the same file. Null texts count as empty: their frame holds
-    the end id alone. Repeated rows are documents of their own, ties in doc_id go by text, null ids
-    come first and are stored as the smallest long.
+    Shards hold about ``SHARD_BYTES`` of text each, so their number grows with the table, unless
+    ``partitions`` says it. Each task writes one file under its partition's number and renames it into
+    place, so a task that runs again after a lost executor leaves the same file. Null texts count as
+    empty: their frame holds the end id alone. Repeated rows are documents of their own, ties in doc_id
+    go by a hash of the text, which also cuts a hot id into shards; null ids come first.
     """
     spark = docs.sparkSession
     dtype = id_dtype(vocabulary)
@@ -155,7 +169,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, en
         dictionary = _dictionary(shared.value)
         dictionary.precompute_compress(level=level)
         press = zstandard.ZstdCompressor(level=level, dict_data=dictionary, write_content_size=True, write_checksum=False, write_dict_id=False)
-        encoder, ids, ends, counts, at = _encoder(tokenizer, dtype), [], [], [], 0
+        encoder, at = _encoder(tokenizer, dtype), 0
+        ids, ends, counts, nulls = array.array("q"), array.array("Q"), array.array("I"), 0
         name = f"{base}/shard-{part:06d}{SUFFIX}"
         first = next(batches, None)
         if first is None:
@@ -163,26 +178,28 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, en
         with fs.open_output_stream(f"{name}.{attempt}.tmp") as f:
             f.write(MAGIC)
             for b in itertools.chain([first], batches):
+                nulls += b.column(0).null_count
                 at = _write_batch(f, b, encoder, press, end, dtype, ids, ends, counts, at)
-            f.write(np.array(ids, "<i8").tobytes() + np.array(ends, "<u8").tobytes() + np.array(counts, "<u4").tobytes())
-            f.write(struct.pack(TRAILER, digest, dtype.itemsize, len(ids), at))
+            for column in (np.array(ids, "<i8"), np.array(ends, "<u8"), np.array(counts, "<u4")):
+                f.write(column.tobytes())
+            f.write(struct.pack(TRAILER, digest, dtype.itemsize, len(ids), nulls, at, sum(counts)))
         if fs.get_file_info(name).type != pafs.FileType.NotFound:  # an earlier attempt of this task left it
             fs.delete_file(name)
         fs.move(f"{name}.{attempt}.tmp", name)
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(ids)])], ["file", "documents"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, "file string, documents long").agg(F.sum("documents")).collect()
+    n = partitions or -(-int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES) or 1
+    rows = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(n, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text")
+    rows.select("doc_id", "text").mapInArrow(write, "file string, documents long").agg(F.sum("documents")).collect()
 
 
-def _write_batch(f, batch: pa.RecordBatch, encoder: ChunkEncoder, press, end: bytes, dtype: np.dtype, ids: list, ends: list, counts: list, at: int) -> int:
-    lowest = -(1 << 63)
+def _write_batch(f, batch: pa.RecordBatch, encoder: ChunkEncoder, press, end: bytes, dtype: np.dtype, ids: array.array, ends: array.array, counts: array.array, at: int) -> int:
     for doc_id, packed in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
         frame = press.compress(packed + end)
         f.write(frame)
         at += len(frame)
-        ids.append(lowest if doc_id is None else doc_id)
+        ids.append(doc_id or 0)
         ends.append(at)
         counts.append(len(packed) // dtype.itemsize + 1)
     return at
@@ -194,7 +211,7 @@ class Shard:
     def __init__(self, f, size: int, dictionary: bytes):
         self.f = f
         f.seek(size - struct.calcsize(TRAILER))
-        digest, item, n, frames = struct.unpack(TRAILER, f.read(struct.calcsize(TRAILER)))
+        digest, item, n, self.nulls, frames, self.total = struct.unpack(TRAILER, f.read(struct.calcsize(TRAILER)))
         if digest != hashlib.sha256(dictionary).digest():
             raise ValueError("the shard was written with another dictionary")
         self.start, self.dtype = len(MAGIC), np.dtype(f"<u{item}")
@@ -221,7 +238,7 @@ def read_document(path: str, doc_id: int) -> np.ndarray | None:
         if info.path.endswith(SUFFIX):
             with fs.open_input_file(info.path) as f:
                 shard = Shard(f, info.size, raw)
-                k = int(np.searchsorted(shard.ids, doc_id))
+                k = shard.nulls + int(np.searchsorted(shard.ids[shard.nulls :], doc_id))
                 if k < len(shard.ids) and shard.ids[k] == doc_id:
                     return shard.read(k)
     return None
@@ -233,15 +250,12 @@ def read_shards(spark, path: str) -> DataFrame:
     ``start`` counts the ids of all documents before it: places inside a shard come from its index,
     the shards' own offsets from a running sum over one row for each shard.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(path)
     fs, base = pafs.FileSystem.from_uri(path)
     with fs.open_input_stream(f"{base}/{DICTIONARY_FILE}") as f:
         shared = spark.sparkContext.broadcast(f.read())
-    lowest = -(1 << 63)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
-
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 data = content.as_buffer()
@@ -249,19 +263,19 @@ def read_shards(spark, path: str) -> DataFrame:
                 n = len(shard.ids)
                 counts = shard.counts.astype(np.int64)
                 crc = np.fromiter((zlib.crc32(shard.read(k).astype("<u4").tobytes()) for k in range(n)), np.int64, n)
-                ids = pa.array(shard.ids, mask=shard.ids == lowest)
+                ids = pa.array(shard.ids, mask=np.arange(n) < shard.nulls)
                 yield pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[-1]] * n), ids, pa.array(np.cumsum(counts) - counts), pa.array(counts), pa.array(crc), pa.array(np.diff(shard.ends, prepend=0))], ["shard", "doc_id", "inside", "n_tokens", "ids_crc32", "frame_bytes"])
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
-
         for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                data = content.as_buffer()
-                total = int(Shard(io.BytesIO(data), data.size, shared.value).counts.sum(dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[-1]]), pa.array([total])], ["shard", "total"])
-
-    docs = files.mapInArrow(decode, "shard string, doc_id long, inside long, n_tokens long, ids_crc32 long, frame_bytes long")
+            names, found = [x.rsplit("/", 1)[-1] for x in b.column(0).to_pylist()], []
+            for name, size in zip(names, b.column(1).to_pylist(), strict=True):
+                with pafs.FileSystem.from_uri(path)[0].open_input_file(f"{base}/{name}") as f:
+                    f.seek(size - struct.calcsize(TRAILER))
+                    found.append(struct.unpack(TRAILER, f.read(struct.calcsize(TRAILER)))[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.int64())], ["shard", "total"])
+
+    docs = files.select("path", "content").mapInArrow(decode, "shard string, doc_id long, inside long, n_tokens long, ids_crc32 long, frame_bytes long")
     before = F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = files.mapInArrow(totals, "shard string, total long").select("shard", F.coalesce(before, F.lit(0)).alias("offset"))
+    offsets = files.select("path", "length").mapInArrow(totals, "shard string, total long").select("shard", F.coalesce(before, F.lit(0)).alias("offset"))
     return docs.join(offsets, "shard").select("doc_id", (F.col("offset") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "frame_bytes")

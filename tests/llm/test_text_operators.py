@@ -294,10 +294,36 @@ def test_sketches_of_parts_merge_in_spark(spark):
     assert (sketches.from_text(got["g"]) == both).all() and len(sketches.from_text(got["h"])) == 1
 
 
+def plain_run(scores, letter, n):
+    """Tokens of the best cut of a run of one letter, prefix by prefix."""
+    pieces = [(k, scores[letter * k]) for k in range(1, 40) if letter * k in scores]
+    best, tokens = [0.0] * (n + 1), [0] * (n + 1)
+    for end in range(1, n + 1):
+        best[end], minus = max((best[end - k] + s, -tokens[end - k]) for k, s in pieces if k <= end)
+        tokens[end] = 1 - minus
+    return tokens[n]
+
+
+def test_piece_scores_equal_a_plain_training(spark):
+    texts = ["the cat and the hat", "a cat sat", None, "", "the the cat!", "hat hat"]
+    ranks = {p.encode(): k for k, p in enumerate([*"abcdefghijklmnopqrstuvwxyz !", "th", "the", " the", " cat", "at", " hat", "an", "and", " a"])}
+    scores = tokencounts.first_scores(ranks)
+    for _ in range(2):
+        counts = Counter()
+        for word in (w for t in texts for w in tokencounts.pretokens(t or "")):
+            cuts = [[word]] if len(word) == 1 else [[word[a:b] for a, b in itertools.pairwise((0, *c, len(word)))] for k in range(len(word)) for c in itertools.combinations(range(1, len(word)), k)]
+            counts.update(min((c for c in cuts if all(x.encode() in scores for x in c)), key=lambda c: (-round(sum(scores[x.encode()] for x in c), 9), len(c))))
+        scores = tokencounts.next_scores({p.encode(): n for p, n in counts.items()}, ranks)
+    got = tokencounts.train_scores(spark.createDataFrame(enumerate(texts), "doc_id int, text string"), ranks, rounds=2)
+    assert got.keys() == scores.keys() and all(got[p] == pytest.approx(scores[p]) for p in got)
+    assert sum(np.exp(list(got.values()))) == pytest.approx(1)
+    assert len(set(tokencounts.train_scores(spark.createDataFrame([], "doc_id int, text string"), ranks).values())) == 1
+
+
 def test_token_counts_equal_plain_dynamic_programming(spark, odd, empty):
     import public_tokenizers
 
-    v = tokencounts.load_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    v = tokencounts.first_scores(tokencounts.load_pieces(public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
     def plain(word):
         best = [(0.0, 0)]
@@ -311,4 +337,6 @@ def test_token_counts_equal_plain_dynamic_programming(spark, odd, empty):
         assert tokencounts._token_sums([t], tokencounts.Trie(v))[0][1] == sum(plain(w.encode()) for w in tokencounts.pretokens(t))
     got = tokencounts.count_tokens(odd, v).collect()
     assert len(got) == len(ODD) and {r.n_tokens for r in got if r.doc_id in (1, 2)} == {0}
+    long = next(r for r in got if r.doc_id == 5)  # the best cut of a run of one letter takes the fewest tokens of the longest pieces' cost
+    assert (long.n_pretokens, long.n_tokens) == (1, plain_run(v, b"x", 300_000))
     assert tokencounts.count_tokens(empty, v).count() == 0

@@ -44,17 +44,30 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group that five-word shingles link."""
+    """Keeps one document of each group that a five-word Jaccard similarity of 0.8 links, the one with the smallest id.
+
+    The SimHash trie join proposes pairs; MinHash bands add those beyond its radius; whole shingle sets
+    decide. Null and blank texts are one group; null ids all stay; different texts under one id are
+    documents of their own; of equal rows one stays. An empty table stays empty.
+    """
     return minhash.keep_one(docs, shingle_words=5, least=LEAST_ALIKE)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture of sources takes them."""
+    """Documents as often as the mixture of sources takes them, the last of a source cut at its budget.
+
+    Null and blank texts have no words and are in no mixture; a null source is one more source; null
+    ids and repeated rows each have their share. An empty table stays empty.
+    """
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces of all documents in training sequences."""
+    """Places of all pieces of all documents in training sequences.
+
+    Rows without words have a piece of size 0 and no bin; null ids and repeated rows are packed each. An
+    empty table gives an empty table.
+    """
     return packing.pack_documents(docs)
 
 
@@ -65,6 +78,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over ``documents`` in ``sf_dir``; each stage's result is a table in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = shared_dir(spark, name)

@@ -78,12 +78,35 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return x.where(F.col("both") / (F.col("sum") - F.col("both")) >= least).select("a", "b")
 
 
+def _labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` with the component of their node as ``part``, of the keys that hold several parts."""
+    part = connected_components(edges).withColumnRenamed("component", "part")
+    rows = materialize(rows.drop("part").join(part, "node", "left").withColumn("part", F.coalesce("part", "node")), "parts")
+    mixed = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+    return materialize(rows.join(mixed, "key"), "open")
+
+
+def _shared(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """``rows`` with how many shingles of their node another one of them has too, without nodes of which these are too few.
+
+    What no other node has is in no intersection, so a node with more than ``1 - least`` of such shingles
+    is like none, however many it meets.
+    """
+    tokens = sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", F.explode("hashes").alias("hash"))
+    own = tokens.groupBy("hash").agg(F.count("*").alias("n"), F.first("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+    x = rows.join(own, "node", "left").withColumn("shared", F.col("size") - F.coalesce("own", F.lit(0))).drop("own")
+    return materialize(x.where(F.col("shared") >= least * F.col("size")), "shared")
+
+
 def links(docs: DataFrame, nodes: DataFrame, least: float, shingle_words: int) -> DataFrame:
     """Edges ``(a, b)`` whose components are those of all pairs that meet and are alike.
 
     Nodes meet by a SimHash fingerprint within ``RADIUS`` bits or in a MinHash band. First the pairs of
     the trie walk and each node of a band's group beside the group's smallest one are compared. Nodes
-    that this puts into one component need no further comparison, so only pairs across components follow.
+    that this puts into one component need no further comparison. Of the others, those go that share
+    too little with any; then each meets the node of its groups that shares most of its shingles, which
+    in a group of copies is the one nearest to their original; and only pairs that are still in
+    different components, and share enough for it, are compared one by one.
     """
     rows = materialize(nodes.select("node", "size", F.explode("keys").alias("key")), "bands")
     groups = materialize(rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("lead")).where("n > 1").drop("n"), "groups")
@@ -94,15 +117,22 @@ def links(docs: DataFrame, nodes: DataFrame, least: float, shingle_words: int) -
     met = rows.select("node").unionByName(stars.select(F.col("a").alias("node"))).unionByName(stars.select(F.col("b").alias("node"))).distinct()
     wanted = nodes.join(met, "node", "left_semi").select("node", "best.doc_id", "best.text_hash")
     sets = materialize(_sets(docs, wanted, shingle_words), "sets")
-    first = materialize(_alike(stars, sets, least), "links")
-    part = connected_components(first).withColumnRenamed("component", "part")
-    rows = materialize(rows.drop("lead").join(part, "node", "left").withColumn("part", F.coalesce("part", "node")), "parts")
-    mixed = materialize(rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key"), "mixed")
-    rows = materialize(rows.join(mixed, "key"), "open")
-    x, y = rows.alias("x"), rows.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & close(F.col("x.size"), F.col("y.size")))
-    across = materialize(across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "across")
-    return first.unionByName(_alike(across, sets, least))
+    found = materialize(_alike(stars, sets, least), "links")
+
+    def may(x: str, y: str):
+        """Both in different parts, and what either shares at all is enough for the two sizes."""
+        most = F.least(f"{x}.shared", f"{y}.shared")
+        return (F.col(f"{x}.part") != F.col(f"{y}.part")) & ((1 + least) * most >= least * (F.col(f"{x}.size") + F.col(f"{y}.size")))
+
+    rows = _shared(_labelled(rows.drop("lead"), found), sets, least)
+    hubs = rows.groupBy("key").agg(F.max_by(F.struct("node", "size", "shared", "part"), F.struct(F.col("shared") / F.col("size"), "node")).alias("hub"))
+    x = rows.alias("x").join(hubs.select("key", "hub.*").alias("y"), (F.col("x.key") == F.col("y.key")) & may("x", "y"))
+    second = materialize(x.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct(), "hubs")
+    found = materialize(found.unionByName(_alike(second, sets, least)), "links")
+    rows = _labelled(rows, found)
+    x = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & may("x", "y"))
+    across = x.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    return found.unionByName(_alike(materialize(across.join(second, ["a", "b"], "left_anti"), "across"), sets, least))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, least: float = 0.8) -> DataFrame:

@@ -352,6 +352,15 @@ def test_near_duplicate_stage_finds_all_pairs_at_a_jaccard_of_0_8(spark):
     got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect())
     want = jaccard_kept([r[:2] for r in rows])
     assert got == want and 12 < len(want) < 40
+    base = [f"v{x}" for x in rng.integers(0, 5000, 150)]
+    many = []  # copies of one text that are near it, but seldom near each other
+    for i in range(120):
+        copy = list(base)
+        for at in rng.choice(150, int(rng.integers(0, 6)), replace=False):
+            copy[at] = f"new{rng.integers(10**6)}"
+        many.append((i, " ".join(copy), "en", "a", "x"))
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(many, DOCS), "").collect())
+    assert got == jaccard_kept([r[:2] for r in many]) and 1 <= len(got) < 100
     clash = [(7, texts[0], "en", "a", "x"), (7, texts[9], "en", "a", "x"), (7, texts[9], "en", "a", "x"), (None, texts[0], "en", "a", "x"), (None, texts[0], "en", "a", "x"), (8, None, "en", "a", "x"), (9, " ", "en", "a", "x")]
     left = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(clash, DOCS), "").collect()
     assert sorted((r.doc_id or -1, r.text or "") for r in left) == sorted([(7, texts[0]), (7, texts[9]), (-1, texts[0]), (-1, texts[0]), (8, "")])

@@ -39,11 +39,12 @@ def class_distribution(runs: DataFrame, frames: DataFrame, keys: list[str], cell
     return x.withColumn("share", F.col("cells") / F.sum("cells").over(Window.partitionBy()))
 
 
-def class_weights(distribution: DataFrame, top: float = 100.0, background: float = 1.0) -> DataFrame:
-    """``(cls, weight)``: cells of the largest foreground class over the class's own, capped, to one decimal; 1 for background and absent classes. One row a class."""
+def class_weights(distribution: DataFrame, top: float = 100.0, background: float = 1.0, no_object: float | None = None) -> DataFrame:
+    """``(cls, weight)``: cells of the largest foreground class over the class's own, capped, to one decimal; 1 for background and absent classes. One row a class, and one more after the last for ``no_object``, if given."""
     largest = F.max(F.when(F.col("cls") > 0, F.col("cells"))).over(Window.partitionBy())
     w = F.when(F.col("cls") == 0, background).when(F.col("cells") == 0, 1.0).otherwise(F.round(F.least(largest / F.col("cells"), F.lit(top)), 1))
-    return distribution.select("cls", w.alias("weight"))
+    found = distribution.select("cls", w.alias("weight"))
+    return found if no_object is None else found.unionByName(distribution.agg((F.max("cls") + 1).alias("cls"), F.lit(no_object).alias("weight")))
 
 
 def invalid_ids(runs: DataFrame, classes: int = 5) -> DataFrame:

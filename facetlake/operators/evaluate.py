@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from facetlake.operators import runs as R
 from facetlake.operators.overlap import best_match
+from facetlake.storage import materialize
 
 
 def confusion(pred: DataFrame, gt: DataFrame, frames: DataFrame, keys: list[str], cells: int, classes: int) -> DataFrame:
@@ -50,7 +51,7 @@ def foreground_iou(pred: DataFrame, gt: DataFrame, frames: DataFrame, keys: list
 def boundary_f1(pred: DataFrame, gt: DataFrame, frames: DataFrame, keys: list[str], height: int, width: int, tolerance: int = 1) -> DataFrame:
     """``(keys, precision, recall, f1)`` of boundaries: shares that lie within ``tolerance`` of the other side's; 1 where both are empty, 0 where one is."""
     n = lambda t, name: t.groupBy(*keys).agg(F.sum(F.col("x1") - F.col("x0")).alias(name))
-    edge = {s: R.gradient(t, frames, keys, height, width) for s, t in (("p", pred), ("g", gt))}
+    edge = {s: materialize(R.gradient(t, frames, keys, height, width), "edge") for s, t in (("p", pred), ("g", gt))}
     near = {s: R.dilate(e, keys, height, width, tolerance) for s, e in edge.items()}
     x = frames.select(*keys)
     for t in (n(edge["p"], "p"), n(edge["g"], "g"), n(R.intersect(edge["p"], near["g"], keys), "pg"), n(R.intersect(edge["g"], near["p"], keys), "gp")):
@@ -105,11 +106,38 @@ def mine_hard(metrics: DataFrame, k: int, least: float | None = None, id_col: st
     return rows.limit(k) if k > 0 else rows
 
 
+def percentiles(values: DataFrame, keys: list[str], value: str, shares: list[float], ranges: int = 256) -> DataFrame:
+    """``(keys, p0, p1, ...)``: exact percentiles, interpolated between neighbours, of one hot key as well as of many.
+
+    Equal values count once, with their number. Approximate quantiles cut each key's values into ranges;
+    the counts of the ranges say which of them hold the ranks that are asked for, and only inside those a
+    window orders values. Nulls do not count; a key without a value has nulls.
+    """
+    x = values.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    cuts = values.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(F.col(value).cast("double"), [i / ranges for i in range(1, ranges)], 10 * ranges)).alias("__cuts"))
+    x = materialize(x.join(cuts, keys).select(*keys, "__v", "__n", F.size(F.filter("__cuts", lambda c: c <= F.col("__v"))).alias("__range")), "values")
+    size = x.groupBy(*keys, "__range").agg(F.sum("__n").alias("__size"))
+    w = Window.partitionBy(*keys)
+    up_to = F.sum("__size").over(w.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0))
+    size = size.withColumns({"__start": up_to - F.col("__size"), "__total": F.sum("__size").over(w)})
+    at = lambda share: (F.col("__total") - 1) * F.lit(share)
+    # A rank that stands between two ranges needs the last value of one and the first of the next.
+    asked = [f(at(s)) for s in shares for f in (F.floor, F.ceil)]
+    holds = F.exists(F.array(*asked), lambda r: (r >= F.col("__start")) & (r < F.col("__start") + F.col("__size")))
+    x = x.join(size.where(holds), [*keys, "__range"])
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys, "__range").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = x.withColumn("__at", F.col("__start") + before)
+    pick = lambda rank: F.max(F.when((rank >= F.col("__at")) & (rank < F.col("__at") + F.col("__n")), F.col("__v")))
+    found = x.groupBy(*keys, "__total").agg(*[pick(f(at(s))).alias(f"__{name}{i}") for i, s in enumerate(shares) for name, f in (("low", F.floor), ("high", F.ceil))])
+    between = [(F.col(f"__low{i}") + (F.col(f"__high{i}") - F.col(f"__low{i}")) * (at(s) - F.floor(at(s)))).alias(f"p{i}") for i, s in enumerate(shares)]
+    return cuts.select(*keys).join(found.select(*keys, *between), keys, "left")
+
+
 def robust_outliers(values: DataFrame, keys: list[str], value: str, cut: float = 3.5) -> DataFrame:
     """Rows with ``deviation`` = |value - median| / (1.4826 MAD) and ``outlier`` where that is above ``cut``; medians of each key join back."""
-    center = values.groupBy(*keys).agg(F.percentile(value, 0.5).alias("__m"))
-    x = values.join(center, keys)
-    spread = x.groupBy(*keys).agg(F.greatest(F.percentile(F.abs(F.col(value) - F.col("__m")), 0.5), F.lit(1e-6)).alias("__mad"))
+    x = values.join(percentiles(values, keys, value, [0.5]).withColumnRenamed("p0", "__m"), keys)
+    off = x.select(*keys, F.abs(F.col(value) - F.col("__m")).alias("__off"))
+    spread = percentiles(off, keys, "__off", [0.5]).select(*keys, F.greatest("p0", F.lit(1e-6)).alias("__mad"))
     d = F.abs(F.col(value) - F.col("__m")) / (1.4826 * F.col("__mad"))
     return x.join(spread, keys).withColumn("deviation", d).withColumn("outlier", F.col("deviation") > cut).drop("__m", "__mad")
 
@@ -125,6 +153,18 @@ def bce(logit: Column, target: Column) -> Column:
     return F.greatest(logit, F.lit(0.0)) - logit * target + F.log1p(F.exp(-F.abs(logit)))
 
 
+def no_object_weights(classes: int, no_object: float = 0.1) -> list[float]:
+    """Class weights of query classification: 1 for each class and a small one for the last, which says that there is no object."""
+    return [1.0] * classes + [no_object]
+
+
+def mixed_mask_loss(cells: DataFrame, keys: list[str], logit: str, target: str, order: str, share: float = 0.5) -> DataFrame:
+    """``(keys, loss)``: ``share`` of the mean binary cross-entropy of a mask and the rest of its Lovasz hinge."""
+    own = cells.groupBy(*keys).agg(weighted_reduce(bce(F.col(logit), F.col(target))).alias("bce"))
+    hinge = lovasz_hinge(cells, keys, logit, target, order).withColumnRenamed("loss", "hinge")
+    return own.join(hinge, keys).select(*keys, (share * F.col("bce") + (1 - share) * F.col("hinge")).alias("loss"))
+
+
 def cross_entropy(scores: DataFrame, keys: list[str], cls: str = "cls", logit: str = "logit", target: str = "target", weight: str = "weight", ignore: int = -100) -> DataFrame:
     """One row: class-weighted cross-entropy; ignored rows give 0 but stay in the denominator, which counts rows and not weights."""
     top = scores.groupBy(*keys).agg(F.max(logit).alias("__m"), F.first(target).alias("__t"))
@@ -150,8 +190,10 @@ def lovasz_hinge(cells: DataFrame, keys: list[str], logit: str, target: str, ord
 
 
 def weighted_reduce(value: Column, weight: Column | None = None, mode: str = "mean", denominator: Column | None = None) -> Column:
-    """An aggregate: weighted sum, or mean over a denominator (the number of rows if none), floored."""
+    """An aggregate: weighted sum, or mean over a denominator (the number of rows if none), floored; or, for ``none``, the weighted value of each row."""
     x = value if weight is None else value * weight
+    if mode == "none":
+        return x
     if mode == "sum":
         return F.sum(x)
     if mode == "mean":

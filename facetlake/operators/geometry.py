@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetlake.operators.components import connected_components
-from facetlake.operators.runs import ring_edges
+from facetlake.operators.runs import closed_plus, merge_runs, opened_plus, outline, ring_edges, rings, touching
 from facetlake.storage import materialize
 
 
@@ -42,6 +44,11 @@ def rotate(nx: Column, ny: Column, degrees: float) -> tuple[Column, Column]:
     return nx * F.cos(a) - ny * F.sin(a), nx * F.sin(a) + ny * F.cos(a)
 
 
+def flip(nx: Column, ny: Column, direction: str) -> tuple[Column, Column]:
+    """A normal under a mirrored or transposed raster; the third part does not change."""
+    return {"horizontal": (-nx, ny), "vertical": (nx, -ny), "transpose": (ny, nx)}[direction]
+
+
 def snap_flat(degrees: Column, below: float = 2.0) -> Column:
     """Slopes below a bound count as flat."""
     return F.when(degrees < below, 0.0).otherwise(degrees)
@@ -142,7 +149,7 @@ def align_dominant(vertices: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, F.col("p.ord").alias("ord"), (u * F.cos(a) - v * F.sin(a)).alias("x"), (u * F.sin(a) + v * F.cos(a)).alias("y"))
 
 
-def simplify(vertices: DataFrame, keys: list[str], factor: float = 0.02, max_rounds: int = 30) -> DataFrame:
+def simplify(vertices: DataFrame, keys: list[str], factor: float = 0.02) -> DataFrame:
     """Douglas-Peucker on rings, all rings of a level at once: a chain splits at its farthest corner while that lies beyond the tolerance max(1, factor x perimeter).
 
     A ring starts as two chains between its first corner and the one farthest from it.
@@ -154,7 +161,7 @@ def simplify(vertices: DataFrame, keys: list[str], factor: float = 0.02, max_rou
     wrapped = ring.unionByName(ring.where("at = 0").withColumn("at", F.col("corners").cast("int")))
     points = materialize(wrapped.select(*keys, "at", "x", "y", "ord", "tol"), "rings")
     cut = materialize(far.select(*keys, F.explode(F.array(F.lit(0), F.col("far"))).alias("at")).distinct().unionByName(points.groupBy(*keys).agg(F.max("at").alias("at"))), "cuts")
-    for _ in range(max_rounds):
+    while True:  # each round cuts a chain at least, or ends
         w = Window.partitionBy(*keys).orderBy("at")
         known = points.join(cut.withColumn("kept", F.lit(True)), [*keys, "at"], "left")
         back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
@@ -232,37 +239,57 @@ def plane_scatter(points: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fit_plane(points: DataFrame, key: str, trials: int = 200, distance: float = 1.5, least: int = 50, seed: int = 0) -> DataFrame:
-    """``(key, nx, ny, nz, d, inliers)``: the plane of three points that most points are near, then least squares on those.
+    """``(key, nx, ny, nz, d, inliers)``: the plane of three points that most points are near, then the plane of least orthogonal distance to those.
 
-    Triples come from a hash order of a key's points, the same on every run. Trials are counted in one
-    aggregation over points x trials of the same key; the refinement solves the normal equations of
-    ``z = ax + by + c`` from second moments, or keeps the trial plane where the points stand upright.
+    Triples are the points with the smallest hashes of a key, the same on every run; each task passes on
+    no more than the trials need. A key's trial planes stay together in one row, so every point meets
+    one row of its key and counts go up inside the tasks. The refinement takes the direction in which
+    the centred second moments of the near points are least; downward normals turn up.
     """
-    order = Window.partitionBy(key).orderBy(F.xxhash64("x", "y", "z", F.lit(seed)), "x", "y", "z")
-    picks = points.where(~F.isnan("z") & F.col("z").isNotNull()).withColumn("r", F.row_number().over(order) - 1).where(F.col("r") < 3 * trials)
-    x = picks.groupBy(key, F.floor(F.col("r") / 3).alias("trial")).agg(F.array_sort(F.collect_list(F.struct("r", "x", "y", "z"))).alias("p")).where(F.size("p") == 3)
+    fine = points.where(F.col("z").isNotNull() & ~F.isnan("z"))
+    order = Window.partitionBy(key).orderBy("__h", "x", "y", "z")
+    picks = fine.withColumn("__h", F.xxhash64("x", "y", "z", F.lit(seed))).withColumn("r", F.row_number().over(order)).where(F.col("r") <= 3 * trials)
+    x = picks.groupBy(key, F.floor((F.col("r") - 1) / 3).alias("trial")).agg(F.array_sort(F.collect_list(F.struct("r", "x", "y", "z"))).alias("p")).where(F.size("p") == 3)
     p = [F.col("p")[i] for i in range(3)]
     u, v = ([p[i][c] - p[0][c] for c in "xyz"] for i in (1, 2))
     cross = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
     x = x.select(key, "trial", *[c.alias(f"c{i}") for i, c in enumerate(cross)], F.col("p")[0].alias("o")).withColumn("n", norm(F.col("c0"), F.col("c1"), F.col("c2"))).where(F.col("n") >= 1e-8)
-    planes = x.select(key, "trial", *[(F.col(f"c{i}") / F.col("n")).alias(f"n{c}") for i, c in enumerate("xyz")], "o").withColumn("d", F.col("nx") * F.col("o.x") + F.col("ny") * F.col("o.y") + F.col("nz") * F.col("o.z")).drop("o")
-    off = F.abs(F.col("nx") * F.col("x") + F.col("ny") * F.col("y") + F.col("nz") * F.col("z") - F.col("d"))
-    tried = points.join(planes, key).groupBy(key, "trial", "nx", "ny", "nz", "d").agg(F.sum((off <= distance).cast("long")).alias("inliers"))
-    best = tried.groupBy(key).agg(F.max_by(F.struct("nx", "ny", "nz", "d", "inliers"), F.struct("inliers", -F.col("trial"))).alias("b")).select(key, "b.*").where(F.col("inliers") >= max(least, 3))
-    near = points.join(best.drop("inliers"), key).where(off <= distance).select(key, "x", "y", "z")
-    s = plane_scatter(near, [key])
-    det = F.col("sxx") * F.col("syy") - F.col("sxy") * F.col("sxy")
-    a, b = (F.col("sxz") * F.col("syy") - F.col("syz") * F.col("sxy")) / det, (F.col("syz") * F.col("sxx") - F.col("sxz") * F.col("sxy")) / det
-    s = s.select(key, F.when(det > 1e-9, a).alias("a"), F.when(det > 1e-9, b).alias("b"), "mx", "my", "mz")
-    k = norm(F.col("a"), F.col("b"), F.lit(1.0))
-    refined = [-F.col("a") / k, -F.col("b") / k, 1 / k]
-    sign = F.when(F.col("nz") < 0, -1.0).otherwise(1.0)
-    own = [F.coalesce(r, sign * F.col(c)) for r, c in zip(refined, ("nx", "ny", "nz"), strict=True)]
-    x = best.join(s, key).withColumns({f"r{c}": o for c, o in zip("xyz", own, strict=True)})
+    planes = x.select(key, "trial", *[(F.col(f"c{i}") / F.col("n")).alias(f"n{c}") for i, c in enumerate("xyz")], "o").withColumn("d", F.col("nx") * F.col("o.x") + F.col("ny") * F.col("o.y") + F.col("nz") * F.col("o.z"))
+    planes = materialize(planes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("trial", "nx", "ny", "nz", "d"))).alias("planes")), "planes")
+    off = lambda t: F.abs(t["nx"] * F.col("x") + t["ny"] * F.col("y") + t["nz"] * F.col("z") - t["d"])
+    near = fine.join(planes, key).select(key, F.posexplode(F.transform("planes", lambda t: (off(t) <= distance).cast("int"))).alias("at", "near"))
+    tried = near.groupBy(key, "at").agg(F.sum("near").alias("inliers"))
+    best = tried.groupBy(key).agg(F.max_by(F.struct("at", "inliers"), F.struct("inliers", -F.col("at"))).alias("b")).where(F.col("b.inliers") >= max(least, 3))
+    best = best.join(planes, key).select(key, F.col("planes")[F.col("b.at")].alias("t"), F.col("b.inliers").alias("inliers"))
+    s = plane_scatter(fine.join(best, key).where(off(F.col("t")) <= distance).select(key, "x", "y", "z"), [key])
+    x = best.join(least_direction(s).select(key, "mx", "my", "mz", "direction"), key)
+    x = x.withColumns({f"e{c}": F.coalesce(F.col("direction")[i], F.col(f"t.n{c}")) for i, c in enumerate("xyz")})
+    sign = F.when(F.col("ez") < 0, -1.0).otherwise(1.0)
+    x = x.withColumns({f"r{c}": sign * F.col(f"e{c}") for c in "xyz"})
     shift = F.col("rx") * F.col("mx") + F.col("ry") * F.col("my") + F.col("rz") * F.col("mz")
     return x.select(key, F.col("rx").alias("nx"), F.col("ry").alias("ny"), F.col("rz").alias("nz"), shift.alias("d"), "inliers")
 
 
+def least_direction(moments: DataFrame) -> DataFrame:
+    """``direction``: array of the unit vector along which second moments ``sxx..szz`` are least; null where no one direction is.
+
+    Eigenvalues of a symmetric 3 x 3 matrix have a closed form; the vector is the longest cross product of
+    two rows of the matrix less its least eigenvalue.
+    """
+    xx, xy, xz, yy, yz, zz, q, p, low = (F.col(c) for c in ("sxx", "sxy", "sxz", "syy", "syz", "szz", "__q", "__p", "__low"))
+    x = moments.withColumn("__q", (xx + yy + zz) / 3)
+    x = x.withColumn("__p", F.sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6)).where(p >= 0)
+    det = (xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)
+    x = x.withColumn("__low", F.when(p > 0, q + 2 * p * F.cos(F.acos(clip(det / (2 * p * p * p), -1.0, 1.0)) / 3 + 2 * math.pi / 3)))
+    a, b, c = xx - low, yy - low, zz - low
+    ways = ((xy * yz - xz * b, xz * xy - a * yz, a * b - xy * xy), (xy * c - xz * yz, xz * xz - a * c, a * yz - xy * xz), (b * c - yz * yz, yz * xz - xy * c, xy * yz - b * xz))
+    x = x.withColumn("__ways", F.array(*[F.array(*w) for w in ways]))
+    length = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+    x = x.withColumn("__best", F.array_max(F.transform("__ways", lambda v: F.struct(length(v).alias("n"), v.alias("v")))))
+    direction = F.when(F.col("__best.n") > 1e-12 * q * q, F.transform("__best.v", lambda v: v / F.col("__best.n")))
+    return x.withColumn("direction", direction).drop("__q", "__p", "__low", "__ways", "__best")
+
+
 def geometry_override(facets: DataFrame, planes: DataFrame, keys: list[str]) -> DataFrame:
     """Facets with the fitted normal where a plane was found, the predicted one otherwise, and where it came from."""
     p = planes.select(*keys, *[F.col(c).alias(f"__{c}") for c in ("nx", "ny", "nz")], F.col("inliers").alias("plane_inliers"))
@@ -292,6 +319,12 @@ def coplanar_groups(facets: DataFrame, touching: DataFrame, degrees: float = 5.0
     return facets.join(labels, F.col("inst") == F.col("node"), "left").select("inst", F.coalesce("component", "inst").alias("grp"))
 
 
+def merge_coplanar(facets: DataFrame, runs: DataFrame, key: str, degrees: float = 5.0) -> tuple[DataFrame, DataFrame]:
+    """``(inst, grp)`` and the runs ``(key, grp, y, x0, x1)`` of facets of a scene that share a border or cells and lie in one plane, as far as their normals tell."""
+    grp = materialize(coplanar_groups(facets, touching(runs, key), degrees), "groups")
+    return grp, merge_runs(runs.join(grp, "inst"), [key, "grp"])
+
+
 def normal_error(pairs: DataFrame) -> Column:
     """1 less the cosine of a predicted (``nx..``) and a true (``gx..``) unit normal."""
     return 1 - (F.col("nx") * F.col("gx") + F.col("ny") * F.col("gy") + F.col("nz") * F.col("gz"))
@@ -328,14 +361,35 @@ def square_corners(vertices: DataFrame, keys: list[str], within: float = 10.0) -
     return ring.select(*keys, F.explode(done).alias("p")).select(*keys, "p.ord", "p.x", "p.y")
 
 
-def regularize(vertices: DataFrame, keys: list[str], factor: float = 0.015, align: bool = True, square: bool = False) -> DataFrame:
-    """Simplified rings, on wish turned to their dominant direction and with right corners, without repeated corners."""
+def regularize(vertices: DataFrame, keys: list[str], factor: float = 0.015, align: bool = True, square: bool = False, lines: DataFrame | None = None, reach: float = 4.0, frame: tuple[int, int] | None = None, least_area: float = 0.0) -> DataFrame:
+    """Simplified rings, on wish turned to their dominant direction and with right corners, moved onto near ``lines`` of their first key, without repeated corners, inside a frame of ``(height, width)`` and not below an area."""
     x = simplify(vertices, keys, factor)
     if align:
-        x = align_dominant(x, keys)
+        x = materialize(align_dominant(x, keys), "aligned")
     if square:
-        x = square_corners(square_corners(x, keys), keys)
-    return dedup_vertices(x, keys)
+        x = materialize(square_corners(materialize(square_corners(x, keys), "squared"), keys), "squared")
+    if lines is not None:
+        x = snap_to_lines(x.select(*keys, "ord", "x", "y"), lines, keys[0], reach)
+    x = dedup_vertices(x, keys)
+    if frame:
+        x = x.withColumns({"x": clip(F.col("x"), 0.0, frame[1] - 1.0), "y": clip(F.col("y"), 0.0, frame[0] - 1.0)})
+    if least_area > 0:
+        x = x.join(polygon_measures(x, keys).where((F.col("corners") >= 3) & (F.col("area") >= least_area)), keys, "left_semi")
+    return x
+
+
+def polygons_of_masks(runs: DataFrame, frames: DataFrame, keys: list[str], height: int, width: int, factor: float = 0.015, least_area: float = 100.0, align: bool = False, square: bool = False, lines: DataFrame | None = None) -> DataFrame:
+    """``(keys, ring, ord, x, y)``: regular polygons of masks, from their outer outlines.
+
+    Masks are smoothed by closing and opening with a plus; corners are those of cells, so a mask of one
+    cell has the area 1. Holes do not count; outlines below the area go, before and after the corners move.
+    """
+    smooth = materialize(opened_plus(closed_plus(runs, frames, keys, height, width), frames, keys, height, width), "smooth")
+    ring = [*keys, "ring"]
+    x = materialize(rings(outline(smooth, keys), keys), "rings")
+    outer = polygon_measures(x, ring).where((F.col("signed") > 0) & (F.col("corners") >= 3) & (F.col("area") >= least_area)).select(*ring)
+    x = x.join(outer, ring, "left_semi")
+    return regularize(x, ring, factor, align, square, lines, frame=(height + 1, width + 1), least_area=least_area)
 
 
 def dense_normal_error(cells: DataFrame, keys: list[str]) -> DataFrame:

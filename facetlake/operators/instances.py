@@ -39,9 +39,16 @@ def to_scene(items: DataFrame, tiles: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def assign_tiles(instances: DataFrame, tile: int, stride: int, height: int, width: int) -> DataFrame:
-    """One row for each tile that a box ``bx0..by1`` meets, found by arithmetic on its corners, not by a range join."""
-    x = instances.withColumn("ty", F.explode(R.tile_origins(F.lit(height), tile, stride))).withColumn("tx", F.explode(R.tile_origins(F.lit(width), tile, stride)))
-    return x.where((F.col("bx0") < F.col("tx") + tile) & (F.col("bx1") > F.col("tx")) & (F.col("by0") < F.col("ty") + tile) & (F.col("by1") > F.col("ty")))
+    """One row for each tile ``(ty, tx)`` that a box ``bx0..by1`` meets, found by arithmetic on its corners, not by a range join or by trying all tiles."""
+    def met(low: str, high: str, size: int) -> Column:
+        last = max(size - tile, 0)
+        first = F.greatest(F.floor((F.col(low) - tile) / stride) + 1, F.lit(0)).cast("int")
+        final = F.least(F.ceil(F.col(high) / stride) - 1, F.lit(last // stride)).cast("int")
+        regular = F.when(first <= final, F.transform(F.sequence(first, final), lambda i: i * stride)).otherwise(F.array().cast("array<int>"))
+        flush = F.when((F.col(high) > last) & (F.col(low) < last + tile), F.array(F.lit(last))).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.concat(regular, flush))
+
+    return instances.withColumn("ty", F.explode(met("by0", "by1", height))).withColumn("tx", F.explode(met("bx0", "bx1", width)))
 
 
 def cap(instances: DataFrame, keys: list[str], k: int, order: list[Column]) -> DataFrame:
@@ -65,6 +72,17 @@ def clusters(runs: DataFrame, keys: list[str], threshold: float, inclusive: bool
     return runs.select(*keys, "inst").distinct().join(labels, F.col("inst") == F.col("node"), "left").select(*keys, "inst", F.coalesce("component", "inst").alias("cluster"))
 
 
+def semantic_instances(labels: DataFrame, keys: list[str], least_area: int = 64, score: float = 0.05, ignored: int = 255) -> DataFrame:
+    """Instances of label runs ``(keys, y, x0, x1, cls)``: ``(keys, component, cls, score, y, x0, x1)``, where a model gives classes alone.
+
+    Every class above 0 falls into its 8-connected components; small ones and the ignored value go, and
+    all have the same low score.
+    """
+    x = R.run_components(labels.where((F.col("cls") > 0) & (F.col("cls") != ignored)), [*keys, "cls"])
+    area = x.groupBy("component").agg(F.sum(F.col("x1") - F.col("x0")).alias("__area")).where(F.col("__area") >= least_area)
+    return x.join(area.select("component"), "component", "left_semi").select(*keys, "component", "cls", F.lit(score).alias("score"), "y", "x0", "x1")
+
+
 def vote_runs(runs: DataFrame, keys: list[str], method: str) -> DataFrame:
     """Merged runs of each key of scored member runs: ``union`` of all, or cells whose members hold half of the key's weight.
 

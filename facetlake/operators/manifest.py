@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetlake.storage import materialize
+
 #: Defaults of a source description.
 SOURCE_DEFAULTS = {"image_suffix": ".jpg", "mask_suffix": ".png", "normal_suffix": ".npy", "teacher_suffix": ".png", "image_dir": "images", "mask_dir": "masks", "normal_dir": "normals", "teacher_dir": "sam_masks"}
 
@@ -98,16 +100,25 @@ def holdout(ids: DataFrame, share: int = 10, legacy: bool = False) -> DataFrame:
     ``share`` ids.
     """
     x = ids.select("sample_id").distinct()
-    n = x.count()
-    k = n // share
+    k = x.count() // share
     if k == 0:
         last = x if legacy else x.limit(0)
     else:
-        last = x.orderBy(F.desc("sample_id")).limit(k)
+        last = first_rows(x, k, F.desc("sample_id"))
     train = x if legacy else x.join(last, "sample_id", "left_anti")
     return train.select("sample_id", F.lit("train").alias("part")).unionByName(last.select("sample_id", F.lit("val").alias("part")))
 
 
+def first_rows(rows: DataFrame, k: int, *order: Column) -> DataFrame:
+    """The first ``k`` rows in an order, where ``k`` grows with the table: ranges of the order are counted, and only inside a range rows are ranked, so no task holds more than one."""
+    ranged = materialize(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__in"))
+    before = F.sum("__in").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))  # one row a range
+    x = ranged.join(F.broadcast(sizes.select("__range", F.coalesce(before, F.lit(0)).alias("__before"))), "__range")
+    rank = F.col("__before") + F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return x.withColumn("__rank", rank).where(F.col("__rank") <= k).select(*rows.columns)
+
+
 def resolve_paths(wanted: DataFrame, files: DataFrame, candidates: list[str], key: str = "sample_id") -> DataFrame:
     """First existing path of each row: candidate columns in turn, else the first file (by suffix rank, then path) with the row's stem."""
     there = files.select(F.col("path"))
@@ -133,4 +144,5 @@ def index_by_convention(files: DataFrame) -> DataFrame:
 def random_sample(ids: DataFrame, ratio: float, seed: int = 42, key: str = "sample_id") -> DataFrame:
     """``max(1, floor(n * ratio))`` rows in the order of a hash of id and seed, the same on every run."""
     k = max(1, int(ids.count() * ratio))
-    return ids.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed)))), key).limit(k)
+    x = ids.withColumn("__key", F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed)))))
+    return first_rows(x, k, F.col("__key").asc(), F.col(key).asc()).drop("__key")

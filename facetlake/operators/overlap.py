@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetlake.operators.runs import same
+from facetlake.storage import materialize
+
+#: Side of the grid cells in which boxes meet.
+GRID = 32
 
 
 def instance_stats(runs: DataFrame, keys: list[str]) -> DataFrame:
@@ -21,17 +25,26 @@ def instance_stats(runs: DataFrame, keys: list[str]) -> DataFrame:
 def instance_overlap(a: DataFrame, b: DataFrame, keys: list[str], id_col: str = "inst", between: Column | None = None) -> DataFrame:
     """Pairs that share cells: ``(keys, a, b, inter, union, iou)``.
 
-    Runs of both sides meet by key and row, an equi-join in which a dense scene splits by row; the
-    interval and ``between`` (a condition on ``a.`` and ``b.``) are residuals. Runs of one instance are
-    disjoint, so the overlaps of a pair add up to its intersection. Pairs without a common cell do not
-    appear: their IoU is 0.
+    Boxes come first, one row an instance: they meet by key and grid cell and reject the pairs that are
+    apart. Runs of the pairs left meet by pair and row. Runs of one instance are disjoint, so the
+    overlaps of a pair add up to its intersection. ``between`` is a condition on ``a.{id_col}`` and
+    ``b.{id_col}``. Pairs without a common cell do not appear: their IoU is 0.
     """
-    on = same([*keys, "y"]) & (F.col("a.x0") < F.col("b.x1")) & (F.col("b.x0") < F.col("a.x1"))
-    met = a.alias("a").join(b.alias("b"), on if between is None else on & between)
-    inter = F.sum(F.least("a.x1", "b.x1") - F.greatest("a.x0", "b.x0")).cast("long").alias("inter")
-    pairs = met.groupBy(*[F.col(f"a.{k}") for k in keys], F.col(f"a.{id_col}").alias("a"), F.col(f"b.{id_col}").alias("b")).agg(inter)
-    area = lambda t, name: t.groupBy(*keys, F.col(id_col).alias(name)).agg(F.sum(F.col("x1") - F.col("x0")).cast("long").alias(f"area_{name}"))
-    whole = pairs.join(area(a, "a"), [*keys, "a"]).join(area(b, "b"), [*keys, "b"])
+    box = {}
+    for side, t in (("a", a), ("b", b)):
+        box[side] = materialize(t.groupBy(*keys, id_col).agg(F.sum(F.col("x1") - F.col("x0")).cast("long").alias("area"), F.min("x0").alias("bx0"), F.max("x1").alias("bx1"), F.min("y").alias("by0"), F.max("y").alias("by1")), "boxes")
+    # Each pair of boxes once, in the grid cell where their common part begins.
+    cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / GRID), F.floor(F.col(high) / GRID)))
+    grid = {side: t.withColumn("gx", cells("bx0", "bx1")).withColumn("gy", cells("by0", "by1")) for side, t in box.items()}
+    on = same([*keys, "gx", "gy"]) & (F.col("a.bx0") < F.col("b.bx1")) & (F.col("b.bx0") < F.col("a.bx1")) & (F.col("a.by0") <= F.col("b.by1")) & (F.col("b.by0") <= F.col("a.by1"))
+    on = on & (F.floor(F.greatest("a.bx0", "b.bx0") / GRID) == F.col("a.gx")) & (F.floor(F.greatest("a.by0", "b.by0") / GRID) == F.col("a.gy"))
+    pairs = grid["a"].alias("a").join(grid["b"].alias("b"), on if between is None else on & between)
+    pairs = pairs.select(*[F.col(f"a.{k}") for k in keys], F.col(f"a.{id_col}").alias("a"), F.col(f"b.{id_col}").alias("b"), F.col("a.area").alias("area_a"), F.col("b.area").alias("area_b"))
+    own = [*keys, "a", "y", "x0", "x1"]
+    met = pairs.join(a.withColumnRenamed(id_col, "a").select(*own), [*keys, "a"]).withColumnsRenamed({"x0": "ax0", "x1": "ax1"})
+    met = met.join(b.withColumnRenamed(id_col, "b").select(*keys, "b", "y", "x0", "x1"), [*keys, "b", "y"]).where((F.col("ax0") < F.col("x1")) & (F.col("x0") < F.col("ax1")))
+    inter = F.sum(F.least("ax1", "x1") - F.greatest("ax0", "x0")).cast("long").alias("inter")
+    whole = met.groupBy(*keys, "a", "b", "area_a", "area_b").agg(inter)
     union = (F.col("area_a") + F.col("area_b") - F.col("inter")).alias("union")
     return whole.select(*keys, "a", "b", "inter", union).withColumn("iou", F.col("inter") / F.col("union"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetlake.operators.evaluate import percentiles
+
 #: Default thresholds of promotion, in percent.
 THRESHOLDS = {"mIoU": 85.0, "AP50": 90.0, "BFScore": 80.0}
 
@@ -25,8 +27,8 @@ def last_promoted(registry: DataFrame, keys: list[str]) -> DataFrame:
 
 def profile_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean, population deviation and the 50th and 95th percentile, interpolated."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95)))
-    return rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), p.alias("__p")).select(*keys, "mean", "std", F.col("__p")[0].alias("p50"), F.col("__p")[1].alias("p95"))
+    p = percentiles(rows, keys, value, [0.5, 0.95]).withColumnsRenamed({"p0": "p50", "p1": "p95"})
+    return rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")).join(p, keys)
 
 
 def rolling_mean(log: DataFrame, window: int = 10) -> DataFrame:
@@ -64,3 +66,11 @@ def canary(new: DataFrame, stable: DataFrame, keys: list[str], fall: float = 0.0
     x = new.withColumnRenamed("value", "v_new").join(stable.withColumnRenamed("value", "v_stable"), keys, "full_outer")
     x = x.withColumn("delta", F.col("v_new") - F.col("v_stable"))
     return x.withColumn("ok", F.coalesce(F.col("delta") >= -fall, F.lit(False)))
+
+
+def canary_counts(new: DataFrame, stable: DataFrame, keys: list[str], change: float = 0.1) -> DataFrame:
+    """As ``canary`` for numbers of outputs: rows of either table by key, ``ok`` where they differ by no more than a share of the stable number."""
+    n = lambda t, name: t.groupBy(*keys).agg(F.count("*").alias(name))
+    x = n(new, "v_new").join(n(stable, "v_stable"), keys, "full_outer").fillna(0, ["v_new", "v_stable"])
+    x = x.withColumn("delta", F.col("v_new") - F.col("v_stable"))
+    return x.withColumn("ok", F.abs("delta") <= change * F.col("v_stable"))

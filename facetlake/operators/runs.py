@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,6 +102,83 @@ def closed(runs: DataFrame, frames: DataFrame, keys: list[str], height: int, wid
     return erode(dilate(runs, keys, height, width, radius), frames, keys, height, width, radius)
 
 
+def dilate_plus(runs: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
+    """Dilation by a plus: a cell's row neighbours and column neighbours."""
+    flat = runs.select(*keys, "y", (F.col("x0") - 1).alias("x0"), (F.col("x1") + 1).alias("x1"))
+    tall = runs.select(*keys, F.explode(F.array(F.col("y") - 1, F.col("y") + 1)).alias("y"), "x0", "x1")
+    return merge_runs(clip(flat.unionByName(tall), height, width), keys)
+
+
+def erode_plus(runs: DataFrame, frames: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
+    """Cells whose plus inside the frame is set."""
+    return complement(dilate_plus(complement(runs, frames, keys, height, width), keys, height, width), frames, keys, height, width)
+
+
+def opened_plus(runs: DataFrame, frames: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
+    return dilate_plus(erode_plus(runs, frames, keys, height, width), keys, height, width)
+
+
+def closed_plus(runs: DataFrame, frames: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
+    return erode_plus(dilate_plus(runs, keys, height, width), frames, keys, height, width)
+
+
+def outline(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Directed unit-free edges around each mask: ``(keys, x1, y1, x2, y2)``, the mask on the right of each edge.
+
+    Run ends are upright edges. Where two neighbouring rows of cells differ, the stretch is a level
+    edge: elementary intervals of both rows that only one of them covers. Summed as a shoelace, the
+    edges of a mask give its area.
+    """
+    m = merge_runs(runs, keys)
+    left = m.select(*keys, F.col("x0").alias("x1"), (F.col("y") + 1).alias("y1"), F.col("x0").alias("x2"), F.col("y").alias("y2"))
+    right = m.select(*keys, "x1", F.col("y").alias("y1"), F.col("x1").alias("x2"), (F.col("y") + 1).alias("y2"))
+    both = m.select(*keys, "y", "x0", "x1", F.lit(1).alias("d")).unionByName(m.select(*keys, (F.col("y") + 1).alias("y"), "x0", "x1", F.lit(-1).alias("d")))
+    ends = both.select(*keys, "y", F.explode(F.array(F.struct(F.col("x0").alias("at"), F.col("d").alias("d")), F.struct(F.col("x1").alias("at"), (-F.col("d")).alias("d")))).alias("e")).groupBy(*keys, "y", F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d"))
+    order = Window.partitionBy(*keys, "y").orderBy("at")
+    level = ends.withColumns({"__in": F.sum("d").over(order), "__to": F.lead("at").over(order)}).where("__in <> 0 and __to is not null")
+    top = F.col("__in") > 0  # the row below the line is in, the one above is not
+    flat = level.select(*keys, F.when(top, F.col("at")).otherwise(F.col("__to")).alias("x1"), F.col("y").alias("y1"), F.when(top, F.col("__to")).otherwise(F.col("at")).alias("x2"), F.col("y").alias("y2"))
+    return left.unionByName(right).unionByName(flat)
+
+
+def rings(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, ring, ord, x, y)``: the corners of an ``outline`` in order, one ring an outline or hole, first its topmost and then leftmost corner.
+
+    At a corner where two edges begin the one that turns toward the mask follows, so cells that touch
+    at a corner alone have rings of their own. Going round needs a mask's edges together, which a frame
+    bounds; masks spread over tasks. Straight on, no corner is left. Outer rings have a positive
+    ``signed`` area, holes a negative one.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
+    schema = ", ".join(f"`{k}` {fields[k]}" for k in keys) + ", ring long, ord int, x double, y double"
+
+    def trace(frame: pd.DataFrame) -> pd.DataFrame:
+        follow: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for x1, y1, x2, y2 in frame[["x1", "y1", "x2", "y2"]].itertuples(index=False):
+            follow.setdefault((x1, y1), []).append((x2, y2))
+        found = []
+        for start in sorted(follow, key=lambda p: (p[1], p[0])):
+            while follow[start]:
+                ring, at = [start], follow[start].pop(0)
+                while at != start:
+                    ways, (px, py) = follow[at], ring[-1]
+                    # with two ways on, turn toward the mask, which is on the right as seen on the screen
+                    best = max(range(len(ways)), key=lambda i: (at[0] - px) * (ways[i][1] - at[1]) - (at[1] - py) * (ways[i][0] - at[0]))
+                    ring.append(at)
+                    at = ways.pop(best)
+                turns = [p for i, p in enumerate(ring) if (p[0] - ring[i - 1][0]) * (ring[(i + 1) % len(ring)][1] - p[1]) != (p[1] - ring[i - 1][1]) * (ring[(i + 1) % len(ring)][0] - p[0])]
+                first = min(range(len(turns)), key=lambda i: (turns[i][1], turns[i][0]))
+                found.append(turns[first:] + turns[:first])
+        found.sort(key=lambda ring: (ring[0][1], ring[0][0], len(ring), ring))
+        rows = [(n, i, float(x), float(y)) for n, ring in enumerate(found) for i, (x, y) in enumerate(ring)]
+        out = pd.DataFrame(rows, columns=["ring", "ord", "x", "y"])
+        for k in reversed(keys):
+            out.insert(0, k, frame[k].iloc[0])
+        return out
+
+    return edges.groupBy(*keys).applyInPandas(trace, schema)
+
+
 def rasterize(vertices: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
     """Runs that a ring ``(keys, ord, x, y)`` of whole-number corners fills: even-odd along each row, outline included.
 
@@ -132,6 +210,16 @@ def ring_edges(vertices: DataFrame, keys: list[str]) -> DataFrame:
     return vertices.withColumns(around)
 
 
+def touching(runs: DataFrame, key: str, id_col: str = "inst") -> DataFrame:
+    """Pairs ``(a, b)`` of instances of one ``key``, ``a`` below ``b``, that share cells or a stretch of border, corners alone not counted."""
+    own = runs.select(key, id_col, "y", "x0", "x1")
+    beside = own.withColumn("y", F.explode(F.sequence(F.col("y") - 1, F.col("y") + 1)))
+    met = own.alias("a").join(beside.alias("b"), same([key, "y"]) & (F.col(f"a.{id_col}") < F.col(f"b.{id_col}")) & (F.col("a.x0") < F.col("b.x1")) & (F.col("b.x0") < F.col("a.x1")))
+    side = own.alias("a").join(own.alias("b"), same([key, "y"]) & (F.col(f"a.{id_col}") < F.col(f"b.{id_col}")) & ((F.col("a.x0") == F.col("b.x1")) | (F.col("b.x0") == F.col("a.x1"))))
+    pair = [F.col(f"a.{id_col}").alias("a"), F.col(f"b.{id_col}").alias("b")]
+    return met.select(*pair).unionByName(side.select(*pair)).distinct()
+
+
 def run_components(runs: DataFrame, keys: list[str]) -> DataFrame:
     """8-connected components: runs of neighbouring rows that touch, corners too, share the smallest run number.
 

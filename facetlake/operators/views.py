@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetlake.operators import runs as R
+from facetlake.operators.evaluate import dice
+from facetlake.storage import materialize
 
 
 def rotate_expand(cells: DataFrame, id_col: str, height: int, width: int) -> DataFrame:
@@ -89,6 +91,11 @@ def boundary_bce(cells: DataFrame, keys: list[str], p: str, t: str) -> DataFrame
     return a.join(b, [*keys, "y", "x"]).groupBy(*keys).agg(F.avg(-(F.col("gt") * F.log(q) + (1 - F.col("gt")) * F.log(1 - q))).alias("loss"))
 
 
+def boundary_aware_loss(cells: DataFrame, keys: list[str], p: str, t: str) -> DataFrame:
+    """``(keys, loss)``: Dice loss of a probability and a target map, and the cross-entropy of their borders."""
+    return dice(cells, keys, p, t).join(boundary_bce(cells, keys, p, t), keys).select(*keys, (F.col("dice") + F.col("loss")).alias("loss"))
+
+
 def mask_topology(cells: DataFrame, keys: list[str], p: str, least_share: float = 0.02) -> DataFrame:
     """``(keys, holes, fragments, variation, shortfall, loss)`` of soft masks: change under closing and opening, total variation, and what is missing to a least area."""
     def twice(first: str, second: str) -> DataFrame:
@@ -134,50 +141,41 @@ def prompt_ring(runs: DataFrame, frames: DataFrame, keys: list[str], height: int
     return R.gradient(runs, frames, keys, height, width, 2)
 
 
-def dilate_plus(runs: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
-    """Dilation by a plus: a cell's row neighbours and column neighbours."""
-    flat = runs.select(*keys, "y", (F.col("x0") - 1).alias("x0"), (F.col("x1") + 1).alias("x1"))
-    tall = runs.select(*keys, F.explode(F.array(F.col("y") - 1, F.col("y") + 1)).alias("y"), "x0", "x1")
-    return R.merge_runs(R.clip(flat.unionByName(tall), height, width), keys)
-
+#: Keeps rounding at exact halves and whole steps the same on every machine.
+EPS = 1e-9
 
-def outline(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """Directed unit-free edges around each mask: ``(keys, x1, y1, x2, y2)``, the mask on the right of each edge.
 
-    Run ends are upright edges. Where two neighbouring rows of cells differ, the stretch is a level
-    edge: elementary intervals of both rows that only one of them covers. Summed as a shoelace, the
-    edges of a mask give its area.
-    """
-    m = R.merge_runs(runs, keys)
-    left = m.select(*keys, F.col("x0").alias("x1"), (F.col("y") + 1).alias("y1"), F.col("x0").alias("x2"), F.col("y").alias("y2"))
-    right = m.select(*keys, "x1", F.col("y").alias("y1"), F.col("x1").alias("x2"), (F.col("y") + 1).alias("y2"))
-    both = m.select(*keys, "y", "x0", "x1", F.lit(1).alias("d")).unionByName(m.select(*keys, (F.col("y") + 1).alias("y"), "x0", "x1", F.lit(-1).alias("d")))
-    ends = both.select(*keys, "y", F.explode(F.array(F.struct(F.col("x0").alias("at"), F.col("d").alias("d")), F.struct(F.col("x1").alias("at"), (-F.col("d")).alias("d")))).alias("e")).groupBy(*keys, "y", F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d"))
-    order = Window.partitionBy(*keys, "y").orderBy("at")
-    level = ends.withColumns({"__in": F.sum("d").over(order), "__to": F.lead("at").over(order)}).where("__in <> 0 and __to is not null")
-    top = F.col("__in") > 0  # the row below the line is in, the one above is not
-    flat = level.select(*keys, F.when(top, F.col("at")).otherwise(F.col("__to")).alias("x1"), F.col("y").alias("y1"), F.when(top, F.col("__to")).otherwise(F.col("at")).alias("x2"), F.col("y").alias("y2"))
-    return left.unionByName(right).unionByName(flat)
-
-
-def line_segments(cells: DataFrame, key: str, least_votes: int = 30, least_length: int = 12, gap: int = 6, step: int = 1) -> DataFrame:
+def line_segments(cells: DataFrame, key: str, least_votes: int = 30, least_length: int = 12, gap: int = 6, step: int = 1, beside: int = 8) -> DataFrame:
     """``(key, theta, rho, x1, y1, x2, y2)``: stretches of edge cells along lines that enough cells vote for.
 
-    Every cell votes for one offset at each angle; a line must have more votes than its neighbours in
-    angle and offset (ties by order), and its cells are cut where they are farther apart than ``gap``.
+    Every cell votes for one offset at each angle. A line stands for all that are within ``beside`` of it in angle
+    (around the half circle) and offset, if it has the most votes of them (ties by order); its cells are cut
+    where they are farther apart than ``gap``.
     """
-    angles = F.sequence(F.lit(0), F.lit(179), F.lit(step))
-    x = cells.select(key, "y", "x").withColumn("theta", F.explode(angles))
-    a = F.radians("theta")
-    x = x.withColumns({"rho": F.round(F.col("x") * F.cos(a) + F.col("y") * F.sin(a)).cast("int"), "along": F.col("y") * F.cos(a) - F.col("x") * F.sin(a)})
-    votes = x.groupBy(key, "theta", "rho").agg(F.count("*").alias("n")).where(F.col("n") >= least_votes)
-    near = Window.partitionBy(key, F.floor(F.col("theta") / 8), F.floor(F.col("rho") / 8)).orderBy(F.desc("n"), "theta", "rho")
-    peaks = votes.withColumn("__r", F.row_number().over(near)).where("__r = 1").drop("__r", "n")
+    def offset(theta: Column) -> Column:
+        a = F.radians(theta)
+        return F.floor(F.col("x") * F.cos(a) + F.col("y") * F.sin(a) + 0.5 + EPS).cast("int")
+
+    own = materialize(cells.select(key, "y", "x"), "edges")
+    votes = own.withColumn("theta", F.explode(F.sequence(F.lit(0), F.lit(179), F.lit(step)))).groupBy(key, "theta", offset(F.col("theta")).alias("rho")).agg(F.count("*").alias("n")).where(F.col("n") >= least_votes)
+    votes = materialize(votes, "votes")
+    # Beyond 180 degrees an angle comes again with its offset turned round.
+    again = votes.unionByName(votes.select(key, (F.col("theta") - 180).alias("theta"), (-F.col("rho")).alias("rho"), "n")).unionByName(votes.select(key, (F.col("theta") + 180).alias("theta"), (-F.col("rho")).alias("rho"), "n"))
+    cell = lambda c: F.floor(F.col(c) / beside)
+    placed = votes.withColumns({"ct": cell("theta"), "cr": cell("rho")})
+    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    other = again.withColumns({"ct": cell("theta"), "cr": cell("rho")}).withColumn("ct", around("ct")).withColumn("cr", around("cr"))
+    rank = lambda t: F.struct(-F.col(f"{t}.n"), F.pmod(f"{t}.theta", F.lit(180)), F.when(F.col(f"{t}.theta").between(0, 179), F.col(f"{t}.rho")).otherwise(-F.col(f"{t}.rho")))
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (key, "ct", "cr")]
+    beaten = placed.alias("a").join(other.alias("b"), on + [(F.abs(F.col("a.theta") - F.col("b.theta")) <= beside) & (F.abs(F.col("a.rho") - F.col("b.rho")) <= beside) & (rank("b") < rank("a"))], "left_anti")
+    peaks = beaten.select(key, "theta", "rho")
     order = Window.partitionBy(key, "theta", "rho").orderBy("along", "y", "x")
-    on = x.join(peaks, [key, "theta", "rho"]).withColumn("__new", F.when(F.coalesce(F.col("along") - F.lag("along").over(order) > gap, F.lit(True)), 1).otherwise(0))
+    a = F.radians("theta")
+    on = own.join(peaks, key).where(offset(F.col("theta")) == F.col("rho")).withColumn("along", F.round(F.col("y") * F.cos(a) - F.col("x") * F.sin(a), 6))
+    on = on.withColumn("__new", F.when(F.coalesce(F.col("along") - F.lag("along").over(order) > gap + EPS, F.lit(True)), 1).otherwise(0))
     on = on.withColumn("__n", F.sum("__new").over(order))
     ends = on.groupBy(key, "theta", "rho", "__n").agg(F.min("along").alias("u"), F.max("along").alias("v"), F.min_by(F.struct("x", "y"), F.struct("along", "y", "x")).alias("p"), F.max_by(F.struct("x", "y"), F.struct("along", "y", "x")).alias("q"))
-    return ends.where(F.col("v") - F.col("u") >= least_length).select(key, "theta", "rho", F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), F.col("q.x").alias("x2"), F.col("q.y").alias("y2"))
+    return ends.where(F.col("v") - F.col("u") >= least_length - EPS).select(key, "theta", "rho", F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), F.col("q.x").alias("x2"), F.col("q.y").alias("y2"))
 
 
 def project_faces(faces: DataFrame, vertices: DataFrame, size: int, scale: float) -> DataFrame:

@@ -101,6 +101,15 @@ def class_weights(spark, d):
 SQL["class_weights"] = X.sql("", *LABELS).rstrip() + f", {DISTRIBUTION}\nSELECT cls, CASE WHEN cls = 0 OR cells = 0 THEN 1 ELSE round(least((max(cells) FILTER (cls > 0) OVER ()) / cells, 100), 1) END::DOUBLE AS weight FROM dist"
 
 
+@query()
+def query_class_weights(spark, d):
+    """The same weights for query classification, with a small one for no object."""
+    return A.class_weights(distribution(spark, d), no_object=0.1)
+
+
+SQL["query_class_weights"] = SQL["class_weights"] + " UNION ALL SELECT max(cls) + 1, 0.1::DOUBLE FROM dist"
+
+
 TITLED = "CASE p_size % 8 WHEN 0 THEN 'panels' WHEN 1 THEN 'chimney' WHEN 2 THEN 'antenna' WHEN 3 THEN 'window' WHEN 4 THEN 'secondary structure' WHEN 5 THEN 'property roof' ELSE 'tree' END"
 
 
@@ -181,6 +190,12 @@ def canary(spark, d):
     return x.select("key", r6("v_new", "v_new"), r6("v_stable", "v_stable"), r6("delta", "delta"), "ok")
 
 
+@query("SELECT user_id AS key, count(*) FILTER (event_id % 2 = 0) AS v_new, count(*) FILTER (event_id % 2 = 1) AS v_stable, count(*) FILTER (event_id % 2 = 0) - count(*) FILTER (event_id % 2 = 1) AS delta, abs(count(*) FILTER (event_id % 2 = 0) - count(*) FILTER (event_id % 2 = 1)) <= 0.1::DOUBLE * count(*) FILTER (event_id % 2 = 1) AS ok FROM events GROUP BY user_id")
+def canary_counts(spark, d):
+    e = X.table(spark, d, "events").select("event_id", F.col("user_id").alias("key"))
+    return C.canary_counts(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["key"])
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def event_props_json(spark, d):
     return X.table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))

@@ -139,6 +139,32 @@ def regularized_polygons(spark, d):
     return x.select("inst", "ord", r6("x", "x"), r6("y", "y"))
 
 
+def unrolled(steps: list[tuple[int, str]], u: str, v: str, first: str = "", last: str = "") -> str:
+    """A fold over the four corners of each ring: one nested query a step, each with new values of one corner, then corners as rows."""
+    body = "SELECT inst, " + ", ".join(f"max({c}) FILTER (ord = {k}) AS {c}{k}" for k in range(4) for c in "xy") + " FROM skewed_vertex GROUP BY inst"
+    if first:
+        body = f"SELECT *, {first} FROM ({body}) JOIN turn USING (inst)"
+    for at, step in steps:
+        body = f"SELECT * EXCLUDE ({u}{at}, {v}{at}), {step} FROM ({body})"
+    out = [last.format(k=k) if last else f"round(x{k}, 6) + 0 AS x, round(y{k}, 6) + 0 AS y" for k in range(4)]
+    return with_more(VERTS, RING, " UNION ALL ".join(f"SELECT inst, {k} AS ord, {out[k]} FROM done" for k in range(4))).replace(RING, RING + f""", turn AS (SELECT inst, radians(sum(a * n) / sum(n)) AS th FROM (SELECT inst, ((degrees(atan2(yn - y, xn - x)) % 90) + 90) % 90 AS a, sqrt((xn - x) * (xn - x) + (yn - y) * (yn - y)) AS n FROM ring) GROUP BY inst),
+    done AS MATERIALIZED ({body})""")
+
+
+def _level_step(at: int) -> str:
+    """A corner takes the coordinate of the one before along the shorter part of their side."""
+    b = (at + 3) % 4
+    level = f"abs(u{at} - u{b}) >= abs(v{at} - v{b})"
+    return f"CASE WHEN {level} THEN u{at} ELSE u{b} END AS u{at}, CASE WHEN {level} THEN v{b} ELSE v{at} END AS v{at}"
+
+
+_CLOSE = "CASE WHEN abs(u0 - u3) >= abs(v0 - v3) THEN u3 ELSE u0 END AS u3, CASE WHEN abs(u0 - u3) >= abs(v0 - v3) THEN v0 ELSE v3 END AS v3"
+TURNED = unrolled(
+    [(1, _level_step(1)), (2, _level_step(2)), (3, _level_step(3)), (3, _CLOSE)], "u", "v",
+    ", ".join(f"x{k} * cos(th) + y{k} * sin(th) AS u{k}, y{k} * cos(th) - x{k} * sin(th) AS v{k}" for k in range(4)),
+    "round(u{k} * cos(th) - v{k} * sin(th), 6) + 0 AS x, round(u{k} * sin(th) + v{k} * cos(th), 6) + 0 AS y",
+)
+SQL["regularized_polygons"] = TURNED
 SEGMENTS = """SELECT scene, inst * 4 + ord AS seg, x AS x1, y AS y1, xn AS x2, yn AS y2 FROM ring WHERE inst % 2 = 0"""
 
 
@@ -204,6 +230,18 @@ def plane_normals(spark, d):
     return G.fit_plane(X.points(spark, d), "facet").select("facet", r6("nx", "nx"), r6("ny", "ny"), r6("nz", "nz"), r6("d", "d"), "inliers")
 
 
+# Outliers stand 15 above the planes and the noise is far below the distance, so the points near the best plane are all others.
+# Their plane is along the direction of least moment: the eigenvector of the least eigenvalue, in closed form.
+PLANE = """near AS MATERIALIZED (SELECT l_suppkey % 20 AS facet, l_quantity AS x, (l_partkey % 64)::DOUBLE AS y, 0.1::DOUBLE * l_quantity + 0.2::DOUBLE * (l_partkey % 64)::DOUBLE + 5::DOUBLE + (l_discount - 0.05::DOUBLE) AS z FROM lineitem WHERE l_tax < 0.08),
+    mean AS (SELECT facet, count(*) AS inliers, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM near GROUP BY facet),
+    moment AS (SELECT facet, any_value(inliers) AS inliers, any_value(mx) AS mx, any_value(my) AS my, any_value(mz) AS mz, sum((x - mx) * (x - mx)) AS xx, sum((x - mx) * (y - my)) AS xy, sum((x - mx) * (z - mz)) AS xz, sum((y - my) * (y - my)) AS yy, sum((y - my) * (z - mz)) AS yz, sum((z - mz) * (z - mz)) AS zz FROM near JOIN mean USING (facet) GROUP BY facet),
+    scale AS (SELECT *, sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS s FROM (SELECT *, (xx + yy + zz) / 3 AS q FROM moment)),
+    least_one AS (SELECT *, q + 2 * s * cos(acos(greatest(least(((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (s * s * s) / 2, 1), -1)) / 3 + 2 * pi() / 3) AS l FROM scale),
+    way AS (SELECT facet, inliers, mx, my, mz, unnest([{'a': xy * yz - xz * (yy - l), 'b': xz * xy - (xx - l) * yz, 'c': (xx - l) * (yy - l) - xy * xy}, {'a': xy * (zz - l) - xz * yz, 'b': xz * xz - (xx - l) * (zz - l), 'c': (xx - l) * yz - xy * xz}, {'a': (yy - l) * (zz - l) - yz * yz, 'b': yz * xz - xy * (zz - l), 'c': xy * yz - (yy - l) * xz}]) AS e FROM least_one),
+    plane AS MATERIALIZED (SELECT facet, inliers, mx, my, mz, arg_max(e.a / sqrt(e.a * e.a + e.b * e.b + e.c * e.c) * sign(e.c), e.a * e.a + e.b * e.b + e.c * e.c) AS nx, arg_max(e.b / sqrt(e.a * e.a + e.b * e.b + e.c * e.c) * sign(e.c), e.a * e.a + e.b * e.b + e.c * e.c) AS ny, arg_max(abs(e.c) / sqrt(e.a * e.a + e.b * e.b + e.c * e.c), e.a * e.a + e.b * e.b + e.c * e.c) AS nz FROM way GROUP BY facet, inliers, mx, my, mz)"""
+SQL["plane_normals"] = with_more(("points",), PLANE, "SELECT facet, round(nx, 6) AS nx, round(ny, 6) AS ny, round(nz, 6) AS nz, round(nx * mx + ny * my + nz * mz, 6) AS d, inliers FROM plane WHERE inliers >= 50")
+
+
 @query()
 def geometry_override(spark, d):
     """Every instance's predicted normal, or its facet's fitted plane where the facet has one."""
@@ -212,6 +250,10 @@ def geometry_override(spark, d):
     return x.select("inst", "geometry_source", "plane_inliers", r6("nx", "nx"), r6("ny", "ny"), r6("nz", "nz"))
 
 
+SQL["geometry_override"] = with_more(("instance", "normal", "points"), PLANE, """SELECT n.inst, CASE WHEN p.facet IS NULL THEN 'predicted' ELSE 'plane' END AS geometry_source, p.inliers AS plane_inliers, round(coalesce(p.nx, n.nx), 6) + 0 AS nx, round(coalesce(p.ny, n.ny), 6) + 0 AS ny, round(coalesce(p.nz, n.nz), 6) AS nz
+    FROM normal n LEFT JOIN (SELECT * FROM plane WHERE inliers >= 50) p ON p.facet = n.inst % 25""")
+
+
 EDGE = "least(greatest({0}, 0), 15)"
 MIRROR = "side AS (SELECT sample_id, y, x, z, coalesce(l, r, z) AS l, coalesce(r, l, z) AS r FROM (SELECT *, lag(z) OVER w AS l, lead(z) OVER w AS r FROM height WINDOW w AS (PARTITION BY sample_id, y ORDER BY x))), nine AS MATERIALIZED (SELECT sample_id, y, x, z, l, r, coalesce(ul, dl, l) AS ul, coalesce(uz, dz, z) AS uz, coalesce(ur, dr, r) AS ur, coalesce(dl, ul, l) AS dl, coalesce(dz, uz, z) AS dz, coalesce(dr, ur, r) AS dr FROM (SELECT *, lag(l) OVER w AS ul, lag(z) OVER w AS uz, lag(r) OVER w AS ur, lead(l) OVER w AS dl, lead(z) OVER w AS dz, lead(r) OVER w AS dr FROM side WINDOW w AS (PARTITION BY sample_id, x ORDER BY y)))"
 QUALITY = "quality AS MATERIALIZED (SELECT sample_id, var_pop(uz + dz + l + r - 4 * z) AS sharpness, stddev_pop(z) AS contrast, quantile_cont(abs(z - (ul + ur + dl + dr + 2 * (uz + dz + l + r) + 4 * z) / 16), 0.5) AS noise FROM nine GROUP BY sample_id)"
@@ -302,19 +344,38 @@ SQL["normal_error"] = X.sql(
 ).replace("\nSELECT", ", full_normal AS (SELECT *, degrees(acos(least(abs(nz), 1))) AS slope, (degrees(atan2(ny, nx)) + 360) % 360 AS azimuth FROM normal)\nSELECT", 1)
 
 
+COARSE = "coarse AS MATERIALIZED (SELECT inst, a / n AS nx, b / n AS ny, c / n AS nz FROM (SELECT *, sqrt(a * a + b * b + c * c) AS n FROM (SELECT inst, round(nx) + 0.02::DOUBLE * (inst % 3) AS a, round(ny) + 0.01::DOUBLE * (inst % 5) AS b, round(nz) + 1 AS c FROM normal)))"
+
+
+def coarse(spark: SparkSession, d: str) -> DataFrame:
+    """Normals moved to a few main directions, a degree or two beside them."""
+    x = X.normal(spark, d).selectExpr("inst", "round(nx) + 0.02D * (inst % 3) AS a", "round(ny) + 0.01D * (inst % 5) AS b", "round(nz) + 1 AS c")
+    n = G.norm(F.col("a"), F.col("b"), F.col("c"))
+    return x.select("inst", *[(F.col(c) / n).alias(f"n{k}") for c, k in zip("abc", "xyz", strict=True)])
+
+
 @query()
 def merge_coplanar_facets(spark, d):
-    """Instances of a scene that share cells and whose normals are within 25 degrees, in chains."""
-    runs = X.run(spark, d)
-    near = O.instance_overlap(runs, runs, ["scene"], between=F.col("a.inst") < F.col("b.inst")).where("iou > 0.2")
-    g = G.coplanar_groups(X.normal(spark, d), near.select("a", "b"), 25.0)
-    return g.groupBy("grp").agg(F.count("*").alias("members"), F.max("inst").alias("largest"))
+    """Instances of a scene that share cells or a stretch of border and whose normals are within 5 degrees, in chains, with the cells of each group."""
+    grp, runs = G.merge_coplanar(coarse(spark, d), X.run(spark, d), "scene", 5.0)
+    area = runs.groupBy("grp").agg(F.sum(F.col("x1") - F.col("x0")).cast("long").alias("cells"))
+    return grp.groupBy("grp").agg(F.count("*").alias("members"), F.max("inst").alias("largest")).join(area, "grp")
+
 
+SQL["merge_coplanar_facets"] = with_more(("instance", "run", "normal", "cell"), COARSE + """, beside AS (SELECT i.inst AS a, j.inst AS b FROM instance i JOIN instance j ON i.scene = j.scene AND i.inst < j.inst AND i.x1 <= j.x1 + j.w AND j.x1 <= i.x1 + i.w AND i.y1 <= j.y1 + j.h AND j.y1 <= i.y1 + i.h
+    AND NOT ((i.x1 = j.x1 + j.w OR j.x1 = i.x1 + i.w) AND (i.y1 = j.y1 + j.h OR j.y1 = i.y1 + i.h))), fit AS MATERIALIZED (SELECT a, b FROM beside JOIN coarse p ON p.inst = a JOIN coarse q ON q.inst = b
+    WHERE degrees(acos(greatest(least(p.nx * q.nx + p.ny * q.ny + p.nz * q.nz, 1), -1))) < 5), two AS MATERIALIZED (SELECT a, b FROM fit UNION ALL SELECT b, a FROM fit),
+    reach AS (SELECT inst, inst AS root FROM instance UNION SELECT two.b, root FROM reach JOIN two ON two.a = reach.inst), grp AS MATERIALIZED (SELECT inst, min(root) AS grp FROM reach GROUP BY inst)""",
+    "SELECT grp, members, largest, cells FROM (SELECT grp, count(*) AS members, max(inst) AS largest FROM grp GROUP BY grp) JOIN (SELECT grp, count(DISTINCT y * 1000 + x) AS cells FROM cell JOIN grp USING (inst) GROUP BY grp) USING (grp)").replace("WITH ", "WITH RECURSIVE ", 1)
 
-SQL["merge_coplanar_facets"] = with_more(("instance", "run", "normal"), PAIRS.format(on="a.inst < b.inst") + """, fit AS MATERIALIZED (SELECT a, b FROM pair JOIN normal p ON p.inst = a JOIN normal q ON q.inst = b
-    WHERE iou > 0.2 AND degrees(acos(greatest(least(p.nx * q.nx + p.ny * q.ny + p.nz * q.nz, 1), -1))) < 25), two AS MATERIALIZED (SELECT a, b FROM fit UNION ALL SELECT b, a FROM fit),
-    reach AS (SELECT inst, inst AS root FROM instance UNION SELECT two.b, root FROM reach JOIN two ON two.a = reach.inst)""",
-    "SELECT grp, count(*) AS members, max(inst) AS largest FROM (SELECT inst, min(root) AS grp FROM reach GROUP BY inst) GROUP BY grp").replace("WITH ", "WITH RECURSIVE ", 1)
+
+@query("SELECT inst, round(-nx, 6) + 0 AS hx, round(ny, 6) + 0 AS hy, round(nx, 6) + 0 AS vx, round(-ny, 6) + 0 AS vy, round(ny, 6) + 0 AS tx, round(nx, 6) + 0 AS ty FROM normal", "instance", "normal")
+def flipped_normals(spark, d):
+    parts = []
+    for way, name in (("horizontal", "h"), ("vertical", "v"), ("transpose", "t")):
+        x, y = G.flip(F.col("nx"), F.col("ny"), way)
+        parts += [r6(x, f"{name}x"), r6(y, f"{name}y")]
+    return X.normal(spark, d).select("inst", *parts)
 
 
 @query("SELECT sample, q, cls, round(prob, 6) AS prob FROM (SELECT sample, q, arg_max(cls, (e, -cls)) FILTER (cls BETWEEN 1 AND 4) AS cls, max(e) FILTER (cls BETWEEN 1 AND 4) / sum(e) AS prob FROM (SELECT *, exp(logit - max(logit) OVER (PARTITION BY sample, q)) AS e FROM query_score) GROUP BY ALL) WHERE prob >= 0.3", "query_score")
@@ -366,6 +427,14 @@ def robust_outliers(spark, d):
     return E.robust_outliers(x, ["label"], "v").groupBy("label").agg(F.count("*").alias("n"), F.sum(F.col("outlier").cast("long")).alias("outliers"))
 
 
+@query(
+    f"""SELECT sample, q, round(0.5 * bce + 0.5 * hinge, 6) AS loss FROM (SELECT sample, q, avg(greatest(logit, 0) - logit * g + ln(1 + exp(-abs(logit)))) AS bce FROM {SOFT} GROUP BY ALL) JOIN (SELECT sample, q, sum(greatest(err, 0) * (j - coalesce(pj, 0))) AS hinge FROM (SELECT *, lag(j) OVER w AS pj FROM (SELECT *, 1 - (t - s) / (t + r - s) AS j FROM (
+    SELECT sample, q, cls, 1 - logit * (2 * g - 1) AS err, sum(g) OVER (PARTITION BY sample, q) AS t, sum(g) OVER v AS s, row_number() OVER v AS r FROM {SOFT}
+    WINDOW v AS (PARTITION BY sample, q ORDER BY 1 - logit * (2 * g - 1) DESC, cls ROWS UNBOUNDED PRECEDING))) WINDOW w AS (PARTITION BY sample, q ORDER BY err DESC, cls)) GROUP BY ALL) USING (sample, q)""", "query_score")
+def mixed_mask_loss(spark, d):
+    return E.mixed_mask_loss(soft(spark, d), ["sample", "q"], "logit", "g", "cls").select("sample", "q", r6("loss", "loss"))
+
+
 def mesh(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Each part's name as a mesh of four corners and two triangles."""
     p = X.table(spark, d, "part")

@@ -33,10 +33,10 @@ def run(spark: SparkSession, d: str) -> DataFrame:
 
 
 def normal(spark: SparkSession, d: str) -> DataFrame:
-    """A unit normal for each instance: ``(scene, inst, nx, ny, nz)``."""
+    """A unit normal for each instance: ``(scene, inst, nx, ny, nz)``; instances take the vectors of the whole table in turn."""
     e = table(spark, d, "embeddings").selectExpr("vec_id", "double(embedding[0]) AS a", "double(embedding[1]) AS b", "abs(double(embedding[2])) AS c")
     n = F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b") + F.col("c") * F.col("c"))
-    i = instance(spark, d).select("scene", "inst", (F.col("inst") % 500).alias("vec_id"))
+    i = instance(spark, d).select("scene", "inst", (F.col("inst") % max(1, e.count())).alias("vec_id"))
     return i.join(e, "vec_id").select("scene", "inst", (F.col("a") / n).alias("nx"), (F.col("b") / n).alias("ny"), (F.col("c") / n).alias("nz"))
 
 
@@ -91,7 +91,7 @@ CTE = {
         12 + (o_orderkey // 2) % 17 AS h, round(0.05::DOUBLE + ((o_orderkey * 31) % 90) / 100::DOUBLE, 2) AS score FROM orders""",
     "run": "SELECT scene, inst, label, side, score, y, x1 AS x0, x1 + w AS x1 FROM (SELECT *, unnest(range(y1, y1 + h)) AS y FROM instance)",
     "normal": """SELECT scene, inst, a / n AS nx, b / n AS ny, c / n AS nz FROM (SELECT *, sqrt(a * a + b * b + c * c) AS n FROM (
-        SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, abs(embedding[3]::DOUBLE) AS c FROM embeddings) JOIN instance ON vec_id = inst % 500)""",
+        SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, abs(embedding[3]::DOUBLE) AS c FROM embeddings) JOIN instance ON vec_id = inst % (SELECT count(*) FROM embeddings))""",
     "vertex": """SELECT scene, inst, ord, CASE WHEN ord IN (1, 2) THEN x1 + w ELSE x1 END::DOUBLE AS x, CASE WHEN ord IN (2, 3) THEN y1 + h ELSE y1 END::DOUBLE AS y
         FROM instance, (SELECT unnest(range(4))::INTEGER AS ord)""",
     "skewed_vertex": "SELECT scene, inst, ord, x + (inst * 7 + ord * 3) % 5 AS x, y + (inst * 3 + ord * 5) % 4 AS y FROM vertex",

@@ -13,7 +13,7 @@ from facetlake.operators import runs as R
 from facetlake.operators import stencils as T
 from facetlake.operators import views as V
 from facetlake.plans import fixtures as X
-from facetlake.plans.facets import MIRROR, mesh
+from facetlake.plans.facets import MIRROR, TURNED, mesh, segments, unrolled
 from facetlake.plans.scenes import CELLS, FG, both_masks, mask_cells, r6, with_more
 
 S = X.FRAME
@@ -92,6 +92,15 @@ SQL["boundary_bce"] = with_more(("height",), SOFT, f"""SELECT sample_id, round(a
     FROM {WINDOW.format(keep='p', v='p', t='soft')} a JOIN {WINDOW.format(keep='t', v='t', t='soft')} b USING (sample_id, y, x)) GROUP BY sample_id""")
 
 
+@query()
+def boundary_aware_loss(spark, d):
+    return V.boundary_aware_loss(soft(spark, d), ["sample_id"], "p", "t").select("sample_id", r6("loss", "loss"))
+
+
+SQL["boundary_aware_loss"] = with_more(("height",), SOFT, f"""SELECT sample_id, round(avg(-(g * ln(q) + (1 - g) * ln(1 - q))) + 1 - 2 * sum(p * t) / (sum(p * p) + sum(t * t) + 1e-6::DOUBLE), 6) AS loss FROM (SELECT a.sample_id, a.p, b.t, b.high - b.low AS g, least(greatest(a.high - a.low, 1e-6::DOUBLE), (1 - 1e-6)::DOUBLE) AS q
+    FROM {WINDOW.format(keep='p', v='p', t='soft')} a JOIN {WINDOW.format(keep='t', v='t', t='soft')} b USING (sample_id, y, x)) GROUP BY sample_id""")
+
+
 @query()
 def mask_topology(spark, d):
     x = V.mask_topology(soft(spark, d), ["sample_id"], "p")
@@ -150,7 +159,7 @@ SQL["prompt_ring"] = with_more(CELLS, WIDE, """SELECT scene, side, count(*)::BIG
 
 @query()
 def dilate_plus(spark, d):
-    return mask_cells(V.dilate_plus(both_masks(spark, d)[0], ["scene", "side"], S, S))
+    return mask_cells(R.dilate_plus(both_masks(spark, d)[0], ["scene", "side"], S, S))
 
 
 SQL["dilate_plus"] = with_more(CELLS, FG, """SELECT scene, side, count(*)::BIGINT AS cells, sum(y)::BIGINT AS moment FROM (SELECT DISTINCT scene, side, y + dy AS y, x + dx AS x FROM fg, (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) t(dy, dx) WHERE y + dy BETWEEN 0 AND 127 AND x + dx BETWEEN 0 AND 127) GROUP BY ALL""")
@@ -159,7 +168,7 @@ SQL["dilate_plus"] = with_more(CELLS, FG, """SELECT scene, side, count(*)::BIGIN
 @query()
 def outline_area(spark, d):
     """Area of each mask from its outline alone."""
-    e = V.outline(both_masks(spark, d)[0], ["scene", "side"])
+    e = R.outline(both_masks(spark, d)[0], ["scene", "side"])
     twice = F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))
     length = F.sum(F.abs(F.col("x2") - F.col("x1")) + F.abs(F.col("y2") - F.col("y1")))
     return e.groupBy("scene", "side").agg(F.abs(twice / 2).cast("long").alias("area"), length.cast("long").alias("perimeter"))
@@ -171,9 +180,51 @@ SQL["outline_area"] = with_more(CELLS, FG, """SELECT scene, side, count(*)::BIGI
 
 @query()
 def hough_segments(spark, d):
-    """Straight stretches of each mask's border."""
-    cells = R.to_pixels(R.gradient(*both_masks(spark, d), ["scene", "side"], S, S)).where("side = 'gt'")
-    return V.line_segments(cells, "scene", step=15)
+    """Straight stretches of each mask's inner border, every degree: their number, turns and offsets."""
+    runs, frames = both_masks(spark, d)
+    inner = R.intersect(runs, R.dilate(R.complement(runs, frames, ["scene", "side"], S, S), ["scene", "side"], S, S), ["scene", "side"])
+    cells = R.to_pixels(inner).withColumn("mask", F.col("scene") * 2 + (F.col("side") == "gt").cast("long"))
+    x = V.line_segments(cells, "mask")
+    return x.groupBy("mask").agg(F.count("*").alias("lines"), F.sum("theta").cast("long").alias("turns"), F.sum("rho").cast("long").alias("offsets"))
+
+
+@query()
+def mask_rings(spark, d):
+    """Corners, rings less holes, and area of each mask from its traced rings."""
+    edges = R.outline(both_masks(spark, d)[0], ["scene", "side"])
+    x = G.polygon_measures(R.rings(edges, ["scene", "side"]), ["scene", "side", "ring"])
+    return x.groupBy("scene", "side").agg(F.sum("corners").cast("long").alias("corners"), F.sum(F.signum("signed")).cast("long").alias("euler"), F.sum("signed").cast("long").alias("area"))
+
+
+# Of the four cells around a point: one or three set make a corner, two across from each other make two.
+SQL["mask_rings"] = with_more(CELLS, FG, """SELECT scene, side, sum(CASE WHEN n IN (1, 3) THEN 1 WHEN n = 2 AND dy = 1 AND dx = 1 THEN 2 ELSE 0 END)::BIGINT AS corners, (sum(CASE WHEN n = 1 THEN 1 WHEN n = 3 THEN -1 WHEN n = 2 AND dy = 1 AND dx = 1 THEN 2 ELSE 0 END) // 4)::BIGINT AS euler, (sum(n) // 4)::BIGINT AS area
+    FROM (SELECT scene, side, y + dy AS vy, x + dx AS vx, count(*) AS n, sum(dy) AS dy, sum(dx) AS dx FROM fg, (SELECT unnest([0, 1]) AS dy), (SELECT unnest([0, 1]) AS dx) GROUP BY scene, side, y + dy, x + dx) GROUP BY ALL""")
+
+
+@query()
+def mask_polygons(spark, d):
+    """From every mask to its regular polygons, on the sides of the annotations where these are near."""
+    x = G.polygons_of_masks(*both_masks(spark, d), ["scene", "side"], S, S, least_area=64.0, align=True, square=True, lines=segments(spark, d))
+    return x.select("scene", "side", "ring", "ord", r6("x", "x"), r6("y", "y"))
+
+
+PLUS = f"{FG}, plus AS (SELECT * FROM (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) t(dy, dx))"
+GROWN = "SELECT DISTINCT scene, side, y + dy AS y, x + dx AS x FROM {0}, plus WHERE y + dy BETWEEN 0 AND 127 AND x + dx BETWEEN 0 AND 127"
+SHRUNK = "SELECT scene, side, y, x FROM (SELECT scene, side, y + dy AS y, x + dx AS x, count(*) AS n FROM {0}, plus WHERE y + dy BETWEEN 0 AND 127 AND x + dx BETWEEN 0 AND 127 GROUP BY ALL) WHERE n = 5 - (y IN (0, 127))::INT - (x IN (0, 127))::INT"
+
+
+@query()
+def opened_plus(spark, d):
+    return mask_cells(R.opened_plus(*both_masks(spark, d), ["scene", "side"], S, S))
+
+
+@query()
+def closed_plus(spark, d):
+    return mask_cells(R.closed_plus(*both_masks(spark, d), ["scene", "side"], S, S))
+
+
+SQL["opened_plus"] = with_more(CELLS, f"{PLUS}, core AS MATERIALIZED ({SHRUNK.format('fg')})", f"SELECT scene, side, count(*)::BIGINT AS cells, sum(y)::BIGINT AS moment FROM ({GROWN.format('core')}) GROUP BY ALL")
+SQL["closed_plus"] = with_more(CELLS, f"{PLUS}, grown AS MATERIALIZED ({GROWN.format('fg')})", f"SELECT scene, side, count(*)::BIGINT AS cells, sum(y)::BIGINT AS moment FROM ({SHRUNK.format('grown')}) GROUP BY ALL")
 
 
 @query("SELECT scene, side, y, x0, x1 FROM span")
@@ -208,12 +259,30 @@ def squared_polygons(spark, d):
     return G.square_corners(X.skewed_vertex(spark, d), ["inst"]).select("inst", "ord", r6("x", "x"), r6("y", "y"))
 
 
+def _square_step(at: int) -> str:
+    """One corner of four: what the fold does there, the ring's other corners staying."""
+    before, after = (at + 3) % 4, (at + 1) % 4
+    ax, ay, bx, by = f"(x{before} - x{at})", f"(y{before} - y{at})", f"(x{after} - x{at})", f"(y{after} - y{at})"
+    la, lb = f"sqrt({ax} * {ax} + {ay} * {ay})", f"sqrt({bx} * {bx} + {by} * {by})"
+    off = f"abs(degrees(acos(greatest(least(({ax} * {bx} + {ay} * {by}) / ({la} * {lb}), 1), -1))) - 90)"
+    t = f"CASE WHEN {la} >= {lb} THEN ({bx} * {ax} + {by} * {ay}) / ({la} * {la}) ELSE ({ax} * {bx} + {ay} * {by}) / ({lb} * {lb}) END"
+    near = f"{la} > 0 AND {lb} > 0 AND {off} < 10 AND {off} > 1e-9::DOUBLE"
+    moved = {c: f"CASE WHEN {near} THEN CASE WHEN {la} >= {lb} THEN {c}{at} + ({t}) * {a} ELSE {c}{at} + ({t}) * {b} END ELSE {c}{at} END AS {c}{at}" for c, a, b in (("x", ax, bx), ("y", ay, by))}
+    return f"{moved['x']}, {moved['y']}"
+
+
+SQL["squared_polygons"] = unrolled([(at, _square_step(at)) for at in range(4)], "x", "y")
+
+
 @query()
 def regularized_rings(spark, d):
-    """The whole way from a ring to a regular one."""
+    """The whole way from a ring to a regular one; corners far from each other stay when it is simplified, and those that turning puts in one place become one."""
     return G.regularize(X.skewed_vertex(spark, d), ["inst"]).select("inst", "ord", r6("x", "x"), r6("y", "y"))
 
 
+SQL["regularized_rings"] = TURNED.replace("SELECT inst, 0 AS ord", "SELECT inst, ord, x, y FROM (SELECT *, lag(x) OVER (PARTITION BY inst ORDER BY ord) AS px, lag(y) OVER (PARTITION BY inst ORDER BY ord) AS py FROM (SELECT inst, 0 AS ord", 1) + ")) WHERE px IS NULL OR sqrt((x - px) * (x - px) + (y - py) * (y - py)) > 1e-3"
+
+
 def sobel(spark: SparkSession, d: str) -> DataFrame:
     return T.sobel_normals(X.height(spark, d), ["sample_id"])
 

@@ -281,6 +281,22 @@ SPANS = """span AS MATERIALIZED (SELECT scene, side, y, min(x) AS x0, max(x) + 1
 SQL["components_merged"] = with_more(CELLS, f"{FG}, {SPANS}", "SELECT scene, side, sum(x1 - x0)::BIGINT AS area, min(y) AS top, min(x0) AS \"left\", max(x1) AS \"right\" FROM node JOIN comp USING (id) GROUP BY scene, side, root").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+@query()
+def semantic_instances(spark, d):
+    """Label maps alone as instances of low score; the third class is the ignored value."""
+    x = labels(spark, d).withColumn("cls", F.when(F.col("cls") == 3, 255).otherwise(F.col("cls")))
+    c = I.semantic_instances(x, ["scene", "side"])
+    return c.groupBy("scene", "side", "cls", "component", "score").agg(F.sum(F.col("x1") - F.col("x0")).cast("long").alias("area"), F.min("y").alias("top"), F.min("x0").alias("left"), F.max("x1").alias("right")).drop("component")
+
+
+CLASS_SPANS = """span AS MATERIALIZED (SELECT scene, side, cls, y, min(x) AS x0, max(x) + 1 AS x1 FROM (SELECT *, x - row_number() OVER (PARTITION BY scene, side, cls, y ORDER BY x) AS g FROM label_cell WHERE cls < 3) GROUP BY scene, side, cls, y, g),
+    node AS MATERIALIZED (SELECT *, scene * 100000000 + (side = 'gt')::INT * 10000000 + cls * 1000000 + y * 1000 + x0 AS id FROM span),
+    link AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM node a JOIN node b ON a.scene = b.scene AND a.side = b.side AND a.cls = b.cls AND abs(a.y - b.y) = 1 AND a.x0 <= b.x1 AND b.x0 <= a.x1),
+    reach AS (SELECT id, id AS root FROM node WHERE id NOT IN (SELECT a FROM link WHERE b < a) UNION SELECT link.b, root FROM reach JOIN link ON link.a = reach.id),
+    comp AS (SELECT id, min(root) AS root FROM reach GROUP BY id)"""
+SQL["semantic_instances"] = with_more(LABELS, CLASS_SPANS, "SELECT scene, side, cls, 0.05::DOUBLE AS score, sum(x1 - x0)::BIGINT AS area, min(y) AS top, min(x0) AS \"left\", max(x1) AS \"right\" FROM node JOIN comp USING (id) GROUP BY scene, side, cls, root HAVING sum(x1 - x0) >= 64").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 @query(
     """SELECT scene, inst, y, x1 AS x0, x1 + w + 1 AS x1 FROM (SELECT *, unnest(range(y1, y1 + h + 1)) AS y FROM instance)""", "instance")
 def rasterize_polygons(spark, d):

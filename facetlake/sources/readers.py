@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from facetlake.storage import materialize
+
 SPACE = r"^\s+|\s+$"
 COCO = "images array<struct<id:bigint,file_name:string,width:int,height:int>>, annotations array<struct<id:bigint,image_id:bigint,category_id:int,segmentation:variant,area:double,bbox:array<double>,iscrowd:int>>, categories array<struct<id:int,name:string>>"
 BITMAP = "size struct<height:int,width:int>, objects array<struct<classTitle:string,bitmap:struct<origin:array<int>,data:string>>>"
@@ -26,19 +28,25 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, line_no, value)``: lines of each file, counted from 0; a file is one row before it is cut, so its order holds."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split("value", r"\r?\n").alias("lines"))
-    return whole.select("path", F.posexplode("lines").alias("line_no", "value"))
+    """``(path, line_no, value)``: lines of each file, counted from 0.
+
+    A large file is read in blocks by many tasks. A block's lines are counted, the blocks before it make
+    its first number, and lines are numbered inside their block.
+    """
+    x = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"), "value")
+    x = materialize(x, "lines")
+    sizes = x.groupBy("path", "__block").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("path").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
+    x = x.join(sizes.select("path", "__block", F.coalesce(before, F.lit(0)).alias("__before")), ["path", "__block"])
+    number = F.col("__before") + F.row_number().over(Window.partitionBy("path", "__block").orderBy("__at")) - 1
+    return x.select("path", number.cast("int").alias("line_no"), "value")
 
 
 def read_split(spark: SparkSession, path: str, drop_blank: bool = True) -> DataFrame:
     """``(sample_id, line_no)`` with all surrounding white space gone; a missing file is an empty split."""
     if not _exists(spark, path):
         return _empty(spark, "sample_id string, line_no int")
-    x = read_lines(spark, path)
-    last = F.max("line_no").over(Window.partitionBy("path"))
-    x = x.withColumn("__last", last).where((F.col("line_no") < F.col("__last")) | (F.col("value") != ""))  # no line follows the last line break
-    x = x.select(F.regexp_replace("value", SPACE, "").alias("sample_id"), "line_no")
+    x = read_lines(spark, path).select(F.regexp_replace("value", SPACE, "").alias("sample_id"), "line_no")
     return x.where("sample_id <> ''") if drop_blank else x
 
 
@@ -75,8 +83,16 @@ def ring_vertices(rings: DataFrame) -> DataFrame:
 
 def read_bitmap_json(spark: SparkSession, path: str) -> DataFrame:
     """``(image, title, origin_x, origin_y, data, height, width)`` of objects with an encoded bitmap; others go."""
-    doc = spark.read.schema(BITMAP).option("multiLine", True).json(path).withColumn("image", F.regexp_extract(F.input_file_name(), r"([^/]*)\.json$", 1))
-    x = doc.select("image", "size", F.explode("objects").alias("o")).where("o.bitmap.data is not null and o.bitmap.origin is not null")
+    return _bitmaps(spark.read.schema(BITMAP).option("multiLine", True).json(path))
+
+
+def read_bitmap_lines(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read_bitmap_json`` for files that hold one document a line, which many tasks can read."""
+    return _bitmaps(spark.read.schema(BITMAP).json(path))
+
+
+def _bitmaps(doc: DataFrame) -> DataFrame:
+    x = doc.select(F.regexp_extract(F.input_file_name(), r"([^/]*)\.json$", 1).alias("image"), "size", F.explode("objects").alias("o")).where("o.bitmap.data is not null and o.bitmap.origin is not null")
     return x.select("image", F.col("o.classTitle").alias("title"), F.col("o.bitmap.origin")[0].alias("origin_x"), F.col("o.bitmap.origin")[1].alias("origin_y"), F.unbase64("o.bitmap.data").alias("data"), "size.height", "size.width")
 
 
@@ -141,21 +157,24 @@ def read_feature_lines(spark: SparkSession, path: str) -> DataFrame:
     return x.select(F.coalesce("p.instance_id", "p.polygon_id").alias("facet"), "p.class_id", "p.class_name", F.coalesce("p.geometry_confidence", "p.confidence").alias("confidence"), "p.slope_deg", "p.azimuth_deg", "p.normal")
 
 
+REGISTRY = "struct<checkpoint:string,metrics:map<string,double>,thresholds:map<string,double>,status:string>"
+
+
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """``(seq, checkpoint, metrics, thresholds, status)`` of a JSON array; any other file is an empty registry."""
-    entry = "array<struct<checkpoint:string,metrics:map<string,double>,thresholds:map<string,double>,status:string>>"
-    x = spark.read.text(path, wholetext=True).select(F.from_json("value", entry).alias("e"))
+    """``(seq, checkpoint, metrics, thresholds, status)`` of a JSON array; any other file, or none, is an empty registry."""
+    if not _exists(spark, path):
+        return _empty(spark, f"seq int, {REGISTRY.removeprefix('struct<').removesuffix('>')}")
+    x = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<{REGISTRY}>").alias("e"))
     return x.select(F.posexplode("e").alias("seq", "e")).select("seq", "e.*").where("checkpoint is not null or metrics is not null or status is not null")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, line_no, iter, mode, key, value)`` of JSON lines; other lines go, the mode defaults to train and the step to 0."""
-    x = read_lines(spark, path)
+    """``(path, iter, mode, key, value)`` of JSON lines; other lines go, the mode defaults to train and the step to 0. Large files are read by many tasks."""
     parsed = F.from_json("value", "map<string,string>")
-    x = x.select("path", "line_no", parsed.alias("m")).where("m is not null")
+    x = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), parsed.alias("m")).where("m is not null")
     get = lambda k: F.try_element_at("m", F.lit(k))
     step = F.coalesce(get("iter").cast("long"), get("step").cast("long"), F.lit(0))
-    rows = x.select("path", "line_no", step.alias("iter"), F.coalesce(get("mode"), F.lit("train")).alias("mode"), F.explode("m").alias("key", "text"))
+    rows = x.select("path", step.alias("iter"), F.coalesce(get("mode"), F.lit("train")).alias("mode"), F.explode("m").alias("key", "text"))
     return rows.withColumn("value", F.expr("try_cast(text AS double)")).where("value is not null and key not in ('iter', 'step')").drop("text")
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetlake.operators.manifest import holdout
+from facetlake.operators.stencils import sobel_normals
+from facetlake.sources.readers import read_registry
+from facetlake.storage import materialize
 
 
 def write_split(ids: DataFrame, path: str, share: int = 10, legacy: bool = False) -> None:
@@ -44,22 +47,48 @@ def write_metrics(metrics: DataFrame, path: str, k: int) -> None:
     """Metrics by falling hard score as CSV, and the ids of the ``k`` hardest."""
     rows = metrics.orderBy(F.desc("hard_score"), "sample_id")
     rows.write.mode("overwrite").option("header", True).csv(f"{path}/metrics")
-    rows.limit(max(k, 0)).select("sample_id").write.mode("overwrite").text(f"{path}/hard_ids")
+    rows.limit(max(k, 0)).select(F.col("sample_id").cast("string").alias("sample_id")).write.mode("overwrite").text(f"{path}/hard_ids")
 
 
-def error_report(metrics: DataFrame, iou: DataFrame, k: int = 30) -> DataFrame:
-    """``(section, key, value)``: means in percent, IoU by class, and the hardest samples."""
+def error_report(metrics: DataFrame, iou: DataFrame, k: int = 30, outliers: DataFrame | None = None) -> DataFrame:
+    """``(section, key, value)``: means in percent, IoU by class, the hardest samples, and how many values of each measure are ``outliers(measure, outlier)``."""
     percent = lambda c: F.format_string("%.2f", F.coalesce(c, F.lit(0.0)) * 100)
     mean = metrics.agg(F.count("*").alias("n"), F.avg("roof_iou").alias("i"), F.avg("bfscore").alias("b"))
     summary = mean.select(F.explode(F.array(*[F.struct(F.lit("summary").alias("section"), F.lit(k_).alias("key"), v.alias("value")) for k_, v in (("samples", F.col("n").cast("string")), ("roof_iou", percent(F.col("i"))), ("bfscore", percent(F.col("b"))))])).alias("r")).select("r.*")
     by_class = iou.select(F.lit("class_iou").alias("section"), F.col("cls").cast("string").alias("key"), percent(F.col("iou")).alias("value"))
     hard = metrics.orderBy(F.desc("hard_score"), "sample_id").limit(k).select(F.lit("hardest").alias("section"), F.col("sample_id").cast("string").alias("key"), F.format_string("%.4f", "hard_score").alias("value"))
-    return summary.unionByName(by_class).unionByName(hard)
+    report = summary.unionByName(by_class).unionByName(hard)
+    if outliers is None:
+        return report
+    counts = outliers.groupBy("measure").agg(F.sum(F.col("outlier").cast("int")).alias("n"))
+    return report.unionByName(counts.select(F.lit("outliers").alias("section"), F.col("measure").alias("key"), F.col("n").cast("string").alias("value")))
 
 
 def append_registry(entries: DataFrame, path: str) -> None:
-    """Entries after those that are there."""
-    entries.write.mode("append").parquet(path)
+    """Entries ``(checkpoint, metrics, thresholds, status)`` after those that are there, by order of checkpoint; the file is one JSON array, as ``read_registry`` takes it. A registry holds runs, so it is small."""
+    names = ["checkpoint", "metrics", "thresholds", "status"]
+    old = materialize(read_registry(entries.sparkSession, path).select(F.lit(0).alias("part"), "seq", *names), "registry")
+    new = entries.select(F.lit(1).alias("part"), F.row_number().over(Window.orderBy("checkpoint")).alias("seq"), *names)
+    lines = old.unionByName(new).select(F.struct("part", "seq", F.to_json(F.struct(*names)).alias("value")).alias("e"))
+    whole = lines.agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["value"]), ","), F.lit("]")).alias("value"))
+    whole.write.mode("overwrite").text(path)
+
+
+def write_height_pairs(pairs: DataFrame, heights: DataFrame, path: str) -> DataFrame:
+    """Pseudo ground truth of ``pairs(sample_id, image_path, dsm_path, mask_path)``: finite ``heights`` (``sample_id, y, x, z``) of each pair and their normals as Parquet below ``path``.
+
+    Returns the manifest ``(sample_id, image_path, mask_path, depth_path, normal_path, cells)``, one row a pair; pairs without a height have null paths.
+    """
+    keys = pairs.select("sample_id").distinct()
+    depth = heights.join(keys, "sample_id", "left_semi")
+    normal = sobel_normals(depth, ["sample_id"])
+    for name, t in (("depth", depth), ("normal", normal)):
+        t.repartition("sample_id").sortWithinPartitions("sample_id", "y", "x").write.mode("overwrite").parquet(f"{path}/{name}")
+    spark = pairs.sparkSession
+    done = spark.read.parquet(f"{path}/normal").groupBy("sample_id").agg(F.count("*").alias("cells"))
+    x = pairs.join(done, "sample_id", "left")
+    there = lambda name: F.when(F.col("cells").isNotNull(), F.concat(F.lit(f"{path}/{name}#"), F.col("sample_id")))
+    return x.select("sample_id", "image_path", "mask_path", there("depth").alias("depth_path"), there("normal").alias("normal_path"), F.coalesce("cells", F.lit(0)).alias("cells"))
 
 
 def adjacency(edges: DataFrame) -> DataFrame:

@@ -221,3 +221,63 @@ def test_straight_lines_are_found(spark):
     line = spark.createDataFrame([(1, 20, x) for x in range(5, 60)] + [(1, 20, x) for x in range(80, 110)], "scene int, y int, x int")
     got = [(r.y1, r.y2, min(r.x1, r.x2), max(r.x1, r.x2)) for r in V.line_segments(line, "scene").where("theta = 90").collect()]
     assert sorted(got) == [(20, 20, 5, 59), (20, 20, 80, 109)]
+
+
+def test_rings_of_a_mask_with_a_hole_and_a_corner_contact(spark):
+    rows = [(1, y, 0, 6) for y in range(6) if y not in (2, 3)] + [(1, y, a, b) for y in (2, 3) for a, b in ((0, 2), (4, 6))] + [(1, 6, 6, 8), (1, 7, 6, 8)]
+    runs = spark.createDataFrame(rows, "k int, y int, x0 int, x1 int")
+    got = {}
+    for r in R.rings(R.outline(runs, ["k"]), ["k"]).collect():
+        got.setdefault(r.ring, []).append((r.ord, r.x, r.y))
+    corners = [[p[1:] for p in sorted(v)] for _, v in sorted(got.items())]
+    assert corners == [[(0, 0), (6, 0), (6, 6), (0, 6)], [(2, 2), (2, 4), (4, 4), (4, 2)], [(6, 6), (8, 6), (8, 8), (6, 8)]]
+    signed = {r.ring: r.signed for r in G.polygon_measures(R.rings(R.outline(runs, ["k"]), ["k"]), ["k", "ring"]).collect()}
+    assert signed == {0: 36.0, 1: -4.0, 2: 4.0}
+
+
+def test_polygon_of_a_slanted_mask(spark):
+    # a right triangle with a step in each row, a spot that is too small, and a hole that does not count
+    rows = [(1, y, 10, 10 + y) for y in range(10, 50)] + [(1, 5, 60, 62)]
+    runs, frames = spark.createDataFrame(rows, "k int, y int, x0 int, x1 int"), spark.createDataFrame([(1,)], "k int")
+    got = sorted((r.ord, r.x, r.y) for r in G.polygons_of_masks(runs, frames, ["k"], 64, 64, least_area=100.0).collect())
+    assert 4 <= len(got) <= 6
+    area = abs(sum(a[1] * b[2] - b[1] * a[2] for a, b in zip(got, got[1:] + got[:1], strict=True))) / 2
+    # the tolerance is 0.015 of the perimeter of about 170, along the longest side of about 57
+    assert abs(area - sum(r[3] - r[2] for r in rows[:-1])) < 0.015 * 170 * 57
+    assert G.polygons_of_masks(runs.limit(0), frames, ["k"], 64, 64).count() == 0
+
+
+def test_percentiles_of_hot_keys_are_exact(spark):
+    rng = np.random.default_rng(3)
+    values = [(1, float(v)) for v in rng.normal(size=3000)] + [(2, 5.0)] * 2000 + [(2, 7.0)] * 2001 + [(3, 1.0), (3, 4.0), (4, None)]
+    got = {r.k: (r.p0, r.p1, r.p2) for r in E.percentiles(spark.createDataFrame(values, "k int, v double"), ["k"], "v", [0.5, 0.95, 0.0]).collect()}
+    for k in (1, 2, 3):
+        assert got[k] == pytest.approx(tuple(np.percentile([v for i, v in values if i == k], [50, 95, 0])))
+    assert got[4] == (None, None, None)
+
+
+def test_boxes_that_only_meet_do_not_make_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows = [r for i in range(60) for y, x, h, w in [rng.integers(0, 90, 2).tolist() + rng.integers(1, 40, 2).tolist()] for r in square(i % 2, i, y, y + h, x, x + w)]
+    runs = spark.createDataFrame(rows, RUN)
+    held = {}
+    for s, i, _, _, y, x0, x1 in rows:
+        held.setdefault((s, i), set()).update((y, x) for x in range(x0, x1))
+    want = {(a[1], b[1]): len(held[a] & held[b]) for a in held for b in held if a[0] == b[0] and a[1] < b[1] and held[a] & held[b]}
+    got = O.instance_overlap(runs, runs, ["scene"], between=F.col("a.inst") < F.col("b.inst")).collect()
+    assert {(r.a, r.b): r.inter for r in got} == want
+
+
+def test_first_rows_of_an_order(spark):
+    ids = spark.createDataFrame([(f"s{i:03d}",) for i in range(500)], "sample_id string")
+    assert sorted(r[0] for r in M.first_rows(ids, 123, F.desc("sample_id")).collect()) == [f"s{i:03d}" for i in range(377, 500)]
+
+
+def test_refined_plane_has_the_least_orthogonal_distance(spark):
+    rng = np.random.default_rng(2)
+    normal = np.array([0.9, 0.2, 0.3]) / np.linalg.norm([0.9, 0.2, 0.3])  # steep
+    pts = rng.uniform(-10, 10, (400, 3))
+    pts = pts - (pts @ normal)[:, None] * normal + rng.normal(0, 0.05, (400, 1)) * normal
+    r = G.fit_plane(spark.createDataFrame([(1, *map(float, p)) for p in pts], "facet int, x double, y double, z double"), "facet").first()
+    want = np.linalg.svd(pts - pts.mean(axis=0))[2][2]
+    assert abs(np.dot([r.nx, r.ny, r.nz], want)) > 1 - 1e-9 and r.inliers == 400

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path under ``spark.checkpoint.dir``.
 
-    The cluster names the shared folder in that setting. Only where it is unset, as in a local
-    test session, a temporary folder of this machine takes its place.
+    The cluster names the shared folder in that setting. Only where it is unset in a local session, as
+    in tests, a temporary folder of this machine takes its place; on a cluster that is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.getConf().get("spark.checkpoint.dir") and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 

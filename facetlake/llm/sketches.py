@@ -137,8 +137,8 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = keyed.groupBy("bucket").agg(F.sum(F.length("text")), F.min("doc_id").eqNullSafe(F.max("doc_id"))).collect()
     if not sizes:
         return spark.createDataFrame([], _EDITED)
-    parts = [(b, _SPAN // min(MOST_BUCKETS, max(1, int(chars // bucket_chars))) + 1 if one else _SPAN) for b, chars, one in sizes]
-    keyed = keyed.join(F.broadcast(spark.createDataFrame(parts, "bucket int, step long")), "bucket").withColumn("part", F.expr("cast(hash div step AS int)")).drop("step")
+    parts = [(b, min(_SPAN, _SPAN // min(MOST_BUCKETS, max(1, int(chars // bucket_chars))) + 1) if one else _SPAN) for b, chars, one in sizes]
+    keyed = keyed.join(F.broadcast(spark.createDataFrame(parts, "bucket int, step long")), "bucket").withColumn("part", F.expr(f"if(step = {_SPAN}, 0, cast(hash div step AS int))")).drop("step")
     # And one row a part: its first row.
     first = keyed.groupBy("bucket", "part").agg(F.min(F.struct("doc_id", "hash")).alias("low")).orderBy("bucket", "part").collect()
     heads = [(r.bucket, r.part, r.low.doc_id, r.low.hash, *first[i - 1][:2]) for i, r in enumerate(first)]

@@ -1,0 +1,164 @@
+"""Every registered query of this part over whole tables: its columns, its rows and what can be said by brute force."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+
+import __spark_entry__
+from facetlake.llm import licenses, queries, sketches
+
+pytest.importorskip("public_tokenizers")
+COLUMNS = {
+    "op1_language_crf": {"doc_id", "held_out", "lang_pred", "score"},
+    "op2_embedding_int8": {"vec_id", "n_links", "component_id", "kept"},
+    "op3_packing": {"doc_id", "size", "piece", "piece_start", "piece_size", "bin_id", "bin_offset", "bin_capacity", "bin_used"},
+    "op4_token_files": {"doc_id", "start", "n_tokens", "ids_crc32"},
+    "op5_token_counts": {"doc_id", "n_pretokens", "n_tokens"},
+    "op6_simhash_trie": {"doc_id", "fingerprint", "component_id"},
+    "op7_mixing": {"doc_id", "size", "source_size", "target", "taken"},
+    "op8_licenses": {"doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"},
+    "op9_bottom_k": {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"},
+    "op10_toxicity": {"doc_id", "held_out", "score", "predicted"},
+}
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return sorted((r.doc_id, r.text or "", r.lang, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+
+
+@pytest.fixture(scope="module")
+def result(spark, sf):
+    made = {}
+
+    def get(name):
+        if name not in made:
+            frame = queries.queries()[name](spark, sf)
+            assert COLUMNS[name] <= set(frame.columns)
+            made[name] = frame.collect()
+        return made[name]
+
+    return get
+
+
+def test_all_are_registered():
+    assert set(COLUMNS) | {"pipeline"} <= set(__spark_entry__.queries()) and set(COLUMNS) == set(queries.queries())
+
+
+@pytest.mark.parametrize("name", sorted(set(COLUMNS) - {"op2_embedding_int8", "op3_packing"}))
+def test_each_document_has_one_row(result, docs, name):
+    assert sorted(r.doc_id for r in result(name)) == [d[0] for d in docs]
+
+
+def test_language_query(result, docs):
+    by = {r.doc_id: r for r in result("op1_language_crf")}
+    for i, text, _, _ in docs:
+        assert by[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= by[i].score <= 1
+        assert (by[i].lang_pred == "und") == (not any(c.isalpha() for c in text))
+    known = [(by[i].lang_pred, lang) for i, _, lang, _ in docs if lang and by[i].held_out]
+    assert np.mean([a == b for a, b in known]) > 0.95
+
+
+def test_embedding_query(result, spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    vec = {r.vec_id: np.array(r.embedding, float) for r in rows}
+    label = {r.vec_id: r.label for r in rows}
+    links = Counter()
+    ids = sorted(vec)
+    unit = np.stack([vec[i] / np.linalg.norm(vec[i]) for i in ids])
+    near = (unit @ unit.T >= 0.98) & (np.array([label[i] for i in ids])[:, None] == np.array([label[i] for i in ids]))
+    for k, i in enumerate(ids):
+        links[i] = int(near[k].sum()) - 1
+    got = {r.vec_id: r for r in result("op2_embedding_int8")}
+    assert {i: got[i].n_links for i in ids} == dict(links) and all(r.kept == (r.vec_id == r.component_id) for r in got.values())
+
+
+def test_packing_query(result, docs):
+    words = {i: len(re.findall(r"[^\x20\x09-\x0D]+", text)) for i, text, _, _ in docs}
+    total, bins = Counter(), Counter()
+    for r in result("op3_packing"):
+        total[r.doc_id] += r.piece_size
+        if r.bin_id is not None:
+            bins[r.bin_id, r.bin_capacity, r.bin_used] += r.piece_size
+    assert total == Counter(words) and all(held == used <= capacity for (_, capacity, used), held in bins.items())
+
+
+def test_token_file_query(result, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok, start, got = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0, {r.doc_id: r for r in result("op4_token_files")}
+    for i, text, _, _ in docs:
+        ids = np.array([*tok.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def plain_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) > 2 else [" ".join(words)] if words else []
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_query(result, docs):
+    fps = {i: plain_fingerprint(text) for i, text, _, _ in docs}
+    root = {i: i for i in fps}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(fps)
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            if bin(fps[i] ^ fps[j]).count("1") <= 2:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in result("op6_simhash_trie")} == {i: (f"{fps[i]:016x}", find(i)) for i in ids}
+
+
+def test_license_query(result, docs):
+    got = {r.doc_id: r for r in result("op8_licenses")}
+    for i, text, _, _ in docs:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        places = [(k, label) for p, label in licenses.BASE for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
+        want = (len(words), len(places), min((k for k, _ in places), default=None), max((k for k, _ in places), default=None), ",".join(sorted({x for _, x in places})))
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == want and 0 <= r.score <= 1
+        assert set(r.base_labels.split(",")) <= set(r.labels.split(",")) or not r.base_labels
+
+
+def test_fingerprint_query(result, docs):
+    got = {r.doc_id: r for r in result("op9_bottom_k")}
+    for k, (i, text, _, _) in enumerate(docs):
+        after, cut = docs[(k + 1) % len(docs)][1], len(text) // 4
+        edited = text[: len(text) - cut] + after[:cut]
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert r.fingerprint == sketches.to_text(sketches.sketch(text.encode())) and r.edited_fingerprint == sketches.to_text(sketches.sketch(edited.encode()))
+
+
+def test_toxicity_query(result, docs, spark, sf):
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = {r.doc_id: r for r in result("op10_toxicity")}
+    for i, _, _, _ in docs:
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= got[i].score <= 1 and got[i].predicted == int(got[i].score >= 0.5)
+    clean = [got[i].predicted for i, y in toxic.items() if y == 0 and i in got]
+    assert np.mean(clean) < 0.05
+
+
+def test_pipeline_run_keeps_to_its_stages(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, sf).collect(), docs.schema)
+    want = Counter((r.doc_id, r["size"], r.piece_start, r.piece_size) for r in corpus_pipeline.pack(spark, docs, sf).collect())
+    assert Counter((r.doc_id, r["size"], r.piece_start, r.piece_size) for r in corpus_pipeline.run(spark, sf).collect()) == want

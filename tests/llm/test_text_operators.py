@@ -276,6 +276,13 @@ def test_edited_texts_and_estimates(spark, sf, odd):
     assert sketches.edited_likeness(docs.limit(0)).count() == 0
 
 
+def test_a_hot_id_is_cut_by_its_texts(spark):
+    rows = [(i, f"text of {i} " * 9) for i in range(5)] + [(None, f"no id {i} " * 9) for i in range(60)] + [(3, f"same id {i} " * 9) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    many, one = (sketches.edited_likeness(docs, bucket_chars=size).select("doc_id", "edited_sha256", "near_next").collect() for size in (500, 10**9))
+    assert len(many) == len(rows) and sorted(map(repr, many)) == sorted(map(repr, one))
+
+
 def test_sketches_merge_and_estimate():
     words = [f"w{i}" for i in range(5000)]
     a, b = " ".join(words[:4000]).encode(), " ".join(words[2000:]).encode()

@@ -257,8 +257,8 @@ def fit_plane(points: DataFrame, key: str, trials: int = 200, distance: float =
     planes = x.select(key, "trial", *[(F.col(f"c{i}") / F.col("n")).alias(f"n{c}") for i, c in enumerate("xyz")], "o").withColumn("d", F.col("nx") * F.col("o.x") + F.col("ny") * F.col("o.y") + F.col("nz") * F.col("o.z"))
     planes = materialize(planes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("trial", "nx", "ny", "nz", "d"))).alias("planes")), "planes")
     off = lambda t: F.abs(t["nx"] * F.col("x") + t["ny"] * F.col("y") + t["nz"] * F.col("z") - t["d"])
-    near = fine.join(planes, key).select(key, F.posexplode(F.transform("planes", lambda t: (off(t) <= distance).cast("int"))).alias("at", "near"))
-    tried = near.groupBy(key, "at").agg(F.sum("near").alias("inliers"))
+    near = fine.join(planes, key).select(key, "x", "y", "z", F.posexplode("planes").alias("at", "t"))
+    tried = near.groupBy(key, "at").agg(F.sum((off(F.col("t")) <= distance).cast("int")).alias("inliers"))
     best = tried.groupBy(key).agg(F.max_by(F.struct("at", "inliers"), F.struct("inliers", -F.col("at"))).alias("b")).where(F.col("b.inliers") >= max(least, 3))
     best = best.join(planes, key).select(key, F.col("planes")[F.col("b.at")].alias("t"), F.col("b.inliers").alias("inliers"))
     s = plane_scatter(fine.join(best, key).where(off(F.col("t")) <= distance).select(key, "x", "y", "z"), [key])

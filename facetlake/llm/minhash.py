@@ -129,9 +129,10 @@ def links(docs: DataFrame, nodes: DataFrame, least: float, shingle_words: int) -
     x = rows.alias("x").join(hubs.select("key", "hub.*").alias("y"), (F.col("x.key") == F.col("y.key")) & may("x", "y"))
     second = materialize(x.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct(), "hubs")
     found = materialize(found.unionByName(_alike(second, sets, least)), "links")
-    rows = _labelled(rows, found)
-    x = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & may("x", "y"))
-    across = x.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    rows = _labelled(rows, found).join(nodes.select("node", "keys"), "node")
+    once = F.col("x.key") == F.array_min(F.array_intersect("x.keys", "y.keys"))  # a pair meets in several keys and is put out in the first of them
+    x = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & may("x", "y") & once)
+    across = x.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     return found.unionByName(_alike(materialize(across.join(second, ["a", "b"], "left_anti"), "across"), sets, least))
 
 

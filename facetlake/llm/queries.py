@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetlake.llm import embdedup, langid, licenses, mixing, packing, simhash, sketches, tokencounts, tokenfiles, toxicity
+from facetlake.llm import embdedup, langid, licenses, merkle, mixing, packing, periodic, quality, simhash, sketches, tokencounts, tokenfiles, toxicity
 from facetlake.storage import shared_dir
 
 
@@ -74,10 +75,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out(5, 0).alias("held_out"), "score", "predicted")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    found = merkle.manifest(docs, changed=F.when(_held_out(5, 0), lower))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    found = quality.score(docs.select("doc_id", "text"), labels.where(~_held_out(3, 1)))
+    return found.select("doc_id", _held_out(3, 1).alias("held_out"), "score", "predicted")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    text = F.when(F.pmod(h, F.lit(10)) == 0, periodic.repeated_from(F.col("text"), F.floor(h / 10))).otherwise(F.col("text"))
+    return periodic.digests(periodic.find_runs(docs.select("doc_id", text.alias("text")))).drop("n_words")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_crf, op2_embedding_int8, op3_packing, op4_token_files, op5_token_counts, op6_simhash_trie, op7_mixing, op8_licenses, op9_bottom_k, op10_toxicity)
+    every = (op1_language_crf, op2_embedding_int8, op3_packing, op4_token_files, op5_token_counts, op6_simhash_trie, op7_mixing, op8_licenses, op9_bottom_k, op10_toxicity, op11_merkle_manifest, op12_quality_discriminant, op13_periodic_runs)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.MIX_SQL}
+    return {"op7_mixing": mixing.MIX_SQL, "op11_merkle_manifest": merkle.MANIFEST_SQL}

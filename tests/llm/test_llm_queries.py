@@ -11,6 +11,7 @@ import xxhash
 
 import __spark_entry__
 from facetlake.llm import licenses, queries, sketches
+from test_manifest_quality_runs import plain_manifest
 
 pytest.importorskip("public_tokenizers")
 COLUMNS = {
@@ -24,6 +25,9 @@ COLUMNS = {
     "op8_licenses": {"doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"},
     "op9_bottom_k": {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"},
     "op10_toxicity": {"doc_id", "held_out", "score", "predicted"},
+    "op11_merkle_manifest": {"doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"},
+    "op12_quality_discriminant": {"doc_id", "held_out", "score", "predicted"},
+    "op13_periodic_runs": {"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"},
 }
 
 
@@ -154,6 +158,55 @@ def test_toxicity_query(result, docs, spark, sf):
     assert np.mean(clean) < 0.05
 
 
+def test_manifest_query(result, spark, sf):
+    rows = [r.asDict() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    tampered = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 and bool(re.search("[A-Z]", r["text"] or "")) for r in rows}
+    got = result("op11_merkle_manifest")
+    assert sorted(((r.doc_id, r.leaf, r.subroot, r.root, r.proof_sha256) for r in got), key=repr) == [x[:5] for x in plain_manifest(rows)]
+    assert {r.doc_id: r.verified for r in got} == {i: not t for i, t in tampered.items()} and any(tampered.values())
+    assert all(r.verified == (r.folded_root == r.root) for r in got)
+
+
+def test_quality_query(result, docs, spark, sf):
+    good = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = {r.doc_id: r for r in result("op12_quality_discriminant")}
+    for i, _, _, _ in docs:
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= got[i].score <= 1 and got[i].predicted == int(got[i].score >= 0.5)
+    held = [(got[i].predicted, y) for i, y in good.items() if i in got and got[i].held_out]
+    assert np.mean([p == y for p, y in held]) > 0.9 and any(p == y == 0 for p, y in held)
+
+
+def test_periodic_run_query(result, docs):
+    got = {r.doc_id: r for r in result("op13_periodic_runs")}
+    for i, text, _, _ in docs:
+        w, h = re.findall(r"[^\x20\x09-\x0D]+", text), zlib.crc32(str(i).encode())
+        if h % 10 == 0 and w:
+            a = h // 10 % len(w)
+            p = 1 + (len(w) - a) // (3 + h // 10 % 8)
+            w = [w[k] if k < a else w[a + (k - a) % p] for k in range(len(w))]
+        runs = periodic_runs(w)
+        gone = {k for s, n, q in runs for k in range(s + q, s + n)}
+        top = min(runs, key=lambda r: (-r[1], r[0], r[2]), default=None)
+        r = got[i]
+        assert (r.n_runs, r.start, r.length, r.period) == (len(runs), *(top or (None,) * 3)) and r.exponent_milli == (top and 1000 * top[1] // top[2])
+        assert r.runs_sha256 == hashlib.sha256("".join(f"{s},{n},{q}\n" for s, n, q in runs).encode()).hexdigest()
+        assert r.collapsed_sha256 == hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()
+
+
+def periodic_runs(w):
+    """Runs by comparing the words of every distance with numpy."""
+    known = {}
+    w = np.array([known.setdefault(x, len(known)) for x in w])
+    out = []
+    for q in range(1, len(w) // 4 + 1):
+        edge = np.diff(np.concatenate(([0], w[q:] == w[:-q], [0])).astype(int))
+        for s, e in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
+            n = int(e - s) + q
+            if n >= max(6, 4 * q) and not any((w[s + p : s + n] == w[s : s + n - p]).all() for p in range(1, q)):
+                out.append((int(s), n, q))
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
 def test_pipeline_run_keeps_to_its_stages(spark, sf):
     import corpus_pipeline
 

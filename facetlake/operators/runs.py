@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from facetlake.operators.components import connected_components
@@ -144,39 +143,45 @@ def outline(runs: DataFrame, keys: list[str]) -> DataFrame:
 def rings(edges: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys, ring, ord, x, y)``: the corners of an ``outline`` in order, one ring an outline or hole, first its topmost and then leftmost corner.
 
-    At a corner where two edges begin the one that turns toward the mask follows, so cells that touch
-    at a corner alone have rings of their own. Going round needs a mask's edges together, which a frame
-    bounds; masks spread over tasks. Straight on, no corner is left. Outer rings have a positive
-    ``signed`` area, holes a negative one.
+    Edges in line become one, so every edge ends at a turn. At a corner where two edges begin the one
+    that turns toward the mask follows, so cells that touch at a corner alone have rings of their own.
+    Rings come from pointer doubling: in each round an edge knows the first corner of twice as many
+    edges ahead and how far off it is, until no edge learns of another one. That is a join a round, and
+    as many rounds as the longest ring's corners have binary digits; no mask is gathered, however long
+    its outline. Outer rings have a positive ``signed`` area, holes a negative one.
     """
-    fields = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
-    schema = ", ".join(f"`{k}` {fields[k]}" for k in keys) + ", ring long, ord int, x double, y double"
-
-    def trace(frame: pd.DataFrame) -> pd.DataFrame:
-        follow: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for x1, y1, x2, y2 in frame[["x1", "y1", "x2", "y2"]].itertuples(index=False):
-            follow.setdefault((x1, y1), []).append((x2, y2))
-        found = []
-        for start in sorted(follow, key=lambda p: (p[1], p[0])):
-            while follow[start]:
-                ring, at = [start], follow[start].pop(0)
-                while at != start:
-                    ways, (px, py) = follow[at], ring[-1]
-                    # with two ways on, turn toward the mask, which is on the right as seen on the screen
-                    best = max(range(len(ways)), key=lambda i: (at[0] - px) * (ways[i][1] - at[1]) - (at[1] - py) * (ways[i][0] - at[0]))
-                    ring.append(at)
-                    at = ways.pop(best)
-                turns = [p for i, p in enumerate(ring) if (p[0] - ring[i - 1][0]) * (ring[(i + 1) % len(ring)][1] - p[1]) != (p[1] - ring[i - 1][1]) * (ring[(i + 1) % len(ring)][0] - p[0])]
-                first = min(range(len(turns)), key=lambda i: (turns[i][1], turns[i][0]))
-                found.append(turns[first:] + turns[:first])
-        found.sort(key=lambda ring: (ring[0][1], ring[0][0], len(ring), ring))
-        rows = [(n, i, float(x), float(y)) for n, ring in enumerate(found) for i, (x, y) in enumerate(ring)]
-        out = pd.DataFrame(rows, columns=["ring", "ord", "x", "y"])
-        for k in reversed(keys):
-            out.insert(0, k, frame[k].iloc[0])
-        return out
-
-    return edges.groupBy(*keys).applyInPandas(trace, schema)
+    state, changed, step = _with_successors(edges, keys), 1, 1
+    while changed:
+        ahead = state.select(F.col("id").alias("next"), F.col("next").alias("far"), F.col("low").alias("low_far"), F.col("off").alias("off_far"))
+        closer = F.col("low_far") < F.col("low")
+        x = state.join(ahead, "next").select(
+            "id", *keys, "x", "y", F.col("far").alias("next"), F.when(closer, F.col("low_far")).otherwise(F.col("low")).alias("low"),
+            F.when(closer, F.col("off_far") + step).otherwise(F.col("off")).alias("off"), closer.alias("moved"),
+        )
+        seen = Observation()
+        state = materialize(x.observe(seen, F.sum(F.col("moved").cast("long")).alias("n")).drop("moved"), "rings")
+        changed, step = seen.get["n"] or 0, step * 2
+    # every edge now knows its ring's first corner and how many edges ahead that is
+    first = state.where("off = 0").select(*keys, "low", (F.row_number().over(Window.partitionBy(*keys).orderBy("low")) - 1).cast("long").alias("ring"))
+    size = state.groupBy(*keys, "low").agg((F.max("off") + 1).alias("size"))
+    at = F.pmod(F.col("size") - F.col("off"), F.col("size")).cast("int").alias("ord")
+    return state.join(first, [*keys, "low"]).join(size, [*keys, "low"]).select(*keys, "ring", at, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+
+
+def _with_successors(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Edges from turn to turn: ``(id, keys, x, y, next, low, off)``, ``low`` being the edge's own first corner as yet. Numbered once and written down."""
+    upright, ahead = F.col("x1") == F.col("x2"), F.col("x1") + F.col("y1") < F.col("x2") + F.col("y2")
+    line = edges.select(*keys, upright.alias("upright"), ahead.alias("ahead"), F.when(upright, F.col("x1")).otherwise(F.col("y1")).alias("y"), F.when(upright, F.least("y1", "y2")).otherwise(F.least("x1", "x2")).alias("x0"), F.when(upright, F.greatest("y1", "y2")).otherwise(F.greatest("x1", "x2")).alias("x1"))
+    line = merge_runs(line, [*keys, "upright", "ahead"])
+    start, end = F.when(F.col("ahead"), F.col("x0")).otherwise(F.col("x1")), F.when(F.col("ahead"), F.col("x1")).otherwise(F.col("x0"))
+    at = {"x": F.when(F.col("upright"), F.col("y")).otherwise(start), "y": F.when(F.col("upright"), start).otherwise(F.col("y")), "xe": F.when(F.col("upright"), F.col("y")).otherwise(end), "ye": F.when(F.col("upright"), end).otherwise(F.col("y"))}
+    turns = materialize(line.select(*keys, *[c.alias(n) for n, c in at.items()]).withColumn("id", F.monotonically_increasing_id()), "turns")
+    met = turns.alias("a").join(turns.alias("b"), same(keys) & (F.col("a.xe") == F.col("b.x")) & (F.col("a.ye") == F.col("b.y")))
+    # with two ways on, turn toward the mask, which is on the right as seen on the screen
+    cross = (F.col("a.xe") - F.col("a.x")) * (F.col("b.ye") - F.col("b.y")) - (F.col("a.ye") - F.col("a.y")) * (F.col("b.xe") - F.col("b.x"))
+    own = [F.col(f"a.{c}").alias(c) for c in ("id", *keys, "x", "y")]
+    x = met.groupBy(*own).agg(F.max_by("b.id", cross).alias("next"))
+    return x.withColumns({"low": F.struct("y", "x"), "off": F.lit(0).cast("long")})
 
 
 def rasterize(vertices: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:

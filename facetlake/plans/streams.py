@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from facetlake.plans import fixtures as X
-from facetlake.plans.scenes import r6
+from facetlake.plans.scenes import SQL as SCENE_SQL
+from facetlake.plans.scenes import merged, r6, scored_runs
 from facetlake.storage import shared_dir
 from facetlake.streaming import logs
 
@@ -31,51 +33,83 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("user_id").alias("run"), F.col("event_type").alias("key"), "value", F.col("ts").cast("timestamp").alias("ts"), "event_id")
 
 
-def finished(rows: DataFrame, mode: str, schema: str) -> DataFrame:
-    """Runs a stream over what is there; its rows come back from a table in the shared folder.
+def finished(rows: DataFrame, schema: str) -> DataFrame:
+    """Runs a stream in append mode over what is there; its rows come back from a table in the shared folder.
 
     A batch that runs again after a failure writes its own folder again, so no row comes twice.
     """
-    spark = rows.sparkSession
-    out, state = shared_dir(spark, "stream"), shared_dir(spark, "stream-state")
+    out = shared_dir(rows.sparkSession, "stream")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    ended(rows, keep)
+    return rows.sparkSession.read.schema(schema).parquet(out).drop("batch")
 
-    rows.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(out).drop("batch")
+
+def ended(rows: DataFrame, keep) -> StreamingQuery:
+    """Runs a stream to the end of what is there with a ``foreachBatch`` function."""
+    spark = rows.sparkSession
+    with logs.with_state_store(spark):
+        query = rows.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", shared_dir(spark, "stream-state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    return query
 
 
 @query(
-    """SELECT date_trunc('hour', ts) AS start, user_id AS run, event_type AS key, count(*) AS n, round(avg(value), 6) AS mean, round(arg_max(value, (ts, event_id)), 6) AS latest FROM events GROUP BY ALL""")
+    """SELECT date_trunc('hour', ts) AS start, user_id AS run, event_type AS key, count(*) AS n, round(avg(value), 6) AS mean, round(arg_max(value, (ts, event_id)), 6) AS latest FROM events
+    WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL""")
 def stream_log_metrics(spark, d):
-    x = logs.log_metrics(event_stream(spark, d), "1 hour")
-    x = finished(x, "complete", "start timestamp, run long, key string, n long, mean double, latest double")
+    """The windows that the watermark has closed, of all records."""
+    x = finished(logs.log_metrics(event_stream(spark, d), "1 hour"), "start timestamp, run long, key string, n long, mean double, latest double")
     return x.select(F.col("start").cast("timestamp_ntz").alias("start"), "run", "key", "n", r6("mean", "mean"), r6("latest", "latest"))
 
 
 @query(
-    """SELECT run, min(ts) AS start, max(ts) AS last_seen, count(*) AS records FROM (SELECT *, sum(fresh) OVER (PARTITION BY run ORDER BY ts, event_id) AS s FROM (
-    SELECT user_id AS run, ts, event_id, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 2 HOUR, true)::INT AS fresh FROM events)) GROUP BY run, s""")
+    """SELECT user_id AS run, ts AS since, CASE WHEN next > ts + INTERVAL 2 HOUR THEN next END AS until FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next,
+    (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events) AS mark FROM events) WHERE next > ts + INTERVAL 2 HOUR OR next IS NULL AND ts + INTERVAL 2 HOUR <= mark""")
 def stream_stalls(spark, d):
-    x = finished(logs.sessions(event_stream(spark, d), "2 hours"), "complete", "run long, start timestamp, last_seen timestamp, records long")
-    return x.select("run", F.col("start").cast("timestamp_ntz").alias("start"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "records")
+    """Every pause of over two hours, and the runs that hang at the end."""
+    x = finished(logs.stall_alerts(event_stream(spark, d), 7200), logs.STALL)
+    at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz").alias(c)
+    return x.select("run", at("since"), at("until"))
 
 
 @query(
     """SELECT run, arg_min(event_id, iter) AS first_event, 2::BIGINT AS length FROM (SELECT *, iter - row_number() OVER (PARTITION BY run ORDER BY iter) AS island FROM log WHERE key = 'error')
     GROUP BY run, island HAVING count(*) >= 2""", "log")
 def stream_zero_streak(spark, d):
-    return finished(logs.zero_streaks(event_stream(spark, d), 2), "append", logs.STREAK)
+    return finished(logs.zero_streaks(event_stream(spark, d), 2), logs.STREAK)
 
 
 @query("SELECT event_id, user_id AS run, value FROM events WHERE value >= 5")
 def stream_detections(spark, d):
     x = event_stream(spark, d).withColumn("score", F.col("value"))
-    return finished(logs.new_detections(x, ["event_id"], 5.0).select("event_id", "run", "value"), "append", "event_id long, run long, value double")
+    return finished(logs.new_detections(x, ["event_id"], 5.0).select("event_id", "run", "value"), "event_id long, run long, value double")
 
 
-@query("SELECT event_id, CASE WHEN 80 + value >= 85 THEN 'promoted' ELSE 'rejected' END AS status FROM events")
+@query(
+    """SELECT event_id, CASE WHEN bool_and(coalesce(CASE WHEN e.event_type = t.metric THEN 80 + e.value END, CASE WHEN t.metric = 'floor' THEN e.value END, 0) >= t.least) THEN 'promoted' ELSE 'rejected' END AS status
+    FROM events e, (SELECT DISTINCT event_type AS metric, CASE WHEN length(event_type) > 4 THEN 0.0 ELSE -1.0 END AS least FROM events UNION ALL SELECT 'floor', 5.0) t GROUP BY event_id""")
 def stream_kpi_gate(spark, d):
-    x = event_stream(spark, d).select("event_id", F.create_map(F.lit("mIoU"), 80 + F.col("value")).alias("metrics"))
-    return finished(logs.gate(x, {"mIoU": 85.0}).select("event_id", "status"), "append", "event_id long, status string")
+    """Records gated by a thresholds table that lies beside the stream."""
+    events, limits, out = X.table(spark, d, "events"), shared_dir(spark, "thresholds"), shared_dir(spark, "gated")
+    own = events.select(F.col("event_type").alias("metric")).distinct().withColumn("least", F.when(F.length("metric") > 4, 0.0).otherwise(-1.0))
+    own.unionByName(spark.sql("SELECT 'floor' AS metric, 5.0D AS least")).write.parquet(limits)
+    x = event_stream(spark, d).select("event_id", F.create_map(F.col("key"), 80 + F.col("value"), F.lit("floor"), F.col("value")).alias("metrics"))
+    ended(x, logs.gate_writer(limits, out))
+    return spark.read.schema("event_id long, status string").parquet(out).drop("batch")
+
+
+@query()
+def stream_scene_merge(spark, d):
+    """Scenes merged as their detections arrive in three batches, a scene's in more than one of them."""
+    runs, source, out = scored_runs(spark, d), shared_dir(spark, "detections"), shared_dir(spark, "scenes")
+    third = F.pmod("inst", F.lit(3)).cast("int").alias("third")
+    runs.select("*", third).repartition(3, "third").write.partitionBy("third").parquet(source)
+    stream = spark.readStream.schema(runs.select("*", third).schema).option("maxFilesPerTrigger", 1).parquet(source).drop("third")
+    ended(stream, logs.scene_merger(out, "scene", ["scene", "label"], method="score", threshold=0.5))
+    return merged(spark.read.parquet(f"{out}/merged").withColumn("scene", F.col("scene").cast("long")))
+
+
+SQL["stream_scene_merge"] = SCENE_SQL["merge_tiles_score"]

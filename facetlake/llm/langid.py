@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from facetlake.storage import materialize
+
 #: Log2 of the weight table's rows.
 HASH_BITS = 18
 #: Characters whose features are computed at a time.
@@ -286,14 +288,17 @@ def _marginals(scores: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple
 def training_stretches(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_lang: int = 500, stretches_per_doc: int = 6) -> list[tuple[str, str]]:
     """A bounded sample of ``(language, stretch)``: ``docs_per_lang`` documents of every language by hash order, ``stretches_per_doc`` stretches from all over each.
 
-    Documents rank by a hash of their id; a first cut at three times the wanted share keeps the ranking small however large the table.
+    Documents rank by a hash of their id and text, so rows that share an id, or have none, are drawn
+    each; equal rows are one. A first cut at three times the wanted share keeps the ranking small however
+    large the table. What is picked joins the texts by Spark's own check of its size.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    sizes = known.groupBy("lang").count()
-    key = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 13), 16, 10).cast("double") / float(16**13)
-    drawn = known.join(F.broadcast(sizes), "lang").withColumn("key", key).where(F.col("key") <= 3.0 * docs_per_lang / F.col("count"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "id"))
-    picked = drawn.withColumn("rank", rank).where(F.col("rank") <= docs_per_lang).select("id").distinct()
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), key.alias("key"), F.col(text_col).alias("text"))
+    sizes = materialize(known.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("n")), "languages")
+    place = F.pmod("key", F.lit(1 << 40)) / float(1 << 40)
+    drawn = known.select("lang", "key").join(sizes, "lang").where(place <= 3.0 * docs_per_lang / F.col("n")).select("lang", "key").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("key", F.lit(1 << 40)), "key"))
+    picked = materialize(drawn.withColumn("rank", rank).where(F.col("rank") <= docs_per_lang).select("lang", "key"), "picked")
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -307,8 +312,7 @@ def training_stretches(docs: DataFrame, id_col: str, text_col: str, lang_col: st
                     out.append(" ".join(words[p : p + STRETCH]))
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.string())], ["lang", "stretch"])
 
-    some = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).join(F.broadcast(picked), F.col(id_col) == F.col("id"), "left_semi")
-    rows = some.select(F.col(lang_col).cast("string"), F.col(text_col)).mapInArrow(stretches, "lang string, stretch string")
+    rows = known.join(picked, ["lang", "key"], "left_semi").select("lang", "text").mapInArrow(stretches, "lang string, stretch string").distinct()
     return sorted((r[0], r[1]) for r in rows.collect())
 
 

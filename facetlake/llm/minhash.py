@@ -144,12 +144,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     and link with each other. Rows with a null id stay; different texts under one id are documents of
     their own; of equal rows one stays.
     """
-    keyed = docs.withColumns({"__id": F.col(id_col).cast("long"), "__hash": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    plain = keyed.where("__id is not null").select(F.col("__id").alias("doc_id"), F.col("__hash").alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
+    # a row's columns travel in one struct, so they may have any name
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).cast("binary").alias("text"), F.struct("*").alias("row"))
+    plain = keyed.where("doc_id is not null").select("doc_id", "text_hash", "text")
     nodes = _sketches(plain, shingle_words).groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("best"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     nodes = materialize(nodes, "nodes")
     found = connected_components(links(plain, nodes, least, shingle_words))
     best = nodes.select("node", "best").join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("best").alias("best"))
-    kept = best.select(F.col("best.doc_id").alias("__id"), F.col("best.text_hash").alias("__hash"))
-    with_id = keyed.join(kept, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
-    return with_id.unionByName(docs.where(F.col(id_col).isNull()))
+    with_id = keyed.join(best.select("best.*"), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return with_id.select("row.*").unionByName(keyed.where("doc_id is null").select("row.*"))

@@ -84,20 +84,20 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined by single spaces. Documents without words are in no mixture. Rows that share an id, or have
     none, each have a share of their own: they are told apart by source and a hash of all columns, and
     rows equal in these share what they take in turn. Null texts are in no mixture; an empty table
-    gives an empty table; extra columns may have any name but those with two leading underscores.
+    gives an empty table; extra columns may have any name.
     """
-    row = F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in docs.columns])
-    taken = _placed(docs, id_col, text_col, source_col, seed, [row.alias("__row")], **targets).where("taken > 0")
-    taken = taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "__row", F.col("size").alias("__size"), F.floor(F.col("taken") / F.col("size")).alias("__whole"), F.pmod("taken", "size").alias("__rest"))
+    mark = F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in docs.columns])
+    # a row's columns travel in one struct, so they may have any name
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), mark.alias("mark"), F.struct("*").alias("row"))
+    taken = _placed(rows.drop("row"), "id", "text", "source", seed, [F.col("mark")], **targets).where("taken > 0")
     # Equal rows differ in what they take only where the budget ends: epochs in full add up, and one of them is cut.
-    taken = taken.groupBy("__id", "__source", "__row").agg(F.sum("__whole").alias("__whole"), F.max("__rest").alias("__rest"))
-    x = docs.withColumn("__row_of", row).dropDuplicates([id_col, source_col, "__row_of"])
-    x = x.join(taken, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__row_of") == F.col("__row")))
-    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("__whole").cast("int")), F.when(F.col("__rest") > 0, F.array("__rest")).otherwise(F.array().cast("array<bigint>")))
-    x = x.withColumn("__part", F.explode(copies))
-    words = F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda w: F.length(w) > 0)
-    cut = F.when(F.col("__part") < 0, F.col(text_col)).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("__part").cast("int")), " "))
-    return x.withColumn(text_col, cut).select(*docs.columns)
+    taken = taken.groupBy("doc_id", "source", "mark").agg(F.sum(F.floor(F.col("taken") / F.col("size"))).alias("whole"), F.max(F.pmod("taken", "size")).alias("rest"))
+    x = rows.dropDuplicates(["id", "source", "mark"]).alias("r").join(taken.alias("t"), F.col("r.id").eqNullSafe(F.col("t.doc_id")) & F.col("r.source").eqNullSafe(F.col("t.source")) & (F.col("r.mark") == F.col("t.mark")))
+    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("whole").cast("int")), F.when(F.col("rest") > 0, F.array("rest")).otherwise(F.array().cast("array<bigint>")))
+    x = x.select("row", "text", F.explode(copies).alias("part"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: F.length(w) > 0)
+    cut = F.when(F.col("part") < 0, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), " "))
+    return x.select(*[cut.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 #: DuckDB twin of ``mix`` over ``documents`` with the default parameters.

@@ -527,11 +527,13 @@ class Scorer:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, docs_per_class: int) -> DataFrame:
-    """At most ``docs_per_class`` labelled documents of either class, by hash order of their id: ``(doc_id, label, text)``."""
-    clean = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("label"))
-    ids = [clean.where(F.col("label") == c).orderBy(F.md5(F.col("__id").cast("string")), "__id").limit(docs_per_class) for c in (0, 1)]
-    picked = ids[0].unionByName(ids[1])
-    return docs.join(F.broadcast(picked), F.col(id_col) == F.col("__id")).select(F.col("__id").alias("doc_id"), F.col("label").cast("int").alias("label"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """At most ``docs_per_class`` labelled documents of either class, by hash order of their id and text: ``(doc_id, label, text)``; equal rows are one."""
+    key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("key")
+    rows = docs.select(F.col(id_col).alias("doc_id"), key, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    clean = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
+    known = materialize(rows.select("doc_id", "key").join(clean, "doc_id").select("label", "key").distinct(), "labelled")
+    first = [known.where(F.col("label") == c).orderBy("key").limit(docs_per_class) for c in (0, 1)]
+    return rows.join(F.broadcast(first[0].unionByName(first[1])), "key").dropDuplicates(["key"]).select("doc_id", "label", "text")
 
 
 def language_model(docs: DataFrame, text_col: str = "text", bits: int = TABLE_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

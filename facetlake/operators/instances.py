@@ -86,18 +86,15 @@ def semantic_instances(labels: DataFrame, keys: list[str], least_area: int = 64,
 def vote_runs(runs: DataFrame, keys: list[str], method: str) -> DataFrame:
     """Merged runs of each key of scored member runs: ``union`` of all, or cells whose members hold half of the key's weight.
 
-    The sweep gives every elementary interval the weight of the members over it. Where no cell gets
-    half, the best member (smallest id on ties) stands for the key.
+    A running sum over the endpoints gives every elementary interval the weight of the members over it.
+    Where no cell gets half, the best member (smallest id on ties) stands for the key.
     """
     if method == "union":
         return R.merge_runs(runs, keys)
     if method != "weighted":
         raise ValueError(f"no such vote: {method}")
-    weight = runs.select(*keys, "inst", "score").distinct().groupBy(*keys).agg(F.sum("score").alias("__all"), F.max_by("inst", F.struct(F.col("score"), -F.col("inst"))).alias("__best"))
-    cuts = R.sweep(runs, keys).alias("a")
-    met = cuts.join(runs.alias("b"), R.same([*keys, "y"]) & (F.col("b.x0") < F.col("a.x1")) & (F.col("a.x0") < F.col("b.x1")))
-    held = met.groupBy(*[F.col(f"a.{k}") for k in (*keys, "y", "x0", "x1")]).agg(F.sum("b.score").alias("__w"))
-    won = held.join(weight, keys).where(F.col("__w") / F.col("__all") >= 0.5).select(*keys, "y", "x0", "x1")
+    weight = runs.select(*keys, "inst", "score").distinct().groupBy(*keys).agg(F.sum(F.col("score").cast("decimal(24,12)")).alias("__all"), F.max_by("inst", F.struct(F.col("score"), -F.col("inst"))).alias("__best"))
+    won = materialize(R.sweep(runs, keys, "score").join(weight, keys).where(2 * F.col("w") >= F.col("__all")).select(*keys, "y", "x0", "x1"), "won")
     lost = weight.join(won.select(*keys).distinct(), keys, "left_anti")
     alone = runs.join(lost, keys).where(F.col("inst") == F.col("__best")).select(*keys, "y", "x0", "x1")
     return R.merge_runs(won.unionByName(alone), keys)
@@ -108,14 +105,15 @@ def merge_instances(runs: DataFrame, keys: list[str], method: str = "score", thr
 
     ``score`` keeps the best member of each cluster, ``union`` and ``weighted`` vote; the score is the
     largest of the members. Scene merging links IoU above the threshold, fusion of views at or above it.
-    ``members`` are the clusters, if the caller has them already.
+    ``members`` are the clusters, if the caller has them already. Only ids and scores are written down;
+    runs are read once more and meet the clusters by their instance.
     """
-    own = materialize(runs.join(clusters(runs, keys, threshold, inclusive) if members is None else members, [*keys, "inst"]), "clustered")
-    about = own.select(*keys, "cluster", "inst", "score").distinct().groupBy(*keys, "cluster").agg(F.count("*").alias("members"), F.max("score").alias("score"), F.max_by("inst", F.struct(F.col("score"), -F.col("inst"))).alias("best"))
+    ids = runs.select(*keys, "inst", "score").distinct()
+    own = materialize(ids.join(clusters(runs, keys, threshold, inclusive) if members is None else members, [*keys, "inst"]), "clustered")
+    about = own.groupBy(*keys, "cluster").agg(F.count("*").alias("members"), F.max("score").alias("score"), F.max_by("inst", F.struct(F.col("score"), -F.col("inst"))).alias("best"))
     if method == "score":
-        shape = own.drop("score").join(about, [*keys, "cluster"]).where(F.col("inst") == F.col("best")).select(*keys, "cluster", "y", "x0", "x1")
-    else:
-        shape = vote_runs(own, [*keys, "cluster"], method)
+        return runs.select(*keys, "inst", "y", "x0", "x1").join(about.withColumnRenamed("best", "inst"), [*keys, "inst"]).select(*keys, "cluster", "y", "x0", "x1", "members", "score")
+    shape = vote_runs(runs.join(own.select(*keys, "inst", "cluster"), [*keys, "inst"]), [*keys, "cluster"], method)
     return shape.join(about.drop("best"), [*keys, "cluster"])
 
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
+from heapq import heappop, heappush
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from facetlake.operators.components import connected_components
 from facetlake.storage import materialize
@@ -41,22 +48,79 @@ def clip(runs: DataFrame, height: int, width: int) -> DataFrame:
     return x.where((F.col("y") >= 0) & (F.col("y") < height) & (F.col("x0") < F.col("x1")))
 
 
-def sweep(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """Elementary intervals of each row of cells: consecutive endpoints of all its runs."""
-    ends = runs.select(*keys, "y", F.explode(F.array("x0", "x1")).alias("x0")).distinct()
-    return ends.withColumn("x1", F.lead("x0").over(Window.partitionBy(*keys, "y").orderBy("x0"))).where(F.col("x1").isNotNull())
+def sweep(runs: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
+    """Elementary intervals of each row of cells between consecutive endpoints of all its runs, with the number ``n`` of runs over each.
+
+    ``weight`` adds the sum ``w`` of that column over them. Both are running sums over the sorted
+    endpoints, one sort a row however many runs lie on each other; sums are decimal, so what a run adds
+    at its begin goes at its end exactly.
+    """
+    end = lambda at, sign: F.struct(F.col(at).alias("at"), F.lit(sign).alias("n"), *([(F.lit(sign) * F.col(weight).cast("decimal(24,12)")).alias("w")] if weight else []))
+    ends = runs.select(*keys, "y", F.inline(F.array(end("x0", 1), end("x1", -1))))
+    sums = ["n", "w"] if weight else ["n"]
+    ends = ends.groupBy(*keys, "y", F.col("at").alias("x0")).agg(*[F.sum(c).alias(c) for c in sums])
+    order = Window.partitionBy(*keys, "y").orderBy("x0")
+    x = ends.withColumns({**{c: F.sum(c).over(order) for c in sums}, "x1": F.lead("x0").over(order)})
+    return x.where("n > 0 AND x1 IS NOT NULL").select(*keys, "y", "x0", "x1", *sums)
 
 
 def overlay(layers: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
-    """Runs of the value on top: where layers overlap, the largest ``order`` wins.
+    """Runs of the value on top: where layers overlap, the largest ``order`` (numbers, null lowest) wins.
 
-    The sweep runs in each row of cells by itself, so many layers over one scene split by row.
+    A skyline sweep: each row of cells comes sorted by where its runs begin, and a heap holds the runs
+    that are open, so work is linear in the runs but for the heap's logarithm and memory is what lies on
+    each other at one place. Rows stream through; neither a scene nor a row is gathered.
     """
-    cuts = sweep(layers, keys).alias("a")
-    top = cuts.join(layers.alias("b"), same([*keys, "y"]) & (F.col("b.x0") < F.col("a.x1")) & (F.col("a.x0") < F.col("b.x1")))
-    names = [F.col(f"a.{k}") for k in (*keys, "y", "x0", "x1")]
-    won = top.groupBy(*names).agg(F.max_by(F.col(f"b.{value}"), F.struct(*[F.col(f"b.{o}") for o in order])).alias(value))
-    return merge_runs(won, [*keys, value])
+    fields = {f.name: f.dataType for f in layers.schema.fields}
+    names = [*keys, "y"]
+    kinds = T.StructType([T.StructField(c, fields[c]) for c in (*names, "x0", "x1", value)])
+
+    def skyline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[] for _ in kinds.names]
+        row, at, opened = None, None, []
+
+        def put(x0: int, x1: int, top: Any) -> None:
+            *own, begun, ended, known = (c[-1] if c else None for c in out)
+            if out[0] and ended == x0 and tuple(own) == row and known == top:
+                out[-2][-1] = x1
+            else:
+                for c, v in zip(out, (*row, x0, x1, top), strict=True):
+                    c.append(v)
+
+        def until(to: float) -> None:
+            nonlocal at
+            while opened and at < to:
+                end = opened[0][-2]
+                if end <= at:
+                    heappop(opened)
+                    continue
+                put(at, min(end, to), opened[0][-1])
+                at = min(end, to)
+
+        for n, b in enumerate(batches):
+            cols = [c.to_pylist() for c in b.columns]
+            ranks = zip(*[[math.inf if v is None else -v for v in c] for c in cols[len(names) + 3 :]], strict=True)
+            for k, (own, x0, x1, top, rank) in enumerate(zip(zip(*cols[: len(names)], strict=True), *cols[len(names) : len(names) + 3], ranks, strict=True)):
+                if own != row:
+                    until(math.inf)
+                    opened.clear()
+                    row, at = own, x0
+                until(x0)
+                at = max(at, x0)
+                heappush(opened, (*rank, n, k, x1, top))
+            if len(out[0]) > 1:  # the last one may still grow
+                yield batch([c[:-1] for c in out])
+                out = [c[-1:] for c in out]
+        until(math.inf)
+        if out[0]:
+            yield batch(out)
+
+    def batch(columns: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow, strict=True)], kinds.names)
+
+    arrow = [f.type for f in to_arrow_schema(kinds)]
+    ranked = [F.col(o).alias(f"rank{i}") for i, o in enumerate(order)]
+    return layers.select(*names, "x0", "x1", value, *ranked).where("x0 < x1").repartition(*names).sortWithinPartitions(*names, "x0").mapInArrow(skyline, kinds)
 
 
 def intersect(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

@@ -57,9 +57,49 @@ def source_counts(samples: DataFrame) -> DataFrame:
     return samples.groupBy(F.split("sample_id", "_")[0].alias("prefix")).agg(F.count("*").alias("samples")).orderBy(F.desc("samples"), "prefix")
 
 
-def file_profile(files: DataFrame) -> DataFrame:
-    """``(dataset, ext, files, bytes, depth, some)`` with totals of each data set and of all (null columns) in one rollup."""
-    return files.rollup("dataset", "ext").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.max("depth").alias("depth"))
+def file_profile(files: DataFrame, samples: int = 5) -> DataFrame:
+    """``(dataset, ext, files, bytes, depth, some)`` with totals of each data set and of all (null columns) in one rollup.
+
+    ``some`` are the first ``samples`` paths. Each level takes them from those of the level below, and the
+    lowest keeps that many a task before it shuffles, so no group's paths come together.
+    """
+    some = files.select("dataset", "ext", "path").withColumn("level", F.lit(0))
+    levels = []
+    for level, keys in enumerate((["dataset", "ext"], ["dataset"], [])):
+        some = some.select(*[F.col(c) if c in keys else F.lit(None).cast("string").alias(c) for c in ("dataset", "ext")], "path")
+        rank = F.row_number().over(Window.partitionBy("dataset", "ext").orderBy("path"))
+        some = some.withColumn("rank", rank).where(F.col("rank") <= samples).drop("rank")
+        levels.append(some.groupBy("dataset", "ext").agg(F.array_join(F.array_sort(F.collect_list("path")), ", ").alias("some")).withColumn("level", F.lit(level)))
+    total = files.rollup("dataset", "ext").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.max("depth").alias("depth"), F.bit_count(F.grouping_id()).alias("level"))
+    own = levels[0].unionByName(levels[1]).unionByName(levels[2]).alias("s")
+    on = F.col("t.dataset").eqNullSafe(F.col("s.dataset")) & F.col("t.ext").eqNullSafe(F.col("s.ext")) & (F.col("t.level") == F.col("s.level"))
+    return total.alias("t").join(own, on, "left").select("t.dataset", "t.ext", "files", "bytes", "depth", "some")
+
+
+#: Parts of names by which a folder counts as one of a data set's main ones.
+KEY_NAMES = ("image", "height", "annotation", "mask", "satellite", "street")
+
+
+def key_folders(files: DataFrame) -> DataFrame:
+    """``(dataset, folder, files, archives)`` of the folders of file paths whose own name says what they hold; ``archives`` are those of their files that still need unpacking. Hidden files do not count."""
+    x = files.select("dataset", F.regexp_extract("path", "^(.*)/([^/]*)$", 1).alias("folder"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"))
+    known = F.lower(F.regexp_extract("folder", "([^/]*)$", 1)).rlike("|".join(KEY_NAMES))
+    x = x.where(known & ~F.col("name").startswith("."))
+    return x.groupBy("dataset", "folder").agg(F.count("*").alias("files"), F.sum(F.lower("name").endswith(".zip").cast("long")).alias("archives"))
+
+
+def mask_audit(masks: DataFrame, runs: DataFrame, images: DataFrame, keys: list[str], classes: int = 5) -> DataFrame:
+    """One row: ``samples``, how many masks are ``unreadable``, ``empty`` or of another shape than their image (``mismatched``), and how many hold an id that is no class (``invalid``).
+
+    ``masks`` and ``images`` have ``height`` and ``width``, null where a file cannot be read; ``runs`` have
+    ``cls``. An unreadable mask counts for nothing else, and a mask without an image has no shape to match.
+    """
+    held = runs.where("x0 < x1 AND cls <> 0").groupBy(*keys).agg(F.max((~F.col("cls").between(0, classes - 1)).cast("int")).alias("wrong"))
+    x = masks.select(*keys, "height", "width").join(held, keys, "left").join(images.select(*keys, F.col("height").alias("h"), F.col("width").alias("w")), keys, "left")
+    fine = F.col("height").isNotNull() & F.col("width").isNotNull()
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    other = F.coalesce((F.col("height") != F.col("h")) | (F.col("width") != F.col("w")), F.lit(False))
+    return x.agg(F.count("*").alias("samples"), n(~fine).alias("unreadable"), n(fine & F.col("wrong").isNull()).alias("empty"), n(fine & other).alias("mismatched"), n(fine & (F.col("wrong") == 1)).alias("invalid"))
 
 
 def top_shapes(frames: DataFrame, n: int = 10) -> DataFrame:

@@ -173,20 +173,38 @@ def cross_entropy(scores: DataFrame, keys: list[str], cls: str = "cls", logit: s
     return row.agg(F.avg(F.when(F.col("t") == ignore, 0.0).otherwise(F.col("w") * (F.col("lse") - F.col("v")))).alias("loss"))
 
 
+def sigmoid_cross_entropy(scores: DataFrame, keys: list[str], cls: str = "cls", logit: str = "logit", target: str = "target", positive_weight: str | None = None, weight: str | None = None, mode: str = "mean") -> DataFrame:
+    """Binary cross-entropy of every class's logit against a row's one true class, meaned over classes: one row, or ``(keys, loss)`` for the mode ``none``.
+
+    ``positive_weight`` is a class's weight where it is the true one, ``weight`` a row's own. A target that
+    is no class makes a row of zeros; no row is ignored.
+    """
+    x, t = F.col(logit), (F.col(cls).eqNullSafe(F.col(target))).cast("double")
+    more = F.lit(1.0) if positive_weight is None else 1 + (F.col(positive_weight) - 1) * t
+    loss = (1 - t) * x + more * (F.log1p(F.exp(-F.abs(x))) + F.greatest(-x, F.lit(0.0)))
+    row = scores.groupBy(*keys).agg(F.avg(loss).alias("loss"), (F.lit(1.0) if weight is None else F.first(weight)).alias("w"))
+    value = weighted_reduce(F.col("loss"), F.col("w"), mode)
+    return row.select(*keys, value.alias("loss")) if mode == "none" else row.agg(value.alias("loss"))
+
+
 def lovasz_hinge(cells: DataFrame, keys: list[str], logit: str, target: str, order: str) -> DataFrame:
     """``(keys, loss)``: errors in falling order weighted by the growth of the Jaccard loss. Ties go by ``order``.
 
-    The running sums need a mask's cells in order, so a mask is the unit of work; masks spread over tasks.
+    Cells are cut into ranges of their key, error and order. A mask's counts of cells and of positives up
+    to each range are sums over its ranges, and the running sums go on from there inside a range, so one
+    mask of any size is many tasks.
     """
     sign = 2 * F.col(target) - 1
     x = cells.select(*keys, (1 - F.col(logit) * sign).alias("err"), F.col(target).cast("double").alias("t"), F.col(order).alias("o"))
-    w = Window.partitionBy(*keys).orderBy(F.desc("err"), "o")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("t").over(Window.partitionBy(*keys))
-    seen = F.sum("t").over(run)
-    jaccard = 1 - (total - seen) / (total + F.row_number().over(w) - seen)
-    x = x.withColumn("j", jaccard).withColumn("grad", F.col("j") - F.coalesce(F.lag("j").over(w), F.lit(0.0)))
-    return x.groupBy(*keys).agg(F.sum(F.greatest(F.col("err"), F.lit(0.0)) * F.col("grad")).alias("loss"))
+    x = materialize(x.repartitionByRange(*[F.col(k) for k in keys], F.desc("err"), F.asc("o")).withColumn("range", F.spark_partition_id()), "errors")
+    every, before = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = x.groupBy(*keys, "range").agg(F.count("*").alias("n"), F.sum("t").alias("p"))
+    sums = sums.select(*keys, "range", F.sum("p").over(every).alias("total"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "p")])
+    inside = Window.partitionBy(*keys, "range").orderBy(F.desc("err"), "o")
+    x = x.join(sums, [*keys, "range"]).withColumns({"rank": F.col("n_before") + F.row_number().over(inside), "seen": F.col("p_before") + F.sum("t").over(inside.rowsBetween(Window.unboundedPreceding, 0))})
+    jaccard = lambda rank, seen: 1 - (F.col("total") - seen) / (F.col("total") + rank - seen)
+    last = F.when(F.col("rank") > 1, jaccard(F.col("rank") - 1, F.col("seen") - F.col("t"))).otherwise(0.0)
+    return x.groupBy(*keys).agg(F.sum(F.greatest(F.col("err"), F.lit(0.0)) * (jaccard(F.col("rank"), F.col("seen")) - last)).alias("loss"))
 
 
 def weighted_reduce(value: Column, weight: Column | None = None, mode: str = "mean", denominator: Column | None = None) -> Column:

@@ -125,8 +125,9 @@ def align_dominant(vertices: DataFrame, keys: list[str]) -> DataFrame:
     """Rings with every side turned to the dominant direction or across it.
 
     Turned back by the angle, each corner in order takes the coordinate of the corner before along the
-    shorter part of their side, so sides become level or upright; the last corner also meets the
-    first. The fold runs over a ring's array inside Spark.
+    shorter part of their side (both as long: along x), so sides become level or upright. The round goes
+    over all corners twice, the first one moving against the last. The fold runs over a ring's array
+    inside Spark. Rings of fewer than three corners stay.
     """
     a = F.radians(F.col("theta"))
     x, y = F.col("x"), F.col("y")
@@ -135,16 +136,13 @@ def align_dominant(vertices: DataFrame, keys: list[str]) -> DataFrame:
     ring = turned.groupBy(*keys, "theta").agg(F.array_sort(F.collect_list(F.struct("ord", "u", "v"))).alias("r"))
 
     def squared(before: Column, p: Column) -> Column:
-        level = F.abs(p["u"] - before["u"]) >= F.abs(p["v"] - before["v"])
+        level = F.abs(p["u"] - before["u"]) > F.abs(p["v"] - before["v"])
         return F.struct(p["ord"].alias("ord"), F.when(level, p["u"]).otherwise(before["u"]).alias("u"), F.when(level, before["v"]).otherwise(p["v"]).alias("v"))
 
-    step = lambda acc, p: F.when(F.size(acc) == 0, F.array(p)).otherwise(F.concat(acc, F.array(squared(F.element_at(acc, -1), p))))
-    done = F.aggregate("r", F.slice("r", 1, 0), step)
-    first, last = F.element_at(done, 1), F.element_at(done, -1)
-    level = F.abs(first["u"] - last["u"]) >= F.abs(first["v"] - last["v"])
-    closing = F.struct(last["ord"].alias("ord"), F.when(level, last["u"]).otherwise(first["u"]).alias("u"), F.when(level, first["v"]).otherwise(last["v"]).alias("v"))
-    done = F.when(F.size(done) > 2, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(closing))).otherwise(done)
-    out = ring.select(*keys, "theta", F.explode(done).alias("p"))
+    for _ in range(2):
+        step = lambda done, p: F.concat(done, F.array(squared(F.when(F.size(done) == 0, F.element_at("r", -1)).otherwise(F.try_element_at(done, F.lit(-1))), p)))
+        ring = ring.withColumn("r", F.when(F.size("r") < 3, F.col("r")).otherwise(F.aggregate("r", F.slice("r", 1, 0), step)))
+    out = ring.select(*keys, "theta", F.explode("r").alias("p"))
     u, v = F.col("p.u"), F.col("p.v")
     return out.select(*keys, F.col("p.ord").alias("ord"), (u * F.cos(a) - v * F.sin(a)).alias("x"), (u * F.sin(a) + v * F.cos(a)).alias("y"))
 
@@ -181,12 +179,19 @@ def simplify(vertices: DataFrame, keys: list[str], factor: float = 0.02) -> Data
 def snap_to_lines(vertices: DataFrame, segments: DataFrame, key: str, reach: float = 4.0) -> DataFrame:
     """Corners moved onto the nearest line of their scene within ``reach``; others stay.
 
-    A corner meets the lines whose box, widened by the reach, covers its grid cell, so only near lines
-    are compared. ``segments`` has ``(key, seg, x1, y1, x2, y2)``, a line of no length is its start.
+    A corner meets the lines that come within the reach of its grid cell: a line is followed column by
+    column of the grid, in each over the rows that it crosses there, so its cells grow with its length.
+    ``segments`` has ``(key, seg, x1, y1, x2, y2)``, a line of no length is its start.
     """
     size = 4 * reach
-    cells = lambda low, high: F.sequence(F.floor((low - reach) / size), F.floor((high + reach) / size))
-    near = segments.withColumn("gx", F.explode(cells(F.least("x1", "x2"), F.greatest("x1", "x2")))).withColumn("gy", F.explode(cells(F.least("y1", "y2"), F.greatest("y1", "y2"))))
+    cells = lambda low, high: F.explode(F.sequence(F.floor((low - reach) / size), F.floor((high + reach) / size)))
+    near = segments.withColumn("gx", cells(F.least("x1", "x2"), F.greatest("x1", "x2")))
+    start, end = F.greatest(F.least("x1", "x2"), F.col("gx") * size - reach), F.least(F.greatest("x1", "x2"), (F.col("gx") + 1) * size + reach)
+    at = lambda x: F.col("y1") + (x - F.col("x1")) * (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))
+    upright = F.col("x1") == F.col("x2")
+    low = F.when(upright, F.least("y1", "y2")).otherwise(F.least(at(start), at(end)))
+    high = F.when(upright, F.greatest("y1", "y2")).otherwise(F.greatest(at(start), at(end)))
+    near = near.withColumns({"low": low, "high": high}).withColumn("gy", cells(F.col("low"), F.col("high"))).drop("low", "high")
     own = vertices.withColumns({"gx": F.floor(F.col("x") / size), "gy": F.floor(F.col("y") / size)})
     met = own.join(near, [key, "gx", "gy"])
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")

@@ -8,7 +8,9 @@ from functools import reduce
 from heapq import heappop, heappush
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -289,16 +291,93 @@ def touching(runs: DataFrame, key: str, id_col: str = "inst") -> DataFrame:
     return met.select(*pair).unionByName(side.select(*pair)).distinct()
 
 
-def run_components(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """8-connected components: runs of neighbouring rows that touch, corners too, share the smallest run number.
+#: Rows of cells that one pass labels together.
+BLOCK_ROWS = 128
 
-    Returns the merged runs with ``component``, a number that is the same for runs of one component.
-    Runs are numbered once and written down, so that numbers stay what they are when a task runs again.
+
+def run_components(runs: DataFrame, keys: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """8-connected components: runs of neighbouring rows that touch, corners too, share a component number.
+
+    Returns the merged runs with ``component``. A pass over blocks of neighbouring rows labels what is
+    connected inside a block; only the labels of runs that touch across two blocks' border go through
+    the rounds of ``connected_components``. Labels are written down, so that they stay what they are when
+    a task runs again.
+    """
+    block = F.floor(F.col("y") / block_rows)
+    dealt = merge_runs(runs, keys).withColumn("block", block).repartition(*keys, "block").sortWithinPartitions(*keys, "block", "y", "x0")
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole blocks at a time; a label is the task's number and that of the component's first run."""
+        first, held = TaskContext.get().partitionId() << 40, []
+        for b in (*batches, None):
+            if b is not None:
+                held.append(b)
+                if not (cut := _block_start(held, [*keys, "block"])):
+                    continue
+                whole, held = pa.Table.from_batches(held), [b.slice(cut - sum(x.num_rows for x in held[:-1]))]
+                whole = whole.slice(0, cut)
+            elif held:
+                whole = pa.Table.from_batches(held)
+            else:
+                break
+            own = np.cumsum(_changes(whole, [*keys, "block"]))
+            at = _touching_labels(own, *(whole.column(c).to_numpy().astype(np.int64) for c in ("y", "x0", "x1")))
+            yield from whole.append_column("label", pa.array(at + first)).combine_chunks().to_batches()
+            first += whole.num_rows
+
+    nodes = materialize(dealt.mapInArrow(label, f"{names}, label long").drop("block"), "nodes")
+    low, high = nodes.where(F.pmod(F.col("y") + 1, F.lit(block_rows)) == 0), nodes.where(F.pmod("y", F.lit(block_rows)) == 0)
+    met = low.alias("a").join(high.alias("b"), same(keys) & (F.col("a.y") + 1 == F.col("b.y")) & (F.col("a.x0") <= F.col("b.x1")) & (F.col("b.x0") <= F.col("a.x1")))
+    labels = connected_components(met.select(F.col("a.label").alias("a"), F.col("b.label").alias("b")))
+    return nodes.join(labels, F.col("label") == F.col("node"), "left").withColumn("component", F.coalesce("component", "label")).drop("node", "label")
+
+
+def _changes(t: pa.Table, names: list[str]) -> np.ndarray:
+    """Whether each row differs from the one before in a column, nulls being equal; the first one does."""
+    out = np.zeros(t.num_rows, bool)
+    out[:1] = True
+    for c in names:
+        code = t.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        out[1:] |= code[1:] != code[:-1]
+    return out
+
+
+def _block_start(held: list[pa.RecordBatch], names: list[str]) -> int:
+    """Where the last block of some batches begins; 0 if they are of one block. Only the newest batch and the row before it are looked at."""
+    before = sum(b.num_rows for b in held[:-1])
+    edge = pa.Table.from_batches(([held[-2].slice(held[-2].num_rows - 1)] if len(held) > 1 else []) + held[-1:])
+    found = np.flatnonzero(_changes(edge, names)[1:])
+    return int(found[-1]) + 1 + before - (len(held) > 1) if len(found) else 0
+
+
+def _touching_labels(own: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
+    """For sorted runs of many blocks: the number of the first run that each is connected to inside its block.
+
+    All rows are put on one line, one after the other, so a run's neighbours in the next row are a
+    stretch found by bisection. Labels then fall to the smallest that touches and to that one's own,
+    until none does.
     """
-    nodes = materialize(merge_runs(runs, keys).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    met = nodes.alias("a").join(nodes.alias("b"), same(keys) & (F.col("a.y") + 1 == F.col("b.y")) & (F.col("a.x0") <= F.col("b.x1")) & (F.col("b.x0") <= F.col("a.x1")))
-    labels = connected_components(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
-    return nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
+    fresh = np.concatenate(([True], (own[1:] != own[:-1]) | (y[1:] != y[:-1])))
+    row, begins = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+    width = int(x1.max() - x0.min()) + 2
+    begin, end = row * width + x0 - x0.min(), row * width + x1 - x0.min()
+    follows = np.concatenate(((own[begins[1:]] == own[begins[:-1]]) & (y[begins[1:]] == y[begins[:-1]] + 1), [False]))[row]
+    low, high = np.searchsorted(end, begin + width, "left"), np.searchsorted(begin, end + width, "right")
+    n = np.where(follows, np.maximum(high - low, 0), 0)
+    a = np.repeat(np.arange(len(y)), n)
+    b = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(len(a))
+    at = np.arange(len(y))
+    while len(a):
+        least = np.minimum(at[a], at[b])
+        new = at.copy()
+        for side in (a, b, at[a], at[b]):
+            np.minimum.at(new, side, least)
+        new = new[new]
+        if (new == at).all():
+            break
+        at = new
+    return at
 
 
 def tile_origins(size: Column, tile: int, stride: int) -> Column:

@@ -116,18 +116,34 @@ def soft_roof_map(scores: DataFrame, masks: DataFrame, keys: list[str]) -> DataF
     return x.groupBy(*keys, "y", "x").agg((F.sum(F.col("roof") * F.col("p")) / F.greatest(F.sum("roof"), F.lit(1e-6))).alias("p"))
 
 
-def prompt_points(runs: DataFrame, keys: list[str], points: int = 8) -> DataFrame:
-    """Every n-th cell of each mask in raster order, ``points + 1`` at most: ranks come from a running sum of run lengths, not from cells."""
+def every_nth(runs: DataFrame, keys: list[str], points: int) -> DataFrame:
+    """``(keys, k, y, x)``: every n-th cell of each mask in raster order, n being its size over ``points``, that many at most. Ranks come from a running sum of run lengths, not from cells."""
     order = Window.partitionBy(*keys).orderBy("y", "x0")
     n = F.col("x1") - F.col("x0")
     x = runs.withColumns({"__before": F.sum(n).over(order) - n, "__all": F.sum(n).over(Window.partitionBy(*keys))})
     x = x.withColumn("__step", F.greatest(F.floor(F.col("__all") / points), F.lit(1)).cast("long"))
     first = F.ceil(F.col("__before") / F.col("__step")).cast("long")
     last = F.floor((F.col("__before") + n - 1) / F.col("__step")).cast("long")
-    x = x.where(first <= last).withColumn("k", F.explode(F.sequence(first, last))).where(F.col("k") <= points)
+    x = x.where(first <= last).withColumn("k", F.explode(F.sequence(first, last))).where(F.col("k") < points)
     return x.select(*keys, "k", "y", (F.col("x0") + F.col("k") * F.col("__step") - F.col("__before")).alias("x"))
 
 
+def prompt_points(runs: DataFrame, ring: DataFrame, keys: list[str], inside: int = 8, outside: int = 16) -> DataFrame:
+    """``(keys, positive, k, y, x)``: points that prompt a refinement of each mask.
+
+    Positive ones are the mask's centroid (``k`` 0) and ``inside`` of its cells, negative ones ``outside``
+    cells of its ``ring`` (see ``prompt_ring``), both spread evenly in raster order. A mask without cells
+    has none.
+    """
+    n = F.col("x1") - F.col("x0")
+    middle = runs.groupBy(*keys).agg((F.sum(F.col("y") * n) / F.sum(n)).alias("y"), (F.sum((F.col("x0") + F.col("x1") - 1) * n / 2) / F.sum(n)).alias("x"))
+    found = middle.select(*keys, F.lit(True).alias("positive"), F.lit(0).cast("long").alias("k"), "y", "x")
+    for cells, positive, points in ((runs, True, inside), (ring, False, outside)):
+        some = every_nth(cells, keys, points)
+        found = found.unionByName(some.select(*keys, F.lit(positive).alias("positive"), (F.col("k") + int(positive)).alias("k"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x")))
+    return found
+
+
 def accept_refinement(old: DataFrame, new: DataFrame, iou: DataFrame, keys: list[str], gain: float = 0.02, least: float = 0.25) -> DataFrame:
     """Runs of the refined mask where it is not empty and close enough to the old one (``iou(keys, iou)``), the old runs otherwise; ``refined`` tells which."""
     fine = iou.where(F.col("iou") + gain >= least).select(*keys).join(new.select(*keys).distinct(), keys, "left_semi")

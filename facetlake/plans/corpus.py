@@ -120,10 +120,48 @@ def mapped_labels(spark, d):
     return A.map_labels(x, A.TITLE_CLASS, "title").withColumn("z_order", A.paint_order(F.col("title")))
 
 
-@query("SELECT dataset, ext, count(*) AS files, sum(length)::BIGINT AS bytes, max(depth) AS depth FROM (SELECT lang AS dataset, source AS ext, n_chars AS length, doc_id % 6 AS depth FROM documents) GROUP BY ROLLUP (dataset, ext)")
+FILES = """file AS MATERIALIZED (SELECT lang AS dataset, source AS ext, n_chars AS length, doc_id % 6 AS depth,
+    lang || '/' || CASE doc_id % 5 WHEN 0 THEN 'Images' WHEN 1 THEN 'train_masks' WHEN 2 THEN 'notes' WHEN 3 THEN 'satellite/tiles' ELSE 'street' END || '/' || CASE WHEN doc_id % 11 = 0 THEN '.' ELSE '' END || doc_id || CASE WHEN doc_id % 7 = 0 THEN '.ZIP' ELSE '.png' END AS path FROM documents)"""
+
+
+def file_list(spark: SparkSession, d: str) -> DataFrame:
+    """A file for each document."""
+    folder = "CASE doc_id % 5 WHEN 0 THEN 'Images' WHEN 1 THEN 'train_masks' WHEN 2 THEN 'notes' WHEN 3 THEN 'satellite/tiles' ELSE 'street' END"
+    path = f"concat(lang, '/', {folder}, '/', if(doc_id % 11 = 0, '.', ''), doc_id, if(doc_id % 7 = 0, '.ZIP', '.png')) AS path"
+    return X.table(spark, d, "documents").selectExpr("lang AS dataset", "source AS ext", "n_chars AS length", "doc_id % 6 AS depth", path)
+
+
+@query()
 def file_profile(spark, d):
-    f = X.table(spark, d, "documents").selectExpr("lang AS dataset", "source AS ext", "n_chars AS length", "doc_id % 6 AS depth")
-    return A.file_profile(f)
+    return A.file_profile(file_list(spark, d))
+
+
+SQL["file_profile"] = f"""WITH {FILES}, total AS (SELECT dataset, ext, grouping(dataset, ext) AS level, count(*) AS files, sum(length)::BIGINT AS bytes, max(depth) AS depth FROM file GROUP BY ROLLUP (dataset, ext))
+    SELECT dataset, ext, files, bytes, depth, (SELECT string_agg(path, ', ' ORDER BY path) FROM (SELECT path FROM file f WHERE (level >= 3 OR f.dataset IS NOT DISTINCT FROM t.dataset) AND (level >= 1 OR f.ext IS NOT DISTINCT FROM t.ext) ORDER BY path LIMIT 5)) AS some FROM total t"""
+
+
+@query(f"""WITH {FILES} SELECT dataset, regexp_extract(path, '^(.*)/', 1) AS folder, count(*) AS files, sum((path LIKE '%.ZIP')::INT)::BIGINT AS archives FROM file
+    WHERE path LIKE '%/Images/%' OR path LIKE '%masks/%' OR path LIKE '%/street/%' GROUP BY ALL HAVING count(*) > 0""".replace("FROM file\n", "FROM (FROM file WHERE path NOT LIKE '%/.%')\n"))
+def key_folders(spark, d):
+    return A.key_folders(file_list(spark, d))
+
+
+AUDITED = """mask AS (SELECT DISTINCT o_orderkey // 50 AS scene, CASE WHEN o_orderkey // 50 % 17 = 3 THEN NULL ELSE 128 END AS height, CASE WHEN o_orderkey // 50 % 13 = 5 THEN 64 ELSE 128 END AS width FROM orders),
+    image AS (SELECT DISTINCT o_orderkey // 50 AS scene, 128 AS height, 128 AS width FROM orders WHERE o_orderkey // 50 % 19 <> 1),
+    held AS (SELECT o_orderkey // 50 AS scene, max(((o_orderkey // 50 % 10 + o_custkey % 3) % 11 > 4)::INT) AS wrong FROM orders WHERE o_orderkey // 50 % 7 <> 2 AND (o_orderkey // 50 % 10 + o_custkey % 3) % 11 <> 0 GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH {AUDITED} SELECT count(*) AS samples, sum((m.height IS NULL)::INT)::BIGINT AS unreadable, sum((m.height IS NOT NULL AND wrong IS NULL)::INT)::BIGINT AS empty,
+    sum(coalesce(m.height IS NOT NULL AND (m.height <> i.height OR m.width <> i.width), false)::INT)::BIGINT AS mismatched, sum(coalesce(m.height IS NOT NULL AND wrong = 1, false)::INT)::BIGINT AS invalid
+    FROM mask m LEFT JOIN image i USING (scene) LEFT JOIN held USING (scene)""")
+def mask_audit(spark, d):
+    """Masks of scenes, some of them without a cell, a size or an image of their size."""
+    runs = X.run(spark, d).withColumn("cls", F.expr("(scene % 10 + label) % 11"))
+    scenes = runs.select("scene").distinct()
+    masks = scenes.withColumns({"height": F.expr("if(scene % 17 = 3, null, 128)"), "width": F.expr("if(scene % 13 = 5, 64, 128)")})
+    images = scenes.where("scene % 19 <> 1").withColumns({"height": F.lit(128), "width": F.lit(128)})
+    return A.mask_audit(masks, runs.where("scene % 7 <> 2"), images, ["scene"])
 
 
 @query("SELECT count(*) AS samples, max(n) AS most, (SELECT string_agg(label, ',' ORDER BY label) FROM (SELECT DISTINCT label FROM instance)) AS labels FROM (SELECT scene, count(*) AS n FROM instance GROUP BY scene)", "instance")

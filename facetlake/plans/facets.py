@@ -154,13 +154,12 @@ def unrolled(steps: list[tuple[int, str]], u: str, v: str, first: str = "", last
 def _level_step(at: int) -> str:
     """A corner takes the coordinate of the one before along the shorter part of their side."""
     b = (at + 3) % 4
-    level = f"abs(u{at} - u{b}) >= abs(v{at} - v{b})"
+    level = f"abs(u{at} - u{b}) > abs(v{at} - v{b})"
     return f"CASE WHEN {level} THEN u{at} ELSE u{b} END AS u{at}, CASE WHEN {level} THEN v{b} ELSE v{at} END AS v{at}"
 
 
-_CLOSE = "CASE WHEN abs(u0 - u3) >= abs(v0 - v3) THEN u3 ELSE u0 END AS u3, CASE WHEN abs(u0 - u3) >= abs(v0 - v3) THEN v0 ELSE v3 END AS v3"
 TURNED = unrolled(
-    [(1, _level_step(1)), (2, _level_step(2)), (3, _level_step(3)), (3, _CLOSE)], "u", "v",
+    [(k, _level_step(k)) for _ in range(2) for k in range(4)], "u", "v",
     ", ".join(f"x{k} * cos(th) + y{k} * sin(th) AS u{k}, y{k} * cos(th) - x{k} * sin(th) AS v{k}" for k in range(4)),
     "round(u{k} * cos(th) - v{k} * sin(th), 6) + 0 AS x, round(u{k} * sin(th) + v{k} * cos(th), 6) + 0 AS y",
 )
@@ -392,6 +391,14 @@ def cross_entropy(spark, d):
     return E.cross_entropy(x, ["sample", "q"]).select(r6("loss", "loss"))
 
 
+@query(
+    f"""SELECT round(sum(w * loss) / count(*), 6) AS loss FROM (SELECT sample, q, 1 + q % 3 / 2::DOUBLE AS w, avg((1 - t) * logit + (1 + (weight - 1) * t) * (ln(1 + exp(-abs(logit))) + greatest(-logit, 0))) AS loss
+    FROM (SELECT *, (cls = target)::INT::DOUBLE AS t FROM {TARGET}) GROUP BY ALL)""", "query_score")
+def sigmoid_cross_entropy(spark, d):
+    x = X.query_score(spark, d).withColumns({"target": F.expr("if(q % 10 = 0, -100, int(q % 6))"), "weight": F.expr("1 + double(cls) / 2"), "row_weight": F.expr("1 + (q % 3) / 2D")})
+    return E.sigmoid_cross_entropy(x, ["sample", "q"], positive_weight="weight", weight="row_weight").select(r6("loss", "loss"))
+
+
 SOFT = "(SELECT sample, q, cls, logit, 1 / (1 + exp(-logit)) AS p, ((q + cls) % 2)::DOUBLE AS g FROM query_score)"
 
 

@@ -126,10 +126,12 @@ def soft_roof_map(spark, d):
     return V.soft_roof_map(roof, masks, ["sample"]).select("sample", "y", "x", r6("p", "p"))
 
 
-@query(
-    """SELECT inst, k, y1 + k * step // w AS y, x1 + k * step % w AS x FROM (SELECT *, greatest(w * h // 8, 1) AS step, unnest(range(9)) AS k FROM instance) WHERE k * step < w * h""", "instance")
+@query()
 def prompt_points(spark, d):
-    return V.prompt_points(X.run(spark, d).select("inst", "y", "x0", "x1"), ["inst"]).select("inst", "k", "y", "x")
+    """Of each side's mask of a scene: its centroid, eight of its cells and sixteen of the ring around its border."""
+    fg, frames = both_masks(spark, d)
+    x = V.prompt_points(fg, V.prompt_ring(fg, frames, ["scene", "side"], S, S), ["scene", "side"])
+    return x.select("scene", "side", "positive", "k", r6("y", "y"), r6("x", "x"))
 
 
 @query(
@@ -157,6 +159,16 @@ SQL["prompt_ring"] = with_more(CELLS, WIDE, """SELECT scene, side, count(*)::BIG
     WHERE n < (least(y + 2, 127) - greatest(y - 2, 0) + 1) * (least(x + 2, 127) - greatest(x - 2, 0) + 1) GROUP BY ALL""")
 
 
+SQL["prompt_points"] = with_more(
+    CELLS, f"""{WIDE}, around AS (SELECT scene, side, y + dy AS y, x + dx AS x, count(*) AS n FROM fg, square WHERE y + dy BETWEEN 0 AND 127 AND x + dx BETWEEN 0 AND 127 GROUP BY ALL),
+    spot AS (SELECT scene, side, true AS positive, y, x, 8 AS points FROM fg UNION ALL SELECT scene, side, false, y, x, 16 FROM around
+    WHERE n < (least(y + 2, 127) - greatest(y - 2, 0) + 1) * (least(x + 2, 127) - greatest(x - 2, 0) + 1)),
+    placed AS (SELECT *, row_number() OVER w - 1 AS i, greatest(count(*) OVER (PARTITION BY scene, side, positive) // points, 1) AS step FROM spot WINDOW w AS (PARTITION BY scene, side, positive ORDER BY y, x))""",
+    """SELECT scene, side, true AS positive, 0::BIGINT AS k, round(avg(y), 6) AS y, round(avg(x), 6) AS x FROM fg GROUP BY scene, side
+    UNION ALL SELECT scene, side, positive, (i // step + positive::INT)::BIGINT, y::DOUBLE, x::DOUBLE FROM placed WHERE i % step = 0 AND i // step < points""",
+)
+
+
 @query()
 def dilate_plus(spark, d):
     return mask_cells(R.dilate_plus(both_masks(spark, d)[0], ["scene", "side"], S, S))

@@ -213,8 +213,10 @@ def test_tile_origins_cover_the_frame(spark):
 
 def test_prompt_points_follow_raster_order(spark):
     runs = spark.createDataFrame(square(1, 1, 0, 10, 0, 10), RUN)
-    got = sorted((r.k, r.y, r.x) for r in V.prompt_points(runs, ["inst"]).collect())
-    assert got == [(k, k * 12 // 10, k * 12 % 10) for k in range(9)]
+    ring = spark.createDataFrame(square(1, 1, 20, 24, 20, 24), RUN)
+    got = sorted((not r.positive, r.k, r.y, r.x) for r in V.prompt_points(runs, ring, ["inst"]).collect())
+    inside = [(False, 0, 4.5, 4.5)] + [(False, k + 1, k * 12 // 10, k * 12 % 10) for k in range(8)]
+    assert got == inside + [(True, k, 20 + k // 4, 20 + k % 4) for k in range(16)]
 
 
 def test_straight_lines_are_found(spark):

@@ -51,6 +51,12 @@ def skewed_vertex(spark: SparkSession, d: str) -> DataFrame:
     return vertex(spark, d).selectExpr("scene", "inst", "ord", "x + (inst * 7 + ord * 3) % 5 AS x", "y + (inst * 3 + ord * 5) % 4 AS y")
 
 
+def notched_vertex(spark: SparkSession, d: str) -> DataFrame:
+    """The skewed rings with a fifth corner inside, so that they are concave and no side is sure to be level: ``(scene, inst, ord, x, y)``."""
+    more = instance(spark, d).selectExpr("scene", "inst", "4 AS ord", "double(x1 + w div 3) AS x", "double(y1 + h div 2) AS y")
+    return skewed_vertex(spark, d).unionByName(more)
+
+
 def points(spark: SparkSession, d: str) -> DataFrame:
     """Noisy points of twenty planes with outliers: ``(facet, x, y, z)``."""
     return table(spark, d, "lineitem").selectExpr("l_suppkey % 20 AS facet", "l_quantity AS x", "double(l_partkey % 64) AS y", "0.1D * l_quantity + 0.2D * double(l_partkey % 64) + 5D + (l_discount - 0.05D) + if(l_tax >= 0.08D, 15D, 0D) AS z")
@@ -95,6 +101,7 @@ CTE = {
     "vertex": """SELECT scene, inst, ord, CASE WHEN ord IN (1, 2) THEN x1 + w ELSE x1 END::DOUBLE AS x, CASE WHEN ord IN (2, 3) THEN y1 + h ELSE y1 END::DOUBLE AS y
         FROM instance, (SELECT unnest(range(4))::INTEGER AS ord)""",
     "skewed_vertex": "SELECT scene, inst, ord, x + (inst * 7 + ord * 3) % 5 AS x, y + (inst * 3 + ord * 5) % 4 AS y FROM vertex",
+    "notched_vertex": "SELECT * FROM skewed_vertex UNION ALL SELECT scene, inst, 4, (x1 + w // 3)::DOUBLE, (y1 + h // 2)::DOUBLE FROM instance",
     "points": """SELECT l_suppkey % 20 AS facet, l_quantity AS x, (l_partkey % 64)::DOUBLE AS y, 0.1::DOUBLE * l_quantity + 0.2::DOUBLE * (l_partkey % 64)::DOUBLE
         + 5::DOUBLE + (l_discount - 0.05::DOUBLE) + CASE WHEN l_tax >= 0.08::DOUBLE THEN 15::DOUBLE ELSE 0::DOUBLE END AS z FROM lineitem""",
     "height": """SELECT p_partkey AS sample_id, y, x, ((x * p_size + y * 3) % 17)::DOUBLE AS z FROM part, (SELECT unnest(range(16))::INTEGER AS y),

@@ -14,7 +14,7 @@ from facetlake.operators import stencils as T
 from facetlake.operators import views as V
 from facetlake.plans import fixtures as X
 from facetlake.plans.facets import MIRROR, TURNED, mesh, segments, unrolled
-from facetlake.plans.scenes import CELLS, FG, both_masks, mask_cells, r6, with_more
+from facetlake.plans.scenes import CELLS, FG, NINE, both_masks, mask_cells, r6, with_more
 
 S = X.FRAME
 QUERIES: dict = {}
@@ -200,6 +200,20 @@ def hough_segments(spark, d):
     return x.groupBy("mask").agg(F.count("*").alias("lines"), F.sum("theta").cast("long").alias("turns"), F.sum("rho").cast("long").alias("offsets"))
 
 
+SQL["hough_segments"] = with_more(
+    CELLS, f"""{FG}, {NINE}, inner_cell AS MATERIALIZED (SELECT scene * 2 + (side = 'gt')::INT AS mask, y, x FROM fg JOIN (SELECT scene, side, y + dy AS y, x + dx AS x, count(*) AS n FROM fg, nine GROUP BY ALL) USING (scene, side, y, x)
+    WHERE n < (3 - (y IN (0, 127))::INT) * (3 - (x IN (0, 127))::INT)),
+    turn AS MATERIALIZED (SELECT t AS theta, cos(radians(t::DOUBLE)) AS c, sin(radians(t::DOUBLE)) AS s FROM (SELECT unnest(range(180))::INTEGER AS t)),
+    vote AS MATERIALIZED (SELECT mask, theta, floor(x * c + y * s + 0.5::DOUBLE + 1e-9::DOUBLE)::INTEGER AS rho, count(*) AS n FROM inner_cell, turn GROUP BY ALL HAVING count(*) >= 30),
+    again AS MATERIALIZED (SELECT mask, theta AS t0, rho AS r0, n, theta + turns * 180 AS theta, CASE WHEN turns = 0 THEN rho ELSE -rho END AS rho FROM vote, (SELECT unnest([-1, 0, 1]) AS turns)),
+    peak AS MATERIALIZED (SELECT mask, theta, rho FROM vote a WHERE NOT EXISTS (SELECT 1 FROM again b WHERE b.mask = a.mask AND b.theta BETWEEN a.theta - 8 AND a.theta + 8 AND b.rho BETWEEN a.rho - 8 AND a.rho + 8
+        AND (b.n > a.n OR b.n = a.n AND (b.t0 < a.theta OR b.t0 = a.theta AND b.r0 < a.rho)))),
+    spot AS (SELECT mask, theta, rho, y, x, round(y * c - x * s, 6) AS along FROM peak JOIN turn USING (theta) JOIN inner_cell USING (mask) WHERE floor(x * c + y * s + 0.5::DOUBLE + 1e-9::DOUBLE) = rho),
+    part AS (SELECT *, sum(coalesce(along - before > 6 + 1e-9::DOUBLE, true)::INT) OVER (PARTITION BY mask, theta, rho ORDER BY along, y, x) AS k FROM (SELECT *, lag(along) OVER (PARTITION BY mask, theta, rho ORDER BY along, y, x) AS before FROM spot))""",
+    "SELECT mask, count(*) AS lines, sum(theta)::BIGINT AS turns, sum(rho)::BIGINT AS offsets FROM (SELECT mask, theta, rho FROM part GROUP BY mask, theta, rho, k HAVING max(along) - min(along) >= 12 - 1e-9::DOUBLE) GROUP BY mask",
+)
+
+
 @query()
 def mask_rings(spark, d):
     """Corners, rings less holes, and area of each mask from its traced rings."""
@@ -265,6 +279,62 @@ def painted_mesh(spark, d):
     return x.groupBy("mesh", "fid").agg(F.sum(F.col("x1") - F.col("x0")).cast("long").alias("cells"))
 
 
+def filled(corners: str, keys: str, height: int, width: int) -> str:
+    """Common table expressions ``cell_of``: the cells ``(keys, y, x)`` of whole-number rings ``corners``, even-odd along each row and the outline's own."""
+    on = " AND ".join(f"n.{k.strip()} = a.{k.strip()}" for k in keys.split(","))
+    return f"""side_of AS (SELECT a.*, n.x AS xn, n.y AS yn, least(a.y, n.y) AS low, greatest(a.y, n.y) AS high FROM {corners} a JOIN {corners} n ON {on}
+        AND n.ord = (a.ord + 1) % (SELECT max(ord) + 1 FROM {corners})),
+    crossed AS (SELECT *, CASE WHEN y = yn THEN x ELSE x + ("row" - y) * (xn - x) / (yn - y) END AS cut FROM (SELECT *, unnest(range(low::INT, high::INT + 1)) AS "row" FROM side_of)),
+    spanned AS (SELECT {keys}, "row" AS y, ceil(min(cut)) AS x0, floor(max(cut)) AS x1 FROM (SELECT *, row_number() OVER (PARTITION BY {keys}, "row" ORDER BY cut, ord) AS n FROM crossed WHERE y <> yn AND "row" < high) GROUP BY {keys}, "row", (n - 1) // 2
+        UNION ALL SELECT {keys}, "row", CASE WHEN y = yn THEN least(x, xn) ELSE round(cut) END, CASE WHEN y = yn THEN greatest(x, xn) ELSE round(cut) END FROM crossed),
+    cell_of AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT {keys}, y, unnest(range(x0::INT, x1::INT + 1)) AS x FROM spanned) WHERE y BETWEEN 0 AND {height - 1} AND x BETWEEN 0 AND {width - 1})"""
+
+
+SQL["painted_mesh"] = f"""WITH v AS (SELECT p_partkey AS mesh, i AS vid, trunc((i % 2 - 0.5::DOUBLE) * 20 + 16) AS x, trunc(-(i // 2 - 0.5::DOUBLE) * 20 + 16) AS y, ((i * p_size) % 5)::DOUBLE AS z FROM part, (SELECT unnest(range(4)) AS i)),
+    f AS (SELECT * FROM (VALUES (0, 0, 0), (0, 1, 1), (0, 2, 2), (1, 0, 1), (1, 1, 3), (1, 2, 2)) t(fid, ord, vid)), face_corner AS MATERIALIZED (SELECT mesh, fid, ord, x, y, z FROM v JOIN f USING (vid)),
+    {filled('face_corner', 'mesh, fid', 32, 32)}, tall AS (SELECT mesh, fid, sum(z) / 3 AS mean_z FROM face_corner GROUP BY mesh, fid)
+    SELECT mesh, fid, count(*) AS cells FROM (SELECT mesh, y, x, arg_max(fid, (mean_z, fid)) AS fid FROM cell_of JOIN tall USING (mesh, fid) GROUP BY mesh, y, x) GROUP BY mesh, fid"""
+
+
+@query()
+def rasterize_concave(spark, d):
+    """Cells of slanted rings with a notch: their number and the sums of their places."""
+    x = R.rasterize(X.notched_vertex(spark, d), ["scene", "inst"], S, S)
+    n = F.col("x1") - F.col("x0")
+    return x.groupBy("scene", "inst").agg(F.sum(n).cast("long").alias("cells"), F.sum(F.col("y") * n).cast("long").alias("down"), F.sum((F.col("x0") + F.col("x1") - 1) * n / 2).cast("long").alias("across"))
+
+
+NOTCHED = ("instance", "vertex", "skewed_vertex", "notched_vertex")
+SQL["rasterize_concave"] = with_more(NOTCHED, filled("notched_vertex", "scene, inst", S, S), "SELECT scene, inst, count(*) AS cells, sum(y)::BIGINT AS down, sum(x)::BIGINT AS across FROM cell_of GROUP BY scene, inst")
+
+
+def bent(spark: SparkSession, d: str) -> DataFrame:
+    """Notched rings with a point near the middle of each side, up to three cells off it."""
+    e = R.ring_edges(X.notched_vertex(spark, d), ["inst"])
+    mid = e.selectExpr("inst", "ord * 2 + 1 AS ord", "(x + xn) / 2 + (inst + ord) % 4 AS x", "(y + yn) / 2 AS y")
+    return e.selectExpr("inst", "ord * 2 AS ord", "x", "y").unionByName(mid)
+
+
+@query()
+def simplify_concave(spark, d):
+    """Concave rings simplified: which corners stay depends on how far each point is off its chain."""
+    return G.simplify(bent(spark, d), ["inst"], 0.03).select("inst", "ord", r6("x", "x"), r6("y", "y"))
+
+
+SQL["simplify_concave"] = with_more(
+    NOTCHED, """bent AS MATERIALIZED (SELECT inst, ord * 2 AS ord, x, y FROM notched_vertex UNION ALL SELECT a.inst, a.ord * 2 + 1, (a.x + n.x) / 2 + (a.inst + a.ord) % 4, (a.y + n.y) / 2 FROM notched_vertex a JOIN notched_vertex n ON n.inst = a.inst AND n.ord = (a.ord + 1) % 5),
+    size AS MATERIALIZED (SELECT a.inst, greatest(1, 0.03::DOUBLE * sum(sqrt((n.x - a.x) * (n.x - a.x) + (n.y - a.y) * (n.y - a.y)))) AS tol FROM bent a JOIN bent n ON n.inst = a.inst AND n.ord = (a.ord + 1) % 10 GROUP BY a.inst),
+    spot AS MATERIALIZED (SELECT inst, ord AS place, x, y FROM bent UNION ALL SELECT inst, 10, x, y FROM bent WHERE ord = 0),
+    far AS (SELECT b.inst, arg_max(b.ord, (sqrt((b.x - s.x) * (b.x - s.x) + (b.y - s.y) * (b.y - s.y)), -b.ord)) AS far FROM bent b JOIN bent s ON s.inst = b.inst AND s.ord = 0 GROUP BY b.inst),
+    chain AS (SELECT inst, 0 AS lo, far AS hi FROM far UNION SELECT inst, far, 10 FROM far
+        UNION (SELECT inst, CASE WHEN half = 0 THEN lo ELSE m END, CASE WHEN half = 0 THEN m ELSE hi END FROM (SELECT inst, lo, hi, arg_max(place, (off, -place)) AS m, max(off) AS off FROM (
+            SELECT c.inst, lo, hi, s.place, CASE WHEN (q.x - p.x) ** 2 + (q.y - p.y) ** 2 > 0 THEN abs((q.x - p.x) * (p.y - s.y) - (q.y - p.y) * (p.x - s.x)) / sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y))
+                ELSE sqrt((s.x - p.x) * (s.x - p.x) + (s.y - p.y) * (s.y - p.y)) END AS off
+            FROM chain c JOIN spot p ON p.inst = c.inst AND p.place = lo JOIN spot q ON q.inst = c.inst AND q.place = hi JOIN spot s ON s.inst = c.inst AND s.place > lo AND s.place < hi) GROUP BY inst, lo, hi) JOIN size USING (inst), (VALUES (0), (1)) h(half) WHERE off > tol))""",
+    "SELECT inst, ord, round(x, 6) AS x, round(y, 6) AS y FROM bent SEMI JOIN (SELECT inst, lo AS ord FROM chain) USING (inst, ord)",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 @query()
 def squared_polygons(spark, d):
     """Rings with near-right corners made right."""

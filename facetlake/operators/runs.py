@@ -146,10 +146,23 @@ def dilate(runs: DataFrame, keys: list[str], height: int, width: int, radius: in
     return merge_runs(clip(grown, height, width), keys)
 
 
+def _covered(parts: DataFrame, keys: list[str], needed: Column, height: int) -> DataFrame:
+    """Runs of the cells that ``needed`` of the parts cover, each row's own number; parts of one origin are disjoint."""
+    inside = parts.where((F.col("y") >= 0) & (F.col("y") < height) & (F.col("x0") < F.col("x1")))
+    return merge_runs(sweep(inside, keys).where(F.col("n") == needed), keys)
+
+
+def _narrowed(width: int, radius: int) -> dict[str, Column]:
+    """Both ends of a run drawn in, but for those on the frame: what lies outside it counts as set."""
+    return {"x0": F.when(F.col("x0") > 0, F.col("x0") + radius).otherwise(F.lit(0)), "x1": F.when(F.col("x1") < width, F.col("x1") - radius).otherwise(F.lit(width))}
+
+
 def erode(runs: DataFrame, frames: DataFrame, keys: list[str], height: int, width: int, radius: int = 1) -> DataFrame:
-    """Cells whose whole window inside the frame is set: what the dilated complement leaves."""
-    outside = dilate(complement(runs, frames, keys, height, width), keys, height, width, radius)
-    return complement(outside, frames, keys, height, width)
+    """Cells whose whole window inside the frame is set: those that the narrowed runs of all rows of the window cover, found by one sweep."""
+    own = clip(merge_runs(runs, keys), height, width).withColumns(_narrowed(width, radius))
+    near = own.withColumn("y", F.explode(F.sequence(F.col("y") - radius, F.col("y") + radius)))
+    rows = F.least(F.col("y") + radius, F.lit(height - 1)) - F.greatest(F.col("y") - radius, F.lit(0)) + 1
+    return _covered(near, keys, rows, height)
 
 
 def gradient(runs: DataFrame, frames: DataFrame, keys: list[str], height: int, width: int, radius: int = 1) -> DataFrame:
@@ -175,8 +188,11 @@ def dilate_plus(runs: DataFrame, keys: list[str], height: int, width: int) -> Da
 
 
 def erode_plus(runs: DataFrame, frames: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
-    """Cells whose plus inside the frame is set."""
-    return complement(dilate_plus(complement(runs, frames, keys, height, width), keys, height, width), frames, keys, height, width)
+    """Cells whose plus inside the frame is set: covered by the narrowed runs of their row and by the runs of the rows beside it."""
+    own = clip(merge_runs(runs, keys), height, width)
+    beside = own.withColumn("y", F.explode(F.array(F.col("y") - 1, F.col("y") + 1)))
+    rows = 3 - (F.col("y") == 0).cast("int") - (F.col("y") == height - 1).cast("int")
+    return _covered(own.withColumns(_narrowed(width, 1)).unionByName(beside), keys, rows, height)
 
 
 def opened_plus(runs: DataFrame, frames: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:

@@ -122,6 +122,20 @@ def dedup_vertices(spark, d):
     return G.dedup_vertices(doubled(spark, d), ["inst"])
 
 
+DRIFT = "CASE inst % 5 WHEN 0 THEN 0.0003{0} WHEN 1 THEN 0.00045{0} WHEN 2 THEN 0.0006{0} WHEN 3 THEN 0.0008{0} ELSE 0.0011{0} END"
+
+
+@query(
+    f"""WITH RECURSIVE instance AS ({X.CTE["instance"]}), vertex AS ({X.CTE["vertex"]}), step AS (SELECT *, {DRIFT.format("::DOUBLE")} AS step FROM vertex),
+    walk AS (SELECT inst, ord, x, y, step, 0 AS k, 0 AS kept FROM step UNION ALL SELECT inst, ord, x, y, step, k + 1, CASE WHEN (k + 1 - kept) * step > 1e-3::DOUBLE THEN k + 1 ELSE kept END FROM walk WHERE k < 7)
+    SELECT inst, ord * 8 + k AS ord, round(x + k * step, 6) AS x, y FROM walk WHERE k = kept""")
+def dedup_drifting(spark, d):
+    """Rings whose corners drift away in eight small steps: each point is held against the last one kept, not the one before."""
+    v = X.vertex(spark, d).withColumn("step", F.expr(DRIFT.format("D"))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    x = v.select("inst", (F.col("ord") * 8 + F.col("k")).alias("ord"), (F.col("x") + F.col("k") * F.col("step")).alias("x"), "y")
+    return G.dedup_vertices(x, ["inst"]).select("inst", "ord", r6("x", "x"), "y")
+
+
 @query("SELECT inst, ord * 3 AS ord, x, y FROM vertex", "instance", "vertex")
 def simplify_polygons(spark, d):
     """Rings with a corner put into the middle of each side, and one just beside it: simplifying leaves the four."""

@@ -45,23 +45,68 @@ def split_list(spark, d):
     return readers.read_split(spark, f"{path}/train").select("sample_id")
 
 
-@query("SELECT scene AS image_id, inst AS ann_no, sum(x)::DOUBLE AS sx, sum(y)::DOUBLE AS sy, count(*) AS corners FROM vertex GROUP BY ALL", "instance", "vertex")
-def coco_rings(spark, d):
-    """Every scene as one annotation document; rings alternate between the flat and the nested form."""
-    v = X.vertex(spark, d)
-    ring = v.groupBy("scene", "inst").agg(F.array_sort(F.collect_list(F.struct("ord", "x", "y"))).alias("r"))
+def annotation_documents(spark: SparkSession, d: str, category: str = "inst") -> DataFrame:
+    """``(scene, value)``: every scene as one annotation document; rings alternate between the flat and the nested form."""
+    v = X.vertex(spark, d).join(X.instance(spark, d).select("inst", "label"), "inst")
+    ring = v.groupBy("scene", "inst", "label").agg(F.array_sort(F.collect_list(F.struct("ord", "x", "y"))).alias("r"))
     flat = F.to_json(F.flatten(F.transform("r", lambda p: F.array(p["x"], p["y"]))))
     seg = F.when(F.col("inst") % 2 == 0, flat).otherwise(F.concat(F.lit("["), flat, F.lit("]")))
-    ann = F.concat(F.lit('{"id":'), F.col("inst"), F.lit(',"image_id":'), F.col("scene"), F.lit(',"category_id":'), F.col("inst"), F.lit(',"segmentation":'), seg, F.lit("}"))
-    image = F.concat(F.lit('{"images":[{"id":'), F.col("scene"), F.lit(',"file_name":"s.jpg","width":128,"height":128}],"annotations":['))
-    doc = ring.select("scene", ann.alias("a")).groupBy("scene").agg(F.concat(image, F.array_join(F.collect_list("a"), ","), F.lit("]}")).alias("value"))
-    path = shared_dir(spark, "files")
-    doc.select("value").write.text(path)
-    _, rings = readers.read_coco_lines(spark, path)
+    ann = F.concat(F.lit('{"id":'), F.col("inst"), F.lit(',"image_id":'), F.col("scene"), F.lit(',"category_id":'), F.col(category), F.lit(',"segmentation":'), seg, F.lit("}"))
+    image = F.concat(F.lit('{"images":[{"id":'), F.col("scene"), F.lit(',"file_name":"s'), F.col("scene"), F.lit('.jpg","width":128,"height":128}],"annotations":['))
+    return ring.select("scene", ann.alias("a")).groupBy("scene").agg(F.concat(image, F.array_join(F.collect_list("a"), ","), F.lit("]}")).alias("value"))
+
+
+@query("SELECT scene AS image_id, inst AS ann_no, sum(x)::DOUBLE AS sx, sum(y)::DOUBLE AS sy, count(*) AS corners FROM vertex GROUP BY ALL", "instance", "vertex")
+def coco_rings(spark, d):
+    _, rings = readers.read_coco_lines(*written(annotation_documents(spark, d).select("value")))
     x = readers.ring_vertices(rings.withColumn("ann_no", F.col("category_id").cast("long")))
     return x.groupBy("image_id", "ann_no").agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.count("*").alias("corners"))
 
 
+@query("SELECT scene AS id, 's' || scene || '.jpg' AS file_name, 128 * 128 AS cells, count(*) AS rings, sum(label)::BIGINT AS categories, sum(x1 + w)::DOUBLE AS right_sum FROM instance GROUP BY scene", "instance")
+def coco_documents(spark, d):
+    """Documents of a file each, which hold many lines in general: their images with what their rings say."""
+    path = shared_dir(spark, "files")
+    annotation_documents(spark, d, "label").repartition("scene").write.partitionBy("scene").text(path)
+    images, rings = readers.read_coco(spark, path)
+    own = rings.groupBy(F.col("image_id").alias("id")).agg(F.count("*").alias("rings"), F.sum("category_id").cast("long").alias("categories"), F.sum(F.array_max(F.transform("verts", lambda p: p["x"]))).alias("right_sum"))
+    return images.join(own, "id").select(F.col("id").cast("long").alias("id"), "file_name", (F.col("width") * F.col("height")).cast("int").alias("cells"), "rings", "categories", "right_sum")
+
+
+@query("""SELECT CASE inst % 3 WHEN 0 THEN 3 WHEN 1 THEN 4 ELSE 2 END AS cls, CASE WHEN inst % 2 = 1 THEN 'polygon' ELSE 'box' END AS kind, count(DISTINCT inst) AS n, round(sum(CASE WHEN inst % 2 = 1 THEN x END), 4) AS across, round(sum(CASE WHEN inst % 2 = 1 THEN y END), 4) AS down
+    FROM skewed_vertex GROUP BY ALL""", "instance", "vertex", "skewed_vertex")
+def yolo_polygons(spark, d):
+    """Boxes and polygons in turn, blank lines and classes outside the mapping between them."""
+    v = X.skewed_vertex(spark, d).groupBy("inst").agg(F.array_sort(F.collect_list(F.struct("ord", "x", "y"))).alias("r"))
+    cls = F.when(F.col("inst") % 3 == 0, 14).when(F.col("inst") % 3 == 1, 12).otherwise(10).cast("string")
+    polygon = F.array_join(F.flatten(F.transform("r", lambda p: F.array((p["x"] / 128).cast("string"), (p["y"] / 128).cast("string")))), " ")
+    line = F.concat(cls, F.lit("  "), F.when(F.col("inst") % 2 == 1, polygon).otherwise("0.5 0.5 0.25 0.25"), F.lit(" "))
+    lines = v.select(line.alias("value")).unionByName(v.select(F.when(F.col("inst") % 4 == 0, "").otherwise("77 0.5 0.5 0.1 0.1").alias("value")))
+    x = readers.read_yolo(*written(lines), {14: 3, 12: 4, 10: 2}, 128, 128)
+    place = lambda odd: F.aggregate(F.filter("coords", lambda c, i: i % 2 == odd), F.lit(0.0), lambda s, c: s + c)
+    polygon = F.col("kind") == "polygon"
+    return x.groupBy("cls", "kind").agg(F.count("*").alias("n"), F.round(F.sum(F.when(polygon, place(0))), 4).alias("across"), F.round(F.sum(F.when(polygon, place(1))), 4).alias("down"))
+
+
+@query(
+    """WITH v AS (SELECT p_partkey % 25 AS mesh, p_partkey // 25 AS vid, p_size FROM part), f AS (SELECT mesh, vid - 3 AS a, vid - 2 AS b, vid - 1 AS c FROM v WHERE vid >= 3 AND vid % 2 = 1 UNION ALL SELECT mesh, vid - 3, vid - 1, vid FROM v WHERE vid >= 3 AND vid % 2 = 1
+    UNION ALL SELECT mesh, vid - 2, vid - 1, vid FROM v WHERE vid >= 3 AND vid % 2 = 0)
+    SELECT mesh, vertices, height, triangles, corners FROM (SELECT mesh, count(*) AS vertices, sum(p_size * vid)::DOUBLE AS height FROM v GROUP BY mesh) JOIN (SELECT mesh, count(*) AS triangles, sum(a + 2 * b + 3 * c)::BIGINT AS corners FROM f GROUP BY mesh) USING (mesh)""")
+def obj_faces(spark, d):
+    """Parts as corners of 25 meshes, with triangles and quads over neighbouring ones in all the forms a face may have."""
+    p = X.table(spark, d, "part").selectExpr("p_partkey % 25 AS mesh", "p_partkey div 25 AS vid", "double(p_size) AS p_size")
+    corner = p.select("mesh", F.lit(0).alias("kind"), "vid", F.concat_ws("  ", F.lit("v"), F.lit("0.5"), F.lit("-1"), F.col("p_size")).alias("value"))
+    quad = F.concat_ws(" ", F.lit("f"), F.concat(F.col("vid") - 2, F.lit("/1/1")), F.concat(F.col("vid") - 1, F.lit("//2")), F.concat("vid", F.lit("/3")), F.col("vid") + 1)
+    face = p.where("vid >= 3").select("mesh", F.lit(1).alias("kind"), "vid", F.when(F.col("vid") % 2 == 1, quad).otherwise(F.concat_ws(" ", F.lit("f"), F.col("vid") - 1, "vid", F.col("vid") + 1)).alias("value"))
+    more = p.where("vid = 0").select("mesh", F.lit(2).alias("kind"), "vid", F.lit("f 1 2 3 4 5").alias("value"))
+    path = shared_dir(spark, "files")
+    corner.unionByName(face).unionByName(more).repartition("mesh").sortWithinPartitions("mesh", "kind", "vid").select("mesh", "value").write.partitionBy("mesh").text(path)
+    v, f = readers.read_obj(spark, path)
+    v = v.groupBy("mesh").agg(F.count("*").alias("vertices"), F.sum(F.col("z") * F.col("vid")).alias("height"))
+    f = f.groupBy("mesh").agg(F.count("*").alias("triangles"), F.sum(F.col("a") + 2 * F.col("b") + 3 * F.col("c")).cast("long").alias("corners"))
+    return v.join(f, "mesh").select(F.col("mesh").cast("long").alias("mesh"), "vertices", "height", "triangles", "corners")
+
+
 @query("SELECT CASE inst % 3 WHEN 0 THEN 3 WHEN 1 THEN 4 ELSE 2 END AS cls, 'box' AS kind, count(*) AS n, sum(x1)::DOUBLE AS left_sum FROM instance GROUP BY ALL", "instance")
 def yolo_boxes(spark, d):
     i = X.instance(spark, d)
@@ -133,9 +178,10 @@ def resolved_paths(spark, d):
 
 @query("SELECT count(*) AS images, (SELECT count(*) FROM instance) AS annotations, (SELECT string_agg(label, ',' ORDER BY label) FROM (SELECT DISTINCT label FROM instance)) AS classes FROM (SELECT DISTINCT scene FROM instance)", "instance")
 def annotation_counts(spark, d):
-    i = X.instance(spark, d)
-    classes = i.select("label").distinct().agg(F.array_join(F.array_sort(F.collect_list("label")), ",").alias("classes"))
-    return i.agg(F.countDistinct("scene").alias("images"), F.count("*").alias("annotations")).crossJoin(classes)  # one row each
+    """Pictures, annotations and classes of annotation documents."""
+    images, rings = readers.read_coco_lines(*written(annotation_documents(spark, d, "label").select("value")))
+    classes = rings.select("category_id").distinct().agg(F.array_join(F.array_sort(F.collect_list("category_id")), ",").alias("classes"))
+    return images.agg(F.countDistinct("id").alias("images")).crossJoin(rings.agg(F.count("*").alias("annotations"))).crossJoin(classes)  # one row each
 
 
 @query("SELECT CASE p_partkey % 3 WHEN 0 THEN 'panels' WHEN 1 THEN 'roof' ELSE 'tree' END AS title, count(*) AS n, sum(p_size)::BIGINT AS left_sum, sum(strlen(p_name))::BIGINT AS bytes FROM part GROUP BY ALL")

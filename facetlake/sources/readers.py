@@ -39,13 +39,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     before = F.sum("__n").over(Window.partitionBy("path").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
     x = x.join(sizes.select("path", "__block", F.coalesce(before, F.lit(0)).alias("__before")), ["path", "__block"])
     number = F.col("__before") + F.row_number().over(Window.partitionBy("path", "__block").orderBy("__at")) - 1
-    return x.select("path", number.cast("int").alias("line_no"), "value")
+    return x.select("path", number.cast("long").alias("line_no"), "value")
 
 
 def read_split(spark: SparkSession, path: str, drop_blank: bool = True) -> DataFrame:
     """``(sample_id, line_no)`` with all surrounding white space gone; a missing file is an empty split."""
     if not _exists(spark, path):
-        return _empty(spark, "sample_id string, line_no int")
+        return _empty(spark, "sample_id string, line_no long")
     x = read_lines(spark, path).select(F.regexp_replace("value", SPACE, "").alias("sample_id"), "line_no")
     return x.where("sample_id <> ''") if drop_blank else x
 
@@ -109,8 +109,12 @@ def read_yolo(spark: SparkSession, path: str, mapping: dict[int, int], height: i
 
 
 def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``vertex(mesh, vid, x, y, z)`` and ``face(mesh, fid, part, a, b, c)``, ids from 0 in file order; quads split in two, other faces go."""
-    x = read_lines(spark, path).select(F.regexp_extract("path", r"([^/]*)\.obj$", 1).alias("mesh"), "line_no", F.split(F.regexp_replace("value", SPACE, ""), r"\s+").alias("t"))
+    """``vertex(mesh, vid, x, y, z)`` and ``face(mesh, fid, part, a, b, c)``, ids from 0 in file order; quads split in two, other faces go.
+
+    A mesh is named by its ``.obj`` file, or by the folder ``mesh=NAME`` in which its one file lies.
+    """
+    mesh = F.coalesce(F.nullif(F.regexp_extract("path", r"([^/]*)\.obj$", 1), F.lit("")), F.regexp_extract("path", r"/mesh=([^/]*)/", 1))
+    x = read_lines(spark, path).select(mesh.alias("mesh"), "line_no", F.split(F.regexp_replace("value", SPACE, ""), r"\s+").alias("t"))
     order = Window.partitionBy("mesh").orderBy("line_no")
     v = x.where("t[0] = 'v'").select("mesh", (F.row_number().over(order) - 1).alias("vid"), *[F.col("t")[i].cast("double").alias(c) for i, c in enumerate("xyz", 1)])
     ids = F.transform(F.slice("t", F.lit(2), F.size("t") - 1), lambda s: F.split(s, "/")[0].cast("int") - 1)
@@ -124,7 +128,7 @@ def read_candidates(spark: SparkSession, path: str) -> DataFrame:
     """``(idx, path)`` of candidate pictures from a JSON list, a JSON object's ``inputs``, or a text file's lines; none at all is an error when it is read."""
     if path.endswith(".json"):
         text = spark.read.text(path, wholetext=True).select(F.coalesce(F.from_json("value", "array<string>"), F.from_json("value", "inputs array<string>")["inputs"]).alias("p"))
-        x = text.select(F.posexplode_outer("p").alias("idx", "path"))
+        x = text.select(F.posexplode_outer("p").alias("idx", "path")).withColumn("idx", F.col("idx").cast("long"))
     else:
         x = read_lines(spark, path).select(F.col("line_no").alias("idx"), F.col("value").alias("path"))
     x = x.withColumn("path", F.regexp_replace("path", SPACE, "")).where("length(path) > 0")

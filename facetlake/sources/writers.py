@@ -35,10 +35,16 @@ def feature_lines(facets: DataFrame, vertices: DataFrame, key: str, least_area:
     return x.select(F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), geometry.alias("geometry"))).alias("value"))
 
 
+#: Features that one document may hold.
+ONE_DOCUMENT = 100_000
+
+
 def write_features(facets: DataFrame, vertices: DataFrame, key: str, path: str, one_document: bool = False) -> None:
-    """Features line by line in parallel; ``one_document`` makes a single collection of a small result."""
+    """Features line by line in parallel; ``one_document`` makes a single collection of a small result and refuses more than ``ONE_DOCUMENT`` features, which are for lines."""
     lines = feature_lines(facets, vertices, key)
     if one_document:
+        if lines.limit(ONE_DOCUMENT + 1).count() > ONE_DOCUMENT:
+            raise ValueError(f"more than {ONE_DOCUMENT} features: write them line by line")
         lines = lines.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.array_sort(F.collect_list("value")), ","), F.lit("]}")).alias("value"))
     lines.write.mode("overwrite").text(path)
 

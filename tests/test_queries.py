@@ -23,7 +23,9 @@ def plain(v):
         return "-"
     if hasattr(v, "item"):
         v = v.item()
-    return repr(round(v, 6) + 0.0) if isinstance(v, float) else str(v)
+    if isinstance(v, float):  # a column of whole numbers with nulls comes as floats from one engine
+        return str(int(v)) if v.is_integer() else repr(round(v, 6) + 0.0)
+    return str(v)
 
 
 def rows(frame, columns):

@@ -47,6 +47,15 @@ def test_meshes(spark, tmp_path):
     assert [(r.fid, r.a, r.b, r.c) for r in f.orderBy("fid", "part").collect()] == [(0, 0, 1, 2), (0, 0, 2, 3), (1, 0, 1, 2)]
 
 
+def test_a_mesh_in_a_folder_of_its_own(spark, tmp_path):
+    for name in ("left", "right"):
+        (tmp_path / f"mesh={name}").mkdir()
+        (tmp_path / f"mesh={name}" / "part-0.txt").write_text("v 0 0 0\nv 1 0 0\nv 1 1 2\nf 1 2 3\n")
+    v, f = S.read_obj(spark, str(tmp_path))
+    assert sorted((r.mesh, r.vid, r.z) for r in v.collect()) == [(m, i, z) for m in ("left", "right") for i, z in ((0, 0.0), (1, 0.0), (2, 2.0))]
+    assert sorted((r.mesh, r.a, r.b, r.c) for r in f.collect()) == [("left", 0, 1, 2), ("right", 0, 1, 2)]
+
+
 def test_bitmaps_and_candidates(spark, tmp_path):
     (tmp_path / "b.json").write_text(json.dumps({"size": {"height": 9, "width": 8}, "objects": [{"classTitle": "panels", "bitmap": {"origin": [2, 3], "data": "aGk="}}, {"classTitle": "panels"}]}))
     got = S.read_bitmap_json(spark, str(tmp_path / "b.json")).collect()
@@ -71,6 +80,16 @@ def test_metrics_registry_and_logs(spark, tmp_path):
     assert sorted((r.iter, r.mode, r.key, r.value) for r in S.read_log(spark, str(tmp_path / "l.json")).collect()) == [(5, "train", "loss", 0.5), (6, "val", "mIoU", 0.7)]
 
 
+def test_a_document_of_too_many_features_is_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(K, "ONE_DOCUMENT", 2)
+    facets = spark.createDataFrame([(i, 1) for i in range(3)], "instance_id long, class_id int")
+    ring = spark.createDataFrame([(i, o, x, y) for i in range(3) for o, (x, y) in enumerate([(0.0, 0.0), (4.0, 0.0), (4.0, 4.0)])], "instance_id long, ord int, x double, y double")
+    with pytest.raises(ValueError, match="line by line"):
+        K.write_features(facets, ring, "instance_id", str(tmp_path / "f"), one_document=True)
+    K.write_features(facets, ring, "instance_id", str(tmp_path / "g"))
+    assert S.read_feature_lines(spark, str(tmp_path / "g")).count() == 3
+
+
 def test_features_round_trip(spark, tmp_path):
     facets = spark.createDataFrame([(1, 1, 0.5), (2, 2, 0.25)], "instance_id long, class_id int, confidence double")
     ring = spark.createDataFrame([(1, o, x, y) for o, (x, y) in enumerate([(0.0, 0.0), (4.0, 0.0), (4.0, 4.0)])] + [(2, 0, 0.0, 0.0), (2, 1, 1.0, 1.0)], "instance_id long, ord int, x double, y double")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import difflib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -169,6 +171,33 @@ def verify(words: list[bytes], first: int, last: int, phrase: list[bytes]) -> fl
     return sum(m.size for m in blocks) / max(reach, len(phrase))
 
 
+def windows(first: int, last: int, size: int, likeness: float = LIKENESS) -> Iterator[tuple[int, int]]:
+    """Parts ``(first, last)`` of a span in which any stretch like a phrase of ``size`` words lies whole.
+
+    Such a stretch reaches over ``size / likeness`` words at most. A span of up to twice as many is one
+    part; a longer one, of a wording that comes again and again, is cut into parts of that width which
+    overlap by half, so the work on a span grows with its length and not with the square of it.
+    """
+    reach = math.ceil(size / likeness) + 1
+    if last - first + 1 <= 2 * reach:
+        yield first, last
+        return
+    for a in range(first, last - reach + 1, reach):
+        yield a, min(a + 2 * reach - 1, last)
+
+
+def best_apart(found: list[tuple[int, float, int, int, str]]) -> list[tuple[int, float, int, int, str]]:
+    """Of ``(words of the phrase, likeness, first, last, label)`` those that overlap none before them: the longest phrase counts, then the likest."""
+    kept: list[tuple[int, int]] = []
+    out = []
+    for x in sorted(found, key=lambda x: (-x[0], -x[1], x[2])):
+        k = bisect.bisect(kept, (x[2], x[3]))
+        if (k == 0 or kept[k - 1][1] < x[2]) and (k == len(kept) or x[3] < kept[k][0]):
+            kept.insert(k, (x[2], x[3]))
+            out.append(x)
+    return sorted(out, key=lambda x: x[2])
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=BASE, wordings=WORDINGS, likeness: float = LIKENESS) -> DataFrame:
     """``(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans)`` for every row of ``docs``.
 
@@ -201,13 +230,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=B
             out = []
             for data, candidates in zip(texts.to_pylist(), found.to_pylist(), strict=True):
                 words = words_of(data) if candidates else []
-                likes = [(verify(words, s["first"], s["last"], entries[s["template"]][0]), s) for s in candidates or ()]
-                kept: list[dict] = []
-                for like, s in sorted(likes, key=lambda x: (-len(entries[x[1]["template"]][0]), -x[0], x[1]["first"])):
-                    # Of verified wordings that overlap the longest counts.
-                    if like >= likeness and not any(x["first"] <= s["last"] and s["first"] <= x["last"] for x in kept):
-                        kept.append({"label": entries[s["template"]][1], "first": s["first"], "last": s["last"], "like": like})
-                out.append(sorted(kept, key=lambda x: x["first"]))
+                likes = []
+                for c in candidates or ():
+                    phrase, label, _ = entries[c["template"]]
+                    for first, last in windows(c["first"], c["last"], len(phrase), likeness):
+                        like = verify(words, first, last, phrase)
+                        if like >= likeness:
+                            likes.append((len(phrase), like, first, last, label))
+                out.append([{"label": x[4], "first": x[2], "last": x[3], "like": x[1]} for x in best_apart(likes)])
             yield pa.array(out, kind)
 
     x = rows.select("doc_key", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), "text", mark).join(F.broadcast(marks), "mark", "left")

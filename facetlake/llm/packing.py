@@ -175,7 +175,7 @@ def sequences(packed: DataFrame, docs: DataFrame, pad: int, id_col: str = "doc_i
     ``ids`` are the pieces' token ids end to end, filled up to the capacity with ``pad``; ``documents``
     numbers the piece that each place belongs to, from 1, and is 0 for padding. A group is one sequence,
     so it is never larger than the largest capacity. Null ids and rows that repeat an id cannot be told
-    apart here: give them ids of their own first.
+    apart here; ``pack_sequences`` numbers rows first.
     """
     cut = packed.where("bin_id IS NOT NULL").join(docs.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("__ids")), "doc_id")
     part = F.slice("__ids", (F.col("piece_start") + 1).cast("int"), F.col("piece_size").cast("int"))
@@ -186,3 +186,18 @@ def sequences(packed: DataFrame, docs: DataFrame, pad: int, id_col: str = "doc_i
     parts = parts.select("bin_id", "capacity", flat.alias("ids"), owner.alias("documents"))
     item = docs.schema[ids_col].dataType.elementType
     return parts.select("bin_id", "capacity", fill(F.col("ids"), F.lit(pad).cast(item)).alias("ids"), fill(F.col("documents"), F.lit(0)).alias("documents"))
+
+
+def pack_sequences(docs: DataFrame, pad: int, id_col: str = "doc_id", ids_col: str = "ids", capacities: tuple[int, ...] = CAPACITIES, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+    """Rows of token ids as training sequences: ``(bin_id, capacity, ids, documents, doc_ids)``.
+
+    Packs by the lengths of ``ids_col`` and puts the ids out as ``sequences`` does; ``doc_ids`` has the
+    ``id_col`` of each piece, in the order in which ``documents`` numbers them. Every row is packed as a
+    document of its own, whether its id is null or stands in other rows too; null and empty arrays have
+    no place. An empty table gives an empty table.
+    """
+    rows = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids")).where(F.size("ids") > 0).withColumn("row", F.monotonically_increasing_id()), "rows")
+    packed = materialize(pack_documents(rows.withColumn("size", F.size("ids")), "row", size_col="size", capacities=capacities, shard_pieces=shard_pieces), "packed")
+    order = F.array_sort(F.collect_list(F.struct("bin_offset", "id")))
+    owners = packed.join(rows.select(F.col("row").alias("doc_id"), "id"), "doc_id").groupBy("bin_id").agg(F.transform(order, lambda x: x["id"]).alias("doc_ids"))
+    return sequences(packed, rows, pad, "row", "ids").join(owners, "bin_id")

@@ -7,7 +7,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -19,6 +18,10 @@ from facetlake.storage import materialize
 
 #: Pre-tokens: letters or digits or symbols with one space before them, or white space.
 PRETOKEN = re.compile(r" ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+| ?[^\s]")
+#: Python's white space and the same pattern in the words of Spark's own functions: what is a letter, a digit or neither goes by Unicode's
+#: categories in both, so the two cut texts alike but for characters that are newer than the tables of either.
+SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPARK_PRETOKEN = rf" ?[\p{{L}}\p{{Nl}}\p{{No}}]+| ?\p{{Nd}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+| ?[^{SPACE}]"
 #: What is added to each piece's count.
 SHRINK = 0.1
 #: Pre-tokens whose counts a task remembers.
@@ -48,7 +51,7 @@ def next_scores(counts: dict[bytes, int], pieces: Iterable[bytes], shrink: float
 def train_scores(docs: DataFrame, pieces: dict[bytes, int], text_col: str = "text", rounds: int = 2) -> dict[bytes, float]:
     """A unigram language model of all of ``docs`` over a given vocabulary: log-probability of each piece.
 
-    Tasks cut texts as ``count_tokens`` does, Spark adds up the distinct pre-tokens of all documents and sorts them, so a task's share is a range of
+    Spark counts the distinct pre-tokens of all documents, which it cuts as ``count_tokens`` does, and sorts them, so a task's share is a range of
     the trie's leaves. In each round every pre-token is cut once by the scores so far and the pieces of
     its best cut count as often as it stands in the documents; the counts, one row a piece at most, make
     the next scores. The pieces themselves are never changed. Null and empty texts add nothing; without
@@ -56,13 +59,8 @@ def train_scores(docs: DataFrame, pieces: dict[bytes, int], text_col: str = "tex
     """
     spark = docs.sparkSession
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in _parts([t or "" for t in b.column(0).to_pylist()]):
-                seen = Counter(chain.from_iterable(map(pretokens, part)))
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pretoken", "n"])
-
-    counted = docs.select(text_col).mapInArrow(tally, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
+    tokens = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(SPARK_PRETOKEN), F.lit(0))
+    counted = docs.select(F.explode(tokens).alias("pretoken")).groupBy("pretoken").agg(F.count("*").alias("n"))
     counted = materialize(counted.orderBy("pretoken"), "pretokens")
     scores = first_scores(pieces)
     for _ in range(rounds):

@@ -8,6 +8,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
 from facetlake.llm import langid, licenses, sketches, tokencounts, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, row int"
@@ -253,6 +255,15 @@ def test_changed_wordings_are_found(spark):
     assert got[1].score == 1.0 and 0.8 <= got[0].score < 1
 
 
+def test_both_patterns_cut_texts_alike(spark):
+    rng = np.random.default_rng(12)
+    signs = [*" \n\t\x1c\x85\xa0\u2003\u200b  ", *"abZ_9²½Ⅷ٣é", "e\u0301", *"ßЖ漢一🙂.-'\"!", "\x00", "\ufeff"]
+    texts = ["x² y", "a  \n b", "", " ", *("".join(rng.choice(signs, int(n))) for n in rng.integers(1, 40, 3000))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    got = {r.i: r.t for r in frame.select("i", F.regexp_extract_all("text", F.lit(tokencounts.SPARK_PRETOKEN), F.lit(0)).alias("t")).collect()}
+    assert [got[i] for i in range(len(texts))] == [tokencounts.PRETOKEN.findall(t) for t in texts]
+
+
 def test_windows_hold_every_stretch_that_may_be_like_a_phrase():
     for first, last, size in ((0, 5, 9), (7, 500, 9), (3, 4000, 160), (0, 22, 9)):
         parts = list(licenses.windows(first, last, size))

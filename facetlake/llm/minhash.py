@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from facetlake.llm.simhash import majority, near_pairs, shingle_hashes
 from facetlake.operators.components import connected_components
@@ -18,6 +20,8 @@ from facetlake.storage import materialize
 BANDS, ROWS = 24, 5
 #: Differing bits of SimHash fingerprints that propose a pair.
 RADIUS = 2
+#: Places that the marks of a set have, a multiple of 64.
+MARKS = 2048
 #: Shingles whose permuted values are held at a time.
 BLOCK = 2048
 _DRAWS = np.random.default_rng(20).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
@@ -86,16 +90,39 @@ def _labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return materialize(rows.join(mixed, "key"), "open")
 
 
+def marks(hashes: np.ndarray) -> tuple[list[int], list[int], int]:
+    """A set as marks: the places of ``MARKS`` that its hashes fall on, those that two or more fall on, and how many hashes are beyond the second of their place."""
+    n = np.bincount((hashes % MARKS).astype(np.int64), minlength=MARKS)
+    bits = lambda least: np.packbits(n >= least, bitorder="little").view(np.int64).tolist()
+    return bits(1), bits(2), int(np.maximum(n - 2, 0).sum())
+
+
+@F.arrow_udf(T.StructType([T.StructField("once", T.ArrayType(T.LongType())), T.StructField("twice", T.ArrayType(T.LongType())), T.StructField("beyond", T.IntegerType())]))
+def _marked(sets: pa.Array) -> pa.Array:
+    found = [marks(np.array(x, np.int64).view(np.uint64)) for x in sets.to_pylist()]
+    kinds = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32())
+    return pa.StructArray.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], ["once", "twice", "beyond"])
+
+
+def most_common(x: str, y: str) -> Column:
+    """No fewer than the hashes that two marked sets have in common: places that both have, places that both have twice, and what either has beyond."""
+    both = [F.bit_count(F.col(f"{x}.marks.{c}")[i].bitwiseAND(F.col(f"{y}.marks.{c}")[i])) for c in ("once", "twice") for i in range(MARKS // 64)]
+    return reduce(Column.__add__, both) + F.least(f"{x}.marks.beyond", f"{y}.marks.beyond")
+
+
 def _shared(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """``rows`` with how many shingles of their node another one of them has too, without nodes of which these are too few.
+    """``rows`` with how many shingles of their node another one of them has too and with the ``marks`` of these, without nodes of which these are too few.
 
     What no other node has is in no intersection, so a node with more than ``1 - least`` of such shingles
     is like none, however many it meets.
     """
-    tokens = sets.join(rows.select("node").distinct(), "node", "left_semi").select("node", F.explode("hashes").alias("hash"))
-    own = tokens.groupBy("hash").agg(F.count("*").alias("n"), F.first("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("own"))
-    x = rows.join(own, "node", "left").withColumn("shared", F.col("size") - F.coalesce("own", F.lit(0))).drop("own")
-    return materialize(x.where(F.col("shared") >= least * F.col("size")), "shared")
+    open_sets = sets.join(rows.select("node").distinct(), "node", "left_semi")
+    tokens = open_sets.select("node", F.explode("hashes").alias("hash"))
+    alone = tokens.groupBy("hash").agg(F.count("*").alias("n"), F.first("node").alias("node")).where("n = 1").groupBy("node").agg(F.collect_list("hash").alias("alone"))
+    left = F.when(F.col("alone").isNull(), F.col("hashes")).otherwise(F.array_except("hashes", "alone"))
+    about = open_sets.join(alone, "node", "left").select("node", left.alias("left"), F.size("hashes").alias("all")).where(F.size("left") >= least * F.col("all"))
+    about = materialize(about.select("node", F.size("left").alias("shared"), _marked("left").alias("marks")), "marked")
+    return materialize(rows.join(about, "node"), "shared")
 
 
 def links(docs: DataFrame, nodes: DataFrame, least: float, shingle_words: int) -> DataFrame:
@@ -106,7 +133,7 @@ def links(docs: DataFrame, nodes: DataFrame, least: float, shingle_words: int) -
     that this puts into one component need no further comparison. Of the others, those go that share
     too little with any; then each meets the node of its groups that shares most of its shingles, which
     in a group of copies is the one nearest to their original; and only pairs that are still in
-    different components, and share enough for it, are compared one by one.
+    different components, and may share enough by the marks of their sets, are compared one by one.
     """
     rows = materialize(nodes.select("node", "size", F.explode("keys").alias("key")), "bands")
     groups = materialize(rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("lead")).where("n > 1").drop("n"), "groups")
@@ -130,8 +157,9 @@ def links(docs: DataFrame, nodes: DataFrame, least: float, shingle_words: int) -
     second = materialize(x.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct(), "hubs")
     found = materialize(found.unionByName(_alike(second, sets, least)), "links")
     rows = _labelled(rows, found).join(nodes.select("node", "keys"), "node")
+    enough = (1 + least) * most_common("x", "y") >= least * (F.col("x.size") + F.col("y.size"))
     once = F.col("x.key") == F.array_min(F.array_intersect("x.keys", "y.keys"))  # a pair meets in several keys and is put out in the first of them
-    x = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & may("x", "y") & once)
+    x = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & may("x", "y") & enough & once)
     across = x.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     return found.unionByName(_alike(materialize(across.join(second, ["a", "b"], "left_anti"), "across"), sets, least))
 

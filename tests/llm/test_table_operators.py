@@ -248,6 +248,21 @@ def test_sequences_hold_every_token(spark):
     assert sum(sum(x > 0 for x in r.documents) for r in seqs.values()) == sum(map(len, ids.values()))
 
 
+def test_packed_sequences_of_rows_that_share_an_id_or_have_none(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i % 3 if i % 4 else None, rng.integers(1, 9999, int(n)).tolist()) for i, n in enumerate([*rng.integers(1, 90, 30), 300])] + [(1, []), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, ids array<int>").withColumns({"row": F.lit("x"), "size": F.lit(3), "id": F.lit(4)})
+    got = packing.pack_sequences(docs, pad=0, capacities=(16, 64, 128), shard_pieces=20).collect()
+    pieces = []
+    for r in got:
+        assert len(r.ids) == len(r.documents) == r.capacity and set(r.documents) <= set(range(len(r.doc_ids) + 1))
+        pieces += [(i, tuple(t for t, k in zip(r.ids, r.documents, strict=True) if k == n)) for n, i in enumerate(r.doc_ids, 1)]
+    whole = [(i, tuple(ids)) for i, ids in rows if ids and len(ids) <= 128]
+    assert Counter(x for x in pieces if x in whole) == Counter(whole)
+    assert sum(len(x) for _, x in pieces) == sum(len(ids or []) for _, ids in rows)
+    assert packing.pack_sequences(docs.limit(0), pad=0).count() == 0
+
+
 def test_rows_of_one_id_are_dealt_to_many_shards(spark):
     docs = spark.createDataFrame([(None, "a b c")] * 300, "doc_id long, text string")
     rows = packing.pack_documents(docs, shard_pieces=30).collect()
@@ -335,6 +350,24 @@ def jaccard_kept(rows):
     return [ids[c] for i, c in enumerate(comp) if i == c]
 
 
+def test_marks_bound_what_two_sets_share_and_come_near_it(spark):
+    from facetlake.llm import minhash
+
+    rng = np.random.default_rng(9)
+    rows, common = [], []
+    for n, kept in ((5, 1.0), (150, 0.9), (150, 0.7), (150, 0.0), (1500, 0.8), (9000, 0.5)):
+        a = rng.integers(0, 1 << 64, n, np.uint64)
+        b = np.unique(np.concatenate((a[rng.random(n) < kept], rng.integers(0, 1 << 64, n // 4, np.uint64))))
+        both = len(np.intersect1d(a, b))
+        common.append((both, n))
+        rows.append([dict(zip(("once", "twice", "beyond"), minhash.marks(x), strict=True)) for x in (a, b)])
+    kind = "struct<marks:struct<once:array<long>,twice:array<long>,beyond:int>>"
+    frame = spark.createDataFrame([(k, {"marks": a}, {"marks": b}) for k, (a, b) in enumerate(rows)], f"k int, x {kind}, y {kind}")
+    got = [r[0] for r in frame.orderBy("k").select(minhash.most_common("x", "y")).collect()]
+    assert all(g >= both for g, (both, _) in zip(got, common, strict=True))
+    assert all(g - both <= 0.12 * n for g, (both, n) in zip(got, common, strict=True) if n <= 1500)
+
+
 def test_near_duplicate_stage_finds_all_pairs_at_a_jaccard_of_0_8(spark):
     import corpus_pipeline
 

@@ -39,13 +39,14 @@ def instance_overlap(a: DataFrame, b: DataFrame, keys: list[str], id_col: str =
     box["b"] = box["a"] if b is a else _instances(b, keys, id_col)
     # Each pair of boxes once, in the grid cell where their common part begins.
     cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / GRID), F.floor(F.col(high) / GRID)))
-    grid = {side: t.drop("runs").withColumn("gx", cells("bx0", "bx1")).withColumn("gy", cells("by0", "by1")) for side, t in box.items()}
+    # What Parquet takes for boxes and runs says little about their size in memory, so neither side is broadcast.
+    grid = {side: t.drop("runs").withColumn("gx", cells("bx0", "bx1")).withColumn("gy", cells("by0", "by1")).hint("merge") for side, t in box.items()}
     on = same([*keys, "gx", "gy"]) & (F.col("a.bx0") < F.col("b.bx1")) & (F.col("b.bx0") < F.col("a.bx1")) & (F.col("a.by0") <= F.col("b.by1")) & (F.col("b.by0") <= F.col("a.by1"))
     on = on & (F.floor(F.greatest("a.bx0", "b.bx0") / GRID) == F.col("a.gx")) & (F.floor(F.greatest("a.by0", "b.by0") / GRID) == F.col("a.gy"))
     pairs = grid["a"].alias("a").join(grid["b"].alias("b"), on if between is None else on & between)
     pairs = pairs.select(*[F.col(f"a.{k}") for k in keys], F.col(f"a.{id_col}").alias("a"), F.col(f"b.{id_col}").alias("b"), F.col("a.area").alias("area_a"), F.col("b.area").alias("area_b"))
     for side, t in box.items():
-        pairs = pairs.join(t.select(*keys, F.col(id_col).alias(side), F.col("runs").alias(f"runs_{side}")), [*keys, side])
+        pairs = pairs.join(t.select(*keys, F.col(id_col).alias(side), F.col("runs").alias(f"runs_{side}")).hint("merge"), [*keys, side])
     met = pairs.select(*keys, "a", "b", "area_a", "area_b", common_cells("runs_a", "runs_b").alias("inter")).where("inter > 0")
     union = (F.col("area_a") + F.col("area_b") - F.col("inter")).alias("union")
     return met.select(*keys, "a", "b", "inter", union).withColumn("iou", F.col("inter") / F.col("union"))

@@ -35,12 +35,12 @@ def stencil(cells: DataFrame, keys: list[str], value: str, kernels: dict[str, tu
     return x.select(*keys, "y", "x", value, *[total(k).alias(n) for n, k in kernels.items()])
 
 
-def sobel_normals(cells: DataFrame, keys: list[str], value: str = "z", scale: float = 1.0) -> DataFrame:
-    """``(keys, y, x, nx, ny, nz)``: (-dx, -dy, 1) at length 1."""
+def sobel_normals(cells: DataFrame, keys: list[str], value: str = "z", scale: float = 1.0, keep: bool = False) -> DataFrame:
+    """``(keys, y, x, nx, ny, nz)``: (-dx, -dy, 1) at length 1; with ``keep`` the value stays beside it."""
     g = stencil(cells, keys, value, {"dx": SOBEL_X, "dy": SOBEL_Y})
     dx, dy = F.col("dx") * scale, F.col("dy") * scale
     n = F.greatest(F.sqrt(dx * dx + dy * dy + 1), F.lit(1e-8))
-    return g.select(*keys, "y", "x", (-dx / n).alias("nx"), (-dy / n).alias("ny"), (1 / n).alias("nz"))
+    return g.select(*keys, "y", "x", *[value] * keep, (-dx / n).alias("nx"), (-dy / n).alias("ny"), (1 / n).alias("nz"))
 
 
 def image_quality(cells: DataFrame, keys: list[str], value: str = "z") -> DataFrame:
@@ -92,7 +92,11 @@ def standardize(v: Column, mean: float, std: float) -> Column:
 
 
 def resample_nearest(cells: DataFrame, keys: list[str], height: int, width: int, to_height: int, to_width: int) -> DataFrame:
-    """Each target cell takes the source cell at ``floor(i * size / new size)``."""
-    grid = cells.select(*keys).distinct().withColumn("ty", F.explode(F.sequence(F.lit(0), F.lit(to_height - 1)))).withColumn("tx", F.explode(F.sequence(F.lit(0), F.lit(to_width - 1))))
-    grid = grid.withColumns({"y": F.floor(F.col("ty") * height / to_height).cast("int"), "x": F.floor(F.col("tx") * width / to_width).cast("int")})
-    return grid.join(cells, [*keys, "y", "x"]).drop("y", "x").withColumnsRenamed({"ty": "y", "tx": "x"})
+    """Each target cell takes the source cell at ``floor(i * size / new size)``; a source cell knows the stretch of rows and columns that take it, so nothing is joined."""
+    def takers(at: str, size: int, to: int) -> Column:
+        first = lambda i: F.ceil(i * to / size).cast("int")
+        low, high = first(F.col(at)), first(F.col(at) + 1) - 1
+        return F.explode(F.when(F.col(at).between(0, size - 1) & (low <= high), F.sequence(low, high)))
+
+    x = cells.withColumn("__y", takers("y", height, to_height)).withColumn("__x", takers("x", width, to_width))
+    return x.drop("y", "x").withColumnsRenamed({"__y": "y", "__x": "x"})

@@ -73,22 +73,31 @@ def resample_bilinear(cells: DataFrame, keys: list[str], value: str, height: int
     return x.groupBy(*keys, F.col("ty").alias("y"), F.col("tx").alias("x")).agg(F.sum(F.col(value) * F.col("wy") * F.col("wx")).alias(value))
 
 
+def extremes(cells: DataFrame, keys: list[str], wanted: dict[str, tuple[str, str]]) -> DataFrame:
+    """``cells`` and, under each name of ``wanted``, the ``low`` or ``high`` of a column in each cell's 3 x 3 window inside the raster, by windows along x and then along y, one sort each for all names."""
+    row = Window.partitionBy(*keys, "y").orderBy("x").rowsBetween(-1, 1)
+    col = Window.partitionBy(*keys, "x").orderBy("y").rowsBetween(-1, 1)
+    take = {"low": F.min, "high": F.max}
+    x = cells.withColumns({f"__along_{n}": take[end](value).over(row) for n, (end, value) in wanted.items()})
+    return x.withColumns({n: take[end](f"__along_{n}").over(col) for n, (end, _) in wanted.items()}).drop(*[f"__along_{n}" for n in wanted])
+
+
 def neighbours(cells: DataFrame, keys: list[str], value: str, plus: bool = False) -> DataFrame:
-    """``low`` and ``high`` of each cell's 3 x 3 window inside the raster (a plus-shaped one if ``plus``), by windows along x and then along y."""
+    """``low`` and ``high`` of each cell's 3 x 3 window inside the raster (a plus-shaped one if ``plus``)."""
+    if not plus:
+        return extremes(cells, keys, {"low": ("low", value), "high": ("high", value)})
     row = Window.partitionBy(*keys, "y").orderBy("x").rowsBetween(-1, 1)
     col = Window.partitionBy(*keys, "x").orderBy("y").rowsBetween(-1, 1)
     x = cells.withColumns({"__rl": F.min(value).over(row), "__rh": F.max(value).over(row)})
-    if plus:
-        return x.withColumns({"low": F.least("__rl", F.min(value).over(col)), "high": F.greatest("__rh", F.max(value).over(col))}).drop("__rl", "__rh")
-    return x.withColumns({"low": F.min("__rl").over(col), "high": F.max("__rh").over(col)}).drop("__rl", "__rh")
+    return x.withColumns({"low": F.least("__rl", F.min(value).over(col)), "high": F.greatest("__rh", F.max(value).over(col))}).drop("__rl", "__rh")
 
 
 def boundary_bce(cells: DataFrame, keys: list[str], p: str, t: str) -> DataFrame:
-    """``(keys, loss)``: cross-entropy between the 3 x 3 grey gradients of a probability and a target map."""
-    a = neighbours(cells, keys, p).select(*keys, "y", "x", (F.col("high") - F.col("low")).alias("gp"))
-    b = neighbours(cells, keys, t).select(*keys, "y", "x", (F.col("high") - F.col("low")).alias("gt"))
-    q = F.least(F.greatest(F.col("gp"), F.lit(1e-6)), F.lit(1 - 1e-6))
-    return a.join(b, [*keys, "y", "x"]).groupBy(*keys).agg(F.avg(-(F.col("gt") * F.log(q) + (1 - F.col("gt")) * F.log(1 - q))).alias("loss"))
+    """``(keys, loss)``: cross-entropy between the 3 x 3 grey gradients of a probability and a target map, both taken in one pass over the cells."""
+    x = extremes(cells, keys, {f"__{c}_{end}": (end, v) for c, v in (("p", p), ("t", t)) for end in ("low", "high")})
+    gt = F.col("__t_high") - F.col("__t_low")
+    q = F.least(F.greatest(F.col("__p_high") - F.col("__p_low"), F.lit(1e-6)), F.lit(1 - 1e-6))
+    return x.groupBy(*keys).agg(F.avg(-(gt * F.log(q) + (1 - gt) * F.log(1 - q))).alias("loss"))
 
 
 def boundary_aware_loss(cells: DataFrame, keys: list[str], p: str, t: str) -> DataFrame:
@@ -97,15 +106,13 @@ def boundary_aware_loss(cells: DataFrame, keys: list[str], p: str, t: str) -> Da
 
 
 def mask_topology(cells: DataFrame, keys: list[str], p: str, least_share: float = 0.02) -> DataFrame:
-    """``(keys, holes, fragments, variation, shortfall, loss)`` of soft masks: change under closing and opening, total variation, and what is missing to a least area."""
-    def twice(first: str, second: str) -> DataFrame:
-        one = neighbours(cells, keys, p).withColumn("__v", F.col(first)).drop("low", "high")
-        return neighbours(one, keys, "__v").select(*keys, "y", "x", F.col(second).alias("__out"))
+    """``(keys, holes, fragments, variation, shortfall, loss)`` of soft masks: change under closing and opening, total variation, and what is missing to a least area.
 
-    closed, opened = twice("high", "low"), twice("low", "high")
+    Each step adds its columns to the cells, so cells never meet each other in a join.
+    """
     row, col = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
-    x = cells.withColumns({"dx": F.abs(F.lead(p).over(row) - F.col(p)), "dy": F.abs(F.lead(p).over(col) - F.col(p))})
-    x = x.join(closed.withColumnRenamed("__out", "__c"), [*keys, "y", "x"]).join(opened.withColumnRenamed("__out", "__o"), [*keys, "y", "x"])
+    x = cells.withColumn("dx", F.abs(F.lead(p).over(row) - F.col(p))).withColumn("dy", F.abs(F.lead(p).over(col) - F.col(p)))
+    x = extremes(extremes(x, keys, {"__high": ("high", p), "__low": ("low", p)}), keys, {"__c": ("low", "__high"), "__o": ("high", "__low")})
     g = x.groupBy(*keys).agg(F.avg(F.col("__c") - F.col(p)).alias("holes"), F.avg(F.col(p) - F.col("__o")).alias("fragments"), (F.avg("dx") + F.avg("dy")).alias("variation"), F.greatest(F.lit(0.0), least_share - F.avg(p)).alias("shortfall"))
     return g.withColumn("loss", F.col("holes") + F.col("fragments") + 0.2 * F.col("variation") + 0.2 * F.col("shortfall"))
 
@@ -204,7 +211,7 @@ def project_faces(faces: DataFrame, vertices: DataFrame, size: int, scale: float
 
 def paint_faces(faces: DataFrame, projected: DataFrame, heights: DataFrame, size: int) -> DataFrame:
     """Runs ``(mesh, y, x0, x1, fid)`` of the face on top: the higher mean z covers the lower, the later face on ties."""
-    filled = R.rasterize(projected, ["mesh", "fid"], size, size).join(heights.select("mesh", "fid", "mean_z"), ["mesh", "fid"])
+    filled = R.rasterize(projected, ["mesh", "fid"], size, size).hint("merge").join(heights.select("mesh", "fid", "mean_z"), ["mesh", "fid"])
     return R.overlay(filled, ["mesh"], "fid", ["mean_z", "fid"])
 
 

@@ -33,8 +33,8 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("user_id").alias("run"), F.col("event_type").alias("key"), "value", F.col("ts").cast("timestamp").alias("ts"), "event_id")
 
 
-def finished(rows: DataFrame, schema: str) -> DataFrame:
-    """Runs a stream in append mode over what is there; its rows come back from a table in the shared folder.
+def finished(rows: DataFrame, schema: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream over what is there; its rows come back from a table in the shared folder, of each of ``keys`` the row of the last batch.
 
     A batch that runs again after a failure writes its own folder again, so no row comes twice.
     """
@@ -43,25 +43,27 @@ def finished(rows: DataFrame, schema: str) -> DataFrame:
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    ended(rows, keep)
-    return rows.sparkSession.read.schema(schema).parquet(out).drop("batch")
+    ended(rows, keep, mode)
+    x = rows.sparkSession.read.schema(f"{schema}, batch long").parquet(out)
+    if keys:
+        x = x.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in x.columns if c not in (*keys, "batch")]), "batch").alias("last")).select(*keys, "last.*")
+    return x.drop("batch")
 
 
-def ended(rows: DataFrame, keep) -> StreamingQuery:
+def ended(rows: DataFrame, keep, mode: str = "append") -> StreamingQuery:
     """Runs a stream to the end of what is there with a ``foreachBatch`` function."""
     spark = rows.sparkSession
     with logs.with_state_store(spark):
-        query = rows.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", shared_dir(spark, "stream-state")).trigger(availableNow=True).start()
+        query = rows.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", shared_dir(spark, "stream-state")).trigger(availableNow=True).start()
         query.awaitTermination()
     return query
 
 
 @query(
-    """SELECT date_trunc('hour', ts) AS start, user_id AS run, event_type AS key, count(*) AS n, round(avg(value), 6) AS mean, round(arg_max(value, (ts, event_id)), 6) AS latest FROM events
-    WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL""")
+    """SELECT date_trunc('hour', ts) AS start, user_id AS run, event_type AS key, count(*) AS n, round(avg(value), 6) AS mean, round(arg_max(value, (ts, event_id)), 6) AS latest FROM events GROUP BY ALL""")
 def stream_log_metrics(spark, d):
-    """The windows that the watermark has closed, of all records."""
-    x = finished(logs.log_metrics(event_stream(spark, d), "1 hour"), "start timestamp, run long, key string, n long, mean double, latest double")
+    """All windows as they stand when the stream ends, those still open too: a window comes out again with each batch that adds to it, and its last row counts."""
+    x = finished(logs.log_metrics(event_stream(spark, d), "1 hour"), "start timestamp, run long, key string, n long, mean double, latest double", mode="update", keys=["start", "run", "key"])
     return x.select(F.col("start").cast("timestamp_ntz").alias("start"), "run", "key", "n", r6("mean", "mean"), r6("latest", "latest"))
 
 
@@ -104,12 +106,14 @@ def stream_kpi_gate(spark, d):
 @query()
 def stream_scene_merge(spark, d):
     """Scenes merged as their detections arrive in three batches, a scene's in more than one of them."""
-    runs, source, out = scored_runs(spark, d), shared_dir(spark, "detections"), shared_dir(spark, "scenes")
+    # scenes are kept in 64 parts, not in a folder each, so files do not grow with them
+    part = F.pmod(F.xxhash64("scene"), F.lit(64)).cast("int")
+    runs, source, out = scored_runs(spark, d).withColumn("part", part), shared_dir(spark, "detections"), shared_dir(spark, "scenes")
     third = F.pmod("inst", F.lit(3)).cast("int").alias("third")
     runs.select("*", third).repartition(3, "third").write.partitionBy("third").parquet(source)
     stream = spark.readStream.schema(runs.select("*", third).schema).option("maxFilesPerTrigger", 1).parquet(source).drop("third")
-    ended(stream, logs.scene_merger(out, "scene", ["scene", "label"], method="score", threshold=0.5))
-    return merged(spark.read.parquet(f"{out}/merged").withColumn("scene", F.col("scene").cast("long")))
+    ended(stream, logs.scene_merger(out, "part", ["part", "scene", "label"], method="score", threshold=0.5))
+    return merged(spark.read.parquet(f"{out}/merged"))
 
 
 SQL["stream_scene_merge"] = SCENE_SQL["merge_tiles_score"]

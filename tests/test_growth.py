@@ -4,7 +4,7 @@ import pytest
 from facetlake.operators import geometry as G
 from facetlake.operators import runs as R
 from facetlake.operators import stencils as T
-from facetlake.plans import catalog
+from facetlake.plans import catalog, streams
 from pyspark.sql import functions as F
 
 CELLS = "boundary_aware_loss boundary_bce classify_by_slope mask_topology minmax_grey planarity reflect_pad resample_nearest".split()
@@ -41,6 +41,21 @@ def test_runs_of_cells_that_come_twice(spark):
     assert sorted(map(tuple, R.to_runs(cells, ["k"]).collect())) == [(1, 0, 0, 3), (1, 0, 5, 6)]
 
 
+def test_a_plane_of_points_that_come_many_times(spark):
+    points = [(1, float(x), float(y), 0.1 * x + 0.2 * y + 5) for x in range(10) for y in range(10)]
+    got = G.fit_plane(spark.createDataFrame(points, "facet int, x double, y double, z double").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(7)))).drop("n"), "facet").collect()
+    assert [(r.inliers, round(r.nx / r.nz, 6), round(r.ny / r.nz, 6)) for r in got] == [(700, -0.1, -0.2)]
+
+
+def test_the_windows_still_open_count_and_scenes_share_folders(spark, sf, monkeypatch):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    assert catalog.queries()["stream_log_metrics"](spark, sf).agg(F.sum("n")).first()[0] == events.count()
+    folders = []
+    monkeypatch.setattr(streams, "merged", lambda x: folders.extend({f.split("/merged/")[1].split("/")[0] for f in x.inputFiles()}) or x)
+    streams.stream_scene_merge(spark, sf)
+    assert 0 < len(folders) <= 64 and all(f.startswith("part=") for f in folders)
+
+
 def test_resampling_and_padding_join_nothing(spark):
     cells = spark.createDataFrame([(1, y, x, float(3 * y + x)) for y in range(3) for x in range(3)], "k int, y int, x int, z double")
     for n in (1, 2, 3, 4, 7):

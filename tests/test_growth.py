@@ -12,6 +12,9 @@ MASKS = "erode mask_open mask_close dilate opened_plus closed_plus dilate_plus".
 RUNS = "fuse_views instance_precision_recall merge_tiles_weighted merge_tiles_score merge_coplanar_facets mean_normals facet_points teacher_masks painted_mesh face_normals".split()
 
 
+ROWS = "rasterize_polygons rasterize_concave mask_gradient".split()
+
+
 def broadcast_explosions(df):
     """Broadcasts of a plan that have an exploded table below them."""
     lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
@@ -29,14 +32,26 @@ def test_exploded_tables_are_not_broadcast(spark, sf, name):
     assert not broadcast_explosions(catalog.queries()[name](spark, sf))
 
 
-@pytest.mark.parametrize("name", CELLS + MASKS)
+@pytest.mark.parametrize("name", CELLS + MASKS + ROWS)
 def test_cells_of_a_raster_are_not_shuffled(spark, sf, name):
     """Rasters and masks are dealt before they become cells and runs: every shuffle lies below the explosion."""
     lines = catalog.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines()
-    first = max(k for k, line in enumerate(lines) if "Generate" in line) if name in MASKS else next(k for k, line in enumerate(lines) if "Generate" in line)
+    first = max(k for k, line in enumerate(lines) if "Generate" in line) if name in MASKS + ROWS else next(k for k, line in enumerate(lines) if "Generate" in line)
     assert not [line for line in lines[:first] if "Exchange" in line]
 
 
+def test_cells_become_runs_without_being_sorted(spark, sf):
+    lines = catalog.queries()["runs_of_pixels"](spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines()
+    cells = max(k for k, line in enumerate(lines) if "Generate explode(sequence(x0" in line)
+    assert "HashAggregate" in next(line for line in reversed(lines[:cells]) if "Sort" in line or "Aggregate" in line)
+
+
+def test_runs_go_on_over_the_ends_of_words(spark):
+    rows = [*range(-3, 71), *range(95, 97), 99, *range(128, 160), 161]
+    got = R.to_runs(spark.createDataFrame([(1, 0, x) for x in rows], "k int, y int, x long"), ["k"]).collect()
+    assert sorted((r.x0, r.x1) for r in got) == [(-3, 71), (95, 97), (99, 100), (128, 160), (161, 162)]
+
+
 def test_runs_of_cells_that_come_twice(spark):
     cells = spark.createDataFrame([(1, 0, x) for x in (0, 1, 1, 2, 5, 5)], "k int, y int, x int")
     assert sorted(map(tuple, R.to_runs(cells, ["k"]).collect())) == [(1, 0, 0, 3), (1, 0, 5, 6)]

@@ -82,7 +82,7 @@ DISTRIBUTION = """dist AS (SELECT c AS cls, coalesce(cells, 0)::BIGINT AS cells,
 
 
 def distribution(spark: SparkSession, d: str) -> DataFrame:
-    return A.class_distribution(labels(spark, d).where("side = 'gt'"), X.instance(spark, d), ["scene"], X.FRAME**2)
+    return A.class_distribution(labels(spark, d, "gt"), X.instance(spark, d), ["scene"], X.FRAME**2)
 
 
 @query()

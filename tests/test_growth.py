@@ -5,6 +5,7 @@ from facetlake.operators import geometry as G
 from facetlake.operators import overlap as O
 from facetlake.operators import runs as R
 from facetlake.operators import stencils as T
+from facetlake.operators import views as V
 from facetlake.plans import catalog, streams
 from pyspark.sql import functions as F
 
@@ -79,6 +80,46 @@ def test_ends_at_one_place_are_one_node_without_rounds(spark, monkeypatch):
     assert met == [0] and sorted(r.node for r in node.collect()) == [0, 1, 3] and sorted((r.a, r.b) for r in edge.collect()) == [(0, 1), (0, 3), (1, 3)]
 
 
+@pytest.mark.parametrize("batch", [3, 10000])
+def test_layers_are_painted_the_same_in_batches_of_any_size(spark, batch):
+    """The value on top of each cell, ties and nulls included; the other side's runs are not painted where one side is asked for."""
+    runs = [(k, y, x, x + 1 + (x * 7 + y) % 9, (x + y) % 3, None if x % 5 == 0 else (x * 11 + k) % 6) for k in range(2) for y in range(3) for x in range(0, 30, 2)]
+    top = {}
+    for k, y, a, b, v, r in sorted(runs, key=lambda t: (t[5] is not None, t[5] or 0, -t[2])):
+        top |= {(k, y, x): v for x in range(a, b)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = R.overlay(spark.createDataFrame(runs, "k int, y int, x0 int, x1 int, v int, r int"), ["k"], "v", ["r"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.k, r.y, x): r.v for r in got for x in range(r.x0, r.x1)} == top and sum(r.x1 - r.x0 for r in got) == len(top)
+    assert not {(r.k, r.y, r.x1, r.v) for r in got} & {(r.k, r.y, r.x0, r.v) for r in got}
+
+
+@pytest.mark.parametrize("name", ["class_distribution", "class_weights", "query_class_weights"])
+def test_the_other_side_is_not_painted(spark, sf, name):
+    plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan[plan.index("MapInArrow") :]
+
+
+@pytest.mark.parametrize("name", ["hard_samples", "mine_hard", "boundary_f1"])
+def test_borders_meet_without_another_shuffle(spark, sf, name):
+    """Both sides of a scene are swept together: no runs are joined, and only scenes and samples are."""
+    lines = catalog.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines()
+    deep = max(k for k, line in enumerate(lines) if "Generate" in line)
+    assert not [line for line in lines[lines.index(next(x for x in lines if "Generate" in x)) : deep] if "Join" in line and "y#" in line]
+
+
+def test_votes_of_a_mask_add_up_over_batches(spark):
+    cells = spark.createDataFrame([(k, 5 + k, x) for k in (1, 2) for x in range(40)], "mask long, y int, x int")
+    found = []
+    for batch in (7, 10000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        found.append(sorted(map(tuple, V.line_segments(cells, "mask").collect())))
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1] and [r[:3] for r in found[0]] == [(1, 90, 6), (2, 90, 7)]
+
+
 def test_a_plane_of_points_that_come_many_times(spark):
     points = [(1, float(x), float(y), 0.1 * x + 0.2 * y + 5) for x in range(10) for y in range(10)]
     got = G.fit_plane(spark.createDataFrame(points, "facet int, x double, y double, z double").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(7)))).drop("n"), "facet").collect()

@@ -7,6 +7,7 @@ from facetlake.operators import runs as R
 from facetlake.operators import stencils as T
 from facetlake.operators import views as V
 from facetlake.plans import catalog, streams
+from facetlake.sources import writers
 from pyspark.sql import functions as F
 
 CELLS = "boundary_aware_loss boundary_bce classify_by_slope mask_topology minmax_grey planarity reflect_pad resample_nearest".split()
@@ -143,3 +144,12 @@ def test_resampling_and_padding_join_nothing(spark):
     wide = {(r.y, r.x): r.z for r in R.reflect_pad(cells, ["k"], 3, 3, 8).collect()}
     back = [0, 1, 2, 1, 0, 1, 2, 1]
     assert wide == {(y, x): float(3 * back[y] + back[x]) for y in range(8) for x in range(8)}
+
+
+def test_height_pairs_take_as_many_tasks_as_their_cells_need(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(writers, "TASK_CELLS", 16)
+    pairs = spark.createDataFrame([(str(k), "i", "h", "m") for k in range(20)], "sample_id string, image_path string, dsm_path string, mask_path string")
+    heights = spark.createDataFrame([(str(k), y, x, float(x)) for k in range(20) for y in range(4) for x in range(4)], "sample_id string, y int, x int, z double")
+    found = writers.write_height_pairs(pairs, heights, str(tmp_path)).collect()
+    assert len(found) == 20 and {r.cells for r in found} == {16}
+    assert len(list((tmp_path / "normal").glob("part-*.parquet"))) > 4

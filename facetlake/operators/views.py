@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from facetlake.operators import runs as R
 from facetlake.operators.evaluate import dice
@@ -164,6 +169,8 @@ def prompt_ring(runs: DataFrame, frames: DataFrame, keys: list[str], height: int
     return R.gradient(runs, frames, keys, height, width, 2)
 
 
+#: Cells of a border whose votes one task counts.
+TASK_CELLS = 1 << 17
 #: Keeps rounding at exact halves and whole steps the same on every machine.
 EPS = 1e-9
 
@@ -180,18 +187,19 @@ def line_segments(cells: DataFrame, key: str, least_votes: int = 30, least_lengt
         return F.floor(F.col("x") * F.cos(a) + F.col("y") * F.sin(a) + 0.5 + EPS).cast("int")
 
     own = materialize(cells.select(key, "y", "x"), "edges")
-    votes = own.withColumn("theta", F.explode(F.sequence(F.lit(0), F.lit(179), F.lit(step)))).groupBy(key, "theta", offset(F.col("theta")).alias("rho")).agg(F.count("*").alias("n")).where(F.col("n") >= least_votes)
-    votes = materialize(votes, "votes")
+    own = own.repartition(max(1, -(-own.count() // TASK_CELLS)), key)
+    kind = T.StructType([T.StructField(key, own.schema[key].dataType), *[T.StructField(c, T.IntegerType()) for c in ("theta", "rho", "n")]])
+    votes = materialize(own.sortWithinPartitions(key).mapInArrow(lambda batches: _votes(batches, key, range(0, 180, step), least_votes), kind), "votes")
     # Beyond 180 degrees an angle comes again with its offset turned round.
     again = votes.unionByName(votes.select(key, (F.col("theta") - 180).alias("theta"), (-F.col("rho")).alias("rho"), "n")).unionByName(votes.select(key, (F.col("theta") + 180).alias("theta"), (-F.col("rho")).alias("rho"), "n"))
     cell = lambda c: F.floor(F.col(c) / beside)
     placed = votes.withColumns({"ct": cell("theta"), "cr": cell("rho")})
     around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
-    other = again.withColumns({"ct": cell("theta"), "cr": cell("rho")}).withColumn("ct", around("ct")).withColumn("cr", around("cr"))
+    other = again.withColumns({"ct": cell("theta"), "cr": cell("rho")}).withColumn("ct", around("ct")).withColumn("cr", around("cr")).hint("merge")
     rank = lambda t: F.struct(-F.col(f"{t}.n"), F.pmod(f"{t}.theta", F.lit(180)), F.when(F.col(f"{t}.theta").between(0, 179), F.col(f"{t}.rho")).otherwise(-F.col(f"{t}.rho")))
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (key, "ct", "cr")]
     beaten = placed.alias("a").join(other.alias("b"), on + [(F.abs(F.col("a.theta") - F.col("b.theta")) <= beside) & (F.abs(F.col("a.rho") - F.col("b.rho")) <= beside) & (rank("b") < rank("a"))], "left_anti")
-    peaks = beaten.select(key, "theta", "rho")
+    peaks = beaten.select(key, "theta", "rho").hint("merge")
     order = Window.partitionBy(key, "theta", "rho").orderBy("along", "y", "x")
     a = F.radians("theta")
     on = own.join(peaks, key).where(offset(F.col("theta")) == F.col("rho")).withColumn("along", F.round(F.col("y") * F.cos(a) - F.col("x") * F.sin(a), 6))
@@ -201,6 +209,42 @@ def line_segments(cells: DataFrame, key: str, least_votes: int = 30, least_lengt
     return ends.where(F.col("v") - F.col("u") >= least_length - EPS).select(key, "theta", "rho", F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), F.col("q.x").alias("x2"), F.col("q.y").alias("y2"))
 
 
+def _votes(batches: Iterator[pa.RecordBatch], key: str, angles: range, least: int) -> Iterator[pa.RecordBatch]:
+    """``(key, theta, rho, n)`` with at least so many votes, of cells sorted by their key. Only the counts of the newest key wait for the next batch."""
+    last, waiting = None, {}
+    for b in (*batches, None):
+        if b is not None and not b.num_rows:
+            continue
+        out = []
+        keys = b.column(key) if b is not None else None
+        if last is not None and (b is None or keys[0] != last):  # the waiting key had its last cell
+            out += [(pa.repeat(last, len(r)), t, r, n) for t, (r, n) in waiting.items()]
+            waiting = {}
+        if b is not None:
+            y, x = (b.column(c).to_numpy().astype(np.float64) for c in ("y", "x"))
+            code = keys.dictionary_encode()
+            mask, names = code.indices.to_numpy(), code.dictionary
+            for t in angles:
+                a = np.radians(t)
+                rho = np.floor(x * np.cos(a) + y * np.sin(a) + 0.5 + EPS).astype(np.int64)
+                before = waiting.get(t, (np.zeros(0, np.int64),) * 2)
+                low = min(rho.min(), before[0].min(initial=rho.min()))
+                span = int(max(rho.max(), before[0].max(initial=rho.max())) - low) + 1
+                n = np.bincount(mask * span + rho - low, minlength=len(names) * span)
+                n[before[0] - low] += before[1]
+                at = np.flatnonzero(n)
+                whole = at < (len(names) - 1) * span
+                some = at[whole & (n[at] >= least)]
+                out.append((names.take(pa.array(some // span)), t, some % span + low, n[some]))
+                rest = at[~whole]
+                waiting[t] = rest % span + low, n[rest]
+            last = keys[len(keys) - 1]
+        for k, t, r, n in out:
+            fine = np.flatnonzero(n >= least)
+            if len(fine):
+                yield pa.RecordBatch.from_arrays([k.take(pa.array(fine)), *[pa.array(np.asarray(v, np.int32)) for v in (np.full(len(fine), t), r[fine], n[fine])]], [key, "theta", "rho", "n"])
+
+
 def project_faces(faces: DataFrame, vertices: DataFrame, size: int, scale: float) -> DataFrame:
     """``(mesh, fid, ord, x, y)``: corners of triangles seen from above, centred on the mesh's mean corner, in whole cells."""
     mean = vertices.groupBy("mesh").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))

@@ -66,7 +66,7 @@ def default_scores(instances: DataFrame, keys: list[str]) -> DataFrame:
 
 def clusters(runs: DataFrame, keys: list[str], threshold: float, inclusive: bool) -> DataFrame:
     """``(keys, inst, cluster)``: instances of equal key that overlap beyond a threshold, directly or in a chain, share the smallest id. Ids are unique over all keys."""
-    pairs = instance_overlap(runs, runs, keys, between=F.col("a.inst") < F.col("b.inst"))
+    pairs = instance_overlap(runs, runs, keys, between=F.col("a.inst") < F.col("b.inst"), least=threshold)
     near = pairs.where(F.col("iou") >= threshold if inclusive else F.col("iou") > threshold)
     labels = connected_components(near.select("a", "b"))
     return runs.select(*keys, "inst").distinct().join(labels, F.col("inst") == F.col("node"), "left").select(*keys, "inst", F.coalesce("component", "inst").alias("cluster"))

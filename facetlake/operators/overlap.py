@@ -26,14 +26,15 @@ def instance_stats(runs: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def instance_overlap(a: DataFrame, b: DataFrame, keys: list[str], id_col: str = "inst", between: Column | None = None) -> DataFrame:
+def instance_overlap(a: DataFrame, b: DataFrame, keys: list[str], id_col: str = "inst", between: Column | None = None, least: float = 0.0) -> DataFrame:
     """Pairs that share cells: ``(keys, a, b, inter, union, iou)``.
 
     Each instance is one row with its box and its runs. Boxes meet by key and grid cell and reject the
     pairs that are apart; the pairs left get either side's runs by one join each and are intersected
     inside their row. Runs of one instance are disjoint, so the overlaps of a pair add up to its
     intersection. ``between`` is a condition on ``a.{id_col}`` and ``b.{id_col}``. Pairs without a common
-    cell do not appear: their IoU is 0.
+    cell do not appear: their IoU is 0. Nor do pairs whose boxes and areas already say that their IoU is
+    below ``least``, so only what may reach it gets its runs; other pairs below it do appear.
     """
     box = {"a": _instances(a, keys, id_col)}
     box["b"] = box["a"] if b is a else _instances(b, keys, id_col)
@@ -43,6 +44,10 @@ def instance_overlap(a: DataFrame, b: DataFrame, keys: list[str], id_col: str =
     grid = {side: t.drop("runs").withColumn("gx", cells("bx0", "bx1")).withColumn("gy", cells("by0", "by1")).hint("merge") for side, t in box.items()}
     on = same([*keys, "gx", "gy"]) & (F.col("a.bx0") < F.col("b.bx1")) & (F.col("b.bx0") < F.col("a.bx1")) & (F.col("a.by0") <= F.col("b.by1")) & (F.col("b.by0") <= F.col("a.by1"))
     on = on & (F.floor(F.greatest("a.bx0", "b.bx0") / GRID) == F.col("a.gx")) & (F.floor(F.greatest("a.by0", "b.by0") / GRID) == F.col("a.gy"))
+    if least > 0:
+        side = lambda low, high, more: F.least(f"a.{high}", f"b.{high}") - F.greatest(f"a.{low}", f"b.{low}") + more
+        most = F.least("a.area", "b.area", side("bx0", "bx1", 0) * side("by0", "by1", 1))
+        on = on & (most / (F.col("a.area") + F.col("b.area") - most) >= least)
     pairs = grid["a"].alias("a").join(grid["b"].alias("b"), on if between is None else on & between)
     pairs = pairs.select(*[F.col(f"a.{k}") for k in keys], F.col(f"a.{id_col}").alias("a"), F.col(f"b.{id_col}").alias("b"), F.col("a.area").alias("area_a"), F.col("b.area").alias("area_b"))
     for side, t in box.items():

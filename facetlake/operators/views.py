@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -212,7 +213,7 @@ def line_segments(cells: DataFrame, key: str, least_votes: int = 30, least_lengt
 def _votes(batches: Iterator[pa.RecordBatch], key: str, angles: range, least: int) -> Iterator[pa.RecordBatch]:
     """``(key, theta, rho, n)`` with at least so many votes, of cells sorted by their key. Only the counts of the newest key wait for the next batch."""
     last, waiting = None, {}
-    for b in (*batches, None):
+    for b in chain(batches, [None]):
         if b is not None and not b.num_rows:
             continue
         out = []

@@ -153,3 +153,35 @@ def test_height_pairs_take_as_many_tasks_as_their_cells_need(spark, monkeypatch,
     found = writers.write_height_pairs(pairs, heights, str(tmp_path)).collect()
     assert len(found) == 20 and {r.cells for r in found} == {16}
     assert len(list((tmp_path / "normal").glob("part-*.parquet"))) > 4
+
+
+def traced(spark, rows):
+    runs = spark.createDataFrame(rows, "k int, y int, x0 int, x1 int")
+    out = {}
+    for r in R.rings(R.outline(runs, ["k"]), ["k"]).collect():
+        out.setdefault((r.k, r.ring), {})[r.ord] = (r.x, r.y)
+    assert all(sorted(v) == list(range(len(v))) for v in out.values())
+    return {k: [v[i] for i in range(len(v))] for k, v in out.items()}
+
+
+def test_rings_inside_a_block_need_no_rounds(spark, monkeypatch):
+    written, write = [], R.materialize
+    monkeypatch.setattr(R, "materialize", lambda df, name="table": written.append(name) or write(df, name))
+    teeth = [(1, y, 0, 20 - y % 2) for y in range(60)]
+    got = traced(spark, teeth + [(1, 70, 0, 1), (1, 71, 1, 2)])
+    assert sorted(map(len, got.values())) == [4, 4, 122] and len(written) == 1
+
+
+def test_rings_over_many_blocks(spark):
+    """A comb as high as five blocks with a hole over three of them, and cells that touch at corners on both sides of a block's border."""
+    comb = [(1, y, 0 if y % 2 else 1, x) for y in range(600) for x in [40 + y % 3]]
+    holed = [(k, y, *s) for k, y, x0, x1 in comb for s in ([(x0, 10), (12 + y % 2, x1)] if 100 <= y < 400 else [(x0, x1)])]
+    corners = [(2, y, y % 2, y % 2 + 1) for y in range(120, 136)] + [(2, 300, 0, 1)]
+    got = traced(spark, holed + corners)
+    area = lambda r: sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:] + r[:1], strict=True)) / 2
+    cells = sum(x1 - x0 for _, _, x0, x1 in holed)
+    outer, hole = got[1, 0], got[1, 1]
+    assert len([k for k in got if k[0] == 1]) == 2 and area(outer) + area(hole) == cells and area(hole) < 0 < area(outer)
+    assert all((a[0] == b[0]) != (a[1] == b[1]) for r in got.values() for a, b in zip(r, r[1:] + r[:1], strict=True))
+    assert all(min(range(len(r)), key=lambda i: r[i][::-1]) == 0 for r in got.values())
+    assert [area(r) for k, r in sorted(got.items()) if k[0] == 2] == [1.0] * 17

@@ -185,3 +185,13 @@ def test_rings_over_many_blocks(spark):
     assert all((a[0] == b[0]) != (a[1] == b[1]) for r in got.values() for a, b in zip(r, r[1:] + r[:1], strict=True))
     assert all(min(range(len(r)), key=lambda i: r[i][::-1]) == 0 for r in got.values())
     assert [area(r) for k, r in sorted(got.items()) if k[0] == 2] == [1.0] * 17
+
+
+def test_corners_are_looked_up_in_tasks_that_their_number_sets(spark, monkeypatch):
+    """However few partitions or bytes Spark would take, each look-up is dealt by the number of corners."""
+    monkeypatch.setattr(G, "TASK_CORNERS", 7, raising=False)
+    v = spark.range(40).selectExpr("id div 4 AS mesh", "id % 4 AS vid", "double(id % 2) AS x", "double(id % 4 div 2) AS y", "double(id % 5) AS z")
+    f = spark.range(20).selectExpr("id div 2 AS mesh", "id % 2 AS fid", "id % 2 AS a", "id % 2 * 2 + 1 AS b", "id % 1 + 2 AS c")
+    got = G.face_normals(f, v)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 6 and "ENSURE_REQUIREMENTS" not in plan and got.count() == 20

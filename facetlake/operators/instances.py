@@ -78,9 +78,8 @@ def semantic_instances(labels: DataFrame, keys: list[str], least_area: int = 64,
     Every class above 0 falls into its 8-connected components; small ones and the ignored value go, and
     all have the same low score.
     """
-    x = R.run_components(labels.where((F.col("cls") > 0) & (F.col("cls") != ignored)), [*keys, "cls"])
-    area = x.groupBy("component").agg(F.sum(F.col("x1") - F.col("x0")).alias("__area")).where(F.col("__area") >= least_area)
-    return x.join(area.select("component"), "component", "left_semi").select(*keys, "component", "cls", F.lit(score).alias("score"), "y", "x0", "x1")
+    x = R.run_components(labels.where((F.col("cls") > 0) & (F.col("cls") != ignored)), [*keys, "cls"], area=True)
+    return x.where(F.col("area") >= least_area).select(*keys, "component", "cls", F.lit(score).alias("score"), "y", "x0", "x1")
 
 
 def vote_runs(runs: DataFrame, keys: list[str], method: str) -> DataFrame:

@@ -6,7 +6,7 @@ from facetlake.operators import overlap as O
 from facetlake.operators import runs as R
 from facetlake.operators import stencils as T
 from facetlake.operators import views as V
-from facetlake.plans import catalog, streams
+from facetlake.plans import catalog, scenes, streams
 from facetlake.sources import writers
 from pyspark.sql import functions as F
 
@@ -195,3 +195,15 @@ def test_corners_are_looked_up_in_tasks_that_their_number_sets(spark, monkeypatc
     got = G.face_normals(f, v)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 6 and "ENSURE_REQUIREMENTS" not in plan and got.count() == 20
+
+
+def test_layers_are_painted_where_they_are_dealt_to(spark, sf):
+    plan = scenes.labels(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Generate") == 1
+
+
+def test_areas_of_components_over_blocks_and_inside(spark):
+    rows = [(1, y, 0, 2) for y in range(300)] + [(1, y, 10, 14) for y in range(5)] + [(2, y, 0, 1) for y in range(127, 130)]
+    got = R.run_components(spark.createDataFrame(rows, "k int, y int, x0 int, x1 int"), ["k"], area=True).collect()
+    assert sorted({(r.k, r.x0, r.area) for r in got}) == [(1, 0, 600), (1, 10, 20), (2, 0, 3)]
+    assert len({r.component for r in got}) == 3

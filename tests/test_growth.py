@@ -207,3 +207,12 @@ def test_areas_of_components_over_blocks_and_inside(spark):
     got = R.run_components(spark.createDataFrame(rows, "k int, y int, x0 int, x1 int"), ["k"], area=True).collect()
     assert sorted({(r.k, r.x0, r.area) for r in got}) == [(1, 0, 600), (1, 10, 20), (2, 0, 3)]
     assert len({r.component for r in got}) == 3
+
+
+def test_blocks_are_dealt_by_the_number_of_runs(spark, monkeypatch):
+    monkeypatch.setattr(R, "TASK_RUNS", 100, raising=False)
+    tasks, write = [], R.materialize
+    monkeypatch.setattr(R, "materialize", lambda df, name="table": tasks.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(df, name))
+    R.run_components(spark.createDataFrame([(k, y, 0, 2) for k in range(20) for y in range(50)], "k int, y int, x0 int, x1 int"), ["k"])
+    plan = dict(tasks)["nodes"]
+    assert plan.count("Exchange") == 1 and "10), REPARTITION_BY_NUM" in plan

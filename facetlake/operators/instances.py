@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetlake.operators import groups as J
 from facetlake.operators import runs as R
 from facetlake.operators.components import connected_components
 from facetlake.operators.overlap import instance_overlap
@@ -69,7 +70,7 @@ def clusters(runs: DataFrame, keys: list[str], threshold: float, inclusive: bool
     pairs = instance_overlap(runs, runs, keys, between=F.col("a.inst") < F.col("b.inst"), least=threshold)
     near = pairs.where(F.col("iou") >= threshold if inclusive else F.col("iou") > threshold)
     labels = connected_components(near.select("a", "b"))
-    return runs.select(*keys, "inst").distinct().join(labels, F.col("inst") == F.col("node"), "left").select(*keys, "inst", F.coalesce("component", "inst").alias("cluster"))
+    return runs.select(*keys, "inst").distinct().join(labels.hint("merge"), F.col("inst") == F.col("node"), "left").select(*keys, "inst", F.coalesce("component", "inst").alias("cluster"))
 
 
 def semantic_instances(labels: DataFrame, keys: list[str], least_area: int = 64, score: float = 0.05, ignored: int = 255) -> DataFrame:
@@ -104,12 +105,28 @@ def merge_instances(runs: DataFrame, keys: list[str], method: str = "score", thr
 
     ``score`` keeps the best member of each cluster, ``union`` and ``weighted`` vote; the score is the
     largest of the members. Scene merging links IoU above the threshold, fusion of views at or above it.
-    ``members`` are the clusters, if the caller has them already. Only ids and scores are written down;
-    runs are read once more and meet the clusters by their instance.
+    ``members`` are the clusters, if the caller has them already. Instances are linked and voted on in
+    the task that their key is dealt to, without a join or another shuffle; keys of too many runs for
+    that, and those with scores that are no votes in whole steps, are joined.
     """
+    if method not in ("score", "union", "weighted"):
+        raise ValueError(f"no such vote: {method}")
+    if members is not None:
+        return _merged_by_joins(runs, keys, method, members)
+    small, large = J.large_keys(runs, keys, ~F.col("score").between(0, J.MOST_SCORE))
+    one = J.groups(small, keys, ["score"], J.overlapping(threshold, inclusive), method=method)
+    one = one.withColumns({"members": F.size("members").cast("long"), "score": F.col("score").cast(runs.schema["score"].dataType)})
+    names = [*keys, "cluster", "y", "x0", "x1", "members", "score"]
+    found = J.runs_of(one, [*keys, "cluster", "members", "score"], runs.schema).select(names)
+    return found if large is None else found.unionByName(_merged_by_joins(large, keys, method, clusters(large, keys, threshold, inclusive)).select(names))
+
+
+def _merged_by_joins(runs: DataFrame, keys: list[str], method: str, members: DataFrame) -> DataFrame:
+    """The same for clusters of any size. Only ids and scores are written down; runs are read once more and meet the clusters by their instance."""
     ids = runs.select(*keys, "inst", "score").distinct()
-    own = materialize(ids.join(clusters(runs, keys, threshold, inclusive) if members is None else members, [*keys, "inst"]), "clustered")
-    about = own.groupBy(*keys, "cluster").agg(F.count("*").alias("members"), F.max("score").alias("score"), F.max_by("inst", F.struct(F.col("score"), -F.col("inst"))).alias("best"))
+    # what Parquet takes for ids says little about their size in memory, so none are broadcast
+    own = materialize(ids.join(members.hint("merge"), [*keys, "inst"]), "clustered").hint("merge")
+    about = own.groupBy(*keys, "cluster").agg(F.count("*").alias("members"), F.max("score").alias("score"), F.max_by("inst", F.struct(F.col("score"), -F.col("inst"))).alias("best")).hint("merge")
     if method == "score":
         return runs.select(*keys, "inst", "y", "x0", "x1").join(about.withColumnRenamed("best", "inst"), [*keys, "inst"]).select(*keys, "cluster", "y", "x0", "x1", "members", "score")
     shape = vote_runs(runs.join(own.select(*keys, "inst", "cluster"), [*keys, "inst"]), [*keys, "cluster"], method)

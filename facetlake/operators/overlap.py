@@ -67,7 +67,12 @@ def _instances(runs: DataFrame, keys: list[str], id_col: str) -> DataFrame:
 
 @F.arrow_udf(T.LongType())
 def common_cells(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Cells that two sorted arrays of disjoint runs share, for a batch of pairs at once.
+    """Cells that two sorted arrays of disjoint runs share, for a batch of pairs at once."""
+    return pa.array(shared_cells(a, b))
+
+
+def shared_cells(a: pa.Array, b: pa.Array, dy: int = 0, dx: int = 0) -> np.ndarray:
+    """Cells that two sorted arrays of disjoint runs share, for many pairs at once; ``b`` may be moved by ``dy`` and ``dx``.
 
     Rows of all pairs are put on one line, one after the other. Then the cells of ``b`` before a place
     are a sum over the runs before it and a part of one, and a run of ``a`` holds the difference at its
@@ -76,7 +81,8 @@ def common_cells(a: pa.Array, b: pa.Array) -> pa.Array:
     own, places = [pc.list_parent_indices(x).to_numpy() for x in (a, b)], [x.flatten() for x in (a, b)]
     y, x0, x1 = ([np.asarray(x.field(c)) for x in places] for c in range(3))
     if not len(own[0]) or not len(own[1]):
-        return pa.array(np.zeros(len(a), np.int64))
+        return np.zeros(len(a), np.int64)
+    y[1], x0[1], x1[1] = y[1] + dy, x0[1] + dx, x1[1] + dx
     low, high = min(map(np.min, y)), max(map(np.max, y))
     left, right = min(map(np.min, x0)), max(map(np.max, x1))
     line = np.unique(np.concatenate([o * (high - low + 1) + v - low for o, v in zip(own, y, strict=True)]), return_inverse=True)[1] * (right - left + 1) - left
@@ -87,7 +93,7 @@ def common_cells(a: pa.Array, b: pa.Array) -> pa.Array:
         k = np.searchsorted(begin[1], at, "right") - 1
         return np.where(k < 0, 0, before[k] + np.minimum(at, end[1][k]) - begin[1][k])
 
-    return pa.array(np.rint(np.bincount(own[0], cells(end[0]) - cells(begin[0]), len(a))).astype(np.int64))
+    return np.rint(np.bincount(own[0], cells(end[0]) - cells(begin[0]), len(a))).astype(np.int64)
 
 
 def best_match(overlaps: DataFrame, keys: list[str]) -> DataFrame:

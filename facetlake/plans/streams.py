@@ -109,9 +109,11 @@ def stream_scene_merge(spark, d):
     # scenes are kept in 64 parts, not in a folder each, so files do not grow with them
     part = F.pmod(F.xxhash64("scene"), F.lit(64)).cast("int")
     runs, source, out = scored_runs(spark, d).withColumn("part", part), shared_dir(spark, "detections"), shared_dir(spark, "scenes")
-    third = F.pmod("inst", F.lit(3)).cast("int").alias("third")
-    runs.select("*", third).repartition(3, "third").write.partitionBy("third").parquet(source)
-    stream = spark.readStream.schema(runs.select("*", third).schema).option("maxFilesPerTrigger", 1).parquet(source).drop("third")
+    files = []
+    for k in range(3):  # one after the other, so that the stream, which goes by time, has a third in each batch; each is as many files as it takes tasks
+        runs.where(F.pmod("inst", F.lit(3)) == k).write.mode("append").parquet(source)
+        files.append(len(spark.read.parquet(source).inputFiles()) - sum(files))
+    stream = spark.readStream.schema(runs.schema).option("maxFilesPerTrigger", max(1, *files)).parquet(source)
     ended(stream, logs.scene_merger(out, "part", ["part", "scene", "label"], method="score", threshold=0.5))
     return merged(spark.read.parquet(f"{out}/merged"))
 

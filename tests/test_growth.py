@@ -1,7 +1,11 @@
 """What grows with the input stays spread: cells and runs are not broadcast, and results hold where rows come many times."""
 
+import random
+
 import pytest
 from facetlake.operators import geometry as G
+from facetlake.operators import groups as J
+from facetlake.operators import instances as I
 from facetlake.operators import overlap as O
 from facetlake.operators import runs as R
 from facetlake.operators import stencils as T
@@ -246,3 +250,53 @@ def test_corners_find_their_nearest_line_where_they_meet_the_lines(spark):
     x = G.snap_to_lines(v, seg, "scene", 4.0)
     assert x._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
     assert sorted(map(tuple, x.collect())) == [(1, 0, 1.0, 3.0), (1, 1, 66.0, 63.0), (1, 2, 90.0, 90.0), (2, 0, 1.0, 1.0)]
+
+
+def drawn(seed, keys=3, n=25):
+    """Runs of scored rectangles with a notch, some of them alike."""
+    rng = random.Random(seed)
+    rows = []
+    for inst in range(keys * n):
+        y, x = (rng.randrange(0, 12), rng.randrange(0, 12)) if inst % 3 else (inst % 5, inst % 4)
+        for d in range(rng.randrange(6, 9)):
+            rows.append((inst // n, 0, inst, float(5 + inst * 31 % 90), y + d, x, x + 6 + d % 2))
+            if d == 2:
+                rows.append((inst // n, 0, inst, float(5 + inst * 31 % 90), y + d, x + 9, x + 11))
+    return rows
+
+
+@pytest.mark.parametrize("method", ["score", "union", "weighted"])
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_merged_in_tasks_by_joins_and_in_part(spark, monkeypatch, method, inclusive):
+    """Keys of few runs are merged in their task, keys of many by joins: the cells are the same, however many keys go each way."""
+    rows = drawn(7) + [(None, 0, 900, 50.0, 1, 0, 9), (None, 0, 901, 60.0, 1, 0, 9)]
+    runs = spark.createDataFrame(rows, "scene int, label int, inst long, score double, y long, x0 long, x1 long")
+    got = {}
+    for most in (1 << 16, 195, 0):
+        monkeypatch.setattr(J, "MOST_RUNS", most)
+        found = I.merge_instances(runs.where("scene is not null"), ["scene", "label"], method, 0.4, inclusive).collect()
+        got[most] = sorted((r.scene, r.cluster, r.members, r.score, r.y, x) for r in found for x in range(r.x0, r.x1))
+    assert got[1 << 16] == got[195] == got[0] and any(r[2] > 1 for r in got[0])
+    monkeypatch.setattr(J, "MOST_RUNS", 1 << 16)
+    alone = I.merge_instances(spark.createDataFrame(rows[-2:], runs.schema), ["scene", "label"], method, 0.4).collect()
+    assert sorted((r.cluster, r.members) for r in alone) == [(900, 1), (901, 1)]
+
+
+def test_detections_of_a_stream_are_merged_without_a_join(spark, tmp_path):
+    """Tables in files say little about their size in memory: nothing of them is broadcast, and equal keys need no pairs in a shuffle."""
+    spark.createDataFrame(drawn(3), "scene int, label int, inst long, score double, y long, x0 long, x1 long").write.parquet(str(tmp_path / "runs"))
+    plan = I.merge_instances(spark.read.parquet(str(tmp_path / "runs")), ["scene", "label"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("name", ["merge_tiles_weighted", "fuse_views", "merge_tiles_score", "merge_tiles_union"])
+def test_instances_are_merged_where_they_are_dealt_to(spark, sf, name):
+    """One shuffle by scene, and one of the sums of merged instances."""
+    plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 2 and "Join" not in plan
+
+
+def test_scores_that_are_no_votes_in_whole_steps_go_through_joins(spark):
+    rows = [(1, i, s, 0, 0, x) for i, s, x in ((1, 1e9, 10), (2, 3e9, 8), (3, None, 9))]
+    runs = spark.createDataFrame(rows, "scene int, inst long, score double, y long, x0 long, x1 long")
+    assert [(r.members, r.score, r.x0, r.x1) for r in I.merge_instances(runs, ["scene"], "weighted").collect()] == [(3, 3e9, 0, 8)]

@@ -299,3 +299,26 @@ def test_scores_that_are_no_votes_in_whole_steps_go_through_joins(spark):
     rows = [(1, i, s, 0, 0, x) for i, s, x in ((1, 1e9, 10), (2, 3e9, 8), (3, None, 9))]
     runs = spark.createDataFrame(rows, "scene int, inst long, score double, y long, x0 long, x1 long")
     assert [(r.members, r.score, r.x0, r.x1) for r in I.merge_instances(runs, ["scene"], "weighted").collect()] == [(3, 3e9, 0, 8)]
+
+
+def test_coplanar_facets_are_merged_where_their_scene_is_dealt_to(spark, sf):
+    lines = catalog.queries()["merge_coplanar_facets"](spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines()
+    deep = max(k for k, line in enumerate(lines) if "Generate explode(sequence" in line)
+    assert sum("Exchange" in line for line in lines[:deep]) <= 1 and not [line for line in lines[:deep] if "Join" in line]
+
+
+def test_facets_that_touch_and_lie_in_one_plane(spark, monkeypatch):
+    """Shared cells, a stretch of border, a corner alone, another plane and a facet without a normal; in a task and by joins."""
+    up, side = (0.0, 0.0, 1.0), (0.6, 0.0, 0.8)
+    boxes = [(1, up, 0, 0), (2, up, 2, 2), (3, up, 2, 6), (4, up, 6, 10), (5, side, 4, 0), (6, (None,) * 3, 0, 0), (7, up, 20, 20), (8, up, 24, 20)]
+    rows = [(1, i, *n, y + d, x, x + 4) for i, n, y, x in boxes for d in range(4)] + [(2, 9, *up, 0, 0, 4)]
+    runs = spark.createDataFrame(rows, "scene int, inst long, nx double, ny double, nz double, y long, x0 long, x1 long")
+    for most in (1 << 16, 10, 0):
+        monkeypatch.setattr(J, "MOST_RUNS", most)
+        found = G.merge_coplanar(runs, "scene").collect()
+        members, cells = {}, {}
+        for r in found:
+            members.setdefault(r.grp, set()).update(r.members)
+            cells[r.grp] = cells.get(r.grp, 0) + sum(x.x1 - x.x0 for x in r.runs)
+        assert members == {1: {1, 2, 3}, 4: {4}, 5: {5}, 6: {6}, 7: {7, 8}, 9: {9}}
+        assert cells == {1: 44, 4: 16, 5: 16, 6: 16, 7: 32, 9: 4}

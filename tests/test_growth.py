@@ -10,7 +10,7 @@ from facetlake.operators import overlap as O
 from facetlake.operators import runs as R
 from facetlake.operators import stencils as T
 from facetlake.operators import views as V
-from facetlake.plans import catalog, scenes, streams
+from facetlake.plans import catalog, files, scenes, streams
 from facetlake.sources import writers
 from pyspark.sql import functions as F
 
@@ -330,3 +330,14 @@ def test_rings_and_points_of_masks_are_made_where_scenes_are_dealt_to(spark, sf,
     monkeypatch.setattr(scenes, "materialize", lambda df, name="table": pytest.fail(name))
     lines = catalog.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines()
     assert all("REPARTITION_BY_NUM" in line or "Reused" in line for line in lines if "Exchange" in line)
+
+
+def test_annotation_documents_hold_many_scenes_and_are_made_where_they_are_dealt_to(spark, sf, monkeypatch):
+    """As many files as documents and not as scenes; with several documents the rows are the same."""
+    want = {r.id: r for r in catalog.queries()["coco_documents"](spark, sf).collect()}
+    assert len(want) == 30 and len(catalog.queries()["coco_documents"](spark, sf).inputFiles()) == 1
+    monkeypatch.setattr(files, "DOCUMENT_SCENES", 8)
+    some = catalog.queries()["coco_documents"](spark, sf)
+    assert len(some.inputFiles()) == 4 and {r.id: r for r in some.collect()} == want
+    plan = files.annotation_documents(spark, sf, "label", 8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
